@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tollgate.functions import patterns as P
 from tollgate.functions.columns import ts_lit
+from tollgate.operators.ranking import dense_rank_ordered
 
 
 def active_nodes(nodes: DataFrame) -> DataFrame:
@@ -126,27 +127,6 @@ def health_rollup(probes: DataFrame, by=("region",), disk_limit=90.0) -> DataFra
 # Batch assignment equal to repeated least-loaded choice
 # ---------------------------------------------------------------------------
 
-def dense_rank_ordered(df: DataFrame, order: list[str], num_partitions: int | None = None,
-                       name: str = "rank") -> DataFrame:
-    """A 1-based global rank by ``order`` (unique) without a single-partition window.
-
-    Range-partition on the order, sort inside each partition, number rows locally
-    (``monotonically_increasing_id`` encodes partition and position), then add the
-    row count of all earlier partitions.  Only the per-partition counts (one row
-    per partition) are collected into a small table."""
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-         .withColumn("_mid", F.monotonically_increasing_id()))
-    r = r.withColumn("_pid", F.shiftright("_mid", 33)).withColumn(
-        "_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_pid", (F.sum("_n").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"))
-    offsets = offsets.fillna(0, subset=["_off"])
-    out = r.join(F.broadcast(offsets), "_pid")  # one row per partition: bounded
-    return out.withColumn(name, F.col("_off") + F.col("_pos") + 1).drop("_mid", "_pid", "_pos", "_off")
-
-
 def capacity_slots(nodes: DataFrame, licenses: DataFrame) -> DataFrame:
     """Free seats of eligible nodes as (node_id, level, slot_rank): node with load
     L and capacity M offers levels L..M-1; slots are ranked by (level, node id),

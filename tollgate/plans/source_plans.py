@@ -1 +1,91 @@
-"""Registered queries."""
+"""Registered source / sink queries (A) and their oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tollgate.functions import patterns as P
+from tollgate.functions.columns import url_path
+from tollgate.operators import entitlements as E
+from tollgate.plans.audit_plans import URL_PATH_SQL
+from tollgate.plans.registry import register
+from tollgate.sources import readers as R
+from tollgate.sources.tables import TABLES, table_counts
+
+
+@register("a1_table_counts", oracle="\nUNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in TABLES))
+def a1(c):
+    return table_counts(c.spark, c.sf_dir)
+
+
+@register("a2_pages_corpus", oracle=f"""
+SELECT page_id, url, {URL_PATH_SQL} AS path, length(html) AS n_chars FROM pages""")
+def a2(c):
+    p = c.pages
+    return p.select("page_id", "url", url_path("url").alias("path"), F.length("html").alias("n_chars"))
+
+
+@register("a3_flatten_json", oracle="""
+SELECT event_id, k AS key, json_extract_string(props, '$."' || k || '"') AS value
+FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) t""")
+def a3(c):
+    return R.flatten_json(c.events.select("event_id", "props"), ["event_id"], "props", depth=2)
+
+
+@register("a4_access_log", views=("access_log_rows",), oracle="SELECT * FROM access_log_rows")
+def a4(c):
+    return R.parse_access_log(R.render_access_log(c.access_log_rows))
+
+
+@register("a5_billing_envelopes", views=("billing_events_ext",), oracle="""
+SELECT CAST(event_id AS VARCHAR) AS event_id, kind, date_trunc('second', ts) AS ts,
+ CAST(subscription_id AS VARCHAR) AS subscription_id, date_trunc('second', period_end) AS period_end,
+ amount, amount_refunded, cancel_at_period_end, sub_status FROM billing_events_ext""")
+def a5(c):
+    parsed = R.parse_billing_events(R.render_billing_events(c.billing_events_ext))
+    return parsed.select("event_id", "kind", "ts", "subscription_id", "period_end", "amount",
+                         "amount_refunded", "cancel_at_period_end", "sub_status")
+
+
+_ACTIONS_SQL = """CASE WHEN kind = 'checkout_completed' AND (ts, event_id) = first_k THEN 'license_created'
+  WHEN kind = 'payment_failed' THEN 'license_suspended'
+  WHEN kind = 'charge_refunded' AND amount_refunded >= amount THEN 'license_refunded'
+  WHEN kind = 'subscription_updated' AND plan IN ('vpn', 'security_vpn') AND first_k IS NOT NULL
+   AND (ts, event_id) > first_k THEN 'plan_changed' END"""
+
+
+def audit_decisions(ev):
+    """Audit actions the billing handler writes, one per event that writes one."""
+    k = F.struct("ts", "event_id")
+    first = (ev.filter(F.col("kind") == "checkout_completed").groupBy("subscription_id")
+             .agg(F.min(k).alias("first_k")))
+    j = ev.join(first, "subscription_id", "left")
+    kind = F.col("kind")
+    action = (F.when((kind == "checkout_completed") & (k == F.col("first_k")), "license_created")
+              .when(kind == "payment_failed", "license_suspended")
+              .when((kind == "charge_refunded") & (F.col("amount_refunded") >= F.col("amount")), "license_refunded")
+              .when((kind == "subscription_updated") & F.col("plan").isin(*P.CHECKOUT_PLANS)
+                    & F.col("first_k").isNotNull() & (k > F.col("first_k")), "plan_changed"))
+    return j.select(action.alias("action"), F.lit("subscription").alias("entity_type"),
+                    F.col("subscription_id").alias("entity_id"), F.col("kind").alias("details"), "ts") \
+        .filter(F.col("action").isNotNull())
+
+
+@register("a6_audit_actions", views=("billing_events_ext",), oracle=f"""
+WITH f AS (SELECT subscription_id, min((ts, event_id)) AS first_k FROM billing_events_ext
+  WHERE kind = 'checkout_completed' GROUP BY subscription_id),
+a AS (SELECT {_ACTIONS_SQL} AS action, CAST(ts AS DATE) AS date FROM billing_events_ext LEFT JOIN f USING (subscription_id))
+SELECT action, date, count(*) AS n FROM a WHERE action IS NOT NULL GROUP BY action, date""")
+def a6(c):
+    rows = R.audit_rows(audit_decisions(c.billing_events_ext))
+    return rows.groupBy("action", "date").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("a8_align_schema", views=("licenses",), oracle="""
+SELECT id, status, CAST(NULL AS BIGINT) AS node_id, CAST(NULL AS TIMESTAMP) AS last_check FROM licenses
+UNION ALL SELECT id, status, node_id, last_check FROM licenses""")
+def a8(c):
+    lic = c.licenses.select("id", "status", "node_id", "last_check")
+    old = lic.select("id", "status")  # a file written before the columns were added
+    return R.align_schema(old, lic.schema).unionByName(lic)

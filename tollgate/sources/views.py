@@ -117,6 +117,12 @@ FROM {orders}""",
 SELECT session_id, CASE WHEN subscription_id = 'sub_none' THEN 'sub_new_' || cast(customer_id % 50 AS string) ELSE subscription_id END AS subscription_id,
  customer_id, CASE WHEN session_id % 5 = 0 THEN 'legacy' WHEN session_id % 2 = 0 THEN 'security_vpn' ELSE 'vpn' END AS plan
 FROM {sessions}""",
+    "access_log_rows": """
+SELECT cast(client_id % 2 AS string) AS instance, 'r' || cast(request_id AS string) AS req_id,
+ CASE WHEN route = '/view' THEN 'GET' ELSE 'POST' END AS method, '/api' || route AS path, status,
+ cast(floor(abs(duration_s) * 1000) AS bigint) AS duration_ms,
+ '10.0.' || cast(client_id % 250 AS string) || '.' || cast(request_id % 250 AS string) AS ip
+FROM {request_log}""",
     "price_facts": """
 SELECT o_orderkey, o_orderdate AS ts,
  CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH') THEN 'security_vpn' WHEN o_orderpriority = '5-LOW' THEN 'trial' ELSE 'vpn' END AS plan
@@ -131,6 +137,7 @@ VIEW_DEPS: dict[str, tuple[str, ...]] = {
     "billing_events_ext": ("billing_events",), "transfer_requests": ("device_requests",),
     "transfer_licenses": ("licenses",), "refunds": ("lineitem",), "invoices": ("orders",),
     "subscriptions": ("orders",), "checkouts": ("sessions",), "price_facts": ("orders",),
+    "access_log_rows": ("request_log",),
 }
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
