@@ -1 +1,23 @@
-"""Registered queries."""
+"""Registered batch forms of the streaming operators (the streams themselves are
+exercised in tests/test_streaming.py against these)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tollgate.plans.registry import register
+from tollgate.streaming.jobs import dedup_events_batch
+
+
+@register("h1_dedup_events", views=("billing_events",), oracle="""
+WITH copies AS (SELECT * FROM billing_events UNION ALL
+  SELECT event_id, ts + INTERVAL 1 MINUTE, subscription_id, amount, kind, cancel_at_period_end, sub_status, amount_refunded
+  FROM billing_events)
+SELECT event_id, r[1] AS ts, r[2] AS subscription_id, r[3] AS amount, r[4] AS kind, r[5] AS cancel_at_period_end,
+ r[6] AS sub_status, r[7] AS amount_refunded
+FROM (SELECT event_id, min((ts, subscription_id, amount, kind, cancel_at_period_end, sub_status, amount_refunded)) AS r
+  FROM copies GROUP BY event_id) t""")
+def h1(c):
+    ev = c.billing_events
+    redelivered = ev.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 MINUTE"))
+    return dedup_events_batch(ev.unionByName(redelivered))
