@@ -83,7 +83,7 @@ def _fold_group(key, pdfs, state):
         state.setTimeoutTimestamp(max(r[0] for r in buf) // 1000 + 1)
     if ready and (status != before or not state.exists):
         yield pd.DataFrame({"subscription_id": [key[0]], "status": [status],
-                            "applied": [len(ready)]})
+                            "applied": [len(ready)], "as_of_ms": [state.getCurrentWatermarkMs()]})
 
 
 def stream_states(stream: DataFrame, lateness: str = "1 hour", key: str = "subscription_id") -> DataFrame:
@@ -94,7 +94,7 @@ def stream_states(stream: DataFrame, lateness: str = "1 hour", key: str = "subsc
     trail event time by ``lateness``.  Emits a row when a key's status changes."""
     ops = E.billing_ops(event_time(stream)).select(key, "ts", "event_id", "op")
     return (ops.withWatermark("ts", lateness).groupBy(key).applyInPandasWithState(
-        _fold_group, f"{key} long, status string, applied long", "status string, buffer string",
+        _fold_group, f"{key} long, status string, applied long, as_of_ms long", "status string, buffer string",
         "Update", GroupStateTimeout.EventTimeTimeout))
 
 
@@ -105,9 +105,11 @@ def stream_states(stream: DataFrame, lateness: str = "1 hour", key: str = "subsc
 def _claim_group(key, pdfs, state):
     ttl_ms = P.CLAIM_TTL_MINUTES * 60 * 1000
     if state.hasTimedOut:
-        claimed = state.get[0]
-        state.remove()
-        yield pd.DataFrame({"license_id": [key[0]], "claimed_at_ms": [claimed], "action": ["reset"]})
+        # a completed claim removed the state but its timer may still fire
+        held = state.getOption
+        if held is not None:
+            state.remove()
+            yield pd.DataFrame({"license_id": [key[0]], "claimed_at_ms": [held[0]], "action": ["reset"]})
         return
     rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
     for ts, kind in zip(rows["ts"], rows["kind"]):
