@@ -632,3 +632,24 @@ def licence_gauges(licenses: DataFrame, as_of=None) -> DataFrame:
 def retry_depth(queue: DataFrame) -> DataFrame:
     """Rows with attempts left."""
     return queue.agg(F.count_if(F.col("attempts") < P.RETRY_MAX_ATTEMPTS).alias("retry_depth"))
+
+
+# ---------------------------------------------------------------------------
+# Per-licence orderings
+# ---------------------------------------------------------------------------
+
+def devices_ranked(devices: DataFrame) -> DataFrame:
+    """A licence's devices, most recently seen first (rank 1), ties by device id."""
+    w = Window.partitionBy("license_id").orderBy(F.col("last_seen").desc(), F.col("device_id"))
+    return devices.withColumn("recency_rank", F.row_number().over(w))
+
+
+def transfer_gaps(transfers: DataFrame, key="license_id", order=("ts", "event_id"),
+                  cooldown_hours=P.TRANSFER_COOLDOWN_HOURS) -> DataFrame:
+    """Time since the previous transfer of the same licence, flagged when it
+    is under the cooldown (the first transfer has no gap)."""
+    w = Window.partitionBy(key).orderBy(*order)
+    prev = F.lag(order[0]).over(w)
+    gap = seconds_between(F.col(order[0]), prev)
+    return transfers.select("*", gap.alias("gap_seconds"),
+                            F.coalesce(gap < F.lit(cooldown_hours * 3600.0), F.lit(False)).alias("too_soon"))

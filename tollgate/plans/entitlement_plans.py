@@ -420,3 +420,21 @@ def d3(c):
 SELECT count(*) FILTER (WHERE attempts < 3) AS retry_depth FROM retry_queue""")
 def d4(c):
     return E.retry_depth(c.retry_queue)
+
+
+# ---- E2, E6 ---------------------------------------------------------------------------------
+
+@register("e2_devices_ranked", views=("device_seen",), oracle="""
+SELECT device_id, license_id, last_seen, row_number() OVER (PARTITION BY license_id ORDER BY last_seen DESC, device_id) AS recency_rank
+FROM (SELECT device_id, license_id, max(ts) AS last_seen FROM device_seen GROUP BY 1, 2) t""")
+def e2(c):
+    return E.devices_ranked(E.upsert_devices(c.device_seen)).select(
+        "device_id", "license_id", "last_seen", "recency_rank")
+
+
+@register("e6_transfer_gaps", views=("device_seen",), oracle="""
+SELECT license_id, event_id, ts, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY license_id ORDER BY ts, event_id)) AS gap_seconds,
+ coalesce(epoch(ts) - epoch(lag(ts) OVER (PARTITION BY license_id ORDER BY ts, event_id)) < 259200.0, false) AS too_soon
+FROM device_seen""")
+def e6(c):
+    return E.transfer_gaps(c.device_seen.select("license_id", "event_id", "ts"))
