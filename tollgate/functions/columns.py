@@ -31,9 +31,32 @@ def days(n) -> Column:
     return F.make_dt_interval(F.lit(n))
 
 
+EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def epoch_micros(ts) -> Column:
+    """Microseconds since 1970-01-01 of a timestamp_ntz, independent of the
+    session time zone (no conversion through TIMESTAMP)."""
+    return F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), col(ts))
+
+
 def epoch_seconds(ts) -> Column:
     """Seconds since epoch as a double (microsecond precision kept)."""
-    return F.unix_micros(col(ts).cast("timestamp")) / F.lit(1_000_000.0)
+    return epoch_micros(ts) / F.lit(1_000_000.0)
+
+
+_TIEBREAK_SHIFT = "100000000000000000000"      # 10^20 > 2^64: room for any long
+_LONG_OFFSET = "9223372036854775808"           # 2^63: maps longs onto [0, 2^64)
+
+
+def order_key(ts, tiebreak) -> Column:
+    """(ts, tiebreak) packed into one DECIMAL(38,0) that sorts the same way.
+
+    min/max over it run as hash aggregates with fixed-width buffers (a struct
+    key forces a sort-based aggregate); any timestamp of years 1-9999 fits."""
+    d = "decimal(38,0)"
+    return (epoch_micros(ts).cast(d) * F.lit(_TIEBREAK_SHIFT).cast(d)
+            + (col(tiebreak).cast(d) + F.lit(_LONG_OFFSET).cast(d))).cast(d)
 
 
 def seconds_between(later, earlier) -> Column:
@@ -140,3 +163,13 @@ def trim_ws(c) -> Column:
 
 def word_count(c) -> Column:
     return F.size(F.regexp_extract_all(col(c), F.lit(r"([^ \t\n\r\f]+)"), 1))
+
+
+def literal_rows(spark, rows, schema: str):
+    """A small parameter table built from literals on the JVM side (a local
+    relation: no Python RDD, no job to read it).  ``schema`` is a DDL string."""
+    from pyspark.sql.types import _parse_datatype_string
+    st = _parse_datatype_string(schema)
+    names = [f.name for f in st.fields]
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, st.fields)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs))).select(*names)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tollgate.functions import patterns as P
-from tollgate.functions.columns import ts_lit
+from tollgate.functions.columns import literal_rows, ts_lit
 from tollgate.operators.ranking import dense_rank_ordered
 
 
@@ -104,7 +104,7 @@ def endpoint_set(nodes: DataFrame, default: str) -> DataFrame:
     """the default endpoint plus active nodes' endpoints that differ from it
     and are not empty; one row per distinct endpoint."""
     spark = nodes.sparkSession
-    d = spark.createDataFrame([("default", default)], "source string, endpoint string")
+    d = literal_rows(spark, [("default", default)], "source string, endpoint string")
     n = (nodes.filter(F.col("status") == "active")
          .select(F.col("id").cast("string").alias("source"), F.col("name").alias("endpoint"))
          .filter(F.col("endpoint").isNotNull() & (F.col("endpoint") != "")

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tollgate.functions import patterns as P
-from tollgate.functions.columns import (classify_platform, col, days, hours, mask_email,
-                                        mask_key, minutes, seconds_between, ts_lit)
+from tollgate.functions.columns import (classify_platform, col, days, literal_rows, mask_email,
+                                        mask_key, minutes, order_key, seconds_between, ts_lit)
 
 # ---------------------------------------------------------------------------
 # B1, B2: format quality and masking
@@ -186,8 +186,7 @@ def price_dimension(spark, prices) -> DataFrame:
         if promo_end is not None:
             rows.append((plan, None, promo_end, float(promo)))
         rows.append((plan, promo_end, None, float(regular if regular is not None else promo)))
-    return spark.createDataFrame(
-        rows, "plan string, valid_from string, valid_to string, price double").select(
+    return literal_rows(spark, rows, "plan string, valid_from string, valid_to string, price double").select(
         "plan", F.col("valid_from").cast("timestamp_ntz").alias("valid_from"),
         F.col("valid_to").cast("timestamp_ntz").alias("valid_to"), "price")
 
@@ -395,19 +394,19 @@ def fold_states(events: DataFrame, key="subscription_id", allowed_plans=None,
     Two aggregation passes instead of collecting a subscription's events: pass 1
     takes per-key first checkout / last delete / last suspend / last cancel; pass 2
     finds the first renewal after the last suspend.  Both are min/max aggregates
-    (partial aggregation map-side), so one subscription with a third of all events
-    costs no more memory than any other.
+    over a packed order key (hash aggregation, combined map-side), so one
+    subscription with a third of all events costs no more memory than any other.
     """
     ev = billing_ops(events, allowed_plans).filter(F.col("op").isNotNull())
-    ek = ev.select(key, "op", F.struct("ts", "event_id").alias("_k"))
+    ek = ev.select(key, "op", "ts", order_key("ts", "event_id").alias("_k"))
 
-    def when_op(o):
-        return F.when(F.col("op") == o, F.col("_k"))
+    def when_op(o, c="_k"):
+        return F.when(F.col("op") == o, F.col(c))
 
     agg = ek.groupBy(key).agg(
         F.min(when_op("K")).alias("k0"), F.max(when_op("D")).alias("d"),
         F.max(when_op("P")).alias("p"), F.max(when_op("X")).alias("x"),
-        F.count(F.lit(1)).alias("n_ops"))
+        F.min(when_op("K", "ts")).alias("created_at"), F.count(F.lit(1)).alias("n_ops"))
     # pass 2: first renewal after the last suspend (only keys with a suspend)
     renew = (ek.filter(F.col("op") == "R").select(F.col(key).alias("_rk"), "_k")
              .join(agg.filter(F.col("p").isNotNull()).select(F.col(key).alias("_pk"), "p"),
@@ -418,8 +417,7 @@ def fold_states(events: DataFrame, key="subscription_id", allowed_plans=None,
     r1 = F.col("r1")
     state = _state_expr(F.col("k0"), F.col("d"), F.col("p"), F.col("x"),
                         r1.isNotNull(), F.col("x").isNotNull() & (F.col("x") > r1))
-    out = j.select(key, state.alias("status"), F.col("k0.ts").alias("created_at"),
-                   F.col("n_ops"))
+    out = j.select(key, state.alias("status"), "created_at", "n_ops")
     return out if keep_none else out.filter(F.col("status") != "none")
 
 
@@ -430,7 +428,7 @@ def state_history(events: DataFrame, key="subscription_id", allowed_plans=None)
     closed form as :func:`fold_states` at every prefix.  "Cancelled after a
     renewal that follows the last suspend" becomes: the largest "last renewal
     before this cancel" over the cancels so far exceeds the last suspend."""
-    ev = billing_ops(events, allowed_plans).withColumn("_k", F.struct("ts", "event_id"))
+    ev = billing_ops(events, allowed_plans).withColumn("_k", order_key("ts", "event_id"))
     w = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
 
     def run(fn, o):

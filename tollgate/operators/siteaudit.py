@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tollgate.functions import patterns as P
-from tollgate.functions.columns import (candidate_paths, is_external, page_dir, resolve_target,
+from tollgate.functions.columns import (candidate_paths, is_external, literal_rows, page_dir, resolve_target,
                                         strip_hash_query, trim_ws, url_path, word_count)
 
 
@@ -306,7 +306,7 @@ def corpus_consistency(pages: DataFrame, version_re=P.RE_ASSET_VERSION,
     d = pages.select(F.explode(_extract_all(F.col("html"), promo_re)).alias("x")).select(
         F.lit("promo_end").alias("kind"), "x")
     g = v.unionByName(d).groupBy("kind").agg(F.count_distinct("x").alias("n_values"))
-    kinds = pages.sparkSession.createDataFrame([("asset_version",), ("promo_end",)], "kind string")
+    kinds = literal_rows(pages.sparkSession, [("asset_version",), ("promo_end",)], "kind string")
     return kinds.join(g, "kind", "left").fillna(0, ["n_values"]).select(
         "kind", F.col("n_values").cast("long").alias("n_values"), (F.col("n_values") <= 1).alias("consistent"))
 
