@@ -74,8 +74,8 @@ def test_failure_runs_threshold(spark):
 
 
 def test_counter_rate_counts_a_reset_in_full(spark):
-    rows = [("/a", f"2024-01-01 00:00:{s:02d}", i, v) for i, (s, v) in enumerate([(0, 10.0), (10, 15.0), (20, 3.0), (30, 5.0)])]
-    df = spark.createDataFrame(rows, "route string, ts string, request_id long, value double") \
+    rows = [("/a", f"2024-01-01 00:00:{s:02d}", v) for s, v in [(0, 10.0), (10, 15.0), (20, 3.0), (30, 5.0)]]
+    df = spark.createDataFrame(rows, "route string, ts string, value double") \
         .withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     r = M.counter_rate(df, ["route"], "5 minutes").first()
     assert r.increase == 5.0 + 3.0 + 2.0

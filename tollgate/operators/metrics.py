@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tollgate.functions import patterns as P
-from tollgate.functions.columns import col, epoch_seconds
+from tollgate.functions.columns import col
+from tollgate.operators.ranking import running_by_key
 
 
 # ---------------------------------------------------------------------------
@@ -98,12 +99,14 @@ def failure_runs(calls: DataFrame, threshold: int = P.FAILURE_RUN_THRESHOLD, key
                  order=("ts", "request_id"), failed: Column | None = None) -> DataFrame:
     """E5: runs of at least ``threshold`` consecutive failed calls per key.
 
-    The island id of a failure is the number of successful calls before it
-    (a running sum), so consecutive failures share it."""
+    The island id of a failure is the number of successful calls of its key
+    before it, so consecutive failures share it.  That running count is
+    computed by :func:`running_by_key` (range-partitioned), because the key here
+    is a service: very few keys, one of which may carry most calls."""
     failed = failed if failed is not None else (F.col("status") >= 500)
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     c = calls.select(key, *order, failed.alias("_fail"))
-    c = c.withColumn("_island", F.sum(F.when(F.col("_fail"), 0).otherwise(1)).over(w))
+    c = running_by_key(c, [key], list(order),
+                       {"_island": ("sum", F.when(F.col("_fail"), 0).otherwise(1))})
     runs = (c.filter("_fail").groupBy(key, "_island")
             .agg(F.min(order[0]).alias("run_start"), F.max(order[0]).alias("run_end"),
                  F.count(F.lit(1)).alias("run_length")))
@@ -114,17 +117,23 @@ def failure_runs(calls: DataFrame, threshold: int = P.FAILURE_RUN_THRESHOLD, key
 # Counter increase and rate
 # ---------------------------------------------------------------------------
 
-def counter_samples(log: DataFrame, series=("route",), reset_every="1 day") -> DataFrame:
-    """Counter samples from a request log: at each request, the count so far in
-    its series since the last reset (a process restart every ``reset_every``)."""
-    period = F.window("ts", reset_every).start
-    w = (Window.partitionBy(*series, period.alias("_p")).orderBy("ts", "request_id")
+def counter_samples(log: DataFrame, series=("route",), scrape="15 seconds", reset_every="1 day") -> DataFrame:
+    """Counter samples as a scraper sees them: requests are first counted per
+    (series, scrape interval) (partial aggregation), then each sample at the end
+    of an interval holds the count since the last reset (a process restart every
+    ``reset_every``).  The window that accumulates them is bounded by the number
+    of scrape intervals per reset period, whatever the request volume."""
+    b = log.groupBy(*series, F.window("ts", scrape).start.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    period = F.window("_bucket", reset_every).start
+    w = (Window.partitionBy(*series, period).orderBy("_bucket")
          .rowsBetween(Window.unboundedPreceding, 0))
-    return log.select(*series, "ts", "request_id", F.count(F.lit(1)).over(w).cast("double").alias("value"))
+    step = _interval_seconds(scrape)
+    return b.select(*series, (F.col("_bucket") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(step)))
+                    .alias("ts"), F.sum("_n").over(w).cast("double").alias("value"))
 
 
 def counter_rate(samples: DataFrame, series=("route",), range_="5 minutes",
-                 order=("ts", "request_id")) -> DataFrame:
+                 order=("ts",)) -> DataFrame:
     """Increase and per-second rate of a counter per window.
 
     Each sample contributes its difference to the previous sample of its series;

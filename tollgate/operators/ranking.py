@@ -51,3 +51,48 @@ def exact_percentile(df: DataFrame, value: str, q: float, num_partitions: int |
                  F.first(pos).alias("_pos"))
     frac = F.col("_pos") - F.floor("_pos")
     return g.select((F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias(value))
+
+
+_COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
+
+
+def time_piece(ts: str, seconds: int = 3600):
+    """Deterministic piece id: the ``seconds``-long time bucket of ``ts``."""
+    from tollgate.functions.columns import epoch_micros
+    return F.floor(epoch_micros(ts) / F.lit(seconds * 1_000_000))
+
+
+def running_by_key(df: DataFrame, key: list[str], order: list[str], values: dict,
+                   piece=None) -> DataFrame:
+    """Running (inclusive) sum / max / min per key in ``order``, without a window
+    partitioned by the key alone.
+
+    ``values`` maps an output name to (kind, column expression).  Each key is cut
+    into pieces by ``piece`` (default: the hour of the first order column), a
+    deterministic function of the row that must not decrease along ``order``.
+    Windows run per (key, piece), so a key holding a third of all rows is spread
+    over as many tasks as it has pieces; the totals of the key's earlier pieces
+    (one row per piece) are then combined in."""
+    pc = piece if piece is not None else time_piece(order[0])
+    src = df.select("*", pc.alias("_piece"),
+                    *[expr.alias(f"_v_{name}") for name, (_, expr) in values.items()])
+    w_local = Window.partitionBy(*key, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = src.select("*", *[_COMBINE[kind](f"_v_{name}").over(w_local).alias(f"_l_{name}")
+                              for name, (kind, _) in values.items()])
+    tot = src.groupBy(*key, "_piece").agg(*[_COMBINE[kind](f"_v_{name}").alias(f"_t_{name}")
+                                            for name, (kind, _) in values.items()])
+    w_prev = Window.partitionBy(*key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*key, "_piece", *[_COMBINE[kind](f"_t_{name}").over(w_prev).alias(f"_o_{name}")
+                                       for name, (kind, _) in values.items()])
+    j = local.join(off, [*key, "_piece"], "left")
+    outs = []
+    for name, (kind, _) in values.items():
+        lo, of = F.col(f"_l_{name}"), F.col(f"_o_{name}")
+        if kind == "sum":
+            outs.append((F.coalesce(of, F.lit(0)) + F.coalesce(lo, F.lit(0))).alias(name))
+        elif kind == "max":
+            outs.append(F.greatest(of, lo).alias(name))
+        else:
+            outs.append(F.least(of, lo).alias(name))
+    drop = ["_piece"] + [f"_{p}_{name}" for name in values for p in ("v", "l", "o")]
+    return j.select("*", *outs).drop(*drop)

@@ -163,9 +163,10 @@ def e5(c):
 
 
 @register("e7_counter_rate", views=("request_log",), oracle="""
-WITH s AS (SELECT route, ts, request_id, CAST(count(*) OVER (PARTITION BY route, time_bucket(INTERVAL '1 day', ts)
-   ORDER BY ts, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS value FROM request_log),
-d AS (SELECT *, lag(value) OVER (PARTITION BY route ORDER BY ts, request_id) AS prev FROM s)
+WITH b AS (SELECT route, time_bucket(INTERVAL '15 seconds', ts) AS bucket, count(*) AS n FROM request_log GROUP BY 1, 2),
+s AS (SELECT route, bucket + INTERVAL '15 seconds' AS ts, CAST(sum(n) OVER (PARTITION BY route, time_bucket(INTERVAL '1 day', bucket)
+   ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS value FROM b),
+d AS (SELECT *, lag(value) OVER (PARTITION BY route ORDER BY ts) AS prev FROM s)
 SELECT route, time_bucket(INTERVAL '5 minutes', ts) AS window_start,
  sum(CASE WHEN prev IS NULL THEN 0.0 WHEN value >= prev THEN value - prev ELSE value END) AS increase,
  sum(CASE WHEN prev IS NULL THEN 0.0 WHEN value >= prev THEN value - prev ELSE value END) / 300.0 AS rate
