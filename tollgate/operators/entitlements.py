@@ -647,9 +647,11 @@ def devices_ranked(devices: DataFrame) -> DataFrame:
 def transfer_gaps(transfers: DataFrame, key="license_id", order=("ts", "event_id"),
                   cooldown_hours=P.TRANSFER_COOLDOWN_HOURS) -> DataFrame:
     """Time since the previous transfer of the same licence, flagged when it
-    is under the cooldown (the first transfer has no gap)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    prev = F.lag(order[0]).over(w)
-    gap = seconds_between(F.col(order[0]), prev)
-    return transfers.select("*", gap.alias("gap_seconds"),
-                            F.coalesce(gap < F.lit(cooldown_hours * 3600.0), F.lit(False)).alias("too_soon"))
+    is under the cooldown (the first transfer has no gap).  The previous time
+    comes from :func:`lag_by_key`, so one very busy licence is still spread over
+    many tasks."""
+    from tollgate.operators.ranking import lag_by_key
+    t = lag_by_key(transfers, [key], list(order), order[0], "_prev_ts")
+    gap = seconds_between(F.col(order[0]), F.col("_prev_ts"))
+    return t.select(*transfers.columns, gap.alias("gap_seconds"),
+                    F.coalesce(gap < F.lit(cooldown_hours * 3600.0), F.lit(False)).alias("too_soon"))

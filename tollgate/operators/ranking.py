@@ -21,9 +21,16 @@ def dense_rank_ordered(df: DataFrame, order: list[str], num_partitions: int | No
     partition index (upper bits) and the position inside it (lower 33 bits).
     Range partitions are numbered in key order, so earlier partitions hold
     smaller keys."""
+    from tollgate.session import checkpoint_dir
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     r = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
          .withColumn("_mid", F.monotonically_increasing_id()))
+    # The positions are read twice below (counts, and the rows themselves).
+    # Range bounds come from sampling, so two independent evaluations could cut
+    # the partitions differently: materialise once in the shared checkpoint
+    # folder (this also cuts the lineage for executor-loss recovery).
+    checkpoint_dir(df.sparkSession)
+    r = r.checkpoint(eager=True)
     r = r.withColumn("_pid", F.shiftright("_mid", 33)).withColumn(
         "_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
     counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
@@ -96,3 +103,23 @@ def running_by_key(df: DataFrame, key: list[str], order: list[str], values: dict
             outs.append(F.least(of, lo).alias(name))
     drop = ["_piece"] + [f"_{p}_{name}" for name in values for p in ("v", "l", "o")]
     return j.select("*", *outs).drop(*drop)
+
+
+def lag_by_key(df: DataFrame, key: list[str], order: list[str], value: str, name: str,
+               piece=None) -> DataFrame:
+    """``lag(value)`` per key in ``order`` with the key cut into time pieces (see
+    :func:`running_by_key`): inside a piece the previous row's value, for a
+    piece's first row the last value of the key's previous non-empty piece."""
+    from tollgate.functions.columns import order_key
+    pc = piece if piece is not None else time_piece(order[0])
+    src = df.withColumn("_piece", pc)
+    w = Window.partitionBy(*key, "_piece").orderBy(*order)
+    local = src.withColumn("_lag", F.lag(value).over(w))
+    okey = order_key(order[0], order[1]) if len(order) > 1 else F.col(order[0])
+    last = src.groupBy(*key, "_piece").agg(F.max_by(value, okey).alias("_last"))
+    prev = last.select(*key, "_piece", F.lag("_last").over(
+        Window.partitionBy(*key).orderBy("_piece")).alias("_prev_piece"))
+    j = local.join(prev, [*key, "_piece"], "left")
+    first_in_piece = F.row_number().over(w) == 1
+    return j.withColumn(name, F.when(first_in_piece, F.col("_prev_piece")).otherwise(F.col("_lag"))) \
+        .drop("_piece", "_lag", "_prev_piece")
