@@ -114,12 +114,11 @@ def lag_by_key(df: DataFrame, key: list[str], order: list[str], value: str, name
     pc = piece if piece is not None else time_piece(order[0])
     src = df.withColumn("_piece", pc)
     w = Window.partitionBy(*key, "_piece").orderBy(*order)
-    local = src.withColumn("_lag", F.lag(value).over(w))
+    local = src.select("*", F.lag(value).over(w).alias("_lag"), F.row_number().over(w).alias("_rn"))
     okey = order_key(order[0], order[1]) if len(order) > 1 else F.col(order[0])
     last = src.groupBy(*key, "_piece").agg(F.max_by(value, okey).alias("_last"))
     prev = last.select(*key, "_piece", F.lag("_last").over(
         Window.partitionBy(*key).orderBy("_piece")).alias("_prev_piece"))
     j = local.join(prev, [*key, "_piece"], "left")
-    first_in_piece = F.row_number().over(w) == 1
-    return j.withColumn(name, F.when(first_in_piece, F.col("_prev_piece")).otherwise(F.col("_lag"))) \
-        .drop("_piece", "_lag", "_prev_piece")
+    return j.withColumn(name, F.when(F.col("_rn") == 1, F.col("_prev_piece")).otherwise(F.col("_lag"))) \
+        .drop("_piece", "_lag", "_rn", "_prev_piece")
