@@ -641,7 +641,7 @@ def retry_depth(queue: DataFrame) -> DataFrame:
 def devices_ranked(devices: DataFrame) -> DataFrame:
     """A licence's devices, most recently seen first (rank 1), ties by device id."""
     w = Window.partitionBy("license_id").orderBy(F.col("last_seen").desc(), F.col("device_id"))
-    return devices.withColumn("recency_rank", F.row_number().over(w))
+    return devices.withColumn("recency_rank", F.row_number().over(w).cast("long"))
 
 
 def transfer_gaps(transfers: DataFrame, key="license_id", order=("ts", "event_id"),

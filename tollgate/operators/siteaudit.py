@@ -63,15 +63,15 @@ def audit_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html")
         F.regexp_extract(h, P.RE_HTML_DIR_VALUE, 1).alias("dir"),
         h.rlike(P.RE_CHARSET).alias("has_charset"),
         h.rlike(P.RE_VIEWPORT).alias("has_viewport"),
-        title.alias("title"), F.length(title).alias("title_len"),
-        desc.alias("description"), F.length(desc).alias("desc_len"),
+        title.alias("title"), F.length(title).cast("long").alias("title_len"),
+        desc.alias("description"), F.length(desc).cast("long").alias("desc_len"),
         h.rlike(P.RE_CANONICAL).alias("has_canonical"),
         canonical_href.alias("canonical"),
         ((canonical_href != "") & (canonical_href == F.col(url_col))).alias("canonical_self"),
         missing.alias("missing_tags"),
         _meta(h, "og:locale").alias("og_locale"),
         jsonld.alias("jsonld"),
-        F.size(F.filter(jsonld, lambda b: F.try_parse_json(b).isNull())).alias("n_bad_jsonld"),
+        F.size(F.filter(jsonld, lambda b: F.try_parse_json(b).isNull())).cast("long").alias("n_bad_jsonld"),
         F.regexp_extract(h, JSONLD_INLANG, 1).alias("in_language"),
         links.alias("links"), F.array_distinct(links).alias("distinct_links"),
         assets.alias("assets"),
@@ -205,7 +205,8 @@ def plan_values(pages: DataFrame, allowed=P.CHECKOUT_PLANS, select: Column | Non
         & ~F.col("path").contains("/blog/"))
     plans = F.array_distinct(_extract_all(F.col("html"), P.RE_CHECKOUT_PLAN))
     bad = F.array_except(plans, F.array(*[F.lit(a) for a in allowed]))
-    return p.filter(sel).select("page_id", "path", F.size(plans).alias("n_plans"), F.size(bad).alias("n_bad"),
+    return p.filter(sel).select("page_id", "path", F.size(plans).cast("long").alias("n_plans"),
+                                F.size(bad).cast("long").alias("n_bad"),
                                 ((F.size(plans) > 0) & (F.size(bad) == 0)).alias("ok"))
 
 
@@ -280,9 +281,9 @@ def content_ranges(pages: DataFrame, ranges: dict[str, tuple[int, int]]) -> Data
     words = word_count(text)
     lo = F.coalesce(*[F.when(ptype == k, F.lit(v[0])) for k, v in ranges.items()], F.lit(0))
     hi = F.coalesce(*[F.when(ptype == k, F.lit(v[1])) for k, v in ranges.items()], F.lit(1 << 30))
-    return p.select("page_id", "path", ptype.alias("page_type"), words.alias("words"),
+    return p.select("page_id", "path", ptype.alias("page_type"), words.cast("long").alias("words"),
                     F.col("html").rlike(P.RE_H1).alias("has_h1"),
-                    F.size(_extract_all(F.col("html"), r"(?i)(<h2[\s>])", 1)).alias("n_h2"),
+                    F.size(_extract_all(F.col("html"), r"(?i)(<h2[\s>])", 1)).cast("long").alias("n_h2"),
                     ((words >= lo) & (words <= hi)).alias("in_range"))
 
 
@@ -292,9 +293,10 @@ def faq_mismatch(pages: DataFrame) -> DataFrame:
     st = F.array_distinct(_extract_all(F.col("html"), FAQ_STRUCTURED))
     p = pages.select("page_id", url_path("url").alias("path"), vis.alias("v"), st.alias("s"))
     return p.filter((F.size("v") > 0) | (F.size("s") > 0)).select(
-        "page_id", "path", F.size("v").alias("n_visible"), F.size("s").alias("n_structured"),
-        F.size(F.array_except("v", "s")).alias("only_visible"),
-        F.size(F.array_except("s", "v")).alias("only_structured"))
+        "page_id", "path", F.size("v").cast("long").alias("n_visible"),
+        F.size("s").cast("long").alias("n_structured"),
+        F.size(F.array_except("v", "s")).cast("long").alias("only_visible"),
+        F.size(F.array_except("s", "v")).cast("long").alias("only_structured"))
 
 
 def corpus_consistency(pages: DataFrame, version_re=P.RE_ASSET_VERSION,

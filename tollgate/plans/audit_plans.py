@@ -79,7 +79,7 @@ SELECT page_id, len(regexp_extract_all(html, {sq(P.RE_JSONLD)}, 1)) AS n_jsonld,
  len(list_filter(regexp_extract_all(html, {sq(P.RE_JSONLD)}, 1), lambda b: NOT coalesce(json_valid({trim_sql('b')}), false))) AS n_bad_jsonld
 FROM pages""")
 def k6(c):
-    return K.audit_pages(c.pages).select("page_id", F.size("jsonld").alias("n_jsonld"), "n_bad_jsonld")
+    return K.audit_pages(c.pages).select("page_id", F.size("jsonld").cast("long").alias("n_jsonld"), "n_bad_jsonld")
 
 
 @register("k7_jsonld_types", oracle=f"""
@@ -90,7 +90,8 @@ SELECT page_id, len(list_distinct(flatten(list_transform(regexp_extract_all(html
 FROM pages""")
 def k7(c):
     t = K.jsonld_types(K.audit_pages(c.pages))
-    return t.select("page_id", F.size("types").alias("n_types"), F.size("missing_types").alias("n_missing_types"))
+    return t.select("page_id", F.size("types").cast("long").alias("n_types"),
+                    F.size("missing_types").cast("long").alias("n_missing_types"))
 
 
 @register("k8_links", oracle=f"""
@@ -105,7 +106,7 @@ SELECT page_id, len(regexp_extract_all(html, {sq(P.RE_SRC)}, 1)) + len(list_filt
    lambda p: regexp_split_to_array({trim_sql('p')}, {sq(WS + '+')})[1]), lambda u: u <> '')) AS n_assets
 FROM pages""")
 def k9(c):
-    return K.audit_pages(c.pages).select("page_id", F.size("assets").alias("n_assets"))
+    return K.audit_pages(c.pages).select("page_id", F.size("assets").cast("long").alias("n_assets"))
 
 
 # ---- K10-K12, K18, K19, K23, K24: links -------------------------------------------------------

@@ -23,7 +23,7 @@ def a1(c):
 SELECT page_id, url, {URL_PATH_SQL} AS path, length(html) AS n_chars FROM pages""")
 def a2(c):
     p = c.pages
-    return p.select("page_id", "url", url_path("url").alias("path"), F.length("html").alias("n_chars"))
+    return p.select("page_id", "url", url_path("url").alias("path"), F.length("html").cast("long").alias("n_chars"))
 
 
 @register("a3_flatten_json", oracle="""
