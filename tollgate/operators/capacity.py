@@ -157,3 +157,8 @@ def assign_nodes(pending: DataFrame, nodes: DataFrame, licenses: DataFrame,
     slots = capacity_slots(nodes, licenses)
     return ranked.join(slots, "slot_rank", "left").select(
         F.col("id").alias("license_id"), "slot_rank", "node_id", F.col("level").alias("node_load"))
+
+
+def node_key_count(licenses: DataFrame) -> DataFrame:
+    """D6 under its service name: seats per node."""
+    return node_load(licenses)

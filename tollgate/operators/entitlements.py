@@ -655,3 +655,18 @@ def transfer_gaps(transfers: DataFrame, key="license_id", order=("ts", "event_id
     gap = seconds_between(F.col(order[0]), F.col("_prev_ts"))
     return t.select(*transfers.columns, gap.alias("gap_seconds"),
                     F.coalesce(gap < F.lit(cooldown_hours * 3600.0), F.lit(False)).alias("too_soon"))
+
+
+def active_licenses(licenses: DataFrame, as_of=None) -> DataFrame:
+    """Licences in force (active or cancelled, not past expiry)."""
+    return licence_gauges(licenses, as_of).select("active_licenses")
+
+
+def active_keys(licenses: DataFrame) -> DataFrame:
+    """Keys in use (not NULL, not the pending sentinel)."""
+    return licence_gauges(licenses).select("active_keys")
+
+
+def stale_claim_count(licenses: DataFrame, as_of=None) -> DataFrame:
+    """D3: pending claims past the TTL."""
+    return licence_gauges(licenses, as_of).select("stale_claims")

@@ -165,17 +165,31 @@ def view_closure(names) -> list[str]:
 
 
 class Catalog:
-    """Lazy access to the tables and views of one scale-factor folder."""
+    """Lazy access to the tables and views of one scale-factor folder.
+
+    The DataFrames (plans, not data) are memoised per session and folder, so a
+    view shared by many queries is parsed and analysed once per process."""
+
+    _memo: dict = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def _key(self, kind: str, name: str):
+        return (self.spark.sparkContext.applicationId, id(self.spark), self.sf_dir, kind, name)
+
     def table(self, name: str) -> DataFrame:
-        return load_table(self.spark, self.sf_dir, name)
+        k = self._key("table", name)
+        if k not in Catalog._memo:
+            Catalog._memo[k] = load_table(self.spark, self.sf_dir, name)
+        return Catalog._memo[k]
 
     def view(self, name: str) -> DataFrame:
-        deps = {t: (self.view(t) if t in VIEW_SQL else self.table(t)) for t in VIEW_DEPS[name]}
-        return self.spark.sql(VIEW_SQL[name], **deps)
+        k = self._key("view", name)
+        if k not in Catalog._memo:
+            deps = {t: (self.view(t) if t in VIEW_SQL else self.table(t)) for t in VIEW_DEPS[name]}
+            Catalog._memo[k] = self.spark.sql(VIEW_SQL[name], **deps)
+        return Catalog._memo[k]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEW_SQL:

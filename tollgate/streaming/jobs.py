@@ -172,3 +172,15 @@ def log_windows(stream: DataFrame, size: str = "5 minutes", lateness: str = "10
     the watermark are dropped."""
     s = event_time(stream).withWatermark("ts", lateness)
     return M.windowed_counts(s, list(labels), size, slide)
+
+
+def counter_stream(stream: DataFrame, labels=("route", "status"), size: str = "1 minute",
+                   lateness: str = "10 minutes") -> DataFrame:
+    """H4: labelled request counters per event-time window (update or append mode)."""
+    return log_windows(stream, size, lateness, labels)
+
+
+def rate_stream(stream: DataFrame, labels=("route",), size: str = "5 minutes", slide: str = "15 seconds",
+                lateness: str = "10 minutes") -> DataFrame:
+    """H5: sliding 5-minute request rate stepping every 15 s (the scrape interval)."""
+    return log_windows(stream, size, lateness, labels, slide)
