@@ -234,3 +234,22 @@ def metric_snapshot(gauges: dict[str, DataFrame], counters: dict[str, tuple[Data
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def rate_limit_audit(log: DataFrame, groups, window: str = "60 seconds", key: str = "client_id",
+                     route: str = "route") -> DataFrame:
+    """H3 for several limiters at once.  ``groups`` is a list of (name, route
+    prefix, limit); a request counts toward the first group whose prefix its
+    route starts with ('' matches everything).  One aggregation pass over
+    (group, client, window) for all groups."""
+    g = F.lit(None).cast("string")
+    lim = F.lit(None).cast("long")
+    for name, prefix, limit in reversed(list(groups)):
+        hit = F.col(route).startswith(prefix)
+        g = F.when(hit, F.lit(name)).otherwise(g)
+        lim = F.when(hit, F.lit(limit).cast("long")).otherwise(lim)
+    t = log.select(key, "ts", g.alias("limiter"), lim.alias("limit")).filter(F.col("limiter").isNotNull())
+    c = t.groupBy("limiter", key, F.window("ts", window).alias("w")).agg(
+        F.count(F.lit(1)).alias("requests"), F.max("limit").alias("limit"))
+    return c.filter(F.col("requests") > F.col("limit")).select(
+        "limiter", key, F.col("w.start").alias("window_start"), "requests", "limit")

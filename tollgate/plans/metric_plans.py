@@ -233,3 +233,19 @@ def a7(c):
     counters = {"http_requests_total": (M.counter(log, ["route", "status"]), ["route", "status"]),
                 "keys_by_plan": (M.counter(keyed, ["plan"]), ["plan"])}
     return M.metric_snapshot(gauges, counters)
+
+
+# Own grouping of the test routes onto three limiters, with daily quotas of our
+# own (the test traffic is about two requests per client per day).
+LIMIT_GROUPS = (("checkout", "/purchase", 1), ("license", "/signup", 1), ("api", "/", 2))
+
+
+@register("h3_limiter_groups", views=("request_log",), oracle="""
+SELECT limiter, client_id, time_bucket(INTERVAL '1 day', ts) AS window_start, count(*) AS requests, max(lim) AS "limit"
+FROM (SELECT client_id, ts, CASE WHEN starts_with(route, '/purchase') THEN 'checkout' WHEN starts_with(route, '/signup') THEN 'license'
+   WHEN starts_with(route, '/') THEN 'api' END AS limiter,
+  CAST(CASE WHEN starts_with(route, '/purchase') THEN 1 WHEN starts_with(route, '/signup') THEN 1
+   WHEN starts_with(route, '/') THEN 2 END AS BIGINT) AS lim FROM request_log) t
+WHERE limiter IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > max(lim)""")
+def h3g(c):
+    return M.rate_limit_audit(c.request_log, LIMIT_GROUPS, "1 day")

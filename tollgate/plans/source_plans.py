@@ -8,6 +8,7 @@ from tollgate.functions import patterns as P
 from tollgate.functions.columns import url_path
 from tollgate.operators import entitlements as E
 from tollgate.plans.audit_plans import URL_PATH_SQL
+from tollgate.plans.entitlement_plans import _TRANSFER_SQL as TRANSFER_SQL
 from tollgate.plans.registry import register
 from tollgate.sources import readers as R
 from tollgate.sources.tables import TABLES, table_counts
@@ -89,3 +90,56 @@ def a8(c):
     lic = c.licenses.select("id", "status", "node_id", "last_check")
     old = lic.select("id", "status")  # a file written before the columns were added
     return R.align_schema(old, lic.schema).unionByName(lic)
+
+
+def _transfer_audit(c):
+    d = E.transfer_decision(c.transfer_requests, c.transfer_licenses, as_of="ts")
+    first = (d.filter(F.col("decision") == "allowed").groupBy("license_id")
+             .agg(F.min(F.struct("ts", "request_id")).alias("_t")))
+    return first.select(F.lit("device_transfer").alias("action"), F.lit("license").alias("entity_type"),
+                        F.col("license_id").alias("entity_id"), F.lit("transfer").alias("details"),
+                        F.col("_t.ts").alias("ts"))
+
+
+def _cleanup_audit(c):
+    from tollgate.sources.views import LICENSE_AS_OF
+    return E.expired_with_keys(c.licenses).select(
+        F.lit("expired_key_cleanup").alias("action"), F.lit("license").alias("entity_type"),
+        F.col("id").alias("entity_id"), F.concat(F.lit("key="), F.col("key_id")).alias("details"),
+        F.lit(LICENSE_AS_OF).cast("timestamp_ntz").alias("ts"))
+
+
+def _retry_audit(c):
+    q = c.retry_queue
+    r = E.retry_step(q, q.select("id", "send_ok"), "2024-01-15 00:00:00").filter(
+        F.col("action").isin("sent", "exhausted"))
+    return r.select(F.when(F.col("action") == "sent", "email_retry_success").otherwise("email_retry_exhausted")
+                    .alias("action"), F.lit("email_retry").alias("entity_type"), F.col("id").alias("entity_id"),
+                    F.concat(F.lit("attempts="), F.col("attempts").cast("string")).alias("details"),
+                    F.lit("2024-01-15 00:00:00").cast("timestamp_ntz").alias("ts"))
+
+
+@register("a6_audit_all", views=("billing_events_ext", "transfer_requests", "transfer_licenses", "licenses",
+                                 "retry_queue"), oracle=f"""
+WITH f AS (SELECT subscription_id, min((ts, event_id)) AS first_k FROM billing_events_ext
+  WHERE kind = 'checkout_completed' GROUP BY subscription_id),
+bill AS (SELECT {_ACTIONS_SQL} AS action, ts FROM billing_events_ext LEFT JOIN f USING (subscription_id)),
+d AS ({TRANSFER_SQL}),
+tr AS (SELECT 'device_transfer' AS action, min(ts) AS ts FROM d WHERE decision = 'allowed' GROUP BY license_id),
+cl AS (SELECT 'expired_key_cleanup' AS action, TIMESTAMP '2000-01-01 00:00:00' AS ts FROM licenses
+  WHERE expires_at < TIMESTAMP '2000-01-01 00:00:00' AND key_id IS NOT NULL AND key_id <> 'pending'
+  AND status IN ('expired', 'cancelled', 'suspended')),
+rt AS (SELECT CASE WHEN coalesce(send_ok, false) THEN 'email_retry_success' ELSE 'email_retry_exhausted' END AS action,
+  TIMESTAMP '2024-01-15 00:00:00' AS ts FROM retry_queue
+  WHERE attempts < 3 AND next_retry <= TIMESTAMP '2024-01-15 00:00:00' AND (coalesce(send_ok, false) OR attempts + 1 >= 3)),
+a AS (SELECT action, ts FROM bill WHERE action IS NOT NULL UNION ALL SELECT action, ts FROM tr
+  UNION ALL SELECT action, ts FROM cl UNION ALL SELECT action, ts FROM rt)
+SELECT action, CAST(ts AS DATE) AS date, count(*) AS n FROM a GROUP BY 1, 2""")
+def a6all(c):
+    parts = [audit_decisions(c.billing_events_ext).withColumn("entity_id", F.col("entity_id").cast("string")),
+             _transfer_audit(c), _cleanup_audit(c), _retry_audit(c)]
+    rows = None
+    for p in parts:
+        p = R.audit_rows(p)
+        rows = p if rows is None else rows.unionByName(p)
+    return rows.groupBy("action", "date").agg(F.count(F.lit(1)).alias("n"))
