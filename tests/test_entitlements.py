@@ -215,3 +215,13 @@ def test_expiry_renewal(spark):
     got = {r.subscription_id: str(r.expires_at) for r in E.renew_expiry(ev).collect()}
     # Feb 29 + 1 year = Feb 28 (calendar clamp), then + 1 year
     assert got == {1: "2026-02-28 10:00:00", 2: "2025-04-03 10:00:00"}
+
+
+def test_checkout_needs_email_and_allowed_plan(spark):
+    rows = [(1, "2024-01-01 00:00:00", 1, 1.0, "checkout_completed", False, "active", 0.0, None, "vpn"),
+            (2, "2024-01-01 00:00:00", 2, 1.0, "checkout_completed", False, "active", 0.0, "a@b.c", "gold"),
+            (3, "2024-01-01 00:00:00", 3, 1.0, "checkout_completed", False, "active", 0.0, "a@b.c", "vpn")]
+    ev = spark.createDataFrame(rows, BILLING + ", email string, plan string").withColumn(
+        "ts", F.col("ts").cast("timestamp_ntz"))
+    got = {r.subscription_id: r.status for r in E.fold_states(ev, allowed_plans=("vpn", "security_vpn")).collect()}
+    assert got == {3: "active"}

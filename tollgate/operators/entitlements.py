@@ -359,6 +359,8 @@ def billing_ops(events: DataFrame, allowed_plans=None) -> DataFrame:
                      if "billing_reason" in events.columns else F.lit(False))
     plan_ok = (F.coalesce(F.col("plan").isin(*allowed_plans), F.lit(False))
                if (allowed_plans and "plan" in events.columns) else F.lit(True))
+    if "email" in events.columns:  # a checkout without an e-mail creates nothing
+        plan_ok = plan_ok & F.col("email").isNotNull()
     full_refund = F.col("amount_refunded") >= F.col("amount")
     op = (F.when((kind == "checkout_completed") & plan_ok, "K")
           .when((kind == "payment_succeeded") & ~F.coalesce(first_invoice, F.lit(False)), "R")
