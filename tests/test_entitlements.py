@@ -196,10 +196,10 @@ def test_first_claim_labels(spark):
 
 
 def test_masked_output_holds_no_full_secret(spark):
-    lic = spark.createDataFrame([(1, "VIZO-ABCD-EF01-2345-6789", "someone@example.org")],
+    lic = spark.createDataFrame([(1, "LICS-ABCD-EF01-2345-6789", "someone@example.org")],
                                 "id long, key string, email string")
     r = E.mask_pii(lic).first()
-    assert r.key == "VIZO-****-****-****-6789" and r.email == "s***@example.org"
+    assert r.key == "LICS-****-****-****-6789" and r.email == "s***@example.org"
     assert "ABCD" not in r.key and "someone" not in r.email
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tollgate.functions import patterns as P
-from tollgate.functions.columns import url_path
 from tollgate.operators import siteaudit as K
 from tollgate.plans.registry import register
 
