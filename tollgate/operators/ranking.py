@@ -122,3 +122,21 @@ def lag_by_key(df: DataFrame, key: list[str], order: list[str], value: str, name
     j = local.join(prev, [*key, "_piece"], "left")
     return j.withColumn(name, F.when(F.col("_rn") == 1, F.col("_prev_piece")).otherwise(F.col("_lag"))) \
         .drop("_piece", "_lag", "_rn", "_prev_piece")
+
+
+def rank_by_id(df: DataFrame, id_col: str, name: str = "rank", piece_bits: int = 20) -> DataFrame:
+    """1-based position by a unique integer column, from deterministic pieces.
+
+    Piece = id >> ``piece_bits``, so a piece holds at most 2^piece_bits rows; rows
+    are numbered inside their piece and the counts of earlier pieces (one row
+    per non-empty piece) are added.  Deterministic, so no materialisation is
+    needed even though the data is read twice."""
+    piece = F.shiftright(F.col(id_col), piece_bits)
+    d = df.withColumn("_piece", piece)
+    local = d.withColumn("_local", F.row_number().over(Window.partitionBy("_piece").orderBy(id_col)))
+    counts = d.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per piece; ordered prefix sum over the (small) piece table
+    offsets = counts.select("_piece", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    return (local.join(offsets, "_piece").withColumn(name, F.col("_off") + F.col("_local"))
+            .drop("_piece", "_local", "_off"))
