@@ -26,6 +26,21 @@ def _meta(html: Column, name: str) -> Column:
     return F.regexp_extract(html, P.meta_pattern(name), 1)
 
 
+RE_META_PAIR = r'(?i)<meta\s+(?:name|property)="([^"]*)"\s+content="([^"]*)"'
+
+
+def _meta_pairs(html: Column) -> Column:
+    """Every (name, content) meta pair of a page, from one scan of the text."""
+    return F.arrays_zip(_extract_all(html, RE_META_PAIR, 1).alias("n"),
+                        _extract_all(html, RE_META_PAIR, 2).alias("c"))
+
+
+def _meta_from(pairs: Column, name: str) -> Column:
+    """Content of the first meta tag called ``name`` (case-insensitive), else ''."""
+    hit = F.filter(pairs, lambda x: F.lower(x["n"]) == name.lower())
+    return F.coalesce(F.try_element_at(hit, F.lit(1))["c"], F.lit(""))
+
+
 def _srcset_urls(html: Column) -> Column:
     """First token of each comma-separated srcset entry, empty ones dropped."""
     sets = _extract_all(html, P.RE_SRCSET)
@@ -46,8 +61,9 @@ def audit_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     """K1-K9 (+ parts of K15, K17, K20): one row per page with every check."""
     h = F.col(html_col)
     title = trim_ws(F.regexp_extract(h, P.RE_TITLE, 1))
-    desc = _meta(h, "description")
-    social = {t: _meta(h, t) for t in SOCIAL_TAGS}
+    pairs = F.col("_meta")
+    desc = _meta_from(pairs, "description")
+    social = {t: _meta_from(pairs, t) for t in SOCIAL_TAGS}
     missing = F.filter(F.array(*[F.when(F.length(v) == 0, F.lit(t)) for t, v in social.items()]),
                        lambda x: x.isNotNull())
     jsonld = F.transform(_extract_all(h, P.RE_JSONLD), lambda b: trim_ws(b))
@@ -55,7 +71,7 @@ def audit_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     assets = F.concat(_extract_all(h, P.RE_SRC), _srcset_urls(h))
     canonical_href = F.regexp_extract(h, P.RE_CANONICAL_HREF, 1)
     lang = F.regexp_extract(h, P.RE_HTML_LANG_VALUE, 1)
-    return pages.select(
+    return pages.withColumn("_meta", _meta_pairs(h)).select(
         F.col("page_id"), F.col(url_col).alias("url"), url_path(url_col).alias("path"),
         (F.lower(F.substring(h, 1, len(P.RE_DOCTYPE_PREFIX))) == P.RE_DOCTYPE_PREFIX).alias("has_doctype"),
         h.rlike(P.RE_HTML_LANG).alias("has_lang"),
@@ -69,7 +85,7 @@ def audit_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html")
         canonical_href.alias("canonical"),
         ((canonical_href != "") & (canonical_href == F.col(url_col))).alias("canonical_self"),
         missing.alias("missing_tags"),
-        _meta(h, "og:locale").alias("og_locale"),
+        _meta_from(pairs, "og:locale").alias("og_locale"),
         jsonld.alias("jsonld"),
         F.size(F.filter(jsonld, lambda b: F.try_parse_json(b).isNull())).cast("long").alias("n_bad_jsonld"),
         F.regexp_extract(h, JSONLD_INLANG, 1).alias("in_language"),
