@@ -352,6 +352,13 @@ def new_checkouts(checkouts: DataFrame, licenses: DataFrame, allowed_plans=P.CHE
 OPS = ("K", "R", "X", "P", "D")
 
 
+def _event_order(events: DataFrame, ts="ts", eid="event_id"):
+    """Order key of an event: packed DECIMAL for integral ids (hash-aggregatable),
+    a (ts, id) struct otherwise (e.g. the text ids of raw webhook envelopes)."""
+    integral = dict(events.dtypes).get(eid) in ("bigint", "int", "smallint", "tinyint")
+    return order_key(ts, eid) if integral else F.struct(ts, eid)
+
+
 def billing_ops(events: DataFrame, allowed_plans=None) -> DataFrame:
     """Classify billing events into state operations (column ``op``; NULL = no-op)."""
     kind = F.col("kind")
@@ -400,7 +407,7 @@ def fold_states(events: DataFrame, key="subscription_id", allowed_plans=None,
     subscription with a third of all events costs no more memory than any other.
     """
     ev = billing_ops(events, allowed_plans).filter(F.col("op").isNotNull())
-    ek = ev.select(key, "op", "ts", order_key("ts", "event_id").alias("_k"))
+    ek = ev.select(key, "op", "ts", _event_order(ev).alias("_k"))
 
     def when_op(o, c="_k"):
         return F.when(F.col("op") == o, F.col(c))
@@ -433,7 +440,8 @@ def state_history(events: DataFrame, key="subscription_id", allowed_plans=None)
     running values come from :func:`running_by_key`, so a subscription with a
     third of all events is still spread over many tasks."""
     from tollgate.operators.ranking import running_by_key
-    ev = billing_ops(events, allowed_plans).withColumn("_k", order_key("ts", "event_id"))
+    ev = billing_ops(events, allowed_plans)
+    ev = ev.withColumn("_k", _event_order(ev))
     order = ["ts", "event_id"]
 
     def when_op(o, c="_k"):
