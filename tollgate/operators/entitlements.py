@@ -531,30 +531,35 @@ def apply_transfers(decisions: DataFrame, licenses: DataFrame, order=("ts", "req
         F.when(moved, F.col("_t.ts")).otherwise(F.col("last_transfer_at")).alias("last_transfer_at"))
 
 
-def renew_expiry(events: DataFrame, key="subscription_id", period_end_col="period_end") -> DataFrame:
+def renew_expiry(events: DataFrame, key="subscription_id", period_end_col="period_end",
+                 allowed_plans=None) -> DataFrame:
     """Expiry after renewals.  The licence starts at checkout + 1 year; a
     renewal with a period end sets it; one without adds a year to the current
-    expiry (calendar year: Feb 29 + 1 year = Feb 28).  Two aggregate passes."""
-    ev = billing_ops(events).filter(F.col("op").isin("K", "R"))
+    expiry (calendar year: Feb 29 + 1 year = Feb 28).
+
+    Two aggregate passes over the packed event order: the first checkout and the
+    last renewal carrying a period end, then the count of plain renewals after
+    whichever of the two is later."""
+    ev = billing_ops(events, allowed_plans).filter(F.col("op").isin("K", "R"))
+    ev = ev.withColumn("_k", _event_order(ev))
+    is_k = F.col("op") == "K"
     is_pay = (F.col("op") == "R") & (F.col("kind") == "payment_succeeded")
-    k = F.struct("ts", "event_id")
+    with_pe = is_pay & F.col(period_end_col).isNotNull()
     a = ev.groupBy(key).agg(
-        F.min(F.when(F.col("op") == "K", k)).alias("k0"),
-        F.max(F.when(is_pay & F.col(period_end_col).isNotNull(),
-                     F.struct("ts", "event_id", F.col(period_end_col).alias("pe")))).alias("pl"))
+        F.min(F.when(is_k, F.col("_k"))).alias("k0"), F.min(F.when(is_k, F.col("ts"))).alias("k0_ts"),
+        F.max(F.when(with_pe, F.col("_k"))).alias("pl"),
+        F.max_by(F.when(with_pe, F.col(period_end_col)), F.when(with_pe, F.col("_k"))).alias("pe"))
     a = a.filter(F.col("k0").isNotNull())
-    anchor_after_k0 = F.col("pl").isNotNull() & (F.struct("pl.ts", "pl.event_id") > F.col("k0"))
-    a = a.select(key, "k0", F.when(anchor_after_k0, F.col("pl")).alias("pl"))
-    # (a struct of NULL fields is not NULL, so test pl itself)
-    anchor = F.when(F.col("pl").isNotNull(), F.struct("pl.ts", "pl.event_id")).otherwise(F.col("k0"))
-    plain = ev.filter(is_pay & F.col(period_end_col).isNull()).select(F.col(key).alias("_rk"), k.alias("_k"))
-    n = (plain.join(a.select(F.col(key).alias("_ak"), anchor.alias("_anchor")),
-                    F.col("_rk") == F.col("_ak"))
+    after = F.col("pl").isNotNull() & (F.col("pl") > F.col("k0"))
+    a = a.select(key, "k0", "k0_ts", F.when(after, F.col("pe")).alias("pe"),
+                 F.when(after, F.col("pl")).otherwise(F.col("k0")).alias("_anchor"))
+    plain = ev.filter(is_pay & F.col(period_end_col).isNull()).select(F.col(key).alias("_rk"), "_k")
+    n = (plain.join(a.select(F.col(key).alias("_ak"), "_anchor"), F.col("_rk") == F.col("_ak"))
          .filter(F.col("_k") > F.col("_anchor")).groupBy("_rk").agg(F.count(F.lit(1)).alias("n")))
     j = a.join(n, F.col(key) == F.col("_rk"), "left")
     years = F.coalesce(F.col("n"), F.lit(0)).cast("int")
-    base = F.when(F.col("pl").isNotNull(), F.col("pl.pe")).otherwise(F.col("k0.ts") + F.make_ym_interval(F.lit(1)))
-    # first added year clamps Feb 29 once; the rest add whole years
+    base = F.coalesce(F.col("pe"), F.col("k0_ts") + F.make_ym_interval(F.lit(1)))
+    # the first added year clamps Feb 29 once; the rest add whole years
     expiry = F.when(years == 0, base).otherwise(
         base + F.make_ym_interval(F.lit(1)) + F.make_ym_interval(years - 1))
     return j.select(key, expiry.alias("expires_at"), years.alias("plain_renewals"))
@@ -562,18 +567,22 @@ def renew_expiry(events: DataFrame, key="subscription_id", period_end_col="perio
 
 def latest_plan(events: DataFrame, key="subscription_id", allowed_plans=P.CHECKOUT_PLANS) -> DataFrame:
     """The plan in force: the checkout's plan, replaced by the latest valid
-    plan of a subscription update after the checkout.  One aggregate pass."""
-    kind = F.col("kind")
-    valid = F.coalesce(F.col("plan").isin(*allowed_plans), F.lit(False))
-    a = events.groupBy(key).agg(
-        F.min(F.when((kind == "checkout_completed") & valid,
-                     F.struct("ts", "event_id", "plan"))).alias("k0"),
-        F.max(F.when((kind == "subscription_updated") & valid,
-                     F.struct("ts", "event_id", "plan"))).alias("u"))
+    plan of a subscription update after the checkout.  One aggregate pass; the
+    plan travels as its position in ``allowed_plans`` so the buffers stay
+    fixed-width (hash aggregation)."""
+    plans = F.array(*[F.lit(x) for x in allowed_plans])
+    idx = F.array_position(plans, F.col("plan"))
+    ok = F.coalesce(idx > 0, F.lit(False))
+    ev = events.withColumn("_k", _event_order(events))
+    kc = (F.col("kind") == "checkout_completed") & ok
+    ku = (F.col("kind") == "subscription_updated") & ok
+    a = ev.groupBy(key).agg(
+        F.min(F.when(kc, F.col("_k"))).alias("k0"), F.min_by(F.when(kc, idx), F.when(kc, F.col("_k"))).alias("k0_i"),
+        F.max(F.when(ku, F.col("_k"))).alias("u"), F.max_by(F.when(ku, idx), F.when(ku, F.col("_k"))).alias("u_i"))
     a = a.filter(F.col("k0").isNotNull())
-    later = F.col("u").isNotNull() & (F.struct("u.ts", "u.event_id") > F.struct("k0.ts", "k0.event_id"))
-    return a.select(key, F.when(later, F.col("u.plan")).otherwise(F.col("k0.plan")).alias("plan"),
-                    later.alias("changed"))
+    later = F.coalesce(F.col("u") > F.col("k0"), F.lit(False))
+    return a.select(key, F.element_at(plans, F.when(later, F.col("u_i")).otherwise(F.col("k0_i")).cast("int"))
+                    .alias("plan"), later.alias("changed"))
 
 
 def keys_to_revoke(states: DataFrame, licenses: DataFrame, key="subscription_id") -> DataFrame:
@@ -680,3 +689,15 @@ def active_keys(licenses: DataFrame) -> DataFrame:
 def stale_claim_count(licenses: DataFrame, as_of=None) -> DataFrame:
     """D3: pending claims past the TTL."""
     return licence_gauges(licenses, as_of).select("stale_claims")
+
+
+
+def licence_records(events: DataFrame, key="subscription_id", allowed_plans=P.CHECKOUT_PLANS) -> DataFrame:
+    """G1 + G5 + G6: the licence each subscription ends up with: status, expiry
+    and plan.  A checkout creates a licence only with an allowed plan.  The three
+    parts are aggregates keyed by subscription, so the joins between them reuse
+    that hash partitioning instead of shuffling again."""
+    st = fold_states(events, key, allowed_plans).select(key, "status", "created_at")
+    ex = renew_expiry(events, key, allowed_plans=allowed_plans).select(key, "expires_at")
+    pl = latest_plan(events, key, allowed_plans).select(key, "plan")
+    return st.join(ex, key, "left").join(pl, key, "left")

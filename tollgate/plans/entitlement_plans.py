@@ -438,3 +438,37 @@ SELECT license_id, event_id, ts, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY li
 FROM device_seen""")
 def e6(c):
     return E.transfer_gaps(c.device_seen.select("license_id", "event_id", "ts"))
+
+
+_VALID_PLANS = "('vpn', 'security_vpn')"
+_OPS_PLAN_SQL = OPS_SQL.replace("WHEN kind = 'checkout_completed' THEN 'K'",
+                                f"WHEN kind = 'checkout_completed' THEN CASE WHEN plan IN {_VALID_PLANS} THEN 'K' ELSE '-' END")
+
+
+@register("g1_licence_records", views=("billing_events_ext",), oracle=f"""
+WITH st AS (SELECT subscription_id, status FROM (
+   SELECT subscription_id, list_reduce(list_prepend('none', list(op ORDER BY ts, event_id)), lambda s, e: {STEP_SQL}) AS status
+   FROM (SELECT *, {_OPS_PLAN_SQL} AS op FROM billing_events_ext) t GROUP BY subscription_id) u WHERE status <> 'none'),
+k AS (SELECT subscription_id, min((ts, event_id)) AS k0, min(ts) AS created_at FROM billing_events_ext
+  WHERE kind = 'checkout_completed' AND plan IN {_VALID_PLANS} GROUP BY subscription_id),
+ren AS (SELECT ev.subscription_id, ev.ts, ev.event_id, ev.period_end FROM billing_events_ext ev JOIN k USING (subscription_id)
+  WHERE ev.kind = 'payment_succeeded' AND (ev.ts, ev.event_id) > k.k0),
+lastpe AS (SELECT subscription_id, arg_max(period_end, (ts, event_id)) AS pe, max((ts, event_id)) AS pk
+  FROM ren WHERE period_end IS NOT NULL GROUP BY subscription_id),
+cnt AS (SELECT k.subscription_id, count(r.event_id) AS n FROM k LEFT JOIN lastpe p USING (subscription_id)
+  LEFT JOIN ren r ON r.subscription_id = k.subscription_id AND r.period_end IS NULL AND (r.ts, r.event_id) > coalesce(p.pk, k.k0)
+  GROUP BY k.subscription_id),
+ex AS (SELECT k.subscription_id, k.created_at,
+  CASE WHEN cnt.n = 0 THEN coalesce(p.pe, k.k0[1] + INTERVAL 1 YEAR)
+   ELSE coalesce(p.pe, k.k0[1] + INTERVAL 1 YEAR) + INTERVAL 1 YEAR + to_years(CAST(cnt.n - 1 AS INTEGER)) END AS expires_at
+  FROM k LEFT JOIN lastpe p USING (subscription_id) JOIN cnt USING (subscription_id)),
+pa AS (SELECT subscription_id,
+  min((ts, event_id, plan)) FILTER (WHERE kind = 'checkout_completed' AND plan IN {_VALID_PLANS}) AS k0,
+  max((ts, event_id, plan)) FILTER (WHERE kind = 'subscription_updated' AND plan IN {_VALID_PLANS}) AS u
+  FROM billing_events_ext GROUP BY subscription_id),
+pl AS (SELECT subscription_id, CASE WHEN u IS NOT NULL AND (u[1], u[2]) > (k0[1], k0[2]) THEN u[3] ELSE k0[3] END AS plan
+  FROM pa WHERE k0 IS NOT NULL)
+SELECT st.subscription_id, st.status, ex.created_at, ex.expires_at, pl.plan FROM st
+LEFT JOIN ex USING (subscription_id) LEFT JOIN pl USING (subscription_id)""")
+def g1r(c):
+    return E.licence_records(c.billing_events_ext)
