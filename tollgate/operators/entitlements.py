@@ -324,7 +324,8 @@ def new_checkouts(checkouts: DataFrame, licenses: DataFrame, allowed_plans=P.CHE
     checkout of the batch does.  Without one: skipped if a licence has the customer,
     or an earlier checkout of the batch has the same customer.  Per-key minima are
     aggregates, so no pairs are formed inside a hot customer or subscription."""
-    c = checkouts.filter(F.col("plan").isin(*allowed_plans)).withColumn("_k", F.struct(*order))
+    okey = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    c = checkouts.filter(F.col("plan").isin(*allowed_plans)).withColumn("_k", okey)
     subs = licenses.select(F.col("subscription_id").alias("_known")).filter("_known IS NOT NULL")
     custs = licenses.select(F.col("customer_id").alias("_known")).filter("_known IS NOT NULL")
     with_sub = (c.filter(F.col("subscription_id").isNotNull())

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tollgate.functions.columns import seconds_between
+from tollgate.functions.columns import order_key, seconds_between
 from tollgate.operators.ranking import exact_percentile
 
 
@@ -23,13 +23,12 @@ def click_counts(events: DataFrame, labels: dict[str, Column], event_name="click
 def _first_after(step_events: DataFrame, prev: DataFrame | None, user="user_id") -> DataFrame:
     """Per user, the first event of this step at or after the user's previous
     step time (the value of that first event kept as well)."""
-    k = F.struct("ts", "event_id", "value")
-    e = step_events.select(user, "ts", "event_id", "value")
+    e = step_events.select(user, "ts", "event_id", "value", order_key("ts", "event_id").alias("_k"))
     if prev is not None:
         e = (e.join(prev.select(user, F.col("t").alias("_prev")), user)
              .filter(F.col("ts") >= F.col("_prev")))
-    return e.groupBy(user).agg(F.min(k).alias("_f")).select(
-        user, F.col("_f.ts").alias("t"), F.col("_f.value").alias("v"))
+    # packed (ts, event_id) order: fixed-width buffers, hash aggregation
+    return e.groupBy(user).agg(F.min_by("ts", "_k").alias("t"), F.min_by("value", "_k").alias("v"))
 
 
 def funnel(events: DataFrame, steps=("click", "purchase"), user="user_id") -> DataFrame:

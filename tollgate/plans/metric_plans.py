@@ -81,12 +81,13 @@ def d12(c):
 def billing_results(ev):
     """Per distinct event id, the counter result: skipped for partial refunds
     and first invoices, success otherwise."""
-    first = ev.dropDuplicates(["event_id"])
     skipped = ((F.col("kind") == "charge_refunded") & (F.col("amount_refunded") < F.col("amount")))
     if "billing_reason" in ev.columns:
         skipped = skipped | ((F.col("kind") == "payment_succeeded")
                              & (F.col("billing_reason") == "subscription_create"))
-    return first.withColumn("result", F.when(skipped, "skipped").otherwise("success"))
+    # a redelivered event carries the same kind and amounts: distinct on what
+    # the counter needs (grouping keys only, so a hash aggregate)
+    return ev.select("event_id", "kind", F.when(skipped, "skipped").otherwise("success").alias("result")).distinct()
 
 
 @register("d13_billing_counter", views=("billing_events",), oracle="""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tollgate.functions import patterns as P
-from tollgate.functions.columns import url_path
+from tollgate.functions.columns import order_key, url_path
 from tollgate.operators import entitlements as E
 from tollgate.plans.audit_plans import URL_PATH_SQL
 from tollgate.plans.entitlement_plans import _TRANSFER_SQL as TRANSFER_SQL
@@ -58,7 +58,7 @@ _ACTIONS_SQL = """CASE WHEN kind = 'checkout_completed' AND (ts, event_id) = fir
 
 def audit_decisions(ev):
     """Audit actions the billing handler writes, one per event that writes one."""
-    k = F.struct("ts", "event_id")
+    k = order_key("ts", "event_id")
     first = (ev.filter(F.col("kind") == "checkout_completed").groupBy("subscription_id")
              .agg(F.min(k).alias("first_k")))
     j = ev.join(first, "subscription_id", "left")
