@@ -52,8 +52,8 @@ def funnel_rates(funnel_df: DataFrame) -> DataFrame:
     from pyspark.sql import Window
     w = Window.partitionBy(F.lit(0)).orderBy("step_no")
     return funnel_df.select(
-        "*", (F.col("users") / F.lag("users").over(w)).alias("from_prev"),
-        (F.col("users") / F.first("users").over(w)).alias("from_first"))
+        "*", F.try_divide(F.col("users"), F.lag("users").over(w)).alias("from_prev"),
+        F.try_divide(F.col("users"), F.first("users").over(w)).alias("from_first"))
 
 
 def dedup_purchases(events: DataFrame, txn: Column, name="purchase") -> DataFrame:
@@ -75,7 +75,8 @@ def time_between(events: DataFrame, a: str, b: str, target_seconds: float, user=
         user, seconds_between("tb", "t").alias("seconds"))
     s = d.agg(F.count(F.lit(1)).cast("double").alias("users_a"),
               F.count("seconds").cast("double").alias("users_b"),
-              (F.count_if(F.col("seconds") <= target_seconds) / F.count("seconds")).alias("share_within"))
+              F.try_divide(F.count_if(F.col("seconds") <= target_seconds), F.count("seconds"))
+              .alias("share_within"))
     s = s.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
                                     for m in ("users_a", "users_b", "share_within")])))
     med = exact_percentile(d, "seconds", 0.5).select(F.lit("median_seconds").alias("metric"),

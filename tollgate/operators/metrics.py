@@ -192,7 +192,7 @@ def alerts(log: DataFrame, size="1 hour", max_error_rate=0.2, max_p95=4.0,
     per = log.groupBy(win).agg(F.count(F.lit(1)).alias("n"),
                                F.count_if(F.col("status") >= 500).alias("errors"))
     err = per.select("window_start", F.lit("high_error_rate").alias("alert"),
-                     (F.col("errors") / F.col("n")).alias("value")).filter(F.col("value") > max_error_rate)
+                     F.try_divide(F.col("errors"), F.col("n")).alias("value")).filter(F.col("value") > max_error_rate)
     hist = histogram(log.withColumn("window_start", win), "duration_s", ["window_start"], buckets)
     p95 = histogram_quantile(hist, ["window_start"], (0.95,))
     lat = p95.select("window_start", F.lit("high_latency").alias("alert"), "value").filter(
