@@ -86,3 +86,12 @@ def test_rate_violations_counts_per_window(spark):
     df = spark.createDataFrame(rows, "client_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     v = M.rate_violations(df, "60 seconds", 30).collect()
     assert [(r.client_id, r.requests) for r in v] == [(1, 40)]
+
+
+def test_ratio_alerts(spark):
+    rows = [(f"2024-01-01 00:{m:02d}:00", r) for m, r in
+            [(1, "error"), (2, "success"), (3, "success"), (61 - 60, "error")]] + \
+           [(f"2024-01-01 01:{m:02d}:00", "success") for m in range(4)]
+    df = spark.createDataFrame(rows, "ts string, result string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = M.ratio_alerts(df, {"event_failures": (F.col("result") == "error", 0.25)}, "1 hour").collect()
+    assert [(str(r.window_start), r.alert, r.value) for r in got] == [("2024-01-01 00:00:00", "event_failures", 0.5)]

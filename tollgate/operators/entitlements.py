@@ -35,13 +35,21 @@ def format_violations(df: DataFrame, key_col="key", device_col="device_id",
     return flagged.filter("is_null OR too_long OR bad_key OR bad_device")
 
 
-def mask_pii(df: DataFrame, key_cols=("key",), email_cols=("email",)) -> DataFrame:
-    """B2: replace keys and e-mails by their masked forms, other columns unchanged."""
+def mask_pii(df: DataFrame, key_cols=("key",), email_cols=("email",), redact_cols=(),
+             url_cols=()) -> DataFrame:
+    """B2: replace keys and e-mails by their masked forms (``redact_cols``: whole
+    local part starred; ``url_cols``: secret path segment starred), other
+    columns unchanged."""
+    from tollgate.functions.columns import mask_url_secret, redact_email
     out = df
     for c in key_cols:
         out = out.withColumn(c, mask_key(c))
     for c in email_cols:
         out = out.withColumn(c, mask_email(c))
+    for c in redact_cols:
+        out = out.withColumn(c, redact_email(c))
+    for c in url_cols:
+        out = out.withColumn(c, mask_url_secret(c))
     return out
 
 

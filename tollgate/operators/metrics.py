@@ -182,6 +182,25 @@ def rate_violations(log: DataFrame, window="60 seconds", limit: int = 30, key="c
 # H8: alert series
 # ---------------------------------------------------------------------------
 
+def ratio_alerts(df: DataFrame, rules: dict, size="1 hour") -> DataFrame:
+    """H8 (event / provisioning failures): per window, the share of rows meeting
+    each rule's condition; rows where it exceeds the rule's threshold.  ``rules``
+    maps an alert name to (condition column, threshold), e.g. billing events
+    whose result is 'error', or upstream calls that failed."""
+    win = F.window("ts", size).start.alias("window_start")
+    aggs = [F.count(F.lit(1)).alias("_n")] + [F.count_if(cond).alias(f"_c{i}")
+                                             for i, (cond, _) in enumerate(rules.values())]
+    per = df.groupBy(win).agg(*aggs)
+    parts = [per.select("window_start", F.lit(name).alias("alert"),
+                        F.try_divide(F.col(f"_c{i}"), F.col("_n")).alias("value"))
+             .filter(F.col("value") > F.lit(thr))
+             for i, (name, (_, thr)) in enumerate(rules.items())]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def alerts(log: DataFrame, size="1 hour", max_error_rate=0.2, max_p95=4.0,
            buckets=P.REQUEST_BUCKETS) -> DataFrame:
     """H8: per window, the alerts that fire: high error rate (5xx share), high

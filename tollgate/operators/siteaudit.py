@@ -203,6 +203,24 @@ def required_links(links: DataFrame, paths: DataFrame, required_path: str, min_i
     return out.filter(~F.col("links_required") | (F.col("internal_links") < min_internal))
 
 
+def section_links(links: DataFrame, paths: DataFrame, minimums: dict[str, int]) -> DataFrame:
+    """K19 (cross-link minimums): pages of a section (first path segment) that
+    link to fewer distinct other pages of the same section than its minimum."""
+    sec = F.regexp_extract(F.col("path"), r"^/([^/]*)", 1)
+    pp = paths.select("page_id", "path", sec.alias("section"))
+    r = resolve_links(links, paths).filter(F.col("dst_page_id").isNotNull()
+                                           & (F.col("dst_page_id") != F.col("page_id")))
+    dst = pp.select(F.col("page_id").alias("dst_page_id"), F.col("section").alias("dst_section"))
+    same = (r.join(pp.select("page_id", "section"), "page_id").join(dst, "dst_page_id")
+            .filter(F.col("section") == F.col("dst_section"))
+            .groupBy("page_id").agg(F.count_distinct("dst_page_id").alias("same_section")))
+    mins = F.coalesce(*[F.when(F.col("section") == k, F.lit(v)) for k, v in minimums.items()], F.lit(None))
+    out = pp.join(same, "page_id", "left").select(
+        "page_id", "path", "section", F.coalesce("same_section", F.lit(0)).cast("long").alias("same_section"),
+        mins.cast("long").alias("minimum"))
+    return out.filter(F.col("minimum").isNotNull() & (F.col("same_section") < F.col("minimum")))
+
+
 def unsafe_links(links: DataFrame) -> DataFrame:
     """Hrefs that are neither http(s) URLs nor root-relative."""
     return links.filter(~F.coalesce(F.col("href").rlike(P.RE_SAFE_HREF), F.lit(False)))
@@ -258,6 +276,18 @@ def hreflang_gaps(pages: DataFrame, index_only: bool = True) -> DataFrame:
                     (~has(self_lang)).alias("missing_self"), (~has(F.lit("x-default"))).alias("missing_x_default"))
 
 
+def hreflang_completeness(pages: DataFrame, languages=P.SUPPORTED_LANGS, index_only: bool = True) -> DataFrame:
+    """K16 (completeness): index pages must carry an hreflang link for every
+    supported language and x-default (eight tags for seven languages)."""
+    p = pages.select("page_id", url_path("url").alias("path"), "html")
+    if index_only:
+        p = p.filter(F.col("path").endswith("/index.html") & ~F.col("path").contains("/blog/"))
+    want = F.array(*[F.lit(x) for x in list(languages) + ["x-default"]])
+    have = F.array_distinct(_extract_all(F.col("html"), P.RE_HREFLANG, 1))
+    return p.select("page_id", "path", F.size(have).cast("long").alias("n_hreflang"),
+                    F.size(F.array_except(want, have)).cast("long").alias("n_missing"))
+
+
 def hreflang_returns(pages: DataFrame) -> DataFrame:
     """Hreflang links A -> B between pages of the corpus where B does not
     link back to A."""

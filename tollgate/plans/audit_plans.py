@@ -348,3 +348,27 @@ _FLAG_SQL = {
               for k, v in _FLAG_SQL.items()))
 def k28(c):
     return K.audit_scorecard(K.structure_flags(K.audit_pages(c.pages)), ("section", "lang"))
+
+
+@register("k16_hreflang_completeness", oracle=f"""
+SELECT page_id, {URL_PATH_SQL} AS path, len(list_distinct(regexp_extract_all(html, {sq(P.RE_HREFLANG)}, 1))) AS n_hreflang,
+ len(list_filter({list(P.SUPPORTED_LANGS) + ['x-default']}, lambda x: NOT list_contains(
+   list_distinct(regexp_extract_all(html, {sq(P.RE_HREFLANG)}, 1)), x))) AS n_missing
+FROM pages""")
+def k16c(c):
+    # every page of the test corpus is treated as an index page
+    return K.hreflang_completeness(c.pages, index_only=False)
+
+
+@register("k19_section_links", views=("site_links", "site_paths"), oracle=f"""
+WITH {_TARGETS_SQL},
+pp AS (SELECT page_id, path, regexp_extract(path, '^/([^/]*)', 1) AS section FROM site_paths),
+same AS (SELECT r.page_id, count(DISTINCT r.dst_page_id) AS same_section FROM r
+  JOIN pp s ON s.page_id = r.page_id JOIN pp d ON d.page_id = r.dst_page_id
+  WHERE r.dst_page_id IS NOT NULL AND r.dst_page_id <> r.page_id AND s.section = d.section GROUP BY r.page_id)
+SELECT pp.page_id, pp.path, pp.section, coalesce(same.same_section, 0) AS same_section,
+ CAST(CASE WHEN pp.section = 'p' THEN 3 END AS BIGINT) AS minimum
+FROM pp LEFT JOIN same USING (page_id)
+WHERE pp.section = 'p' AND coalesce(same.same_section, 0) < 3""")
+def k19s(c):
+    return K.section_links(_links(c), c.site_paths, {"p": 3})

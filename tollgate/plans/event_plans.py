@@ -31,12 +31,14 @@ def _funnel_sql():
                                      cond="AND e.ts >= p.t"))
     sel = "\nUNION ALL ".join(f"SELECT {i} AS step_no, '{s}' AS step, count(*) AS users, sum(v) AS value FROM s{i}"
                               for i, s in enumerate(_STEPS, 1))
-    return "WITH " + ",\n".join(ctes) + "\n" + sel
+    return ("WITH " + ",\n".join(ctes) + f",\nf AS ({sel})\n"
+            "SELECT *, users / lag(users) OVER (ORDER BY step_no) AS from_prev,\n"
+            " users / first_value(users) OVER (ORDER BY step_no) AS from_first FROM f")
 
 
 @register("l2_funnel", oracle=_funnel_sql(), headline=True)
 def l2(c):
-    return L.funnel(c.events, _STEPS)
+    return L.funnel_rates(L.funnel(c.events, _STEPS))
 
 
 @register("l3_dedup_purchases", oracle="""
