@@ -88,3 +88,25 @@ def test_assignment_is_repeated_least_loaded(spark, node_specs, n_pending):
         if free:
             cur[free[0][1]] += 1
     assert got == want
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 5000), st.integers(-5, 5)), min_size=1, max_size=150,
+                unique_by=lambda t: (t[0], t[1])))
+def test_piecewise_running_values_equal_plain_windows(spark, rows):
+    from pyspark.sql import Window
+
+    from tollgate.operators.ranking import lag_by_key, running_by_key, time_piece
+    df = spark.createDataFrame([(k, t, t, v) for k, t, v in rows], "k long, sec long, id long, v long") \
+        .withColumn("ts", F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, sec)"))
+    piece = time_piece("ts", 600)     # ten-minute pieces: keys span many of them
+    got = running_by_key(df, ["k"], ["ts", "id"], {"s": ("sum", F.col("v")), "mx": ("max", F.col("v")),
+                                                   "mn": ("min", F.col("v"))}, piece=piece)
+    got = lag_by_key(got, ["k"], ["ts", "id"], "v", "prev_v", piece=piece)
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    wr = w.rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("k", "id", F.sum("v").over(wr).alias("s"), F.max("v").over(wr).alias("mx"),
+                     F.min("v").over(wr).alias("mn"), F.lag("v").over(w).alias("prev_v"))
+    cols = ["k", "id", "s", "mx", "mn", "prev_v"]
+    assert got.select(cols).exceptAll(want.select(cols)).count() == 0
+    assert want.select(cols).exceptAll(got.select(cols)).count() == 0
