@@ -35,3 +35,10 @@ def test_entry_runs(spark):
     df = entry(spark)
     assert df.count() > 0
     assert "drift" in df.columns
+
+
+def test_coverage_table_names_registered_queries():
+    from tools.coverage import COVERAGE
+    for key, (_, names, _) in COVERAGE.items():
+        for n in names:
+            assert n in QS and n in ORC, (key, n)
