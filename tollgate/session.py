@@ -23,6 +23,9 @@ DEFAULT_CONF = {
     # sort-merge join instead of being shipped to every executor.
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
+    # Inputs live in an object store / shared folder: no node holds a split
+    # locally, so do not hold tasks back waiting for locality.
+    "spark.locality.wait": "0s",
 }
 
 
