@@ -95,3 +95,10 @@ def test_ratio_alerts(spark):
     df = spark.createDataFrame(rows, "ts string, result string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     got = M.ratio_alerts(df, {"event_failures": (F.col("result") == "error", 0.25)}, "1 hour").collect()
     assert [(str(r.window_start), r.alert, r.value) for r in got] == [("2024-01-01 00:00:00", "event_failures", 0.5)]
+
+
+def test_scale_conf_sizes_partitions():
+    from tollgate.session import scale_conf
+    c = scale_conf(100 * 1024 ** 4, 8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600
+    assert int(scale_conf(10, 8)["spark.sql.shuffle.partitions"]) == 16
