@@ -100,6 +100,27 @@ def test_long_random_sequences_match_a_plain_loop(spark):
         expected[sub] = state
     got = {r.subscription_id: r.status for r in E.fold_states(_events(spark, rows), keep_none=True).collect()}
     assert {k: got.get(k, "none") for k in expected} == expected
+    # events are an hour apart, so with hour pieces every event is its own piece
+    hist = E.state_history(_events(spark, rows))
+    last = hist.groupBy("subscription_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("s"))
+    assert {r.subscription_id: r.s for r in last.collect()} == expected
+
+
+def test_history_matches_a_plain_loop_at_every_event(spark):
+    rnd = random.Random(5)
+    rows, want, eid = [], {}, 0
+    for sub in range(1, 40):
+        state = "none"
+        for i in range(rnd.randint(1, 30)):
+            op = rnd.choice(list(OP_EVENTS))
+            shape = rnd.choice(OP_EVENTS[op])
+            eid += 1
+            rows.append((eid, f"2024-01-{1 + i // 12:02d} {(i % 12) * 2:02d}:{rnd.randint(0, 59):02d}:00", sub,
+                         shape[3], shape[0], shape[1], shape[2], shape[4]))
+            state = state if op == "-" else EXPECTED[(state, op)]
+            want[eid] = state
+    got = {r.event_id: r.status for r in E.state_history(_events(spark, rows)).collect()}
+    assert got == want
 
 
 LIC = ("id long, key string, status string, device_id string, last_transfer_at string, expires_at string, "

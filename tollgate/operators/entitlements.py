@@ -439,30 +439,53 @@ def fold_states(events: DataFrame, key="subscription_id", allowed_plans=None,
     return out if keep_none else out.filter(F.col("status") != "none")
 
 
-def state_history(events: DataFrame, key="subscription_id", allowed_plans=None) -> DataFrame:
+def state_history(events: DataFrame, key="subscription_id", allowed_plans=None, piece=None) -> DataFrame:
     """G1 (history): the state after every event.
 
     Running extrema over the key's events in (ts, event_id) order give the same
     closed form as :func:`fold_states` at every prefix.  "Cancelled after a
     renewal that follows the last suspend" becomes: the largest "last renewal
-    before this cancel" over the cancels so far exceeds the last suspend.  The
-    running values come from :func:`running_by_key`, so a subscription with a
-    third of all events is still spread over many tasks."""
-    from tollgate.operators.ranking import running_by_key
+    before this cancel" (``lrx``) over the cancels so far exceeds the last
+    suspend.
+
+    One pieced pass (see ``ranking.running_by_key``): each key is cut into time
+    pieces; inside a piece the running values come from one window, and the
+    combined values of the key's earlier pieces (one row per piece) are added.
+    ``lrx`` needs the renewal offset of its piece, which is constant inside the
+    piece, so it is combined on the small per-piece table as well."""
+    from tollgate.operators.ranking import time_piece
     ev = billing_ops(events, allowed_plans)
-    ev = ev.withColumn("_k", _event_order(ev))
+    ev = ev.withColumn("_k", _event_order(ev)).withColumn("_piece", piece if piece is not None else time_piece("ts"))
     order = ["ts", "event_id"]
 
     def when_op(o, c="_k"):
         return F.when(F.col("op") == o, F.col(c))
-    ev = running_by_key(ev, [key], order, {
-        "k0": ("min", when_op("K")), "d": ("max", when_op("D")), "p": ("max", when_op("P")),
-        "x": ("max", when_op("X")), "r": ("max", when_op("R"))})
-    ev = running_by_key(ev, [key], order, {"lrx": ("max", when_op("X", "r"))})
-    state = _state_expr(F.col("k0"), F.col("d"), F.col("p"), F.col("x"),
-                        F.col("r").isNotNull() & (F.col("r") > F.col("p")),
-                        F.col("lrx").isNotNull() & (F.col("lrx") > F.col("p")))
-    return ev.select(key, "event_id", "ts", "kind", "op", state.alias("status"))
+    w = Window.partitionBy(key, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    loc = ev.select("*", F.min(when_op("K")).over(w).alias("_l_k0"), F.max(when_op("D")).over(w).alias("_l_d"),
+                    F.max(when_op("P")).over(w).alias("_l_p"), F.max(when_op("X")).over(w).alias("_l_x"),
+                    F.max(when_op("R")).over(w).alias("_l_r"))
+    # within the piece: the largest local "last renewal" seen at a cancel
+    loc = loc.withColumn("_l_xr", F.max(when_op("X", "_l_r")).over(w))
+    tot = ev.groupBy(key, "_piece").agg(
+        F.min(when_op("K")).alias("_t_k0"), F.max(when_op("D")).alias("_t_d"), F.max(when_op("P")).alias("_t_p"),
+        F.max(when_op("X")).alias("_t_x"), F.max(when_op("R")).alias("_t_r"))
+    # the largest "last renewal before a cancel" of a piece, in local terms,
+    # comes from the rows (a second, per-piece aggregate of the window output)
+    xr = loc.groupBy(key, "_piece").agg(F.max("_l_xr").alias("_t_xr"))
+    prev = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.join(xr, [key, "_piece"]).select(
+        key, "_piece", "_t_x", "_t_xr", F.min("_t_k0").over(prev).alias("_o_k0"),
+        F.max("_t_d").over(prev).alias("_o_d"), F.max("_t_p").over(prev).alias("_o_p"),
+        F.max("_t_x").over(prev).alias("_o_x"), F.max("_t_r").over(prev).alias("_o_r"))
+    # a piece's lrx in global terms: its local value raised to the renewal offset
+    off = off.withColumn("_t_lrx", F.when(F.col("_t_x").isNotNull(), F.greatest("_o_r", "_t_xr")))
+    off = off.withColumn("_o_lrx", F.max("_t_lrx").over(prev))
+    j = loc.join(off.drop("_t_x", "_t_xr", "_t_lrx"), [key, "_piece"], "left")
+    k0 = F.least("_o_k0", "_l_k0")
+    d, p, x, r = (F.greatest(f"_o_{n}", f"_l_{n}") for n in ("d", "p", "x", "r"))
+    lrx = F.greatest("_o_lrx", F.when(F.col("_l_x").isNotNull(), F.greatest("_o_r", "_l_xr")))
+    state = _state_expr(k0, d, p, x, r.isNotNull() & (r > p), lrx.isNotNull() & (lrx > p))
+    return j.select(key, "event_id", "ts", "kind", "op", state.alias("status"))
 
 
 # ---------------------------------------------------------------------------
