@@ -51,10 +51,9 @@ def least_loaded(nodes: DataFrame, licenses: DataFrame, n: int = 1) -> DataFrame
             .orderBy("active_keys", "id").limit(n))
 
 
-def key_drift(licenses: DataFrame, as_of=None) -> DataFrame:
+def key_drift(licenses: DataFrame, as_of) -> DataFrame:
     """Per node, licences in force, keys in use, and the difference."""
-    from tollgate.sources.views import LICENSE_AS_OF
-    now = ts_lit(as_of or LICENSE_AS_OF)
+    now = ts_lit(as_of)
     g = licenses.groupBy("node_id").agg(
         F.count_if(F.col("status").isin(*P.SEAT_STATUSES) & (F.col("expires_at") > now))
         .alias("active_licenses"),

@@ -70,15 +70,14 @@ def _bad_id(c, pattern, check_len=True):
     return bad
 
 
-def validation_outcome(requests: DataFrame, licenses: DataFrame, as_of=None,
+def validation_outcome(requests: DataFrame, licenses: DataFrame, as_of,
                        key_re=P.FIXTURE_KEY_RE, device_re=P.DEVICE_ID_RE) -> DataFrame:
     """Outcome of each licence-validation request.
 
     Order: bad_request, not_found, expired (status), suspended, expired (date),
     device_mismatch, valid.  An unbound licence is valid (it binds, G3).
     """
-    from tollgate.sources.views import LICENSE_AS_OF
-    now = ts_lit(as_of or LICENSE_AS_OF)
+    now = ts_lit(as_of)
     lic = _licence_side(licenses, "status", "expires_at", "device_id")
     j = requests.join(lic, F.col("key") == F.col("_lkey"), "left")
     bad = _bad_id("key", key_re) | _bad_id("device_id", device_re)
@@ -119,15 +118,14 @@ def _vpn_gate(requests, licenses, as_of, key_re, allowed_plans):
     return j, gate, now, bad
 
 
-def vpn_access_outcome(requests: DataFrame, licenses: DataFrame, as_of=None,
+def vpn_access_outcome(requests: DataFrame, licenses: DataFrame, as_of,
                        key_re=P.FIXTURE_KEY_RE, allowed_plans=("pro",)) -> DataFrame:
     """Outcome of a request to create/get a VPN key.
 
     After the licence gate: device_mismatch, then already_provisioned, in_progress
     (a live pending claim), may_create (no key, or a stale claim that is reset first).
     """
-    from tollgate.sources.views import LICENSE_AS_OF
-    j, gate, now, bad = _vpn_gate(requests, licenses, as_of or LICENSE_AS_OF, key_re, allowed_plans)
+    j, gate, now, bad = _vpn_gate(requests, licenses, as_of, key_re, allowed_plans)
     kid = F.col("_l_key_id")
     stale = _stale_claim("_l_key_id", "_l_last_check", "_l_created_at", now)
     result = (gate
@@ -140,12 +138,11 @@ def vpn_access_outcome(requests: DataFrame, licenses: DataFrame, as_of=None,
                     result.alias("result"))
 
 
-def key_delete_outcome(requests: DataFrame, licenses: DataFrame, as_of=None,
+def key_delete_outcome(requests: DataFrame, licenses: DataFrame, as_of,
                        key_re=P.FIXTURE_KEY_RE, allowed_plans=("pro",)) -> DataFrame:
     """Outcome of a key-deletion request: the VPN gate, then only active
     licences may delete, and there must be a key."""
-    from tollgate.sources.views import LICENSE_AS_OF
-    j, gate, _, bad = _vpn_gate(requests, licenses, as_of or LICENSE_AS_OF, key_re, allowed_plans)
+    j, gate, _, bad = _vpn_gate(requests, licenses, as_of, key_re, allowed_plans)
     result = (gate.when(F.col("_l_status") != P.STATUS_ACTIVE, "not_active")
               .when(F.col("_l_key_id").isNull(), "no_key").otherwise("delete"))
     return j.select(*requests.columns, F.when(~bad, F.col("license_id")).alias("license_id"),
@@ -215,10 +212,9 @@ def price_as_of(facts: DataFrame, prices: DataFrame, ts_col="ts", plan_col="plan
 # filters
 # ---------------------------------------------------------------------------
 
-def expired_with_keys(licenses: DataFrame, as_of=None) -> DataFrame:
+def expired_with_keys(licenses: DataFrame, as_of) -> DataFrame:
     """Licences past expiry that still hold a key and are not active."""
-    from tollgate.sources.views import LICENSE_AS_OF
-    now = ts_lit(as_of or LICENSE_AS_OF)
+    now = ts_lit(as_of)
     return (licenses.filter((F.col("expires_at") < now) & F.col("key_id").isNotNull()
                             & (F.col("key_id") != P.PENDING)
                             & F.col("status").isin(P.STATUS_EXPIRED, P.STATUS_CANCELLED,
@@ -226,17 +222,15 @@ def expired_with_keys(licenses: DataFrame, as_of=None) -> DataFrame:
             .select("id", "key_id", "node_id"))
 
 
-def stale_claims(licenses: DataFrame, as_of=None, ttl_minutes=P.CLAIM_TTL_MINUTES) -> DataFrame:
+def stale_claims(licenses: DataFrame, as_of, ttl_minutes=P.CLAIM_TTL_MINUTES) -> DataFrame:
     """Pending claims whose last check (or creation) is older than the TTL."""
-    from tollgate.sources.views import LICENSE_AS_OF
-    now = ts_lit(as_of or LICENSE_AS_OF)
+    now = ts_lit(as_of)
     return licenses.filter(_stale_claim("key_id", "last_check", "created_at", now, ttl_minutes))
 
 
-def reset_stale(licenses: DataFrame, as_of=None, ttl_minutes=P.CLAIM_TTL_MINUTES) -> DataFrame:
+def reset_stale(licenses: DataFrame, as_of, ttl_minutes=P.CLAIM_TTL_MINUTES) -> DataFrame:
     """The licence table with stale pending claims set back to NULL."""
-    from tollgate.sources.views import LICENSE_AS_OF
-    now = ts_lit(as_of or LICENSE_AS_OF)
+    now = ts_lit(as_of)
     stale = _stale_claim("key_id", "last_check", "created_at", now, ttl_minutes)
     return licenses.withColumn("key_id", F.when(stale, F.lit(None).cast("string"))
                                .otherwise(F.col("key_id")))
@@ -669,10 +663,9 @@ def retry_step(queue: DataFrame, results: DataFrame, as_of, result_col="send_ok"
 # gauges
 # ---------------------------------------------------------------------------
 
-def licence_gauges(licenses: DataFrame, as_of=None) -> DataFrame:
+def licence_gauges(licenses: DataFrame, as_of) -> DataFrame:
     """D1-D3 in one pass: active licences, keys in use, stale claims."""
-    from tollgate.sources.views import LICENSE_AS_OF
-    now = ts_lit(as_of or LICENSE_AS_OF)
+    now = ts_lit(as_of)
     return licenses.agg(
         F.count_if(F.col("status").isin(*P.SEAT_STATUSES) & (F.col("expires_at") > now))
         .alias("active_licenses"),
@@ -708,17 +701,18 @@ def transfer_gaps(transfers: DataFrame, key="license_id", order=("ts", "event_id
                     F.coalesce(gap < F.lit(cooldown_hours * 3600.0), F.lit(False)).alias("too_soon"))
 
 
-def active_licenses(licenses: DataFrame, as_of=None) -> DataFrame:
+def active_licenses(licenses: DataFrame, as_of) -> DataFrame:
     """Licences in force (active or cancelled, not past expiry)."""
     return licence_gauges(licenses, as_of).select("active_licenses")
 
 
 def active_keys(licenses: DataFrame) -> DataFrame:
     """Keys in use (not NULL, not the pending sentinel)."""
-    return licence_gauges(licenses).select("active_keys")
+    return licenses.agg(F.count_if(F.col("key_id").isNotNull() & (F.col("key_id") != P.PENDING))
+                        .alias("active_keys"))
 
 
-def stale_claim_count(licenses: DataFrame, as_of=None) -> DataFrame:
+def stale_claim_count(licenses: DataFrame, as_of) -> DataFrame:
     """D3: pending claims past the TTL."""
     return licence_gauges(licenses, as_of).select("stale_claims")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tollgate.operators import capacity as C
 from tollgate.plans.registry import register
+from tollgate.sources.views import LICENSE_AS_OF
 
 AS_OF_SQL = "TIMESTAMP '2000-01-01 00:00:00'"
 LOAD_SQL = """load AS (SELECT node_id, count(*) AS active_keys FROM licenses
@@ -54,7 +55,7 @@ SELECT node_id,
   - count(*) FILTER (WHERE status IN ('active', 'cancelled') AND expires_at > {AS_OF_SQL}) AS drift
 FROM licenses GROUP BY node_id""")
 def d5(c):
-    return C.key_drift(c.licenses)
+    return C.key_drift(c.licenses, LICENSE_AS_OF)
 
 
 _KNOWN_SQL = "SELECT DISTINCT CAST(key_id AS VARCHAR) AS key_id FROM licenses WHERE key_id IS NOT NULL AND key_id <> 'pending'"

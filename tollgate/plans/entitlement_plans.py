@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tollgate.functions.patterns import DEVICE_ID_RE, FIXTURE_KEY_RE
 from tollgate.operators import entitlements as E
 from tollgate.plans.registry import register
+from tollgate.sources.views import LICENSE_AS_OF
 
 AS_OF_SQL = "TIMESTAMP '2000-01-01 00:00:00'"
 KEY_RE, DEV_RE = FIXTURE_KEY_RE, DEVICE_ID_RE
@@ -60,7 +61,7 @@ SELECT r.request_id, r.key, r.device_id, r.ts, CASE WHEN r.bad THEN NULL ELSE l.
 FROM (SELECT *, {BAD_KEY} OR {BAD_DEV} AS bad FROM device_requests) r
 LEFT JOIN licenses l ON r.key = l.key""")
 def b4(c):
-    return E.validation_outcome(c.device_requests, c.licenses)
+    return E.validation_outcome(c.device_requests, c.licenses, LICENSE_AS_OF)
 
 
 _VPN_GATE = f"""CASE WHEN r.bad THEN 'bad_request' WHEN l.id IS NULL THEN 'not_found'
@@ -79,7 +80,7 @@ SELECT r.request_id, r.key, r.device_id, r.ts, CASE WHEN r.bad THEN NULL ELSE l.
   ELSE 'may_create' END AS result
 FROM (SELECT *, {BAD_KEY} AS bad FROM device_requests) r LEFT JOIN licenses l ON r.key = l.key""")
 def b5(c):
-    return E.vpn_access_outcome(c.device_requests, c.licenses)
+    return E.vpn_access_outcome(c.device_requests, c.licenses, LICENSE_AS_OF)
 
 
 @register("b6_key_delete", views=("device_requests", "licenses"), oracle=f"""
@@ -89,7 +90,7 @@ SELECT r.request_id, r.key, r.device_id, r.ts, CASE WHEN r.bad THEN NULL ELSE l.
   ELSE 'delete' END AS result
 FROM (SELECT *, {BAD_KEY} AS bad FROM device_requests) r LEFT JOIN licenses l ON r.key = l.key""")
 def b6(c):
-    return E.key_delete_outcome(c.device_requests, c.licenses)
+    return E.key_delete_outcome(c.device_requests, c.licenses, LICENSE_AS_OF)
 
 
 _TRANSFER_SQL = f"""
@@ -138,19 +139,19 @@ def b8(c):
 SELECT id, key_id, node_id FROM licenses WHERE expires_at < {AS_OF_SQL} AND key_id IS NOT NULL
  AND key_id <> 'pending' AND status IN ('expired', 'cancelled', 'suspended')""")
 def b9(c):
-    return E.expired_with_keys(c.licenses)
+    return E.expired_with_keys(c.licenses, LICENSE_AS_OF)
 
 
 @register("b10_stale_claims", views=("licenses",), oracle=f"""
 SELECT id, key_id, last_check, created_at FROM licenses l WHERE {STALE_SQL.format(now=AS_OF_SQL)}""")
 def b10(c):
-    return E.stale_claims(c.licenses).select("id", "key_id", "last_check", "created_at")
+    return E.stale_claims(c.licenses, LICENSE_AS_OF).select("id", "key_id", "last_check", "created_at")
 
 
 @register("b11_reset_stale", views=("licenses",), oracle=f"""
 SELECT id, CASE WHEN {STALE_SQL.format(now=AS_OF_SQL)} THEN NULL ELSE key_id END AS key_id FROM licenses l""")
 def b11(c):
-    return E.reset_stale(c.licenses).select("id", "key_id")
+    return E.reset_stale(c.licenses, LICENSE_AS_OF).select("id", "key_id")
 
 
 @register("b12_prune_events", views=("billing_events",), oracle="""
@@ -382,7 +383,7 @@ SELECT id, CASE WHEN id IN (SELECT id FROM ids) THEN NULL ELSE key_id END AS key
  CASE WHEN id IN (SELECT id FROM ids) THEN NULL ELSE node_id END AS node_id FROM licenses""")
 def g9(c):
     lic = c.licenses
-    return E.clear_keys(lic, E.expired_with_keys(lic)).select("id", "key_id", "node_id")
+    return E.clear_keys(lic, E.expired_with_keys(lic, LICENSE_AS_OF)).select("id", "key_id", "node_id")
 
 
 @register("g10_retry_step", views=("retry_queue",), oracle="""
@@ -401,19 +402,19 @@ def g10(c):
 @register("d1_active_licenses", views=("licenses",), oracle=f"""
 SELECT count(*) FILTER (WHERE status IN ('active', 'cancelled') AND expires_at > {AS_OF_SQL}) AS active_licenses FROM licenses""")
 def d1(c):
-    return E.licence_gauges(c.licenses).select("active_licenses")
+    return E.licence_gauges(c.licenses, LICENSE_AS_OF).select("active_licenses")
 
 
 @register("d2_active_keys", views=("licenses",), oracle="""
 SELECT count(*) FILTER (WHERE key_id IS NOT NULL AND key_id <> 'pending') AS active_keys FROM licenses""")
 def d2(c):
-    return E.licence_gauges(c.licenses).select("active_keys")
+    return E.licence_gauges(c.licenses, LICENSE_AS_OF).select("active_keys")
 
 
 @register("d3_stale_claim_count", views=("licenses",), oracle=f"""
 SELECT count(*) FILTER (WHERE {STALE_SQL.format(now=AS_OF_SQL)}) AS stale_claims FROM licenses l""")
 def d3(c):
-    return E.licence_gauges(c.licenses).select("stale_claims")
+    return E.licence_gauges(c.licenses, LICENSE_AS_OF).select("stale_claims")
 
 
 @register("d4_retry_depth", views=("retry_queue",), oracle="""

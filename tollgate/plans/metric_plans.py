@@ -12,6 +12,7 @@ from tollgate.operators import entitlements as E
 from tollgate.operators import metrics as M
 from tollgate.plans.entitlement_plans import AS_OF_SQL, BAD_DEV, BAD_KEY, STALE_SQL
 from tollgate.plans.registry import register
+from tollgate.sources.views import LICENSE_AS_OF
 
 
 def hist_sql(src: str, value: str, labels: list[str], buckets) -> str:
@@ -68,7 +69,7 @@ SELECT result, count(*) AS value FROM (
  FROM (SELECT *, {BAD_KEY} OR {BAD_DEV} AS bad FROM device_requests) r LEFT JOIN licenses l ON r.key = l.key) t
 GROUP BY result""")
 def d11(c):
-    return M.counter(E.validation_outcome(c.device_requests, c.licenses), ["result"])
+    return M.counter(E.validation_outcome(c.device_requests, c.licenses, LICENSE_AS_OF), ["result"])
 
 
 @register("d12_provisioned_by_plan", views=("licenses",), oracle="""
@@ -227,7 +228,7 @@ UNION ALL SELECT 'keys_by_plan', 'plan=' || plan, CAST(count(*) AS DOUBLE) FROM
  WHERE key_id IS NOT NULL AND key_id <> 'pending' GROUP BY plan""")
 def a7(c):
     lic, q, log = c.licenses, c.retry_queue, c.request_log
-    g = E.licence_gauges(lic)
+    g = E.licence_gauges(lic, LICENSE_AS_OF)
     gauges = {"active_licenses": g.select("active_licenses"), "active_keys": g.select("active_keys"),
               "stale_claims": g.select("stale_claims"), "retry_depth": E.retry_depth(q)}
     keyed = lic.filter(F.col("key_id").isNotNull() & (F.col("key_id") != P.PENDING))

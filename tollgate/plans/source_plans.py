@@ -103,7 +103,7 @@ def _transfer_audit(c):
 
 def _cleanup_audit(c):
     from tollgate.sources.views import LICENSE_AS_OF
-    return E.expired_with_keys(c.licenses).select(
+    return E.expired_with_keys(c.licenses, LICENSE_AS_OF).select(
         F.lit("expired_key_cleanup").alias("action"), F.lit("license").alias("entity_type"),
         F.col("id").alias("entity_id"), F.concat(F.lit("key="), F.col("key_id")).alias("details"),
         F.lit(LICENSE_AS_OF).cast("timestamp_ntz").alias("ts"))
