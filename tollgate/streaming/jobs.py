@@ -133,30 +133,49 @@ def claim_timeouts(stream: DataFrame, lateness: str = "1 minute") -> DataFrame:
 # ---------------------------------------------------------------------------
 # H7: device upsert per micro-batch
 # ---------------------------------------------------------------------------
+# The upsert is an associative merge (earliest first sighting with its
+# platform, latest last sighting with its ip), so each micro-batch appends only
+# its own partial aggregate ("delta"); the table is the merge of all deltas,
+# computed on read or by a compaction job.  A batch costs O(batch), not O(table).
 
-def device_snapshot_path(root: str, batch_id: int) -> str:
-    return os.path.join(root, f"v{batch_id:010d}")
+def device_deltas(seen: DataFrame, order=("ts", "event_id")) -> DataFrame:
+    """Partial aggregate of sightings per (device, licence), mergeable later."""
+    from tollgate.functions.columns import classify_platform, order_key
+    k = order_key(*order)
+    return seen.groupBy("device_id", "license_id").agg(
+        F.min(k).alias("first_k"), F.min("ts").alias("first_seen"),
+        F.min_by(classify_platform("user_agent"), k).alias("platform"),
+        F.max(k).alias("last_k"), F.max("ts").alias("last_seen"), F.max_by("ip", k).alias("last_ip"))
 
 
-def upsert_devices_batch(root: str):
-    """foreachBatch function: merge the batch into the previous snapshot and
-    write snapshot ``v<batch_id>``.  Re-running a batch after a failure rewrites
-    the same folder (overwrite), so the sink is idempotent."""
+def merge_device_deltas(deltas: DataFrame) -> DataFrame:
+    """The device table from any set of deltas (same result as upsert_devices
+    over all their sightings)."""
+    return deltas.groupBy("device_id", "license_id").agg(
+        F.min_by("platform", "first_k").alias("platform"), F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"), F.max_by("last_ip", "last_k").alias("last_ip"))
+
+
+def delta_path(root: str, batch_id: int) -> str:
+    return os.path.join(root, f"batch={batch_id:010d}")
+
+
+def append_device_deltas(root: str):
+    """foreachBatch function: write the batch's delta to its own folder.
+    Re-running a batch after a failure overwrites that folder: idempotent."""
     def run(batch: DataFrame, batch_id: int):
-        spark = batch.sparkSession
-        existing = None
-        if batch_id > 0:
-            prev = device_snapshot_path(root, batch_id - 1)
-            if os.path.exists(prev) or not prev.startswith("/"):
-                existing = spark.read.parquet(prev)
-        out = E.upsert_devices(batch, existing)
-        out.write.mode("overwrite").parquet(device_snapshot_path(root, batch_id))
+        device_deltas(batch).write.mode("overwrite").parquet(delta_path(root, batch_id))
     return run
 
 
+def read_devices(spark, root: str) -> DataFrame:
+    """Current device table: merge of every delta under ``root``."""
+    return merge_device_deltas(spark.read.option("basePath", root).parquet(os.path.join(root, "batch=*")))
+
+
 def stream_devices(stream: DataFrame, root: str, checkpoint: str, trigger: dict | None = None):
     """H7: start the device-upsert stream (returns the StreamingQuery)."""
-    w = stream.writeStream.foreachBatch(upsert_devices_batch(root)).option("checkpointLocation", checkpoint)
+    w = stream.writeStream.foreachBatch(append_device_deltas(root)).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
 
