@@ -26,6 +26,11 @@ DEFAULT_CONF = {
     # Inputs live in an object store / shared folder: no node holds a split
     # locally, so do not hold tasks back waiting for locality.
     "spark.locality.wait": "0s",
+    # Stream state (dedup ids for 7 days, buffered events, claim timers) can
+    # outgrow the heap: keep it in RocksDB, which spills to local disk and
+    # checkpoints incrementally.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
