@@ -147,3 +147,21 @@ def test_h2_out_of_order_batches_within_lateness(spark, scratch):
     final = out.groupBy("subscription_id").agg(F.max_by("status", "as_of_ms").alias("status"))
     batch = E.fold_states(ev).select("subscription_id", "status")
     assert final.exceptAll(batch).count() + batch.exceptAll(final).count() == 0
+
+
+def test_h2_stream_records_equal_licence_records(spark, scratch):
+    ev = Catalog(spark, SF_SMALL).billing_events_ext
+    src = os.path.join(scratch, "in")
+    _write_parts(ev, src, "ts", 3)
+    sentinel = ev.limit(1).withColumn("event_id", F.lit(-1).cast("long")).withColumn(
+        "ts", F.lit("2030-01-01 00:00:00").cast("timestamp_ntz")).withColumn("subscription_id", F.lit(-1).cast("long"))
+    sentinel.select(*ev.columns).coalesce(1).write.parquet(os.path.join(src, "part999"))
+    stream = (spark.readStream.schema(ev.schema).option("recursiveFileLookup", "true")
+              .option("maxFilesPerTrigger", 1).parquet(src))
+    _run(S.stream_states(stream, "1 hour", allowed_plans=("vpn", "security_vpn")), "h2_rec_out", mode="update",
+         ckpt=os.path.join(scratch, "ck"))
+    out = spark.table("h2_rec_out").filter("subscription_id >= 0")
+    last = out.groupBy("subscription_id").agg(F.max_by(F.struct("status", "expires_at", "plan"), "as_of_ms").alias("r"))
+    got = last.select("subscription_id", "r.*")
+    want = E.licence_records(ev).select("subscription_id", "status", "expires_at", "plan")
+    assert got.exceptAll(want).count() + want.exceptAll(got).count() == 0

@@ -60,42 +60,78 @@ def step(state: str, op: str | None) -> str:
     return TRANSITIONS.get(op, {}).get(state, state) if op else state
 
 
-def _fold_group(key, pdfs, state):
-    """Buffer a key's events until the watermark passes them, then apply them in
-    (ts, event_id) order.  State: current status + buffered events (JSON)."""
-    if state.exists:
-        status, buf = state.get[0], json.loads(state.get[1])
-    else:
-        status, buf = "none", []
-    if not state.hasTimedOut:
-        for pdf in pdfs:
-            for ts, eid, op in zip(pdf["ts"], pdf["event_id"], pdf["op"]):
-                buf.append([int(pd.Timestamp(ts).value // 1000), int(eid), op])
-    wm_us = state.getCurrentWatermarkMs() * 1000
-    buf.sort(key=lambda r: (r[0], r[1]))
-    ready = [r for r in buf if r[0] <= wm_us]
-    buf = [r for r in buf if r[0] > wm_us]
-    before = status
-    for _, _, op in ready:
-        status = step(status, op)
-    state.update((status, json.dumps(buf)))
-    if buf:
-        state.setTimeoutTimestamp(max(r[0] for r in buf) // 1000 + 1)
-    if ready and (status != before or not state.exists):
-        yield pd.DataFrame({"subscription_id": [key[0]], "status": [status],
-                            "applied": [len(ready)], "as_of_ms": [state.getCurrentWatermarkMs()]})
-
-
-def stream_states(stream: DataFrame, lateness: str = "1 hour", key: str = "subscription_id") -> DataFrame:
-    """H2: licence state per subscription as events stream in.
+def _add_year(us: int) -> int:
+    """Calendar year added to epoch microseconds (Feb 29 -> Feb 28)."""
+    t = pd.Timestamp(us, unit="us") + pd.DateOffset(years=1)
+    return int(t.value // 1000)
+
+
+def _apply(rec, ev, plans):
+    """One event on a licence record [status, expiry_us, plan]."""
+    status, expiry, plan = rec
+    _, _, op, kind, pe, ev_plan = ev
+    if op == "K" and status == "none":
+        return ["active", _add_year(ev[0]), ev_plan]
+    if status != "none":
+        if op == "R" and kind == "payment_succeeded":
+            expiry = pe if pe is not None else (_add_year(expiry) if expiry is not None else None)
+        if kind == "subscription_updated" and ev_plan in plans:
+            plan = ev_plan
+    return [step(status, op), expiry, plan]
+
+
+def _fold_group_fn(plans):
+    def fold(key, pdfs, state):
+        """Buffer a key's events until the watermark passes them, then apply them
+        in (ts, event_id) order.  State: the licence record + buffered events."""
+        if state.exists:
+            rec, buf = json.loads(state.get[0]), json.loads(state.get[1])
+        else:
+            rec, buf = ["none", None, None], []
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                pe = pdf["period_end"] if "period_end" in pdf else [None] * len(pdf)
+                pl = pdf["plan"] if "plan" in pdf else [None] * len(pdf)
+                for ts, eid, op, kind, p_end, p in zip(pdf["ts"], pdf["event_id"], pdf["op"], pdf["kind"], pe, pl):
+                    buf.append([int(pd.Timestamp(ts).value // 1000), int(eid), op, kind,
+                                None if p_end is None or pd.isna(p_end) else int(pd.Timestamp(p_end).value // 1000),
+                                None if p is None or (isinstance(p, float) and pd.isna(p)) else p])
+        wm_us = state.getCurrentWatermarkMs() * 1000
+        buf.sort(key=lambda r: (r[0], r[1]))
+        ready = [r for r in buf if r[0] <= wm_us]
+        buf = [r for r in buf if r[0] > wm_us]
+        before = list(rec)
+        for ev in ready:
+            rec = _apply(rec, ev, plans)
+        state.update((json.dumps(rec), json.dumps(buf)))
+        if buf:
+            state.setTimeoutTimestamp(max(r[0] for r in buf) // 1000 + 1)
+        if ready and rec != before:
+            yield pd.DataFrame({"subscription_id": [key[0]], "status": [rec[0]],
+                                "expires_at": [None if rec[1] is None else pd.Timestamp(rec[1], unit="us")],
+                                "plan": [rec[2]], "applied": [len(ready)],
+                                "as_of_ms": [state.getCurrentWatermarkMs()]})
+    return fold
+
+
+def stream_states(stream: DataFrame, lateness: str = "1 hour", key: str = "subscription_id",
+                  allowed_plans=None) -> DataFrame:
+    """H2: the licence record (status, expiry, plan) per subscription as events
+    stream in: the same rules as G1, G5 and G6.
 
     Late events are buffered, not applied out of order: an event is applied once
     the watermark (max event time seen minus ``lateness``) passes it, so results
-    trail event time by ``lateness``.  Emits a row when a key's status changes."""
-    ops = E.billing_ops(event_time(stream)).select(key, "ts", "event_id", "op")
+    trail event time by ``lateness``.  Emits a row when a key's record changes."""
+    ops = E.billing_ops(event_time(stream), allowed_plans)
+    cols = [key, "ts", "event_id", "op", "kind"] + [c for c in ("period_end", "plan") if c in ops.columns]
+    ops = ops.select(*cols)
+    if "period_end" in ops.columns:
+        ops = ops.withColumn("period_end", F.col("period_end").cast("timestamp"))
+    plans = tuple(allowed_plans or P.CHECKOUT_PLANS)
     return (ops.withWatermark("ts", lateness).groupBy(key).applyInPandasWithState(
-        _fold_group, f"{key} long, status string, applied long, as_of_ms long", "status string, buffer string",
-        "Update", GroupStateTimeout.EventTimeTimeout))
+        _fold_group_fn(plans),
+        f"{key} long, status string, expires_at timestamp_ntz, plan string, applied long, as_of_ms long",
+        "record string, buffer string", "Update", GroupStateTimeout.EventTimeTimeout))
 
 
 # ---------------------------------------------------------------------------
