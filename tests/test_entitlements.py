@@ -246,3 +246,17 @@ def test_checkout_needs_email_and_allowed_plan(spark):
         "ts", F.col("ts").cast("timestamp_ntz"))
     got = {r.subscription_id: r.status for r in E.fold_states(ev, allowed_plans=("vpn", "security_vpn")).collect()}
     assert got == {3: "active"}
+
+
+def test_lookup_rejects_malformed_session_ids(spark):
+    lic = spark.createDataFrame([(1, "KEY-00000001", "a@b.test", "pro", 7, "sub_1", "2024-01-01 00:00:00",
+                                  "2025-01-01 00:00:00")],
+                                "id long, key string, email string, plan string, customer_id long, subscription_id string, "
+                                "created_at string, expires_at string")
+    lic = lic.withColumn("created_at", F.col("created_at").cast("timestamp_ntz")).withColumn(
+        "expires_at", F.col("expires_at").cast("timestamp_ntz"))
+    ses = spark.createDataFrame([("cs_" + "a" * 20, "sub_1", 7, True), ("cs_short", "sub_1", 7, True),
+                                 ("xx_" + "a" * 20, "sub_1", 7, True)],
+                                "session_id string, subscription_id string, customer_id long, paid boolean")
+    got = {r.session_id: r.state for r in E.lookup_license(ses, lic, check_session_id=True).collect()}
+    assert got == {"cs_" + "a" * 20: "resolved", "cs_short": "bad_request", "xx_" + "a" * 20: "bad_request"}

@@ -9,6 +9,8 @@ RE2 (the DuckDB oracle) read the same way: no look-around, no back-references.
 DEVICE_ID_RE = r"^[a-zA-Z0-9-]{16,64}$"
 # Longest key or device id accepted before any pattern test.
 MAX_ID_LENGTH = 64
+# Checkout-session ids: this prefix and 20 to 128 characters.
+SESSION_ID_PREFIX, SESSION_ID_MIN, SESSION_ID_MAX = "cs_", 20, 128
 # Licence-key pattern is a parameter; this is the one the fixture views use.
 FIXTURE_KEY_RE = r"^KEY-[0-9]{8}$"
 

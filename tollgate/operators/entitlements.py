@@ -261,9 +261,11 @@ def latest_per(df: DataFrame, key: str, order=("created_at", "id")) -> DataFrame
     return agg.select("_r.*")
 
 
-def lookup_license(sessions: DataFrame, licenses: DataFrame) -> DataFrame:
+def lookup_license(sessions: DataFrame, licenses: DataFrame, check_session_id: bool = False) -> DataFrame:
     """Resolve each paid checkout session to a licence: by subscription first,
-    then the customer's latest licence; otherwise pending.  Key and e-mail masked."""
+    then the customer's latest licence; otherwise pending.  Key and e-mail masked.
+    With ``check_session_id``, malformed session ids (prefix, length) are
+    ``bad_request`` before any lookup."""
     lic_cols = ["id", "key", "email", "plan", "expires_at"]
     by_sub = licenses.select(F.col("subscription_id").alias("_s_sub"),
                              *[F.col(c).alias(f"_s_{c}") for c in lic_cols])
@@ -277,9 +279,14 @@ def lookup_license(sessions: DataFrame, licenses: DataFrame) -> DataFrame:
                "left"))
     via = F.when(F.col("_s_id").isNotNull(), "subscription").when(F.col("_c_id").isNotNull(), "customer")
     pick = {c: F.coalesce(F.col(f"_s_{c}"), F.col(f"_c_{c}")) for c in lic_cols}
+    state = F.when(via.isNull(), "pending").otherwise("resolved")
+    if check_session_id:
+        sid = F.col("session_id").cast("string")
+        ok = (sid.startswith(P.SESSION_ID_PREFIX) & (F.length(sid) >= P.SESSION_ID_MIN)
+              & (F.length(sid) <= P.SESSION_ID_MAX))
+        state = F.when(~F.coalesce(ok, F.lit(False)), "bad_request").otherwise(state)
     return j.select(
-        "session_id", pick["id"].alias("license_id"), via.alias("resolved_by"),
-        F.when(via.isNull(), "pending").otherwise("resolved").alias("state"),
+        "session_id", pick["id"].alias("license_id"), via.alias("resolved_by"), state.alias("state"),
         mask_key(pick["key"]).alias("masked_key"), mask_email(pick["email"]).alias("masked_email"),
         pick["plan"].alias("plan"), pick["expires_at"].alias("expires_at"))
 
