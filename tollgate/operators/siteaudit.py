@@ -158,12 +158,13 @@ def _internal_targets(links: DataFrame, skip_prefixes=P.LINK_SKIP_PREFIXES,
 def resolve_links(links: DataFrame, paths: DataFrame, skip_prefixes=P.LINK_SKIP_PREFIXES) -> DataFrame:
     """Internal links with the page they resolve to (``dst_page_id`` NULL when
     none of the target, target + '.html', target + '/index.html' exists)."""
-    t = _internal_targets(links, skip_prefixes).distinct()
+    t = _internal_targets(links, skip_prefixes)
     cand = t.select("page_id", "href", "target", F.posexplode(candidate_paths("target")).alias("_i", "_cand"))
     known = paths.select(F.col("path").alias("_cand"), F.col("page_id").alias("_dst"))
-    hit = (cand.join(known, "_cand").groupBy("page_id", "href", "target")
-           .agg(F.min_by("_dst", "_i").alias("dst_page_id")))
-    return t.join(hit, ["page_id", "href", "target"], "left")
+    # the left join keeps every candidate, so one aggregation per link yields
+    # both hits (first matching candidate) and misses (NULL), and dedups links
+    return (cand.join(known, "_cand", "left").groupBy("page_id", "href", "target")
+            .agg(F.min_by("_dst", F.when(F.col("_dst").isNotNull(), F.col("_i"))).alias("dst_page_id")))
 
 
 def broken_links(links: DataFrame, paths: DataFrame, skip_prefixes=P.LINK_SKIP_PREFIXES) -> DataFrame:
