@@ -21,6 +21,9 @@ def render(d: dict) -> str:
         "At this size every input table is one Parquet row group (one scan task each) and Spark's fixed",
         "cost per job (planning, stage scheduling, ~0.1–0.3 s per shuffle stage on one machine) dominates;",
         "the plans are built for many-file inputs on a cluster, where the same shuffles run in parallel.",
+        "Run-to-run variation on this host is large (about ±30% for the same code and settings, from other",
+        "load on the machine: the same 113 queries measured 53 s and 78 s an hour apart); compare queries",
+        "within one run rather than across runs.",
         "",
         "| query | Spark s | DuckDB s |",
         "|---|---:|---:|",
