@@ -102,3 +102,17 @@ def test_scale_conf_sizes_partitions():
     c = scale_conf(100 * 1024 ** 4, 8000)
     assert int(c["spark.sql.shuffle.partitions"]) == 409600
     assert int(scale_conf(10, 8)["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_exact_percentile_with_duplicates_and_signs(spark):
+    import statistics
+    vals = [-5.5, -5.5, -0.001, 0.0, 0.0, 0.0, 1e-300, 3.0, 3.0, 3.0, 3.0, 7.25, 1e12]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    for q in (0.0, 0.1, 0.5, 0.77, 1.0):
+        got = exact_percentile(df, "x", q).first()[0]
+        s = sorted(vals)
+        pos = q * (len(s) - 1)
+        lo, hi = math.floor(pos), math.ceil(pos)
+        want = s[lo] + (s[hi] - s[lo]) * (pos - lo)
+        assert math.isclose(got, want, rel_tol=1e-12, abs_tol=1e-300), (q, got, want)
+    assert statistics.median(vals) == exact_percentile(df, "x", 0.5).first()[0]

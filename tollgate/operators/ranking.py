@@ -45,19 +45,44 @@ def dense_rank_ordered(df: DataFrame, order: list[str], num_partitions: int | No
     return out.drop(*drop)
 
 
-def exact_percentile(df: DataFrame, value: str, q: float, num_partitions: int | None = None) -> DataFrame:
+def exact_percentile(df: DataFrame, value: str, q: float, piece_bits: int = 8) -> DataFrame:
     """One-row frame with the exact ``q`` percentile of ``value`` (linear
-    interpolation between closest ranks, as SQL percentile_cont).  Rows with a
-    NULL value are ignored; an empty input gives NULL."""
-    v = df.select(F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
-    r = dense_rank_ordered(v, ["_v"], num_partitions, "_r", with_total=True)
+    interpolation between closest ranks, as SQL percentile_cont).  NULLs are
+    ignored; an empty input gives NULL.
+
+    Rows are first counted per distinct value (partial aggregation collapses a
+    hot value to one row per task); distinct values are then cut into
+    deterministic pieces by their rounded magnitude, cumulative counts run per
+    piece, and the counts of earlier pieces (one row per piece) are added.  No
+    task ever holds more than one piece of distinct values."""
+    v = df.select(F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    counts = v.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    # order-preserving piece id: sign, then log2 of the magnitude in steps of
+    # 2^-piece_bits (a piece spans a factor 2^(2^-piece_bits) of values); the
+    # offset keeps every non-zero magnitude of a double on its sign's side of 0
+    steps = 1 << piece_bits
+    offset = float(steps * 1100)          # > steps * 1074 (smallest double's exponent)
+    piece = F.when(F.col("_v") == 0, F.lit(0.0)).otherwise(
+        F.signum("_v") * (F.floor(F.log2(F.abs("_v")) * steps) + F.lit(offset)))
+    counts = counts.withColumn("_p", piece)
+    w = Window.partitionBy("_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    local = counts.withColumn("_cum", F.sum("_n").over(w))
+    per = counts.groupBy("_p").agg(F.sum("_n").alias("_pn"))
+    off = per.select("_p", F.coalesce(F.sum("_pn").over(
+        Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.sum("_pn").over(Window.partitionBy(F.lit(0))).alias("_total"))
+    ranked = local.join(off, "_p").select("_v", (F.col("_off") + F.col("_cum")).alias("_hi_rank"),
+                                          (F.col("_off") + F.col("_cum") - F.col("_n") + 1).alias("_lo_rank"),
+                                          "_total")
     pos = F.lit(q) * (F.col("_total") - 1)
     lo, hi = F.floor(pos) + 1, F.ceil(pos) + 1
-    pick = r.filter((F.col("_r") == lo) | (F.col("_r") == hi))
-    g = pick.agg(F.min_by("_v", "_r").alias("_lo"), F.max_by("_v", "_r").alias("_hi"),
-                 F.first(pos).alias("_pos"))
+    hit_lo = (F.col("_lo_rank") <= lo) & (lo <= F.col("_hi_rank"))
+    hit_hi = (F.col("_lo_rank") <= hi) & (hi <= F.col("_hi_rank"))
+    g = ranked.filter(hit_lo | hit_hi).agg(
+        F.max(F.when(hit_lo, F.col("_v"))).alias("_vlo"), F.max(F.when(hit_hi, F.col("_v"))).alias("_vhi"),
+        F.first(pos).alias("_pos"))
     frac = F.col("_pos") - F.floor("_pos")
-    return g.select((F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias(value))
+    return g.select((F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac).alias(value))
 
 
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
