@@ -1,10 +1,17 @@
-"""Global ranks and exact quantiles without a single-partition window.
-
-``Window.orderBy`` with no ``partitionBy`` moves every row into one task; these
-helpers range-partition instead, number rows inside each partition, and add the
-row count of earlier partitions.  Only the per-partition counts (one row per
-partition, a bound set by the partition count, not by the data) form a small
-table that is broadcast back.
+"""Ordered computations without a single-partition or single-key window.
+
+``Window.orderBy`` with no ``partitionBy`` moves every row into one task, and a
+window partitioned by a hot key moves a third of the data into one task.  The
+helpers here cut the order into pieces, work inside each piece, and add the
+totals of earlier pieces from a small table (one row per piece):
+
+* ``rank_by_id``: global rank by a unique integer id, pieces = id >> bits;
+* ``exact_percentile``: counts per distinct value, pieces = rounded log2 of the
+  value (order-preserving);
+* ``running_by_key`` / ``lag_by_key``: running sum/max/min and lag per key,
+  pieces = time buckets of the key's events;
+* ``dense_rank_ordered``: general multi-column order via range partitions
+  (materialised once, since its sampled bounds must not be recomputed).
 """
 
 from __future__ import annotations
