@@ -1,6 +1,7 @@
 """Micro fixtures and properties for capacity and metric operators."""
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_MID
@@ -116,3 +117,13 @@ def test_exact_percentile_with_duplicates_and_signs(spark):
         want = s[lo] + (s[hi] - s[lo]) * (pos - lo)
         assert math.isclose(got, want, rel_tol=1e-12, abs_tol=1e-300), (q, got, want)
     assert statistics.median(vals) == exact_percentile(df, "x", 0.5).first()[0]
+
+
+def test_rank_by_id_dense_and_sparse(spark):
+    from tollgate.operators.ranking import rank_by_id
+    dense = spark.range(0, 5000).select((F.col("id") * 3 + 7).alias("k"))
+    sparse = spark.range(0, 3000).select((F.col("id") * 3074457345618258 - 4611686018427387904).alias("k"))
+    for df in (dense, sparse):
+        r = rank_by_id(df, "k", "rk", max_pieces=64)
+        want = df.select("k", F.row_number().over(Window.orderBy("k")).alias("rk"))  # reference only
+        assert r.exceptAll(want).count() == 0 and want.exceptAll(r).count() == 0

@@ -156,18 +156,26 @@ def lag_by_key(df: DataFrame, key: list[str], order: list[str], value: str, name
         .drop("_piece", "_lag", "_rn", "_prev_piece")
 
 
-def rank_by_id(df: DataFrame, id_col: str, name: str = "rank", piece_bits: int = 20) -> DataFrame:
+def rank_by_id(df: DataFrame, id_col: str, name: str = "rank", piece_bits: int | None = None,
+               max_pieces: int = 1 << 20) -> DataFrame:
     """1-based position by a unique integer column, from deterministic pieces.
 
-    Piece = id >> ``piece_bits``, so a piece holds at most 2^piece_bits rows; rows
-    are numbered inside their piece and the counts of earlier pieces (one row
-    per non-empty piece) are added.  Deterministic, so no materialisation is
-    needed even though the data is read twice."""
+    Piece = id >> ``piece_bits``; rows are numbered inside their piece and the
+    counts of earlier pieces (one row per non-empty piece) are added.  When
+    ``piece_bits`` is not given it is derived from the id range (one small
+    min/max aggregate) so that there are at most ``max_pieces`` pieces: dense
+    ids give pieces of at most 2^bits rows, sparse ids spread over the range.
+    Deterministic, so no materialisation is needed although the data is read
+    twice."""
+    if piece_bits is None:
+        lo, hi = df.agg(F.min(id_col), F.max(id_col)).first()
+        span = 0 if lo is None else int(hi) - int(lo) + 1
+        piece_bits = max(0, (span // max_pieces).bit_length())
     piece = F.shiftright(F.col(id_col), piece_bits)
     d = df.withColumn("_piece", piece)
     local = d.withColumn("_local", F.row_number().over(Window.partitionBy("_piece").orderBy(id_col)))
     counts = d.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per piece; ordered prefix sum over the (small) piece table
+    # one row per piece (at most max_pieces): ordered prefix sum over the piece table
     offsets = counts.select("_piece", F.coalesce(F.sum("_n").over(
         Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     return (local.join(offsets, "_piece").withColumn(name, F.col("_off") + F.col("_local"))
