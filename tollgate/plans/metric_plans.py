@@ -251,3 +251,13 @@ FROM (SELECT client_id, ts, CASE WHEN starts_with(route, '/purchase') THEN 'chec
 WHERE limiter IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > max(lim)""")
 def h3g(c):
     return M.rate_limit_audit(c.request_log, LIMIT_GROUPS, "1 day")
+
+
+@register("d10_log_line_counter", views=("access_log_rows",), oracle="""
+SELECT method, coalesce(regexp_replace(path, '\\?.*$', ''), 'unmatched') AS route, status, count(*) AS value
+FROM access_log_rows GROUP BY 1, 2, 3""")
+def d10l(c):
+    # access-log text -> columns (A4) -> route label (B14) -> counter by method/route/status
+    from tollgate.sources import readers as R
+    parsed = R.parse_access_log(R.render_access_log(c.access_log_rows))
+    return M.counter(parsed.withColumn("route", normalize_route("path")), ["method", "route", "status"])

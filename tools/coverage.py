@@ -45,7 +45,7 @@ COVERAGE = {
     "D7": ("capacity.least_loaded", ["d7_least_loaded"], ""),
     "D8": ("capacity.reconcile_summary (ROLLUP)", ["d8_reconcile_summary"], ""),
     "D9": ("metrics.device_counts", ["d9_device_counts"], ""),
-    "D10": ("metrics.counter", ["d10_request_counter"], ""),
+    "D10": ("metrics.counter", ["d10_request_counter", "d10_log_line_counter"], "log lines -> parse -> counter"),
     "D11": ("metrics.counter over validation_outcome", ["d11_validation_counter"], ""),
     "D12": ("metrics.counter", ["d12_provisioned_by_plan"], ""),
     "D13": ("metrics.counter over billing results", ["d13_billing_counter"], ""),
