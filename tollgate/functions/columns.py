@@ -9,6 +9,7 @@ from tollgate.functions import patterns as P
 
 
 def col(c) -> Column:
+    """A column from a name, or the column itself."""
     return F.col(c) if isinstance(c, str) else c
 
 
@@ -20,14 +21,17 @@ def ts_lit(ts) -> Column:
 
 
 def minutes(n) -> Column:
+    """Day-time interval of ``n`` minutes."""
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(n))
 
 
 def hours(n) -> Column:
+    """Day-time interval of ``n`` hours."""
     return F.make_dt_interval(F.lit(0), F.lit(n))
 
 
 def days(n) -> Column:
+    """Day-time interval of ``n`` days."""
     return F.make_dt_interval(F.lit(n))
 
 
@@ -60,6 +64,7 @@ def order_key(ts, tiebreak) -> Column:
 
 
 def seconds_between(later, earlier) -> Column:
+    """Seconds from ``earlier`` to ``later`` (double, microsecond precision)."""
     return epoch_seconds(later) - epoch_seconds(earlier)
 
 
@@ -69,6 +74,7 @@ KEY_KEEP_HEAD, KEY_KEEP_TAIL, KEY_MASK_MIDDLE = 5, 4, "****-****-****-"
 
 
 def mask_key(c, middle: str = KEY_MASK_MIDDLE) -> Column:
+    """Key masked to its first 5 and last 4 characters."""
     c = col(c)
     return F.concat(F.substring(c, 1, KEY_KEEP_HEAD), F.lit(middle),
                     F.substring(c, -KEY_KEEP_TAIL, KEY_KEEP_TAIL))
@@ -91,6 +97,7 @@ def mask_url_secret(c) -> Column:
 
 # ---- B3: platform from user agent -------------------------------------------------
 def classify_platform(ua) -> Column:
+    """desktop / android / unknown from a user-agent string."""
     ua = F.coalesce(col(ua), F.lit(""))
     return (F.when(ua.contains("Electron"), "desktop")
             .when(ua.contains("Android"), "android").otherwise("unknown"))
@@ -98,6 +105,7 @@ def classify_platform(ua) -> Column:
 
 # ---- B14: route label -------------------------------------------------------------
 def normalize_route(route) -> Column:
+    """Route label without its query string; ``unmatched`` when missing."""
     return F.coalesce(F.regexp_replace(col(route), r"\?.*$", ""), F.lit(P.UNMATCHED_ROUTE))
 
 
@@ -108,6 +116,7 @@ def strip_hash_query(href) -> Column:
 
 
 def is_external(clean) -> Column:
+    """True for http(s), protocol-relative, mailto: and tel: targets."""
     clean = col(clean)
     return (clean.startswith("http") | clean.startswith("mailto:")
             | clean.startswith("tel:") | clean.startswith("//"))
@@ -162,6 +171,7 @@ def trim_ws(c) -> Column:
 
 
 def word_count(c) -> Column:
+    """Number of whitespace-separated words (ASCII whitespace)."""
     return F.size(F.regexp_extract_all(col(c), F.lit(r"([^ \t\n\r\f]+)"), 1))
 
 

@@ -131,6 +131,7 @@ def page_links(audit: DataFrame, distinct: bool = True) -> DataFrame:
 
 
 def link_class(href: Column) -> Column:
+    """anchor / external / mail_tel / internal, from the href without its # and ? parts."""
     clean = strip_hash_query(href)
     return (F.when(clean == "", "anchor")
             .when(clean.startswith("http") | clean.startswith("//"), "external")

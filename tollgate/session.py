@@ -35,6 +35,7 @@ DEFAULT_CONF = {
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "tollgate", extra: dict | None = None) -> SparkSession:
+    """A session with the defaults above (plus ``extra``); reuses an active one."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)

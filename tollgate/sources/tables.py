@@ -43,6 +43,7 @@ TABLES = tuple(SCHEMAS)
 
 
 def table_path(sf_dir: str, name: str) -> str:
+    """Parquet file of one table in a scale-factor folder."""
     return os.path.join(sf_dir, f"{name}.parquet")
 
 

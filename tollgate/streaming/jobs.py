@@ -21,6 +21,7 @@ from tollgate.operators import metrics as M
 
 
 def event_time(stream: DataFrame, ts: str = "ts") -> DataFrame:
+    """The event-time column as TIMESTAMP, as watermarks require (wall clock unchanged in UTC)."""
     return stream.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
@@ -57,6 +58,7 @@ TRANSITIONS = {
 
 
 def step(state: str, op: str | None) -> str:
+    """Next licence state after one operation (unchanged for no-ops)."""
     return TRANSITIONS.get(op, {}).get(state, state) if op else state
 
 
@@ -193,6 +195,7 @@ def merge_device_deltas(deltas: DataFrame) -> DataFrame:
 
 
 def delta_path(root: str, batch_id: int) -> str:
+    """Folder of one micro-batch's device delta."""
     return os.path.join(root, f"batch={batch_id:010d}")
 
 
