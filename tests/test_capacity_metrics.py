@@ -127,3 +127,17 @@ def test_rank_by_id_dense_and_sparse(spark):
         r = rank_by_id(df, "k", "rk", max_pieces=64)
         want = df.select("k", F.row_number().over(Window.orderBy("k")).alias("rk"))  # reference only
         assert r.exceptAll(want).count() == 0 and want.exceptAll(r).count() == 0
+
+
+def test_counter_samples_per_scrape_interval_with_daily_reset(spark):
+    rows = [(i, ts, "/a") for i, ts in enumerate(["2024-01-01 23:59:40", "2024-01-01 23:59:44",
+                                                   "2024-01-01 23:59:50", "2024-01-02 00:00:03"])]
+    log = spark.createDataFrame(rows, "request_id long, ts string, route string").withColumn(
+        "ts", F.col("ts").cast("timestamp_ntz"))
+    got = [(str(r.ts), r.value) for r in M.counter_samples(log, ["route"]).orderBy("ts").collect()]
+    # two requests in [23:59:30, 23:59:45), one more in [23:59:45, 00:00:00); the counter restarts at midnight
+    assert got == [("2024-01-01 23:59:45", 2.0), ("2024-01-02 00:00:00", 3.0), ("2024-01-02 00:00:15", 1.0)]
+    rate = {str(r.window_start): r.increase for r in M.counter_rate(M.counter_samples(log, ["route"]), ["route"],
+                                                                     "5 minutes").collect()}
+    # first sample has no predecessor; +1 before midnight; the reset counts its new value in full
+    assert rate == {"2024-01-01 23:55:00": 0.0, "2024-01-02 00:00:00": 2.0}
