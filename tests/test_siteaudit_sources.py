@@ -205,3 +205,15 @@ def test_audit_sink_partitions_by_date_and_schema_alignment(spark, scratch):
     old = spark.createDataFrame([(2, "b")], "id long, status string")
     aligned = R.align_schema(old, new.schema).unionByName(new)
     assert {(r.id, r.node_id) for r in aligned.collect()} == {(1, 5), (2, None)}
+
+
+def test_jsonld_types_strict_reads_only_top_level_and_graph(spark):
+    a = K.audit_pages(_pages(spark))
+    strict = {r.path: (sorted(r.types), r.missing_types) for r in K.jsonld_types_strict(a).collect()}
+    # FAQPage sits under mainEntity: found by the lenient pattern form, not by the strict one
+    assert strict["/index.html"] == (["Article", "BreadcrumbList"], ["FAQPage"])
+    assert strict["/pricing.html"][0] == []                     # the block does not parse
+    graph = spark.createDataFrame([(1, "/g.html", '<script type="application/ld+json">{"@graph": [{"@type": "FAQPage"}, '
+                                   '{"@type": ["Article", "BreadcrumbList"]}]}</script>')], "page_id long, url string, html string")
+    g = K.jsonld_types_strict(K.audit_pages(graph)).first()
+    assert sorted(g.types) == ["Article", "BreadcrumbList", "FAQPage"] and g.missing_types == []

@@ -120,6 +120,28 @@ def jsonld_types(audit: DataFrame, required=P.REQUIRED_JSONLD_TYPES) -> DataFram
         F.array_except(F.array(*[F.lit(t) for t in required]), F.col("types")).alias("missing_types"))
 
 
+def _variant_types(v: Column) -> Column:
+    """``@type`` of a parsed JSON object as an array (a string or an array of strings)."""
+    arr = F.try_variant_get(v, "$['@type']", "array<string>")
+    one = F.try_variant_get(v, "$['@type']", "string")
+    return F.when(arr.isNotNull(), arr).when(one.isNotNull(), F.array(one)).otherwise(
+        F.array().cast("array<string>"))
+
+
+def jsonld_types_strict(audit: DataFrame, required=P.REQUIRED_JSONLD_TYPES) -> DataFrame:
+    """K7 read as JSON (VARIANT): the types of each block's top-level object and
+    of its ``@graph`` items only; a type mentioned deeper (e.g. under
+    ``mainEntity``) does not count.  :func:`jsonld_types` is the lenient form."""
+    def block_types(b):
+        v = F.try_parse_json(b)
+        graph = F.coalesce(F.try_variant_get(v, "$['@graph']", "array<variant>"), F.array().cast("array<variant>"))
+        return F.concat(_variant_types(v), F.flatten(F.transform(graph, _variant_types)))
+    types = F.array_distinct(F.flatten(F.transform(F.col("jsonld"), block_types)))
+    return audit.select("page_id", "path", types.alias("types")).select(
+        "page_id", "path", "types",
+        F.array_except(F.array(*[F.lit(t) for t in required]), F.col("types")).alias("missing_types"))
+
+
 # ---------------------------------------------------------------------------
 # links
 # ---------------------------------------------------------------------------

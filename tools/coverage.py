@@ -93,7 +93,7 @@ COVERAGE = {
     "K4": ("siteaudit.audit_pages.canonical", ["k4_canonical"], ""),
     "K5": ("siteaudit.audit_pages.missing_tags", ["k5_social_tags"], ""),
     "K6": ("siteaudit.audit_pages.jsonld/n_bad_jsonld", ["k6_jsonld"], ""),
-    "K7": ("siteaudit.jsonld_types", ["k7_jsonld_types"], ""),
+    "K7": ("siteaudit.jsonld_types, jsonld_types_strict", ["k7_jsonld_types"], "strict VARIANT form tested on fixtures"),
     "K8": ("siteaudit.audit_pages.links, page_links", ["k8_links"], ""),
     "K9": ("siteaudit.audit_pages.assets", ["k9_assets"], ""),
     "K10": ("siteaudit.broken_links, resolve_links", ["k10_broken_links"], "relative-path fixture"),
