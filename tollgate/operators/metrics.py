@@ -78,9 +78,11 @@ def histogram_quantile(hist: DataFrame, labels, qs=(0.5, 0.95, 0.99)) -> DataFra
     h = h.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
     rank = F.col("q") * F.col("total")
     hit = h.filter(F.col("cum_count") >= rank)
-    first = hit.groupBy(*labels, "q").agg(F.min_by(F.struct("le_value", "cum_count", "prev_cum", "prev_le",
-                                                           "total"), F.col("le_value")).alias("b"))
-    b = lambda f: F.col(f"b.{f}")
+    # the first bucket reaching the rank; each numeric field by its own min_by
+    # (fixed-width buffers: a hash aggregate)
+    fields = ("le_value", "cum_count", "prev_cum", "prev_le", "total")
+    first = hit.groupBy(*labels, "q").agg(*[F.min_by(f, "le_value").alias(f"_b_{f}") for f in fields])
+    b = lambda f: F.col(f"_b_{f}")
     in_bucket = b("cum_count") - b("prev_cum")
     interp = b("prev_le") + (b("le_value") - b("prev_le")) * (
         (F.col("q") * b("total") - b("prev_cum")) / F.when(in_bucket > 0, in_bucket))

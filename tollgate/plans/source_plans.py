@@ -95,10 +95,9 @@ def a8(c):
 def _transfer_audit(c):
     d = E.transfer_decision(c.transfer_requests, c.transfer_licenses, as_of="ts")
     first = (d.filter(F.col("decision") == "allowed").groupBy("license_id")
-             .agg(F.min(F.struct("ts", "request_id")).alias("_t")))
+             .agg(F.min_by("ts", order_key("ts", "request_id")).alias("ts")))
     return first.select(F.lit("device_transfer").alias("action"), F.lit("license").alias("entity_type"),
-                        F.col("license_id").alias("entity_id"), F.lit("transfer").alias("details"),
-                        F.col("_t.ts").alias("ts"))
+                        F.col("license_id").alias("entity_id"), F.lit("transfer").alias("details"), "ts")
 
 
 def _cleanup_audit(c):
