@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tollgate.llm.common import SPACE_CHARS, let, small, text_of, words
+from tollgate.llm.common import SPACE, let, small, staged, text_of, words
 
 BUCKETS = 10_000
 DEVIATIONS = 4.0
@@ -50,36 +50,46 @@ def _repeated_window_words(h: Column) -> Column:
             lambda s, x: F.struct(x.alias("last"), (s["sum"] + F.least(long(3), x - s["last"])).alias("sum")))["sum"]
 
     bits = F.length(F.bin(F.size(h).cast("long")))
-    return F.when(F.size(h) < 3, long(0)).otherwise(let(h, lambda x: let(bits, lambda b: found(x, b))))
+    windows = F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h) - 1), lambda a, b: F.xxhash64(a, b))
+    windows = let(windows, lambda v: F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(h, 3, F.size(h) - 2), lambda a, b: F.xxhash64(a, b)))
+    # most documents end here: all windows differ
+    none = let(windows, lambda v: F.size(F.array_distinct(v)) == F.size(v))
+    return F.when(F.size(h) < 4, long(0)).when(none, long(0)).otherwise(let(h, lambda x: let(bits, lambda b: found(x, b))))
+
+
+def _prepared(docs: DataFrame, text: str) -> DataFrame:
+    """Adds the text, its words and the words' hashes."""
+    docs = docs.withColumn("__t", text_of(text)).withColumn("__w", words(F.col("__t")))
+    return docs.withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w)))
 
 
 def base(docs: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; needs `__t` and `__w`."""
-    t = F.col("__t")
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0)
-    docs = docs.withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w))).withColumn("__l", lines)
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    lines = F.filter(F.split("__t", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
+    docs = docs.withColumn("__l", lines)
     docs = docs.withColumns({
         "n_words": F.size("__w").cast("long"),
-        "word_chars": F.length(F.translate(t, SPACE_CHARS, "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join("__w", "")).cast("long"),
+        "n_symbols": F.length(F.regexp_replace("__t", f"[^{SYMBOLS}]+", "")).cast("long"),
         "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
         "n_repeat_words": _repeated_window_words(F.col("__h"))})
     return docs.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop("__l")
 
 
-def _grams(w: Column, buckets: int) -> Column:
+def _grams(buckets: int) -> Column:
     """Buckets of the words, the word pairs and the words' last three characters."""
-    bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(buckets)).cast("int")
-    return let(w, lambda v: F.concat(
-        F.transform(v, lambda x: bucket(F.lit(1), x)),
-        F.transform(F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0))), lambda x, i: bucket(F.lit(2), x, F.get(v, i + 1))),
-        F.transform(v, lambda x: bucket(F.lit(3), F.right(x, F.lit(3))))))
+    bucket = lambda x: F.pmod(x, F.lit(buckets)).cast("int")
+    h = F.col("__h")
+    pairs = F.zip_with(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), F.slice(h, 2, F.size(h)),
+                       lambda a, b: bucket(F.xxhash64(a, b)))
+    ends = F.transform("__w", lambda x: bucket(F.xxhash64(F.lit(3), F.right(x, F.lit(3)))))
+    return F.concat(F.transform(h, bucket), pairs, ends)
 
 
-def fit(docs: DataFrame, trusted: DataFrame, n_trusted: int, buckets: int = BUCKETS) -> list[float]:
+def fit(docs: DataFrame, trusted: DataFrame, n_trusted: int, buckets: int) -> list[float]:
     """The buckets' log ratios, counted over every document; `trusted` has distinct doc_ids."""
     marked = docs.join(small(trusted.withColumn("__good", F.lit(1)), n_trusted, 24), "doc_id", "left")
-    counts = (marked.select(F.explode(_grams(F.col("__w"), buckets)).alias("b"), "__good")
+    counts = (marked.select(F.explode(_grams(buckets)).alias("b"), "__good")
               .groupBy("b").agg(F.count("*").alias("raw"), F.count("__good").alias("good")).collect())
     raw, good = [1] * buckets, [1] * buckets  # one added to each bucket
     for b, r, g in counts:  # at most `buckets` rows
@@ -91,39 +101,50 @@ def fit(docs: DataFrame, trusted: DataFrame, n_trusted: int, buckets: int = BUCK
     return [math.log(g) - math.log(r) + shift for g, r in zip(good, raw)]
 
 
-def score(w: Column, ratios: list[float]) -> Column:
+def score(ratios: list[float]) -> Column:
     """Mean log ratio of the document's n-grams; 0 without any."""
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")  # a constant of the plan
-    mean = let(_grams(w, len(ratios)), lambda g: F.aggregate(g, F.lit(0.0), lambda s, b: s + F.get(table, b)) / F.size(g))
-    return F.when(F.size(w) > 0, mean).otherwise(0.0)
+    mean = let(_grams(len(ratios)), lambda g: F.aggregate(g, F.lit(0.0), lambda s, b: s + F.get(table, b)) / F.size(g))
+    return F.when(F.size("__w") > 0, mean).otherwise(0.0)
 
 
-def judge(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, deviations: float = DEVIATIONS,
-          text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """All columns of `docs`, then the base figures, `score` and `kept`.
-
-    `trusted` names the target documents by doc_id.  The documents' columns are set aside
-    under `row` while the figures are made, so their names can't clash with them.
-    """
-    work = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("doc_id"), text_of(text).alias("__t"))
-    work = work.withColumn("__w", words(F.col("__t")))
-    trusted = trusted.select(F.col(doc_id).alias("doc_id")).where("doc_id is not null").distinct()
-    n_trusted = trusted.count()
-    ratios = fit(work.select("doc_id", "__w"), trusted, n_trusted, buckets)
-    mark = small(trusted, n_trusted, 24)
-    own = work.select("doc_id", score(F.col("__w"), ratios).alias("s")).join(mark, "doc_id", "left_semi")
+def least_score(scored: DataFrame, trusted: DataFrame, n_trusted: int, deviations: float) -> float:
+    """mean - `deviations` standard deviations of the trusted documents' scores (doc_id, score)."""
+    own = scored.join(small(trusted, n_trusted, 24), "doc_id", "left_semi")
     # sums of millionths: the same in any order of the rows
-    m = own.select(F.round(F.col("s") * 1e6).cast("long").alias("s")).agg(
-        F.count("*").alias("n"), F.sum(F.col("s").cast("decimal(20,0)")).alias("a"),
-        F.sum((F.col("s") * F.col("s")).cast("decimal(38,0)")).alias("b")).first()
-    if m["n"]:
-        mean = float(m["a"]) / m["n"]
-        least = (mean - deviations * math.sqrt(max(0.0, float(m["b"]) / m["n"] - mean * mean))) / 1e6
-    else:
-        least = -math.inf
-    out = base(work).withColumn("score", score(F.col("__w"), ratios))
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(least)))
-    return out.drop("doc_id", "__t", "__w", "__h")
+    s = F.round(F.col("score") * 1e6).cast("decimal(18,0)")
+    m = own.agg(F.count("*").alias("n"), F.sum(s).alias("a"), F.sum(s * s).alias("b")).first()
+    if not m["n"]:
+        return -math.inf
+    mean = float(m["a"]) / m["n"]
+    return (mean - deviations * math.sqrt(max(0.0, float(m["b"]) / m["n"] - mean * mean))) / 1e6
+
+
+def _trusted(trusted: DataFrame) -> tuple[DataFrame, int]:
+    trusted = trusted.select("doc_id").where("doc_id is not null").distinct()
+    return trusted, trusted.count()
+
+
+def report(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, deviations: float = DEVIATIONS) -> DataFrame:
+    """One row per document: doc_id, the base figures, base_failed, score, kept."""
+    trusted, n = _trusted(trusted)
+    work = _prepared(docs.select("doc_id", "text"), "text")
+    ratios = fit(work, trusted, n, buckets)
+    out = staged(base(work).withColumn("score", score(ratios)).drop("text", "__t", "__w", "__h"))
+    least = least_score(out, trusted, n, deviations)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(least)))
+
+
+def keep(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, deviations: float = DEVIATIONS) -> DataFrame:
+    """The documents that pass, with their own columns, whatever their names."""
+    names = docs.columns
+    trusted, n = _trusted(trusted)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", "text")
+    work = _prepared(rows, "text")
+    ratios = fit(work.drop("row"), trusted, n, buckets)
+    least = least_score(staged(work.select("doc_id", score(ratios).alias("score"))), trusted, n, deviations)
+    passed = base(work).where(~F.col("base_failed")).where(score(ratios) >= F.lit(least))
+    return passed.select("row.*")
 
 
 def trusted_documents(labels: DataFrame) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from tollgate.llm import exact_dedup, quality_rules, url_filter
+from tollgate.llm import exact_dedup, minhash_dedup, mixing, quality_rules, url_filter
 from tollgate.llm.common import table
 
 #: The rules of the url query.
@@ -16,11 +14,13 @@ def op1(spark, sf_dir):
     return exact_dedup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5(spark, sf_dir):
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op6(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = quality_rules.judge(docs, quality_rules.trusted_documents(table(spark, sf_dir, "labels")))
-    return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                      "base_failed", "kept", "score")
+    return quality_rules.report(table(spark, sf_dir, "documents"),
+                                quality_rules.trusted_documents(table(spark, sf_dir, "labels")))
 
 
 def op9(spark, sf_dir):
@@ -28,7 +28,11 @@ def op9(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
 
 
-QUERIES = {"op1_exact_dedup": op1, "op6_quality_rules": op6, "op9_url_filter": op9}
+def op10(spark, sf_dir):
+    return minhash_dedup.groups(table(spark, sf_dir, "documents"), k=2)
+
+
+QUERIES = {"op10_minhash_dedup": op10, "op1_exact_dedup": op1, "op5_mixing": op5, "op6_quality_rules": op6, "op9_url_filter": op9}
 
 ORACLE = {
     "op1_exact_dedup": """
