@@ -16,14 +16,16 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 
 @lru_cache
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random 64-bit value per byte (as is, and with A-Z lower-cased); which bytes are spaces."""
+    """A random 64-bit value per byte (as is, and with A-Z lower-cased); each byte's kind:
+    0 space, 1 letter, digit or part of a longer code, 2 other ASCII."""
     rng = np.random.Generator(np.random.PCG64(20240))
     as_is = rng.integers(0, 1 << 64, 256, dtype=np.uint64)
     lower = as_is.copy()
     lower[65:91] = as_is[97:123]
-    space = np.zeros(256, bool)
-    space[[32, 9, 10, 11, 12, 13]] = True
-    return as_is, lower, space
+    kinds = np.ones(256, np.uint8)
+    kinds[[b for b in range(128) if not chr(b).isalnum()]] = 2
+    kinds[[32, 9, 10, 11, 12, 13]] = 0
+    return as_is, lower, kinds
 
 
 _powers: dict[str, np.ndarray] = {}
@@ -69,29 +71,28 @@ def slices(offsets: np.ndarray, size: int = SLICE) -> Iterator[tuple[int, int]]:
         start = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of a slice's texts, in order, and each text's number of words."""
-    as_is, low, space = _tables()
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a slice's texts, in order, and each text's number of words.
+
+    Words lie between spaces; with `marks`, runs of ASCII punctuation are words of their own."""
+    as_is, low, kinds = _tables()
     base = offsets[0]
     part, at = data[base:offsets[-1]], offsets - base
     n = len(part)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(at) - 1, np.int64)
-    inside = ~space[part]
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1]
-    first = at[:-1][at[:-1] < at[1:]]
-    starts[first] = inside[first]  # a word never crosses texts
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:]
-    ends[first[1:] - 1] = inside[first[1:] - 1]
-    ends[n - 1] = inside[n - 1]
-    s, e = np.flatnonzero(starts), np.flatnonzero(ends)
+    kind = kinds[part] if marks else kinds[part] > 0
+    edge = np.ones(n + 1, bool)  # where a run of one kind begins or the text ends
+    edge[1:n] = kind[1:] != kind[:-1]
+    edge[at] = True  # a word never crosses texts
+    runs = np.flatnonzero(edge)
+    words = kind[runs[:-1]] > 0
+    s, e = runs[:-1][words], runs[1:][words]
     p, q = powers(n)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
     np.cumsum((low if lower else as_is)[part] * p, out=total[1:])
-    h = mix((total[e + 1] - total[s]) * q[s])
+    h = mix((total[e] - total[s]) * q[s])
     counts = np.searchsorted(s, at[1:]) - np.searchsorted(s, at[:-1])
     return h, counts
 

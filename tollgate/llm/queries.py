@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tollgate.llm import exact_dedup, minhash_dedup, mixing, quality_rules, url_filter
+from tollgate.llm import exact_dedup, minhash_dedup, mixing, packing, quality_classifier, quality_rules, secret_scan, url_filter
 from tollgate.llm.common import table
 
 #: The rules of the url query.
@@ -14,6 +14,15 @@ def op1(spark, sf_dir):
     return exact_dedup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op4(spark, sf_dir):
+    return packing.report(packing.pack(table(spark, sf_dir, "documents")))
+
+
 def op5(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -23,6 +32,10 @@ def op6(spark, sf_dir):
                                 quality_rules.trusted_documents(table(spark, sf_dir, "labels")))
 
 
+def op8(spark, sf_dir):
+    return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op9(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -32,7 +45,7 @@ def op10(spark, sf_dir):
     return minhash_dedup.groups(table(spark, sf_dir, "documents"), k=2)
 
 
-QUERIES = {"op10_minhash_dedup": op10, "op1_exact_dedup": op1, "op5_mixing": op5, "op6_quality_rules": op6, "op9_url_filter": op9}
+QUERIES = {"op10_minhash_dedup": op10, "op1_exact_dedup": op1, "op3_quality_classifier": op3, "op4_packing": op4, "op5_mixing": op5, "op6_quality_rules": op6, "op8_secret_scan": op8, "op9_url_filter": op9}
 
 ORACLE = {
     "op1_exact_dedup": """
