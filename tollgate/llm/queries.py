@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tollgate.llm import exact_dedup, minhash_dedup, mixing, packing, quality_classifier, quality_rules, secret_scan, url_filter
+from tollgate.llm import exact_dedup, minhash_dedup, mixing, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup, url_filter
 from tollgate.llm.common import table
 
 #: The rules of the url query.
@@ -32,6 +32,10 @@ def op6(spark, sf_dir):
                                 quality_rules.trusted_documents(table(spark, sf_dir, "labels")))
 
 
+def op7(spark, sf_dir):
+    return suffix_dedup.report(suffix_dedup.dedup(table(spark, sf_dir, "documents")))
+
+
 def op8(spark, sf_dir):
     return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -45,7 +49,7 @@ def op10(spark, sf_dir):
     return minhash_dedup.groups(table(spark, sf_dir, "documents"), k=2)
 
 
-QUERIES = {"op10_minhash_dedup": op10, "op1_exact_dedup": op1, "op3_quality_classifier": op3, "op4_packing": op4, "op5_mixing": op5, "op6_quality_rules": op6, "op8_secret_scan": op8, "op9_url_filter": op9}
+QUERIES = {"op10_minhash_dedup": op10, "op1_exact_dedup": op1, "op3_quality_classifier": op3, "op4_packing": op4, "op5_mixing": op5, "op6_quality_rules": op6, "op7_suffix_dedup": op7, "op8_secret_scan": op8, "op9_url_filter": op9}
 
 ORACLE = {
     "op1_exact_dedup": """
