@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tollgate.llm import exact_dedup, minhash_dedup, mixing, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup, url_filter
+from tollgate.llm import chat_format, exact_dedup, minhash_dedup, mixing, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup, url_filter
 from tollgate.llm.common import table
 
 #: The rules of the url query.
@@ -14,6 +14,10 @@ def op1(spark, sf_dir):
     return exact_dedup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2(spark, sf_dir):
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
@@ -49,7 +53,7 @@ def op10(spark, sf_dir):
     return minhash_dedup.groups(table(spark, sf_dir, "documents"), k=2)
 
 
-QUERIES = {"op10_minhash_dedup": op10, "op1_exact_dedup": op1, "op3_quality_classifier": op3, "op4_packing": op4, "op5_mixing": op5, "op6_quality_rules": op6, "op7_suffix_dedup": op7, "op8_secret_scan": op8, "op9_url_filter": op9}
+QUERIES = {"op10_minhash_dedup": op10, "op1_exact_dedup": op1, "op2_chat_format": op2, "op3_quality_classifier": op3, "op4_packing": op4, "op5_mixing": op5, "op6_quality_rules": op6, "op7_suffix_dedup": op7, "op8_secret_scan": op8, "op9_url_filter": op9}
 
 ORACLE = {
     "op1_exact_dedup": """
