@@ -102,10 +102,10 @@ def _fingerprints(k: int, slots: int, rows: int):
                 bands = _bands(sig, rows).view(np.int64)
                 at = np.arange(len(bands) + 1, dtype=np.int32) * bands.shape[1]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(sizes.astype(np.int64)),
+                    [batch.column("doc_id").slice(i, j - i), batch.column("tie").slice(i, j - i), pa.array(sizes.astype(np.int64)),
                      _binary(_keys(owner, element, sizes)), low,
                      pa.ListArray.from_arrays(pa.array(at), pa.array(bands.ravel()))],
-                    names=["doc_id", "n", "key", "sig", "bands"])
+                    names=["doc_id", "tie", "n", "key", "sig", "bands"])
     return run
 
 
@@ -152,14 +152,15 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def groups(docs: DataFrame, k: int = 5, least: int = LEAST, slots: int = SLOTS, rows: int = ROWS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def _rows(docs: DataFrame, k: int, least: int, slots: int, rows: int) -> DataFrame:
+    """One row per document: doc_id, tie (hash of the text), n_shingles, and `first`, the
+    (doc_id, tie) of its component that stays; null for empty sets."""
     texts = docs.select("doc_id", text_of().alias("text"))
-    prints = staged(texts.mapInArrow(_fingerprints(k, slots, rows), "doc_id long, n long, key binary, sig binary, bands array<long>"))
-    some = prints.where("n > 0")
-    nodes = staged(some.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"),
-                                           F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"))
-                   .withColumn("id", F.monotonically_increasing_id()))
+    prints = staged(texts.withColumn("tie", F.xxhash64("text")).mapInArrow(
+        _fingerprints(k, slots, rows), "doc_id long, tie long, n long, key binary, sig binary, bands array<long>"))
+    nodes = staged(prints.where("n > 0").groupBy("key").agg(
+        F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "tie")).alias("first"), F.any_value("n").alias("n"),
+        F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()))
     buckets = nodes.select("id", "n", F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     members = staged(buckets.join(shared, "band"))
@@ -167,7 +168,7 @@ def groups(docs: DataFrame, k: int = 5, least: int = LEAST, slots: int = SLOTS,
     numbered = nodes.select("id", "n", "sig")
 
     # full sets of the nodes in shared buckets; their texts are found by a Bloom filter and an exact join
-    wanted = staged(members.select("id").distinct().join(nodes.select("id", "key", "doc_id"), "id"))
+    wanted = staged(members.select("id").distinct().join(nodes.select("id", "key", F.col("first.doc_id").alias("doc_id")), "id"))
     blocks = bloom.geometry(wanted.count())
     filt = bloom.build(wanted, F.xxhash64("doc_id"), blocks)
     found = bloom.probe(texts, F.xxhash64("doc_id"), filt, blocks).where("maybe").drop("maybe")
@@ -215,11 +216,35 @@ def groups(docs: DataFrame, k: int = 5, least: int = LEAST, slots: int = SLOTS,
         links = links.unionByName(more)
         roots = components(links)
 
-    named = nodes.select("id", "key", "doc_id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    least_id = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least_id, "root").select(F.hex("key").alias("k"), "component_id")
+    named = nodes.select("id", "key", "first").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = named.drop("first").join(named.groupBy("root").agg(F.min("first").alias("first")), "root")
     # joined on an expression, so both sides are exchanged and AQE can split a set on many rows
-    out = prints.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.hex("key")).alias("k"))
-    met = out.where("k is not null").join(named, "k").drop("k")
-    alone = out.where("k is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return met.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = prints.select("doc_id", "tie", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.hex("key")).alias("k"))
+    met = out.where("k is not null").join(named.select(F.hex("key").alias("k"), "first"), "k").drop("k")
+    alone = out.where("k is null").drop("k").withColumn("first", F.lit(None).cast(met.schema["first"].dataType))
+    return met.unionByName(alone)
+
+
+def groups(docs: DataFrame, k: int = 5, least: int = LEAST, slots: int = SLOTS, rows: int = ROWS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    out = _rows(docs, k, least, slots, rows)
+    component = F.when(F.col("n_shingles") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"),
+                      F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def dedup(docs: DataFrame, k: int = 5, least: int = LEAST) -> DataFrame:
+    """The documents that stay, with their own columns: the first of each component, by
+    doc_id (null last), then by a hash of the text; rows equal in both stay or go together.
+
+    Only rows that a Bloom filter of the dropped ones lets through are shuffled."""
+    out = _rows(docs, k, least, SLOTS, ROWS).where("n_shingles > 0")
+    gone = staged(out.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie")))).select("doc_id", "tie").distinct())
+    names = docs.columns
+    work = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", F.xxhash64(text_of()).alias("tie"))
+    key = F.xxhash64("doc_id", "tie")
+    blocks = bloom.geometry(gone.count())
+    seen = bloom.probe(work, key, bloom.build(gone, key, blocks), blocks)
+    gone = gone.select(F.col("doc_id").alias("d"), F.col("tie").alias("t"))
+    left = seen.where("maybe").join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")), "left_anti")
+    return seen.where(~F.col("maybe")).select("row.*").unionByName(left.select("row.*"))
