@@ -137,12 +137,17 @@ def _place_hash(doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> np.ndarr
 
 
 def _first_of_equals(keys: list[np.ndarray], places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Order by keys, then places; and which rows in that order are the first of their key."""
+    """Order by keys, then places, each place of a key once (rows that repeat a document);
+    and which rows in that order are the first of their key."""
     order = np.lexsort([*places[::-1], *keys[::-1]])
-    first = np.ones(len(order), bool)
-    if len(order):
-        first[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    return order, first
+    if not len(order):
+        return order, np.ones(0, bool)
+
+    def changes(columns):
+        return np.concatenate([[True], np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)])
+
+    first, new = changes(keys), changes(keys + places)
+    return order[new], first[new]
 
 
 _ROW = ["h", "p", "doc", "tie", "start", "size"]
@@ -306,16 +311,8 @@ def repeated(text: np.ndarray, at: np.ndarray, places: list[np.ndarray], length:
     string, size, run = (a[size >= length] for a in (string, size, run))
     offset = np.diff(at)[string] - size
     keys = [p[string] for p in places[:-1]] + [places[-1][string] + offset]
-    order, first = _first_of_equals([run], keys)
-    # the same place in several pieces is one occurrence
-    same = np.zeros(len(order), bool)
-    if len(order):
-        same[1:] = np.all([k[order][1:] == k[order][:-1] for k in [run, *keys]], axis=0)
-        lead = np.flatnonzero(first)
-        at_first = np.all([k[order] == k[order][np.repeat(lead, np.diff(np.append(lead, len(order))))] for k in keys], axis=0)
-        late = order[~at_first]
-    else:
-        late = order
+    order, first = _first_of_equals([run], keys)  # one place may be in several pieces
+    late = order[~first]
     return string[late], offset[late]
 
 
