@@ -4,7 +4,9 @@ Two multinomials over `BUCKETS` hash buckets are counted over all documents: one
 target documents, one of the raw corpus.  A document's n-grams are its words, its word pairs
 and the last three characters of its words.  Its score is the mean over its n-grams of
 log p_target - log p_raw.  It passes if the score is at least mean - `DEVIATIONS` standard
-deviations of the trusted documents' scores.  No draw is made: equal texts get equal verdicts.
+deviations of the trusted documents' scores, taken with each of their n-grams counted once
+less in the target, so that they are not judged by themselves.  No draw is made: equal texts
+get equal verdicts.
 
 Defined results: null text has no words; documents under 50 words or with over half of
 their words in repeated 3-word windows fail the base rules; without trusted documents every
@@ -86,8 +88,9 @@ def _grams(buckets: int) -> Column:
     return F.concat(F.transform(h, bucket), pairs, ends)
 
 
-def fit(docs: DataFrame, trusted: DataFrame, n_trusted: int, buckets: int) -> list[float]:
-    """The buckets' log ratios, counted over every document; `trusted` has distinct doc_ids."""
+def fit(docs: DataFrame, trusted: DataFrame, n_trusted: int, buckets: int) -> tuple[list[float], list[float]]:
+    """The buckets' log ratios, counted over every document, and the same with one less in
+    each bucket of the target; `trusted` has distinct doc_ids."""
     marked = docs.join(small(trusted.withColumn("__good", F.lit(1)), n_trusted, 24), "doc_id", "left")
     counts = (marked.select(F.explode(_grams(buckets)).alias("b"), "__good")
               .groupBy("b").agg(F.count("*").alias("raw"), F.count("__good").alias("good")).collect())
@@ -96,23 +99,25 @@ def fit(docs: DataFrame, trusted: DataFrame, n_trusted: int, buckets: int) -> li
         raw[b] += r
         good[b] += g
     if sum(good) == buckets:
-        return [0.0] * buckets
+        return [0.0] * buckets, [0.0] * buckets
     shift = math.log(sum(raw)) - math.log(sum(good))
-    return [math.log(g) - math.log(r) + shift for g, r in zip(good, raw)]
+    ratios = [math.log(g) - math.log(r) + shift for g, r in zip(good, raw)]
+    return ratios, [x - math.log(g) + math.log(max(g - 1, 1)) for x, g in zip(ratios, good)]
 
 
-def score(ratios: list[float]) -> Column:
-    """Mean log ratio of the document's n-grams; 0 without any."""
-    table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")  # a constant of the plan
-    mean = let(_grams(len(ratios)), lambda g: F.aggregate(g, F.lit(0.0), lambda s, b: s + F.get(table, b)) / F.size(g))
-    return F.when(F.size("__w") > 0, mean).otherwise(0.0)
+def scores(ratios: list[float], others: list[float]) -> Column:
+    """Mean log ratios of the document's n-grams by both tables (`score`, `other`); 0 without any."""
+    tables = [F.from_json(F.lit(json.dumps(t)), "array<double>") for t in (ratios, others)]  # constants of the plan
+    mean = lambda g, t: F.aggregate(g, F.lit(0.0), lambda s, b: s + F.get(t, b)) / F.size(g)
+    both = let(_grams(len(ratios)), lambda g: F.struct(mean(g, tables[0]).alias("score"), mean(g, tables[1]).alias("other")))
+    return F.when(F.size("__w") > 0, both).otherwise(F.struct(F.lit(0.0).alias("score"), F.lit(0.0).alias("other")))
 
 
 def least_score(scored: DataFrame, trusted: DataFrame, n_trusted: int, deviations: float) -> float:
-    """mean - `deviations` standard deviations of the trusted documents' scores (doc_id, score)."""
+    """mean - `deviations` standard deviations of the trusted documents' scores (doc_id, other)."""
     own = scored.join(small(trusted, n_trusted, 24), "doc_id", "left_semi")
     # sums of millionths: the same in any order of the rows
-    s = F.round(F.col("score") * 1e6).cast("decimal(18,0)")
+    s = F.round(F.col("other") * 1e6).cast("decimal(18,0)")
     m = own.agg(F.count("*").alias("n"), F.sum(s).alias("a"), F.sum(s * s).alias("b")).first()
     if not m["n"]:
         return -math.inf
@@ -129,10 +134,10 @@ def report(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, deviatio
     """One row per document: doc_id, the base figures, base_failed, score, kept."""
     trusted, n = _trusted(trusted)
     work = _prepared(docs.select("doc_id", "text"), "text")
-    ratios = fit(work, trusted, n, buckets)
-    out = staged(base(work).withColumn("score", score(ratios)).drop("text", "__t", "__w", "__h"))
+    tables = fit(work, trusted, n, buckets)
+    out = staged(base(work).withColumn("s", scores(*tables)).select("*", "s.*").drop("text", "__t", "__w", "__h", "s"))
     least = least_score(out, trusted, n, deviations)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(least)))
+    return out.drop("other").withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(least)))
 
 
 def keep(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, deviations: float = DEVIATIONS) -> DataFrame:
@@ -141,9 +146,9 @@ def keep(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, deviations
     trusted, n = _trusted(trusted)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", "text")
     work = _prepared(rows, "text")
-    ratios = fit(work.drop("row"), trusted, n, buckets)
-    least = least_score(staged(work.select("doc_id", score(ratios).alias("score"))), trusted, n, deviations)
-    passed = base(work).where(~F.col("base_failed")).where(score(ratios) >= F.lit(least))
+    tables = fit(work.drop("row"), trusted, n, buckets)
+    least = least_score(staged(work.select("doc_id", scores(*tables)["other"].alias("other"))), trusted, n, deviations)
+    passed = base(work).where(~F.col("base_failed")).where(scores(*tables)["score"] >= F.lit(least))
     return passed.select("row.*")
 
 
