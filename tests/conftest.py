@@ -16,10 +16,9 @@ def spark():
     from tollgate.session import get_session
     s = get_session("local[4]", 4, extra={
         "spark.sql.streaming.stateStore.providerClass":
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"})
-    # tests own no cluster folder: take a fresh scratch folder for checkpoints
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tollgate-test-"))
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        # a single machine: a scratch folder stands in for the cluster's shared one
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tollgate-test-")})
     yield s
 
 

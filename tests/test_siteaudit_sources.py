@@ -217,3 +217,18 @@ def test_jsonld_types_strict_reads_only_top_level_and_graph(spark):
                                    '{"@type": ["Article", "BreadcrumbList"]}]}</script>')], "page_id long, url string, html string")
     g = K.jsonld_types_strict(K.audit_pages(graph)).first()
     assert sorted(g.types) == ["Article", "BreadcrumbList", "FAQPage"] and g.missing_types == []
+
+
+def test_flatten_json_keeps_arrays_whole_and_marks_malformed(spark):
+    df = spark.createDataFrame([(1, '{"a":[1,2,3],"b":{"c":"x","d":null}}'), (2, "{bad"), (3, "[1,2]"), (4, None), (5, "{}")],
+                               "id int, j string")
+    got = sorted(((r.id, r.key, r.value, r.malformed) for r in R.flatten_json(df, ["id"], "j").collect()), key=repr)
+    assert got == [(1, "a", "[1,2,3]", False), (1, "b.c", "x", False), (1, "b.d", None, False),
+                   (2, None, None, True), (3, None, None, True), (4, None, None, True)]
+
+
+def test_translation_gaps_count_empty_values_and_other_languages(spark):
+    df = spark.createDataFrame([("k1", "en", "v"), ("k1", "ar", None), ("k2", "de", "w"), ("k3", "en", " "), ("k3", "ar", "x")],
+                               "key string, lang string, value string")
+    got = {(r.key, r.lang) for r in K.translation_gaps(df, ["en", "ar"]).collect()}
+    assert got == {("k1", "ar"), ("k2", "en"), ("k2", "ar"), ("k3", "en")}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tollgate.functions import patterns as P
 from tollgate.functions.columns import literal_rows, ts_lit
-from tollgate.operators.ranking import dense_rank_ordered, rank_by_id
+from tollgate.operators.ranking import rank_by_id
 
 
 def active_nodes(nodes: DataFrame) -> DataFrame:
@@ -148,14 +148,11 @@ def capacity_slots(nodes: DataFrame, licenses: DataFrame) -> DataFrame:
 
 
 def assign_nodes(pending: DataFrame, nodes: DataFrame, licenses: DataFrame,
-                 order=("id",)) -> DataFrame:
-    """Give each pending licence (in ``order``) the next least-loaded node,
+                 order: str = "id") -> DataFrame:
+    """Give each pending licence (in ``order``, a unique integer) the next least-loaded node,
     exactly as one least-loaded query per licence would; licences beyond the free
     capacity get NULL."""
-    if len(order) == 1:
-        ranked = rank_by_id(pending, order[0], name="slot_rank")
-    else:
-        ranked = dense_rank_ordered(pending, list(order), name="slot_rank")
+    ranked = rank_by_id(pending, order, name="slot_rank")
     slots = capacity_slots(nodes, licenses)
     return ranked.join(slots, "slot_rank", "left").select(
         F.col("id").alias("license_id"), "slot_rank", "node_id", F.col("level").alias("node_load"))

@@ -197,10 +197,10 @@ def price_dimension(spark, prices) -> DataFrame:
 
 
 def price_as_of(facts: DataFrame, prices: DataFrame, ts_col="ts", plan_col="plan") -> DataFrame:
-    """Attach the price valid at each fact's time.  ``prices`` comes from
-    :func:`price_dimension` (bounded by the number of plans), so it is broadcast
-    and the range test runs as a filter of a broadcast hash join on plan."""
-    d = F.broadcast(prices.withColumnRenamed("plan", "_plan"))
+    """Attach the price valid at each fact's time: an equi-join on plan with the
+    range test as its condition.  Spark broadcasts ``prices`` while it stays under
+    its size threshold."""
+    d = prices.withColumnRenamed("plan", "_plan")
     t = F.col(ts_col)
     cond = ((F.col(plan_col) == F.col("_plan"))
             & (F.col("valid_from").isNull() | (t >= F.col("valid_from")))
@@ -416,7 +416,7 @@ def fold_states(events: DataFrame, key="subscription_id", allowed_plans=None,
     over a packed order key (hash aggregation, combined map-side), so one
     subscription with a third of all events costs no more memory than any other.
     """
-    ev = billing_ops(events, allowed_plans).filter(F.col("op").isNotNull())
+    ev = billing_ops(events, allowed_plans).filter(F.col("op").isNotNull() & F.col(key).isNotNull())
     ek = ev.select(key, "op", "ts", _event_order(ev).alias("_k"))
 
     def when_op(o, c="_k"):
@@ -455,7 +455,7 @@ def state_history(events: DataFrame, key="subscription_id", allowed_plans=None,
     ``lrx`` needs the renewal offset of its piece, which is constant inside the
     piece, so it is combined on the small per-piece table as well."""
     from tollgate.operators.ranking import time_piece
-    ev = billing_ops(events, allowed_plans)
+    ev = billing_ops(events, allowed_plans).filter(F.col(key).isNotNull())
     ev = ev.withColumn("_k", _event_order(ev)).withColumn("_piece", piece if piece is not None else time_piece("ts"))
     order = ["ts", "event_id"]
 

@@ -5,13 +5,11 @@ window partitioned by a hot key moves a third of the data into one task.  The
 helpers here cut the order into pieces, work inside each piece, and add the
 totals of earlier pieces from a small table (one row per piece):
 
-* ``rank_by_id``: global rank by a unique integer id, pieces = id >> bits;
+* ``rank_by_id``: global rank by a unique integer id, pieces = id >> 20, in levels;
 * ``exact_percentile``: counts per distinct value, pieces = rounded log2 of the
   value (order-preserving);
 * ``running_by_key`` / ``lag_by_key``: running sum/max/min and lag per key,
-  pieces = time buckets of the key's events;
-* ``dense_rank_ordered``: general multi-column order via range partitions
-  (materialised once, since its sampled bounds must not be recomputed).
+  pieces = time buckets of the key's events.
 """
 
 from __future__ import annotations
@@ -20,38 +18,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dense_rank_ordered(df: DataFrame, order: list[str], num_partitions: int | None = None,
-                       name: str = "rank", with_total: bool = False) -> DataFrame:
-    """A 1-based position by ``order`` (make it unique for a deterministic result).
-
-    ``monotonically_increasing_id`` after ``sortWithinPartitions`` encodes the
-    partition index (upper bits) and the position inside it (lower 33 bits).
-    Range partitions are numbered in key order, so earlier partitions hold
-    smaller keys."""
-    from tollgate.session import checkpoint_dir
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-         .withColumn("_mid", F.monotonically_increasing_id()))
-    # The positions are read twice below (counts, and the rows themselves).
-    # Range bounds come from sampling, so two independent evaluations could cut
-    # the partitions differently: materialise once in the shared checkpoint
-    # folder (this also cuts the lineage for executor-loss recovery).
-    checkpoint_dir(df.sparkSession)
-    r = r.checkpoint(eager=True)
-    r = r.withColumn("_pid", F.shiftright("_mid", 33)).withColumn(
-        "_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"),
-        F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_total"))
-    out = r.join(F.broadcast(offsets), "_pid")  # one row per partition: bounded
-    out = out.withColumn(name, F.col("_off") + F.col("_pos") + 1)
-    drop = ["_mid", "_pid", "_pos", "_off"] + ([] if with_total else ["_total"])
-    return out.drop(*drop)
-
-
 def exact_percentile(df: DataFrame, value: str, q: float, piece_bits: int = 8) -> DataFrame:
     """One-row frame with the exact ``q`` percentile of ``value`` (linear
     interpolation between closest ranks, as SQL percentile_cont).  NULLs are
@@ -156,27 +122,24 @@ def lag_by_key(df: DataFrame, key: list[str], order: list[str], value: str, name
         .drop("_piece", "_lag", "_rn", "_prev_piece")
 
 
-def rank_by_id(df: DataFrame, id_col: str, name: str = "rank", piece_bits: int | None = None,
-               max_pieces: int = 1 << 20) -> DataFrame:
+def rank_by_id(df: DataFrame, id_col: str, name: str = "rank", bits: int = 20) -> DataFrame:
     """1-based position by a unique integer column, from deterministic pieces.
 
-    Piece = id >> ``piece_bits``; rows are numbered inside their piece and the
-    counts of earlier pieces (one row per non-empty piece) are added.  When
-    ``piece_bits`` is not given it is derived from the id range (one small
-    min/max aggregate) so that there are at most ``max_pieces`` pieces: dense
-    ids give pieces of at most 2^bits rows, sparse ids spread over the range.
-    Deterministic, so no materialisation is needed although the data is read
-    twice."""
-    if piece_bits is None:
-        lo, hi = df.agg(F.min(id_col), F.max(id_col)).first()
-        span = 0 if lo is None else int(hi) - int(lo) + 1
-        piece_bits = max(0, (span // max_pieces).bit_length())
-    piece = F.shiftright(F.col(id_col), piece_bits)
-    d = df.withColumn("_piece", piece)
+    Rows are numbered inside their piece (id >> ``bits``: at most 2^bits rows,
+    however the ids lie).  The pieces' counts are summed up the same way, level by
+    level: pieces inside id >> 2*bits, those inside id >> 3*bits, and so on, so no
+    window ever holds more than 2^bits rows.  Nothing runs while the plan is built."""
+    shifts = list(range(bits, 64, bits))
+    d = df.withColumn("_piece", F.shiftright(F.col(id_col).cast("long"), bits))
     local = d.withColumn("_local", F.row_number().over(Window.partitionBy("_piece").orderBy(id_col)))
     counts = d.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per piece (at most max_pieces): ordered prefix sum over the piece table
-    offsets = counts.select("_piece", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    offsets = counts.select("_piece", F.lit(0).cast("long").alias("_off"))
+    for s in shifts:
+        level = counts.groupBy(F.shiftright("_piece", s - bits).alias("_p")).agg(F.sum("_n").alias("_n"))
+        above = F.shiftright("_p", bits) if s + bits < 64 else F.lit(0)
+        before = F.sum("_n").over(Window.partitionBy(above).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+        level = level.select("_p", F.coalesce(before, F.lit(0)).alias("_before"))
+        offsets = (offsets.withColumn("_p", F.shiftright("_piece", s - bits)).join(level, "_p")
+                   .select("_piece", (F.col("_off") + F.col("_before")).alias("_off")))
     return (local.join(offsets, "_piece").withColumn(name, F.col("_off") + F.col("_local"))
             .drop("_piece", "_local", "_off"))

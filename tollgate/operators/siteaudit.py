@@ -218,7 +218,7 @@ def required_links(links: DataFrame, paths: DataFrame, required_path: str, min_i
     links than ``min_internal`` (distinct resolved targets)."""
     req = paths.filter(F.col("path") == required_path).select(F.col("page_id").alias("_req"))
     r = resolve_links(links, paths).filter(F.col("dst_page_id").isNotNull())
-    per = (r.join(F.broadcast(req), F.col("dst_page_id") == F.col("_req"), "left")  # 0 or 1 row
+    per = (r.join(req.distinct(), F.col("dst_page_id") == F.col("_req"), "left")
            .groupBy("page_id").agg(F.count_distinct("dst_page_id").alias("internal_links"),
                                    F.count("_req").alias("_nreq")))
     out = paths.select("page_id", "path").join(per, "page_id", "left").fillna(0, ["internal_links", "_nreq"])
@@ -350,11 +350,11 @@ def content_ranges(pages: DataFrame, ranges: dict[str, tuple[int, int]]) -> Data
              .when(F.col("path").contains("/compare/"), "compare").otherwise("page"))
     words = word_count(text)
     lo = F.coalesce(*[F.when(ptype == k, F.lit(v[0])) for k, v in ranges.items()], F.lit(0))
-    hi = F.coalesce(*[F.when(ptype == k, F.lit(v[1])) for k, v in ranges.items()], F.lit(1 << 30))
+    hi = F.coalesce(*[F.when(ptype == k, F.lit(v[1])) for k, v in ranges.items()], F.lit(None).cast("int"))
     return p.select("page_id", "path", ptype.alias("page_type"), words.cast("long").alias("words"),
                     F.col("html").rlike(P.RE_H1).alias("has_h1"),
                     F.size(_extract_all(F.col("html"), r"(?i)(<h2[\s>])", 1)).cast("long").alias("n_h2"),
-                    ((words >= lo) & (words <= hi)).alias("in_range"))
+                    ((words >= lo) & (hi.isNull() | (words <= hi))).alias("in_range"))
 
 
 def faq_mismatch(pages: DataFrame) -> DataFrame:
@@ -404,13 +404,15 @@ def url_coverage(expected: DataFrame, paths: DataFrame) -> DataFrame:
         ~(F.col("in_expected") & F.col("in_site")))
 
 
-def translation_gaps(long: DataFrame, languages, key_col="key", lang_col="lang") -> DataFrame:
-    """(key, language) pairs with no value.  Per key the set of present
-    languages is bounded by the language list, so no key x language cross
-    product is formed."""
+def translation_gaps(long: DataFrame, languages, key_col="key", lang_col="lang", value_col="value") -> DataFrame:
+    """(key, language) pairs with no value.  Every key of any language counts;
+    NULL and empty values are no translation.  Per key the set of present languages
+    is bounded by the language list, so no key x language cross product is formed."""
     langs = F.array(*[F.lit(x) for x in languages])
-    present = (long.filter(F.col(lang_col).isin(*languages))
-               .groupBy(key_col).agg(F.collect_set(lang_col).alias("_have")))
+    there = F.col(lang_col).isin(*languages)
+    if value_col in long.columns:
+        there = there & (F.trim(F.coalesce(F.col(value_col).cast("string"), F.lit(""))) != "")
+    present = long.groupBy(key_col).agg(F.collect_set(F.when(there, F.col(lang_col))).alias("_have"))
     return present.select(key_col, F.explode(F.array_except(langs, F.col("_have"))).alias(lang_col))
 
 
@@ -438,7 +440,7 @@ def audit_scorecard(flags: DataFrame, by=("section", "lang")) -> DataFrame:
     f = flags
     if "section" in by and "section" not in flags.columns:
         f = f.withColumn("section", F.regexp_extract("path", r"^/([^/]*)", 1))
-    st = f.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("failed"))
-                                          for c in checks])))
-    return st.groupBy(*by, "check").agg(F.count_if("failed").alias("failures"),
-                                        F.count(F.lit(1)).alias("pages"))
+    # one count per check and group, then one row per check of the few groups
+    per = f.groupBy(*by).agg(F.count(F.lit(1)).alias("pages"), *[F.count_if(c).alias(f"_{c}") for c in checks])
+    return per.select(*by, "pages", F.inline(F.array(*[F.struct(F.lit(c).alias("check"), F.col(f"_{c}").alias("failures"))
+                                                       for c in checks]))).select(*by, "check", "failures", "pages")

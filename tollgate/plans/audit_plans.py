@@ -290,9 +290,8 @@ _LANGS_SQL = ", ".join(f"('{x}')" for x in P.SUPPORTED_LANGS)
 
 
 @register("k25_translation_gaps", oracle=f"""
-WITH present AS (SELECT source, list(DISTINCT lang) AS have FROM documents
-  WHERE lang IN ({", ".join(sq(x) for x in P.SUPPORTED_LANGS)}) GROUP BY source)
-SELECT source AS key, l.lang FROM present, (VALUES {_LANGS_SQL}) l(lang) WHERE NOT list_contains(have, l.lang)""")
+SELECT k.source AS key, l.lang FROM (SELECT DISTINCT source FROM documents) k, (VALUES {_LANGS_SQL}) l(lang)
+WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.source IS NOT DISTINCT FROM k.source AND d.lang = l.lang)""")
 def k25(c):
     d = c.documents.select(F.col("source").alias("key"), "lang")
     return K.translation_gaps(d, P.SUPPORTED_LANGS)

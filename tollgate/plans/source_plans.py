@@ -31,7 +31,7 @@ def a2(c):
 SELECT event_id, k AS key, json_extract_string(props, '$."' || k || '"') AS value
 FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) t""")
 def a3(c):
-    return R.flatten_json(c.events.select("event_id", "props"), ["event_id"], "props", depth=2)
+    return R.flatten_json(c.events.select("event_id", "props"), ["event_id"], "props", depth=2).filter("not malformed").drop("malformed")
 
 
 @register("a4_access_log", views=("access_log_rows",), oracle="SELECT * FROM access_log_rows")

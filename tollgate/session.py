@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every job relies on: UTC wall clock (all inputs are timestamp_ntz in
@@ -52,15 +50,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and stream state.
-
-    A cluster names it in ``spark.checkpoint.dir``; we read it from the session
-    and only fall back to a fresh scratch folder when it is unset (local tests).
-    """
+    """Shared folder for checkpoints and stream state, as ``spark.checkpoint.dir`` names it."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="tollgate-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(d)
     return d
 

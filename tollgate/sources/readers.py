@@ -35,32 +35,37 @@ def _re_escape(s: str) -> str:
 
 def flatten_json(df: DataFrame, id_cols, json_col: str, depth: int = 2) -> DataFrame:
     """Leaves of a JSON object column up to ``depth`` levels, as dotted keys and
-    text values (locale files are two levels deep).  Uses VARIANT and the
-    built-in lateral ``variant_explode_outer``; no Python."""
+    text values (locale files are two levels deep).  Arrays are leaves, as JSON
+    text; a document that is no JSON object gives one row with a NULL key and
+    ``malformed`` true.  Uses VARIANT and the built-in lateral
+    ``variant_explode_outer``; no Python."""
     ids = ", ".join(f"`{c}`" for c in id_cols)
     spark = df.sparkSession
-    lvl = "parse_json(`%s`)" % json_col
+    objects = "if(schema_of_variant(%s) LIKE 'OBJECT%%', %s, NULL)"
+    lvl = "try_parse_json(`%s`)" % json_col
+    lvl = objects % (lvl, lvl)
     joins, keys = [], []
     prev = lvl
     for i in range(1, depth + 1):
         joins.append(f"LATERAL variant_explode_outer({prev}) AS e{i}")
         keys.append(f"e{i}")
-        prev = f"e{i}.value"
+        prev = objects % (f"e{i}.value", f"e{i}.value")
     # the leaf is the deepest level that exploded; its key is the dotted path
     cases_key, cases_val = [], []
     for i in range(depth, 0, -1):
         path = " || '.' || ".join(f"e{j}.key" for j in range(1, i + 1))
         cases_key.append(f"WHEN e{i}.key IS NOT NULL THEN {path}")
         cases_val.append(f"WHEN e{i}.key IS NOT NULL THEN cast(e{i}.value AS string)")
-    sql = (f"SELECT {ids}, CASE {' '.join(cases_key)} END AS key, CASE {' '.join(cases_val)} END AS value "
+    sql = (f"SELECT {ids}, CASE {' '.join(cases_key)} END AS key, CASE {' '.join(cases_val)} END AS value, "
+           f"{lvl} IS NULL AS malformed "
            f"FROM {{src}}, {', '.join(joins)}")
     out = spark.sql(sql, src=df)
-    return out.filter(F.col("key").isNotNull())
+    return out.filter(F.col("key").isNotNull() | F.col("malformed"))
 
 
 def flatten_locales(locales: DataFrame, depth: int = 2) -> DataFrame:
-    """A3: (lang, json) locale files -> (lang, key, value)."""
-    return flatten_json(locales, ["lang"], "json", depth)
+    """A3: (lang, json) locale files -> (lang, key, value); malformed files give no rows."""
+    return flatten_json(locales, ["lang"], "json", depth).filter("not malformed").drop("malformed")
 
 
 # ---------------------------------------------------------------------------
@@ -142,6 +147,8 @@ def parse_billing_events(raw: DataFrame, col: str = "value") -> DataFrame:
         F.col("e.id").alias("event_id"), _kind(t).alias("kind"),
         F.timestamp_seconds(F.col("e.created")).cast("timestamp_ntz").alias("ts"),
         F.when(is_sub, F.col(f"{o}.id")).otherwise(F.col(f"{o}.subscription")).alias("subscription_id"),
+        F.col(f"{o}.invoice").alias("invoice_id"), F.col(f"{o}.customer").alias("customer_id"),
+        F.when(t.startswith("checkout."), F.col(f"{o}.id")).alias("session_id"),
         F.coalesce(F.col(f"{o}.customer_details.email"), F.col(f"{o}.customer_email")).alias("email"),
         F.col(f"{o}.metadata.plan").alias("plan"),
         F.col(f"{o}.billing_reason").alias("billing_reason"),
@@ -190,7 +197,8 @@ def audit_rows(decisions: DataFrame, action: str = "action", entity_type: str =
 
 def append_audit(rows: DataFrame, path: str) -> None:
     """Append to the audit table, partitioned by date (readers prune by date)."""
-    rows.write.mode("append").partitionBy("date").parquet(path)
+    # one writer per date (AQE splits a large one), so an append leaves few files
+    rows.hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(path)
 
 
 # ---------------------------------------------------------------------------
