@@ -14,9 +14,11 @@ and stops once no later rank can win (a few rounds for sets larger than the sign
    0.8) are refused; the rest is confirmed on full sets, which are made anew only for nodes
    in shared buckets.
 3. Confirmed links are joined into components (large-star / small-star rounds).
-4. Buckets that still hold several components are compared further: members with up to
-   2 * `SUBS` other members, then every pair of different components left.  So no link between members of
-   one bucket is lost, while a large group of copies of one text costs two tests a member.
+4. Buckets that still hold several components are searched further.  Their members meet in
+   families, one per smallest root; members outside that root probe an inverted index of the
+   family's sets, in blocks of at most `FAMILY` rows and probes, and report one link to each
+   other component they reach.  So no link between members of one bucket is lost, and no
+   pairs but links leave a task.
 
 Defined results: null and empty texts have an empty set, stand alone and are kept; a text
 with fewer than `k` words is one shingle; equal sets are linked; null doc_ids take part and
@@ -37,7 +39,7 @@ from tollgate.llm.common import staged, text_of
 SLOTS, ROWS = 128, 4
 LEAST = 80  # per cent of the union
 AGREE = 0.6
-SUBS = 8
+FAMILY = 4096
 
 
 def signatures(owner: np.ndarray, element: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
@@ -131,6 +133,37 @@ def _agree(least: float):
     return run
 
 
+def _family_links(least: int):
+    """Links of each (family, r, p): probes against an inverted index of the rows' full sets."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("family", "r", "p", "asks", "id")])
+        ids, roots, asks = (table.column(c).to_numpy() for c in ("id", "root", "asks"))
+        lists = table.column("elements").combine_chunks()
+        lists = lists if not isinstance(lists, pa.ChunkedArray) else pa.concat_arrays(lists.chunks)
+        at, element = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+        key = np.stack([table.column(c).to_numpy() for c in ("family", "r", "p")])
+        edges = np.flatnonzero(np.concatenate([[True], np.any(key[:, 1:] != key[:, :-1], axis=0), [True]]))
+        found = set()
+        for lo, hi in zip(edges, edges[1:]):
+            mid = lo + int((~asks[lo:hi]).sum())  # rows first, then probes
+            sizes = np.diff(at[lo:mid + 1])
+            posted = np.repeat(np.arange(mid - lo), sizes)
+            order = np.argsort(element[at[lo]:at[mid]], kind="stable")
+            sorted_, posted = element[at[lo]:at[mid]][order], posted[order]
+            for x in range(mid, hi):
+                own = element[at[x]:at[x + 1]]
+                a, b = np.searchsorted(sorted_, own, "left"), np.searchsorted(sorted_, own, "right")
+                n = b - a
+                hits = posted[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                shared = np.bincount(hits, minlength=mid - lo)
+                like = np.flatnonzero((100 * shared >= least * (len(own) + sizes - shared)) & (roots[lo:mid] != roots[x]))
+                for y in like[np.unique(roots[lo:mid][like], return_index=True)[1]]:
+                    found.add((min(ids[x], ids[lo + y]), max(ids[x], ids[lo + y])))
+        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every linked id: root is the smallest id of its component.
 
@@ -192,29 +225,25 @@ def _rows(docs: DataFrame, k: int, least: int, slots: int, rows: int) -> DataFra
         pairs = df.select("id", F.explode(F.array(*others)).alias("o")).where("id <> o")
         return pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
 
-    tried = staged(paired(members, "lo", "hi"))
-    links = staged(confirmed(tried))
+    links = staged(confirmed(paired(members, "lo", "hi")))
     roots = components(links)
-    for step in ("subs", "rest"):
-        now = members.select("band", "id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        mixed = now.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("band")
-        now = staged(now.join(mixed, "band"))
-        if step == "subs":
-            subs = now.groupBy("band", F.pmod(F.xxhash64("id"), F.lit(SUBS)).alias("sub")).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-            other = subs.select("band", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("id"))
-            other = other.join(now.select("band", "id", "n", "root"), ["band", "id"])
-        else:
-            other = now
-        other = other.select("band", F.col("id").alias("o"), F.col("n").alias("nb"), F.col("root").alias("o_root"))
-        pairs = (now.withColumnRenamed("n", "na").join(other, "band").where(close & (F.col("root") != F.col("o_root")))
-                 .select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct())
-        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(pairs)
-        more = staged(confirmed(pairs))
-        if more.isEmpty():
-            continue
-        links = links.unionByName(more)
-        roots = components(links)
+    # members of buckets that still hold several components meet in families, named by their smallest root
+    now = members.select("band", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = now.groupBy("band").agg(F.min("root").alias("family"), F.max("root").alias("r1")).where("family < r1").select("band", "family")
+    now = now.join(mixed, "band").select("family", "id", "root").distinct()
+    asks = F.col("root") != F.col("family")
+    parts = now.groupBy("family").agg(F.ceil(F.count("*") / FAMILY).alias("rows"), F.ceil(F.count_if(asks) / FAMILY).alias("probes"))
+    now = staged(now.join(parts, "family").withColumn("h", F.xxhash64("id")))
+    to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    index = now.select("family", "id", "root", F.lit(False).alias("asks"), F.pmod("h", "rows").alias("r"), F.explode(to("probes")).alias("p"))
+    probes = now.where(asks).select("family", "id", "root", F.lit(True).alias("asks"), F.explode(to("rows")).alias("r"), F.pmod("h", "probes").alias("p"))
+    met = index.unionByName(probes).join(sets, "id")
+    shards = max(1, -(-now.count() // FAMILY))
+    more = met.groupBy(F.pmod(F.xxhash64("family", "r", "p"), F.lit(shards)).alias("shard")).applyInArrow(
+        lambda t: _family_links(least)(t), "a long, b long")
+    more = staged(more.distinct())
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
 
     named = nodes.select("id", "key", "first").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = named.drop("first").join(named.groupBy("root").agg(F.min("first").alias("first")), "root")
