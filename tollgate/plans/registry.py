@@ -52,7 +52,7 @@ def with_views(sql: str, views) -> str:
 def _load_all():
     # importing the plan modules fills REGISTRY
     from tollgate.plans import (audit_plans, capacity_plans, entitlement_plans,  # noqa: F401
-                                event_plans, metric_plans, source_plans, stream_plans)
+                                event_plans, metric_plans, site_plans, source_plans, stream_plans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -129,6 +129,40 @@ SELECT o_orderkey, o_orderdate AS ts,
 FROM {orders}""",
 })
 
+# A site whose pages differ in every audited feature: head tags, structured data,
+# language links, FAQ blocks, buttons and assets, around the article of each page.
+_H = "https://www.example.com"
+VIEW_SQL["site_pages"] = f"""
+SELECT page_id, '{_H}' || path AS url,
+ CASE WHEN page_id % 13 = 0 THEN '' ELSE '<!DOCTYPE html>' END ||
+ CASE WHEN page_id % 11 = 0 THEN '<html>' ELSE '<html lang="' || lang || '"' || CASE WHEN m = 1 AND k = 0 THEN ' dir="rtl"' WHEN k = 0 THEN ' dir="ltr"' ELSE '' END || '>' END || '<head>' ||
+ CASE WHEN page_id % 9 = 0 THEN '' ELSE '<meta charset="UTF-8">' END ||
+ CASE WHEN page_id % 7 = 0 THEN '' ELSE '<meta name="viewport" content="width=device-width">' END ||
+ CASE WHEN page_id % 6 = 0 THEN '' ELSE '<title> Page ' || id || ' </title>' END ||
+ CASE WHEN page_id % 5 = 1 THEN '' ELSE '<meta name="description" content="About page ' || id || '">' END ||
+ CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN '<link rel="canonical" href="{_H}/other">' ELSE '<link rel="canonical" href="{_H}' || path || '">' END ||
+ CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN '<meta property="og:title" content="T"><meta property="og:locale" content="fr_FR">'
+  ELSE '<meta property="og:title" content="T"><meta property="og:description" content="D"><meta property="og:url" content="U"><meta property="og:type" content="article"><meta property="og:site_name" content="S"><meta property="og:image" content="I"><meta property="og:locale" content="' || lang || '"><meta name="twitter:card" content="C"><meta name="twitter:title" content="T"><meta name="twitter:description" content="D"><meta name="twitter:image" content="I">' END ||
+ CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '<script type="application/ld+json">{{{{"@type": "Article", </script>'
+  WHEN 2 THEN '<script type="application/ld+json">{{{{"@type": "Article", "inLanguage": "en"}}}}</script>'
+  WHEN 3 THEN '<script type="application/ld+json">{{{{"@graph": [{{{{"@type": "FAQPage", "mainEntity": [{{{{"@type": "Question", "name": "What is it?"}}}}]}}}}, {{{{"@type": "BreadcrumbList"}}}}]}}}}</script>'
+  ELSE '<script type="application/ld+json">{{{{"@type": "Thing", "about": {{{{"@type": "Article", "inLanguage": "' || lang || '"}}}}}}}}</script>' END ||
+ CASE WHEN m > 2 THEN '' ELSE '<link rel="alternate" hreflang="en" href="{_H}/p' || b || '/index.html">' ||
+  CASE WHEN k = 0 THEN '<link rel="alternate" hreflang="ar" href="{_H}/ar/p' || b || '/index.html"><link rel="alternate" hreflang="fr" href="{_H}/fr/p' || b || '/index.html">' ELSE '' END ||
+  CASE WHEN k = 0 THEN '<link rel="alternate" hreflang="x-default" href="{_H}/p' || b || '/index.html"><link rel="alternate" hreflang="hi" href="{_H}/hi/p' || b || '/index.html"><link rel="stylesheet" href="/css/rtl.css">' ELSE '' END END ||
+ CASE WHEN m = 7 AND k = 0 THEN '<meta name="robots" content="noindex">' ELSE '' END || '</head><body data-promo-end="2024-01-0' || cast(page_id % 3 + 1 AS string) || '">' ||
+ CASE page_id % 4 WHEN 2 THEN '<h2 class="faq-question">What is it?</h2><p class="faq-answer">An article.</p>' WHEN 3 THEN '<h2 class="faq-question"> Who? </h2>' ELSE '' END ||
+ CASE WHEN page_id % 3 = 0 THEN '' WHEN page_id % 3 = 1 THEN '<a onclick="startCheckout(''vpn'')">Buy</a>' ELSE '<a onclick="startCheckout(''gold'')">Buy</a><a onclick="startCheckout(''security_vpn'')">Buy</a>' END ||
+ CASE WHEN m = 6 AND k = 0 THEN '<a href="/downloads/app">Get</a>' ELSE '' END ||
+ CASE WHEN m IN (1, 2) THEN '<a href="/p' || b || '/index.html#top">Home</a>' ELSE '' END ||
+ CASE WHEN page_id % 4 = 0 THEN '' ELSE '<img src="/img/a.png?v=' || cast(page_id % 2 AS string) || '" srcset="/img/a.png 1x, /img/b.png 2x">' END ||
+ '<p data-i18n="src' || cast(page_id % 30 AS string) || '">' || substr(html, instr(html, '<article>')) AS html
+FROM (SELECT page_id, html, lang, id, b, m, k, CASE m WHEN 0 THEN '/p' || b || '/index.html' WHEN 1 THEN '/ar/p' || b || '/index.html' WHEN 2 THEN '/fr/p' || b || '/index.html'
+   WHEN 3 THEN '/blog/a' || id || '.html' WHEN 4 THEN '/compare/c' || id || '.html' WHEN 5 THEN '/pricing-' || id || '.html'
+   WHEN 6 THEN '/download-' || id || '.html' ELSE '/x' || b || '/404.html' END AS path
+  FROM (SELECT page_id, html, page_id % 8 AS m, page_id % 16 - page_id % 8 AS k, cast(page_id AS string) AS id, cast(page_id - page_id % 8 AS string) AS b,
+    CASE page_id % 8 WHEN 1 THEN 'ar' WHEN 2 THEN 'fr' ELSE 'en' END AS lang FROM {{pages}}) x) y"""
+
 # Spark text where it differs from the shared one: the six link slots of a page.
 SPARK_VIEW_SQL: dict[str, str] = {
     "site_links": VIEW_SQL["site_links"].replace("unnest(range(0, 6))", "explode(sequence(0, 5))"),
@@ -139,7 +173,7 @@ VIEW_DEPS: dict[str, tuple[str, ...]] = {
     "licenses": ("orders",), "nodes": ("supplier",), "node_keys": ("lineitem",),
     "billing_events": ("events",), "request_log": ("events",), "device_seen": ("events",),
     "device_requests": ("lineitem", "orders"), "sessions": ("orders",),
-    "retry_queue": ("events",), "site_paths": ("pages",), "site_links": ("pages",),
+    "retry_queue": ("events",), "site_paths": ("pages",), "site_pages": ("pages",), "site_links": ("pages",),
     "billing_events_ext": ("billing_events",), "transfer_requests": ("device_requests",),
     "transfer_licenses": ("licenses",), "refunds": ("lineitem",), "invoices": ("orders",),
     "subscriptions": ("orders",), "checkouts": ("sessions",), "price_facts": ("orders",),
