@@ -391,6 +391,40 @@ def billing_ops(events: DataFrame, allowed_plans=None) -> DataFrame:
     return events.withColumn("op", op)
 
 
+def resolve_refund_events(events: DataFrame, invoices: DataFrame, key: str = "subscription_id") -> DataFrame:
+    """Refund events name an invoice: give them the invoice's subscription (NULL when the
+    invoice is missing or has none).  Other events, and refunds without an invoice, pass by."""
+    names = events.columns
+    linked = F.coalesce((F.col("kind") == "charge_refunded") & F.col("invoice_id").isNotNull(), F.lit(False))
+    inv = invoices.groupBy(F.col("invoice_id").alias("_inv")).agg(F.max(key).alias("_sub"))
+    found = (events.filter(linked).join(inv, F.col("invoice_id") == F.col("_inv"), "left")
+             .withColumn(key, F.coalesce(F.col(key), F.col("_sub"))).select(names))
+    return events.filter(~linked).unionByName(found)
+
+
+def billing_outcomes(events: DataFrame, allowed_plans, key: str = "subscription_id") -> DataFrame:
+    """What the billing handler makes of each event (one row per event id): ``result`` for the
+    event counter (NULL where it counts nothing) and the audit ``action`` (NULL for none).
+
+    An event without its object fails.  A checkout creates a licence if it is valid and the
+    first one of its subscription; events without a subscription are not counted; first
+    invoices and partial refunds are skipped; a plan change needs an existing licence."""
+    ev = billing_ops(events, allowed_plans).dropDuplicates(["event_id"]).withColumn("_k", _event_order(events))
+    first = ev.filter((F.col("op") == "K") & F.col(key).isNotNull()).groupBy(F.col(key).alias("_s")).agg(F.min("_k").alias("_first"))
+    ev = ev.join(first, F.col(key) == F.col("_s"), "left")
+    kind, known, broken = F.col("kind"), F.col(key).isNotNull(), F.coalesce(F.col("broken"), F.lit(False))
+    created = (kind == "checkout_completed") & (F.col("_k") == F.col("_first"))
+    partial = F.col("amount_refunded") < F.col("amount")
+    later = F.col("_first").isNotNull() & (F.col("_k") > F.col("_first"))
+    result = (F.when(broken, "error").when(kind == "checkout_completed", F.when(created, "success"))
+              .when((kind == "payment_succeeded") & (F.col("billing_reason") == "subscription_create"), "skipped")
+              .when((kind == "charge_refunded") & partial, "skipped").when(known, "success"))
+    action = F.when(~broken, F.when(created, "license_created").when((kind == "payment_failed") & known, "license_suspended")
+                    .when((kind == "charge_refunded") & ~partial & known, "license_refunded")
+                    .when((kind == "subscription_updated") & F.col("plan").isin(*allowed_plans) & later, "plan_changed"))
+    return ev.select("event_id", "ts", "kind", F.col(key), result.alias("result"), action.alias("action"))
+
+
 def _state_expr(k0, d, p, x, r_after_p, x_after_r):
     """Closed form of the fold (all keys are (ts, event_id) structs):
     no checkout -> none; any delete after it -> expired; after the last suspend:
@@ -534,8 +568,9 @@ def first_claim(claims: DataFrame, current: DataFrame, target="license_id", clai
     k = F.struct(*order, F.col(claimant).alias("_who"))
     first = claims.groupBy(F.col(target).alias("_t")).agg(F.min(k).alias("_first"))
     cur = current.select(F.col(current_target).alias("_ct"), F.col(current_holder).alias("_holder"))
-    j = (claims.join(cur, F.col(target) == F.col("_ct"), "left")
-         .join(first, F.col(target) == F.col("_t"), "left"))
+    # one row per target, joined on an expression: both sides are exchanged, so AQE can split a hot target
+    slot = first.join(cur, F.col("_t") == F.col("_ct"), "left").withColumn("_s", F.col("_t").cast("string"))
+    j = claims.join(slot, F.col(target).cast("string") == F.col("_s"), "left")
     holder = F.coalesce(F.col("_holder"), F.col("_first._who"))
     is_first = F.struct(*order, F.col(claimant).alias("_who")) == F.col("_first")
     label = (F.when(F.col("_ct").isNull(), "not_found")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tollgate.functions import patterns as P
 from tollgate.functions.columns import col
-from tollgate.operators.ranking import running_by_key
+from tollgate.operators.ranking import lag_by_key, running_by_key
 
 
 # ---------------------------------------------------------------------------
@@ -141,8 +141,8 @@ def counter_rate(samples: DataFrame, series=("route",), range_="5 minutes",
     Each sample contributes its difference to the previous sample of its series;
     a drop is a reset, so the new value counts in full.  Windows are tumbling,
     epoch-aligned; there is no extrapolation to the window edges (PromQL does)."""
-    w = Window.partitionBy(*series).orderBy(*order)
-    prev = F.lag("value").over(w)
+    samples = lag_by_key(samples, list(series), list(order), "value", "_prev")
+    prev = F.col("_prev")
     d = samples.withColumn("_delta", F.when(prev.isNull(), 0.0)
                            .when(F.col("value") >= prev, F.col("value") - prev)
                            .otherwise(F.col("value")))
@@ -165,8 +165,13 @@ def _interval_seconds(s: str) -> int:
 def windowed_counts(log: DataFrame, labels, size="1 hour", slide: str | None = None) -> DataFrame:
     """H4/H5: requests per (window, labels); sliding when ``slide`` is given.
     ``rate`` is the count divided by the window length."""
-    win = F.window("ts", size, slide) if slide else F.window("ts", size)
-    g = log.groupBy(win.alias("w"), *labels).agg(F.count(F.lit(1)).alias("requests"))
+    if slide and not log.isStreaming and _interval_seconds(size) % _interval_seconds(slide) == 0:
+        # count per step first: the copies of a row in its size / slide windows are of counts
+        log = log.groupBy(F.window("ts", slide).start.alias("ts"), *labels).agg(F.count(F.lit(1)).alias("_n"))
+        g = log.groupBy(F.window("ts", size, slide).alias("w"), *labels).agg(F.sum("_n").alias("requests"))
+    else:
+        win = F.window("ts", size, slide) if slide else F.window("ts", size)
+        g = log.groupBy(win.alias("w"), *labels).agg(F.count(F.lit(1)).alias("requests"))
     return g.select(F.col("w.start").alias("window_start"), *labels, "requests",
                     (F.col("requests") / F.lit(float(_interval_seconds(size)))).alias("rate"))
 

@@ -185,6 +185,24 @@ def h3(c):
     return M.rate_violations(c.request_log, "1 day", 5)
 
 
+@register("h5_sliding_rate_scrape", views=("request_log",), oracle="""
+SELECT window_start, route, count(*) AS requests, count(*) / 300.0 AS rate FROM (
+ SELECT route, time_bucket(INTERVAL '15 seconds', ts) - INTERVAL '15 seconds' * k AS window_start
+ FROM request_log, range(0, 20) r(k)) t GROUP BY 1, 2""")
+def h5_scrape(c):
+    return M.windowed_counts(c.request_log, ["route"], "5 minutes", "15 seconds")
+
+
+@register("h8_ratio_alerts", views=("billing_events", ), oracle="""
+SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, 'payment_failures' AS alert, count(*) FILTER (WHERE kind = 'payment_failed') / count(*) AS value
+FROM billing_events GROUP BY 1 HAVING count(*) FILTER (WHERE kind = 'payment_failed') / count(*) > 0.3
+UNION ALL SELECT time_bucket(INTERVAL '1 hour', ts), 'refunds', count(*) FILTER (WHERE kind = 'charge_refunded') / count(*)
+FROM billing_events GROUP BY 1 HAVING count(*) FILTER (WHERE kind = 'charge_refunded') / count(*) > 0.4""")
+def h8_ratio(c):
+    return M.ratio_alerts(c.billing_events, {"payment_failures": (F.col("kind") == "payment_failed", 0.3),
+                                             "refunds": (F.col("kind") == "charge_refunded", 0.4)})
+
+
 @register("h4_counter_windows", views=("request_log",), oracle="""
 SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, route, status, count(*) AS requests,
  count(*) / 3600.0 AS rate FROM request_log GROUP BY 1, 2, 3""")

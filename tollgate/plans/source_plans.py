@@ -8,8 +8,9 @@ from tollgate.functions import patterns as P
 from tollgate.functions.columns import order_key, url_path
 from tollgate.operators import entitlements as E
 from tollgate.plans.audit_plans import URL_PATH_SQL
-from tollgate.plans.entitlement_plans import _TRANSFER_SQL as TRANSFER_SQL
+from tollgate.plans.entitlement_plans import STEP_SQL, _TRANSFER_SQL as TRANSFER_SQL
 from tollgate.plans.registry import register
+from tollgate.session import checkpoint_dir
 from tollgate.sources import readers as R
 from tollgate.sources.tables import TABLES, table_counts
 
@@ -59,7 +60,7 @@ _ACTIONS_SQL = """CASE WHEN kind = 'checkout_completed' AND (ts, event_id) = fir
 def audit_decisions(ev):
     """Audit actions the billing handler writes, one per event that writes one."""
     k = order_key("ts", "event_id")
-    first = (ev.filter(F.col("kind") == "checkout_completed").groupBy("subscription_id")
+    first = (ev.filter((F.col("kind") == "checkout_completed") & F.col("plan").isin(*P.CHECKOUT_PLANS)).groupBy("subscription_id")
              .agg(F.min(k).alias("first_k")))
     j = ev.join(first, "subscription_id", "left")
     kind = F.col("kind")
@@ -75,7 +76,7 @@ def audit_decisions(ev):
 
 @register("a6_audit_actions", views=("billing_events_ext",), oracle=f"""
 WITH f AS (SELECT subscription_id, min((ts, event_id)) AS first_k FROM billing_events_ext
-  WHERE kind = 'checkout_completed' GROUP BY subscription_id),
+  WHERE kind = 'checkout_completed' AND plan IN ('vpn', 'security_vpn') GROUP BY subscription_id),
 a AS (SELECT {_ACTIONS_SQL} AS action, CAST(ts AS DATE) AS date FROM billing_events_ext LEFT JOIN f USING (subscription_id))
 SELECT action, date, count(*) AS n FROM a WHERE action IS NOT NULL GROUP BY action, date""")
 def a6(c):
@@ -83,6 +84,49 @@ def a6(c):
     return rows.groupBy("action", "date").agg(F.count(F.lit(1)).alias("n"))
 
 
+_RAW_OK = "NOT broken AND kind = 'checkout_completed' AND email IS NOT NULL AND plan IN ('vpn', 'security_vpn')"
+
+
+@register("a5_billing_pipeline", views=("billing_raw", "billing_invoices"), oracle=f"""
+WITH ev AS (SELECT r.* EXCLUDE (subscription_id, kind), r.kind,
+   CASE WHEN broken THEN NULL WHEN r.kind = 'charge_refunded' THEN i.subscription_id ELSE r.subscription_id END AS sid
+  FROM billing_raw r LEFT JOIN billing_invoices i USING (invoice_id)),
+f AS (SELECT sid, min((ts, event_id)) AS first_k FROM ev WHERE {_RAW_OK} AND sid IS NOT NULL GROUP BY sid),
+j AS (SELECT ev.*, first_k, coalesce(kind = 'checkout_completed' AND (ts, event_id) = first_k, false) AS created,
+   amount_refunded < amount AS partial FROM ev LEFT JOIN f USING (sid)),
+o AS (SELECT kind, ts, CASE WHEN broken THEN 'error' WHEN kind = 'checkout_completed' THEN CASE WHEN created THEN 'success' END
+   WHEN kind = 'payment_succeeded' AND billing_reason = 'subscription_create' THEN 'skipped'
+   WHEN kind = 'charge_refunded' AND partial THEN 'skipped' WHEN sid IS NOT NULL THEN 'success' END AS result,
+  CASE WHEN broken THEN NULL WHEN created THEN 'license_created' WHEN kind = 'payment_failed' AND sid IS NOT NULL THEN 'license_suspended'
+   WHEN kind = 'charge_refunded' AND NOT partial AND sid IS NOT NULL THEN 'license_refunded'
+   WHEN kind = 'subscription_updated' AND plan IN ('vpn', 'security_vpn') AND first_k IS NOT NULL AND (ts, event_id) > first_k THEN 'plan_changed' END AS action
+  FROM j),
+ops AS (SELECT sid, ts, event_id, CASE WHEN broken THEN '-' WHEN {_RAW_OK} THEN 'K'
+   WHEN kind = 'payment_succeeded' AND billing_reason <> 'subscription_create' THEN 'R' WHEN kind = 'payment_failed' THEN 'P'
+   WHEN kind = 'subscription_deleted' THEN 'D' WHEN kind = 'charge_refunded' AND NOT partial THEN 'P'
+   WHEN kind = 'subscription_updated' THEN CASE WHEN cancel_at_period_end THEN 'X' WHEN sub_status = 'active' THEN 'R'
+     WHEN sub_status IN ('past_due', 'unpaid') THEN 'P' ELSE '-' END ELSE '-' END AS op FROM j WHERE sid IS NOT NULL),
+st AS (SELECT list_reduce(list_prepend('none', list(op ORDER BY ts, event_id)), lambda s, e: {STEP_SQL}) AS status FROM ops GROUP BY sid)
+SELECT 'licences' AS part, status AS name, '' AS label, count(*) AS n FROM st WHERE status <> 'none' GROUP BY status
+UNION ALL SELECT 'audit', action, CAST(CAST(ts AS DATE) AS VARCHAR), count(*) FROM o WHERE action IS NOT NULL GROUP BY action, CAST(ts AS DATE)
+UNION ALL SELECT 'events', kind, result, count(*) FROM o WHERE result IS NOT NULL GROUP BY kind, result""")
+def a5p(c):
+    """Envelopes to licence states, audit rows and event counters."""
+    ev = R.parse_billing_events(R.render_billing_events(c.billing_raw))
+    ev = ev.withColumns({"event_id": F.col("event_id").cast("long"), "subscription_id": F.col("subscription_id").cast("long")})
+    # parsed once: three results read the events, and the lineage of the rendered JSON ends here
+    checkpoint_dir(c.spark)
+    ev = E.resolve_refund_events(ev.checkpoint(), c.billing_invoices)
+    done = E.billing_outcomes(ev, P.CHECKOUT_PLANS)
+    count = F.count(F.lit(1)).alias("n")
+    states = E.fold_states(ev.filter("not broken"), allowed_plans=P.CHECKOUT_PLANS).groupBy(F.col("status").alias("name")).agg(count)
+    audit = done.filter("action is not null").groupBy(F.col("action").alias("name"), F.to_date("ts").cast("string").alias("label")).agg(count)
+    events = done.filter("result is not null").groupBy(F.col("kind").alias("name"), F.col("result").alias("label")).agg(count)
+    return (states.select(F.lit("licences").alias("part"), "name", F.lit("").alias("label"), "n")
+            .unionByName(audit.select(F.lit("audit").alias("part"), "name", "label", "n"))
+            .unionByName(events.select(F.lit("events").alias("part"), "name", "label", "n")))
+
+
 @register("a8_align_schema", views=("licenses",), oracle="""
 SELECT id, status, CAST(NULL AS BIGINT) AS node_id, CAST(NULL AS TIMESTAMP) AS last_check FROM licenses
 UNION ALL SELECT id, status, node_id, last_check FROM licenses""")
@@ -121,7 +165,7 @@ def _retry_audit(c):
 @register("a6_audit_all", views=("billing_events_ext", "transfer_requests", "transfer_licenses", "licenses",
                                  "retry_queue"), oracle=f"""
 WITH f AS (SELECT subscription_id, min((ts, event_id)) AS first_k FROM billing_events_ext
-  WHERE kind = 'checkout_completed' GROUP BY subscription_id),
+  WHERE kind = 'checkout_completed' AND plan IN ('vpn', 'security_vpn') GROUP BY subscription_id),
 bill AS (SELECT {_ACTIONS_SQL} AS action, ts FROM billing_events_ext LEFT JOIN f USING (subscription_id)),
 d AS ({TRANSFER_SQL}),
 tr AS (SELECT 'device_transfer' AS action, min(ts) AS ts FROM d WHERE decision = 'allowed' GROUP BY license_id),

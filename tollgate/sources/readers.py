@@ -156,7 +156,7 @@ def parse_billing_events(raw: DataFrame, col: str = "value") -> DataFrame:
         .alias("period_end"),
         F.col(f"{o}.amount").alias("amount"), F.col(f"{o}.amount_refunded").alias("amount_refunded"),
         F.col(f"{o}.cancel_at_period_end").alias("cancel_at_period_end"),
-        F.col(f"{o}.status").alias("sub_status"))
+        F.col(f"{o}.status").alias("sub_status"), F.col(o).isNull().alias("broken"))
 
 
 def render_billing_events(ev: DataFrame) -> DataFrame:
@@ -168,14 +168,22 @@ def render_billing_events(ev: DataFrame) -> DataFrame:
         typ = F.when(F.col("kind") == k, v).otherwise(typ)
     is_sub = F.col("kind").startswith("subscription_")
     sub = F.col("subscription_id").cast("string")
+    have = set(ev.columns)
+
+    def maybe(name):
+        return F.col(name) if name in have else F.lit(None).cast("string")
     obj = F.struct(
         F.when(is_sub, sub).otherwise(F.concat(F.lit("obj_"), F.col("event_id").cast("string"))).alias("id"),
-        F.when(~is_sub, sub).alias("subscription"),
+        F.when(~is_sub, sub).alias("subscription"), maybe("invoice_id").alias("invoice"),
+        maybe("customer_id").alias("customer"), maybe("email").alias("customer_email"),
+        maybe("billing_reason").alias("billing_reason"), F.struct(maybe("plan").alias("plan")).alias("metadata"),
         F.col("amount").alias("amount"), F.col("amount_refunded").alias("amount_refunded"),
         F.col("cancel_at_period_end").alias("cancel_at_period_end"), F.col("sub_status").alias("status"),
         F.struct(F.array(F.struct(F.struct(F.unix_seconds(F.col("period_end").cast("timestamp")).alias("end"))
                                   .alias("period"))).alias("data")).alias("lines")
-        if "period_end" in ev.columns else F.lit(None).alias("lines"))
+        if "period_end" in have else F.lit(None).alias("lines"))
+    if "broken" in have:  # an envelope without its object
+        obj = F.when(~F.col("broken"), obj)
     env = F.struct(F.col("event_id").cast("string").alias("id"), typ.alias("type"),
                    F.unix_seconds(F.col("ts").cast("timestamp")).alias("created"),
                    F.struct(obj.alias("object")).alias("data"))
