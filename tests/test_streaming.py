@@ -60,20 +60,38 @@ def test_h2_stream_states_equal_fold(spark, scratch):
     assert len(dirs) == 4 and diff == 0
 
 
-def test_h6_claim_timeouts(spark, scratch):
-    rows = [(1, "2024-01-01 00:00:00", 1, "claim"), (1, "2024-01-01 00:02:00", 2, "complete"),
-            (2, "2024-01-01 00:00:00", 3, "claim"),
-            (3, "2024-01-01 00:20:00", 4, "claim")]
-    df = spark.createDataFrame(rows, "license_id long, ts string, event_id long, kind string") \
+def _claims(spark, rows):
+    return spark.createDataFrame(rows, "license_id long, ts string, event_id long, kind string") \
         .withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    src = os.path.join(scratch, "in")
-    df.filter("event_id <= 3").coalesce(1).write.parquet(os.path.join(src, "a"))
-    df.filter("event_id = 4").coalesce(1).write.parquet(os.path.join(src, "b"))
-    stream = (spark.readStream.schema(df.schema).option("recursiveFileLookup", "true")
-              .option("maxFilesPerTrigger", 1).parquet(src))
-    _run(S.claim_timeouts(stream, "1 minute"), "h6_out", mode="update", ckpt=os.path.join(scratch, "ck"))
-    got = {r.license_id: r.action for r in spark.table("h6_out").collect()}
-    assert got == {2: "reset"}
+
+
+def test_h6_claim_timeouts_equal_batch_under_any_split(spark, scratch):
+    """A late completion resets, every expired claim resets, order of arrival does not matter."""
+    import random
+    rows = [(1, "2024-01-01 00:00:00", 1, "claim"), (1, "2024-01-01 00:02:00", 2, "complete"),
+            (2, "2024-01-01 00:00:00", 3, "claim"), (3, "2024-01-01 00:20:00", 4, "claim"),
+            (4, "2024-01-01 00:00:00", 5, "claim"), (4, "2024-01-01 00:10:00", 6, "complete"),
+            (5, "2024-01-01 00:00:00", 7, "claim"), (5, "2024-01-01 00:09:00", 8, "claim"),
+            (6, "2024-01-01 00:00:00", 9, "claim"), (6, "2024-01-01 00:05:00", 10, "complete")]
+    r = random.Random(3)
+    rows += [(10 + r.randrange(4), f"2024-01-01 00:{r.randrange(25):02d}:{r.randrange(60):02d}", 100 + i,
+              r.choice(["claim", "claim", "complete"])) for i in range(150)]
+    end = (99, "2024-01-01 02:00:00", 9999, "complete")
+    want = sorted((x.license_id, str(x.claimed_at)) for x in S.claim_timeouts_batch(_claims(spark, rows + [end])).collect())
+    assert {(2, "2024-01-01 00:00:00"), (4, "2024-01-01 00:00:00"), (5, "2024-01-01 00:00:00"), (5, "2024-01-01 00:09:00")} <= set(want)
+    assert not {x for x in want if x[0] in (1, 6)}
+    for seed in (1, 2):
+        src = os.path.join(scratch, f"in{seed}")
+        shuffled = rows[:]
+        random.Random(seed).shuffle(shuffled)
+        for i in range(4):
+            _claims(spark, shuffled[i::4]).coalesce(1).write.parquet(os.path.join(src, f"p{i}"))
+        _claims(spark, [end]).coalesce(1).write.parquet(os.path.join(src, "p9"))
+        stream = (spark.readStream.schema(_claims(spark, [end]).schema).option("recursiveFileLookup", "true")
+                  .option("maxFilesPerTrigger", 1).parquet(src))
+        _run(S.claim_timeouts(stream, "30 minutes"), f"h6_out{seed}", mode="update", ckpt=os.path.join(scratch, f"ck{seed}"))
+        got = sorted((x.license_id, str(x.claimed_at)) for x in spark.table(f"h6_out{seed}").collect())
+        assert got == want
 
 
 def test_h7_stream_devices_equal_batch(spark, scratch):

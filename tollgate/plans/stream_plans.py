@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tollgate.plans.registry import register
-from tollgate.streaming.jobs import dedup_events_batch
+from tollgate.streaming.jobs import claim_timeouts_batch, dedup_events_batch, device_deltas, merge_device_deltas
 
 
 @register("h1_dedup_events", views=("billing_events",), oracle="""
@@ -21,3 +21,22 @@ def h1(c):
     ev = c.billing_events
     redelivered = ev.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 MINUTE"))
     return dedup_events_batch(ev.unionByName(redelivered))
+
+
+@register("h6_claim_timeouts", views=("claim_events",), oracle="""
+SELECT license_id, ts AS claimed_at, 'reset' AS action FROM claim_events c
+WHERE kind = 'claim' AND ts + INTERVAL 5 MINUTE < (SELECT max(ts) FROM claim_events)
+ AND NOT EXISTS (SELECT 1 FROM claim_events d WHERE d.kind = 'complete' AND d.license_id = c.license_id
+   AND (d.ts, d.event_id) > (c.ts, c.event_id) AND d.ts <= c.ts + INTERVAL 5 MINUTE)""")
+def h6(c):
+    return claim_timeouts_batch(c.claim_events)
+
+
+@register("h7_device_deltas", views=("device_seen",), oracle="""
+SELECT device_id, license_id, min(ts) AS first_seen, max(ts) AS last_seen, arg_max(ip, (ts, event_id)) AS last_ip
+FROM device_seen GROUP BY device_id, license_id""")
+def h7(c):
+    """Partial aggregates of three slices of the sightings, merged."""
+    parts = [device_deltas(c.device_seen.filter(F.col("event_id") % 3 == i)) for i in range(3)]
+    merged = merge_device_deltas(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return merged.select("device_id", "license_id", "first_seen", "last_seen", "last_ip")

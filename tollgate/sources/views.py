@@ -70,6 +70,9 @@ SELECT o_orderkey AS session_id,
  CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE o_custkey END AS customer_id,
  o_orderkey % 6 <> 5 AS paid
 FROM {orders}""",
+    "claim_events": """
+SELECT event_id, user_id % 20 AS license_id, ts, CASE WHEN event_type IN ('view', 'click') THEN 'claim' ELSE 'complete' END AS kind
+FROM {events}""",
     "retry_queue": """
 SELECT event_id AS id, user_id AS license_id, cast(event_id % 5 AS int) AS attempts,
  ts + INTERVAL 5 MINUTE AS next_retry, ts AS created_at, event_id % 4 = 0 AS send_ok
@@ -185,7 +188,7 @@ VIEW_DEPS: dict[str, tuple[str, ...]] = {
     "licenses": ("orders",), "nodes": ("supplier",), "node_keys": ("lineitem",),
     "billing_events": ("events",), "request_log": ("events",), "device_seen": ("events",),
     "device_requests": ("lineitem", "orders"), "sessions": ("orders",),
-    "retry_queue": ("events",), "site_paths": ("pages",), "site_pages": ("pages",), "site_links": ("pages",),
+    "retry_queue": ("events",), "claim_events": ("events",), "site_paths": ("pages",), "site_pages": ("pages",), "site_links": ("pages",),
     "billing_events_ext": ("billing_events",), "transfer_requests": ("device_requests",),
     "transfer_licenses": ("licenses",), "refunds": ("lineitem",), "invoices": ("orders",),
     "subscriptions": ("orders",), "checkouts": ("sessions",), "price_facts": ("orders",),

@@ -107,7 +107,7 @@ def _fold_group_fn(plans):
             rec = _apply(rec, ev, plans)
         state.update((json.dumps(rec), json.dumps(buf)))
         if buf:
-            state.setTimeoutTimestamp(max(r[0] for r in buf) // 1000 + 1)
+            state.setTimeoutTimestamp(min(r[0] for r in buf) // 1000 + 1)  # the earliest waits no longer than stated
         if ready and rec != before:
             yield pd.DataFrame({"subscription_id": [key[0]], "status": [rec[0]],
                                 "expires_at": [None if rec[1] is None else pd.Timestamp(rec[1], unit="us")],
@@ -140,34 +140,74 @@ def stream_states(stream: DataFrame, lateness: str = "1 hour", key: str = "subsc
 # H6: claim timeouts
 # ---------------------------------------------------------------------------
 
-def _claim_group(key, pdfs, state):
-    ttl_ms = P.CLAIM_TTL_MINUTES * 60 * 1000
-    if state.hasTimedOut:
-        # a completed claim removed the state but its timer may still fire
-        held = state.getOption
-        if held is not None:
-            state.remove()
-            yield pd.DataFrame({"license_id": [key[0]], "claimed_at_ms": [held[0]], "action": ["reset"]})
-        return
-    rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-    for ts, kind in zip(rows["ts"], rows["kind"]):
-        t_ms = int(pd.Timestamp(ts).value // 1_000_000)
-        if kind == "claim" and not state.exists:
-            state.update((t_ms,))
-            state.setTimeoutTimestamp(t_ms + ttl_ms)
-        elif kind == "complete" and state.exists:
+def _claim_fn(ttl_us: int):
+    def run(key, pdfs, state):
+        """Events wait until the watermark passes them and are then taken in (ts, event_id)
+        order: a completion closes the claims that are still within their time; a claim
+        whose time is over by then, or by the watermark, is reset.  State: open claims and
+        waiting events, both bounded by the lateness and the claim time; the timer stands at
+        the earliest of them, and a licence without either keeps no state."""
+        claims, ts, ids, kinds = (list(x) for x in state.get) if state.exists else ([], [], [], [])
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                ts += [int(pd.Timestamp(t).value // 1000) for t in pdf["ts"]]
+                ids += [int(i) for i in pdf["event_id"]]
+                kinds += list(pdf["kind"])
+        wm = state.getCurrentWatermarkMs() * 1000
+        waiting, resets = [], []
+        for t, i, kind in sorted(zip(ts, ids, kinds)):
+            if t > wm:
+                waiting.append((t, i, kind))
+                continue
+            if kind == "claim":
+                claims.append(t)
+            elif kind == "complete":
+                resets += [c for c in claims if c + ttl_us < t]
+                claims = []
+        resets += [c for c in claims if c + ttl_us < wm]
+        claims = [c for c in claims if c + ttl_us >= wm]
+        if claims or waiting:
+            state.update((claims, [w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting]))
+            due = min([c + ttl_us for c in claims] + [w[0] for w in waiting])
+            state.setTimeoutTimestamp(max(due, wm) // 1000 + 1)
+        elif state.exists:
             state.remove()
+        if resets:
+            yield pd.DataFrame({"license_id": key[0], "claimed_at": [pd.Timestamp(c, unit="us") for c in resets], "action": "reset"})
+    return run
 
 
-def claim_timeouts(stream: DataFrame, lateness: str = "1 minute") -> DataFrame:
+def claim_timeouts(stream: DataFrame, lateness: str = "1 minute", ttl_minutes: int = P.CLAIM_TTL_MINUTES) -> DataFrame:
     """H6: a claim with no completion within the TTL (event time) is reset.
-    Input (license_id, ts, event_id, kind in {claim, complete})."""
+    Input (license_id, ts, event_id, kind in {claim, complete}); results trail event time
+    by the lateness and do not depend on the micro-batches."""
     s = event_time(stream).withWatermark("ts", lateness)
     return s.groupBy("license_id").applyInPandasWithState(
-        _claim_group, "license_id long, claimed_at_ms long, action string", "claimed_at_ms long",
+        _claim_fn(ttl_minutes * 60_000_000), "license_id long, claimed_at timestamp_ntz, action string",
+        "claims array<long>, ts array<long>, ids array<long>, kinds array<string>",
         "Update", GroupStateTimeout.EventTimeTimeout)
 
 
+def claim_timeouts_batch(events: DataFrame, ttl_minutes: int = P.CLAIM_TTL_MINUTES) -> DataFrame:
+    """H6, batch form: claims with no completion of their licence at or after them, in
+    (ts, event_id) order, within the TTL; claims whose time is not over by the last event
+    are still open.  An anti-join on the licence and the TTL-long time bucket, so a
+    licence with very many events is spread over its buckets."""
+    micros = ttl_minutes * 60_000_000
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    ev = events.withColumn("_us", t).withColumn("_b", F.floor(t / F.lit(micros)))
+    end = ev.agg(F.max("_us").alias("_end"))
+    done = ev.filter(F.col("kind") == "complete").select(
+        F.col("license_id").alias("_l"), F.col("_us").alias("_c"), F.col("event_id").alias("_ce"),
+        F.explode(F.array(F.col("_b"), F.col("_b") - 1)).alias("_cb"))
+    claims = ev.filter(F.col("kind") == "claim")
+    met = (F.col("license_id") == F.col("_l")) & (F.col("_b") == F.col("_cb")) & (F.col("_c") <= F.col("_us") + micros) & (
+        (F.col("_c") > F.col("_us")) | ((F.col("_c") == F.col("_us")) & (F.col("_ce") > F.col("event_id"))))
+    open_ = claims.join(done, met, "left_anti")
+    return open_.filter(F.col("_us") + micros < end.scalar()).select(
+        "license_id", F.col("ts").alias("claimed_at"), F.lit("reset").alias("action"))
+
+
 # ---------------------------------------------------------------------------
 # H7: device upsert per micro-batch
 # ---------------------------------------------------------------------------
