@@ -53,6 +53,8 @@ SOCIAL_TAGS = P.REQUIRED_OG + P.REQUIRED_CARD
 JSONLD_INLANG = r'"inLanguage"\s*:\s*"([^"]*)"'
 FAQ_VISIBLE = r'(?i)<[a-z0-9]+[^>]*class="faq-question"[^>]*>([^<]*)<'
 FAQ_STRUCTURED = r'"@type"\s*:\s*"Question"\s*,\s*"name"\s*:\s*"([^"]*)"'
+FAQ_ANSWER_VISIBLE = r'(?i)<[a-z0-9]+[^>]*class="faq-answer"[^>]*>([^<]*)<'
+FAQ_ANSWER_STRUCTURED = r'"@type"\s*:\s*"Answer"\s*,\s*"text"\s*:\s*"([^"]*)"'
 JSONLD_TYPE = r'"@type"\s*:\s*"([^"]*)"'
 RE_LINK_TAG_HREF = r'(?i)<link[^>]+href="([^"]*)"'
 
@@ -245,6 +247,18 @@ def section_links(links: DataFrame, paths: DataFrame, minimums: dict[str, int])
     return out.filter(F.col("minimum").isNotNull() & (F.col("same_section") < F.col("minimum")))
 
 
+def cross_section_links(links: DataFrame, paths: DataFrame, source: str, target: str, minimum: int = 1) -> DataFrame:
+    """K19 (cross-section minimum): pages of section ``source`` that link to fewer than
+    ``minimum`` distinct pages of section ``target`` (sections are first path segments)."""
+    sec = F.regexp_extract(F.col("path"), r"^/([^/]*)/", 1)
+    pp = paths.select("page_id", "path", sec.alias("section"))
+    r = resolve_links(links, paths).filter(F.col("dst_page_id").isNotNull())
+    there = pp.filter(F.col("section") == target).select(F.col("page_id").alias("dst_page_id"))
+    per = r.join(there, "dst_page_id", "left_semi").groupBy("page_id").agg(F.count_distinct("dst_page_id").alias("n"))
+    out = pp.filter(F.col("section") == source).join(per, "page_id", "left")
+    return out.select("page_id", "path", F.coalesce("n", F.lit(0)).cast("long").alias("linked")).filter(F.col("linked") < minimum)
+
+
 def unsafe_links(links: DataFrame) -> DataFrame:
     """Hrefs that are neither http(s) URLs nor root-relative."""
     return links.filter(~F.coalesce(F.col("href").rlike(P.RE_SAFE_HREF), F.lit(False)))
@@ -369,6 +383,27 @@ def faq_mismatch(pages: DataFrame) -> DataFrame:
         F.size(F.array_except("s", "v")).cast("long").alias("only_structured"))
 
 
+def faq_answer_mismatch(pages: DataFrame) -> DataFrame:
+    """K21 (answers): FAQ answer texts shown on the page vs those in the structured data."""
+    vis = F.array_distinct(F.transform(_extract_all(F.col("html"), FAQ_ANSWER_VISIBLE), lambda s: trim_ws(s)))
+    st = F.array_distinct(_extract_all(F.col("html"), FAQ_ANSWER_STRUCTURED))
+    p = pages.select("page_id", url_path("url").alias("path"), vis.alias("v"), st.alias("s"))
+    return p.filter((F.size("v") > 0) | (F.size("s") > 0)).select(
+        "page_id", "path", F.size(F.array_except("v", "s")).cast("long").alias("only_visible"),
+        F.size(F.array_except("s", "v")).cast("long").alias("only_structured"))
+
+
+def heading_density(pages: DataFrame, words_per_h2: int = 300) -> DataFrame:
+    """K20 (headings): visible words per H2, and whether a page has at least one H2 for
+    every ``words_per_h2`` words."""
+    text = F.regexp_replace(F.col("html"), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
+    words = word_count(F.regexp_replace(text, r"<[^>]*>", " "))
+    h2 = F.size(_extract_all(F.col("html"), r"(?i)(<h2[\s>])", 1))
+    p = pages.select("page_id", url_path("url").alias("path"), words.cast("long").alias("words"), h2.cast("long").alias("n_h2"))
+    return p.select("*", F.try_divide("words", "n_h2").alias("words_per_h2"),
+                    (F.col("n_h2") * words_per_h2 >= F.col("words")).alias("dense_enough"))
+
+
 def corpus_consistency(pages: DataFrame, version_re=P.RE_ASSET_VERSION,
                        promo_re=r"data-promo-end=\"([0-9]{4}-[0-9]{2}-[0-9]{2})\"") -> DataFrame:
     """Distinct asset versions and promo end dates over the whole corpus

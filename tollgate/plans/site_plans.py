@@ -81,3 +81,33 @@ WHERE target <> '' AND NOT regexp_matches(target, '^(http|mailto:|tel:|//)') AND
 def k11(c):
     a = K.audit_pages(c.site_pages).select("page_id", "path", F.explode("assets").alias("asset"))
     return K.missing_assets(a, c.site_paths).select("page_id", "asset", "target")
+
+
+@register("k19_cross_section_links", views=("site_pages",), oracle=f"""
+WITH p AS (SELECT page_id, html, {A.URL_PATH_SQL} AS path FROM site_pages),
+l AS (SELECT page_id, split_part(split_part(unnest(regexp_extract_all(html, {A.sq(P.RE_HREF)}, 1)), '#', 1), '?', 1) AS target FROM p)
+SELECT p.page_id, p.path, CAST((SELECT count(DISTINCT q.page_id) FROM l JOIN p q ON q.path = l.target
+  WHERE l.page_id = p.page_id AND starts_with(q.path, '/compare/')) AS BIGINT) AS linked
+FROM p WHERE starts_with(path, '/blog/') AND linked < 1""")
+def k19_cross(c):
+    a = K.audit_pages(c.site_pages)
+    return K.cross_section_links(K.page_links(a), a.select("page_id", "path"), "blog", "compare")
+
+
+@register("k20_heading_density", views=("site_pages",), oracle=f"""
+SELECT *, CASE WHEN n_h2 > 0 THEN words / n_h2 END AS words_per_h2, n_h2 * 300 >= words AS dense_enough FROM (
+ SELECT page_id, path, len(regexp_extract_all({A._TEXT}, {A.sq('([^ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r' + chr(92) + 'f]+)')}, 1)) AS words,
+  len(regexp_extract_all(html, {A.sq(r'(?i)(<h2[\s>])')}, 1)) AS n_h2 FROM (SELECT page_id, html, {A.URL_PATH_SQL} AS path FROM site_pages) t) u""")
+def k20_density(c):
+    return K.heading_density(c.site_pages)
+
+
+@register("k21_faq_answers", views=("site_pages",), oracle=f"""
+SELECT page_id, path, len(list_filter(v, lambda x: NOT list_contains(s, x))) AS only_visible,
+ len(list_filter(s, lambda x: NOT list_contains(v, x))) AS only_structured
+FROM (SELECT page_id, {A.URL_PATH_SQL} AS path,
+  list_distinct(list_transform(regexp_extract_all(html, {A.sq(K.FAQ_ANSWER_VISIBLE)}, 1), lambda x: {A.trim_sql('x')})) AS v,
+  list_distinct(regexp_extract_all(html, {A.sq(K.FAQ_ANSWER_STRUCTURED)}, 1)) AS s FROM site_pages) t
+WHERE len(v) > 0 OR len(s) > 0""")
+def k21_answers(c):
+    return K.faq_answer_mismatch(c.site_pages)

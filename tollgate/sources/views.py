@@ -160,15 +160,16 @@ SELECT page_id, '{_H}' || path AS url,
   ELSE '<meta property="og:title" content="T"><meta property="og:description" content="D"><meta property="og:url" content="U"><meta property="og:type" content="article"><meta property="og:site_name" content="S"><meta property="og:image" content="I"><meta property="og:locale" content="' || lang || '"><meta name="twitter:card" content="C"><meta name="twitter:title" content="T"><meta name="twitter:description" content="D"><meta name="twitter:image" content="I">' END ||
  CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '<script type="application/ld+json">{{{{"@type": "Article", </script>'
   WHEN 2 THEN '<script type="application/ld+json">{{{{"@type": "Article", "inLanguage": "en"}}}}</script>'
-  WHEN 3 THEN '<script type="application/ld+json">{{{{"@graph": [{{{{"@type": "FAQPage", "mainEntity": [{{{{"@type": "Question", "name": "What is it?"}}}}]}}}}, {{{{"@type": "BreadcrumbList"}}}}]}}}}</script>'
+  WHEN 3 THEN '<script type="application/ld+json">{{{{"@graph": [{{{{"@type": "FAQPage", "mainEntity": [{{{{"@type": "Question", "name": "What is it?", "acceptedAnswer": {{{{"@type": "Answer", "text": "An article."}}}}}}}}]}}}}, {{{{"@type": "BreadcrumbList"}}}}]}}}}</script>'
   ELSE '<script type="application/ld+json">{{{{"@type": "Thing", "about": {{{{"@type": "Article", "inLanguage": "' || lang || '"}}}}}}}}</script>' END ||
  CASE WHEN m > 2 THEN '' ELSE '<link rel="alternate" hreflang="en" href="{_H}/p' || b || '/index.html">' ||
   CASE WHEN k = 0 THEN '<link rel="alternate" hreflang="ar" href="{_H}/ar/p' || b || '/index.html"><link rel="alternate" hreflang="fr" href="{_H}/fr/p' || b || '/index.html">' ELSE '' END ||
   CASE WHEN k = 0 THEN '<link rel="alternate" hreflang="x-default" href="{_H}/p' || b || '/index.html"><link rel="alternate" hreflang="hi" href="{_H}/hi/p' || b || '/index.html"><link rel="stylesheet" href="/css/rtl.css">' ELSE '' END END ||
  CASE WHEN m = 7 AND k = 0 THEN '<meta name="robots" content="noindex">' ELSE '' END || '</head><body data-promo-end="2024-01-0' || cast(page_id % 3 + 1 AS string) || '">' ||
- CASE page_id % 4 WHEN 2 THEN '<h2 class="faq-question">What is it?</h2><p class="faq-answer">An article.</p>' WHEN 3 THEN '<h2 class="faq-question"> Who? </h2>' ELSE '' END ||
+ CASE page_id % 4 WHEN 2 THEN '<h2 class="faq-question">What is it?</h2><p class="faq-answer">' || CASE WHEN page_id % 3 = 0 THEN 'A page.' ELSE 'An article.' END || '</p>' WHEN 3 THEN '<h2 class="faq-question"> Who? </h2>' ELSE '' END ||
  CASE WHEN page_id % 3 = 0 THEN '' WHEN page_id % 3 = 1 THEN '<a onclick="startCheckout(''vpn'')">Buy</a>' ELSE '<a onclick="startCheckout(''gold'')">Buy</a><a onclick="startCheckout(''security_vpn'')">Buy</a>' END ||
  CASE WHEN m = 6 AND k = 0 THEN '<a href="/downloads/app">Get</a>' ELSE '' END ||
+ CASE WHEN m = 3 AND k = 0 THEN '<a href="/compare/c' || cast(page_id + 1 AS string) || '.html">Compare</a>' ELSE '' END ||
  CASE WHEN m IN (1, 2) THEN '<a href="/p' || b || '/index.html#top">Home</a>' ELSE '' END ||
  CASE WHEN page_id % 4 = 0 THEN '' ELSE '<img src="/img/a.png?v=' || cast(page_id % 2 AS string) || '" srcset="/img/a.png 1x, /img/b.png 2x">' END ||
  '<p data-i18n="src' || cast(page_id % 30 AS string) || '">' || substr(html, instr(html, '<article>')) AS html
