@@ -82,10 +82,10 @@ COVERAGE = {
     "H2": ("streaming.stream_states", [], "stream = G1 tests (in order and late across batches); no SQL form"),
     "H3": ("metrics.rate_violations, rate_limit_audit", ["h3_rate_violations", "h3_limiter_groups"], ""),
     "H4": ("metrics.windowed_counts, streaming.counter_stream", ["h4_counter_windows"], ""),
-    "H5": ("metrics.windowed_counts(slide), streaming.rate_stream", ["h5_sliding_rate"], ""),
-    "H6": ("streaming.claim_timeouts", ["b10_stale_claims"], "event-time timer test; batch form is B10"),
-    "H7": ("streaming.stream_devices, upsert_devices_batch", ["g2_upsert_devices"], "stream = G2 test"),
-    "H8": ("metrics.alerts, ratio_alerts", ["h8_alerts"], ""),
+    "H5": ("metrics.windowed_counts(slide), streaming.rate_stream", ["h5_sliding_rate", "h5_sliding_rate_scrape"], ""),
+    "H6": ("streaming.claim_timeouts, claim_timeouts_batch", ["h6_claim_timeouts"], "stream = batch under random splits"),
+    "H7": ("streaming.stream_devices, upsert_devices_batch", ["h7_device_deltas", "g2_upsert_devices"], "stream = G2 test"),
+    "H8": ("metrics.alerts, ratio_alerts", ["h8_alerts", "h8_ratio_alerts"], ""),
     "H9": ("streaming.log_windows", ["h4_counter_windows"], "late-row test"),
     "K1": ("siteaudit.audit_pages.has_doctype", ["k1_k2_structure"], ""),
     "K2": ("siteaudit.audit_pages.has_lang/has_charset/has_viewport", ["k1_k2_structure"], ""),
@@ -93,7 +93,7 @@ COVERAGE = {
     "K4": ("siteaudit.audit_pages.canonical", ["k4_canonical"], ""),
     "K5": ("siteaudit.audit_pages.missing_tags", ["k5_social_tags"], ""),
     "K6": ("siteaudit.audit_pages.jsonld/n_bad_jsonld", ["k6_jsonld"], ""),
-    "K7": ("siteaudit.jsonld_types, jsonld_types_strict", ["k7_jsonld_types"], "strict VARIANT form tested on fixtures"),
+    "K7": ("siteaudit.jsonld_types, jsonld_types_strict", ["k7_jsonld_types", "k7_jsonld_types_strict"], ""),
     "K8": ("siteaudit.audit_pages.links, page_links", ["k8_links"], ""),
     "K9": ("siteaudit.audit_pages.assets", ["k9_assets"], ""),
     "K10": ("siteaudit.broken_links, resolve_links", ["k10_broken_links"], "relative-path fixture"),
@@ -105,9 +105,10 @@ COVERAGE = {
     "K16": ("siteaudit.hreflang_completeness, hreflang_returns", ["k16_hreflang_completeness", "k16_hreflang_returns"], ""),
     "K17": ("siteaudit.locale_rules", ["k17_locale_rules"], ""),
     "K18": ("siteaudit.inbound_links", ["k18_inbound_links"], ""),
-    "K19": ("siteaudit.required_links, section_links", ["k19_required_links", "k19_section_links"], ""),
-    "K20": ("siteaudit.content_ranges", ["k20_content_ranges"], ""),
-    "K21": ("siteaudit.faq_mismatch", ["k21_faq_mismatch"], ""),
+    "K19": ("siteaudit.required_links, section_links, cross_section_links",
+            ["k19_required_links", "k19_section_links", "k19_cross_section_links"], ""),
+    "K20": ("siteaudit.content_ranges, heading_density", ["k20_content_ranges", "k20_heading_density"], ""),
+    "K21": ("siteaudit.faq_mismatch, faq_answer_mismatch", ["k21_faq_mismatch", "k21_faq_answers"], ""),
     "K22": ("siteaudit.corpus_consistency", ["k22_corpus_consistency"], ""),
     "K23": ("siteaudit.unsafe_links", ["k23_unsafe_links"], ""),
     "K24": ("siteaudit.url_coverage", ["k24_url_coverage"], ""),
@@ -122,6 +123,13 @@ COVERAGE = {
 }
 
 
+COVERAGE["A5"][1].append("a5_billing_pipeline")
+for _k, (_, _names, _) in COVERAGE.items():  # the audits once more, on the site view
+    if _k.startswith("K"):
+        from tollgate.plans.registry import queries as _queries
+        _names += [f"{n}_site" for n in list(_names) if f"{n}_site" in _queries()]
+
+
 def render():
     from tollgate.plans.registry import oracle_sql, queries
     qs, orc = queries(), oracle_sql()
