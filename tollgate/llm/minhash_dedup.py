@@ -39,7 +39,7 @@ from tollgate.llm.common import staged, text_of
 SLOTS, ROWS = 128, 4
 LEAST = 80  # per cent of the union
 AGREE = 0.6
-FAMILY = 4096
+FAMILY = 1024
 
 
 def signatures(owner: np.ndarray, element: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
