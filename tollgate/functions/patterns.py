@@ -55,6 +55,7 @@ REQUIRED_OG = ("og:title", "og:description", "og:url", "og:type", "og:site_name"
 REQUIRED_CARD = ("twitter:card", "twitter:title", "twitter:description", "twitter:image")
 REQUIRED_JSONLD_TYPES = ("Article", "FAQPage", "BreadcrumbList")
 CHECKOUT_PLANS = ("vpn", "security_vpn")
+DOWNLOAD_PAGE_SKIP = "vpn-download"
 RTL_STYLESHEET = "/css/rtl.css"
 
 # Extraction patterns (case-insensitive where the audit is).
@@ -72,7 +73,15 @@ RE_SRC = r'(?i)<(?:img|script|source|iframe)[^>]+src="([^"]*)"'
 RE_SRCSET = r'(?i)<(?:img|source)[^>]+srcset="([^"]*)"'
 RE_JSONLD = r'(?is)<script type="application/ld\+json">(.*?)</script>'
 RE_HREFLANG = r'(?i)<link rel="alternate" hreflang="([^"]*)" href="([^"]*)"\s*/?>'
-RE_CHECKOUT_PLAN = r"""startCheckout\(['"]([^'"]+)['"]\)"""
+
+
+def checkout_pattern(handler: str) -> str:
+    """A call of the button handler, its plan argument captured."""
+    return handler + r"""\(['"]([^'"]+)['"]\)"""
+
+
+CHECKOUT_HANDLER = "startCheckout"
+RE_CHECKOUT_PLAN = checkout_pattern(CHECKOUT_HANDLER)
 RE_DOWNLOAD_LINK = r'href="/downloads/'
 RE_NOINDEX = r'<meta[^>]+name="robots"[^>]+content="[^"]*noindex'
 RE_H1 = r"(?i)<h1[\s>]"

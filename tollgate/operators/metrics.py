@@ -246,13 +246,13 @@ def labels_text(*pairs) -> Column:
     return F.concat(*parts[:-1]) if parts else F.lit("")
 
 
-def metric_snapshot(gauges: dict[str, DataFrame], counters: dict[str, tuple[DataFrame, list]]) -> DataFrame:
-    """Every gauge (one-row, one-column frames) and counter (frames with label
-    columns and ``value``) as long rows (metric, labels, value)."""
-    parts = []
-    for name, g in gauges.items():
-        parts.append(g.select(F.lit(name).alias("metric"), F.lit("").alias("labels"),
-                              F.col(g.columns[0]).cast("double").alias("value")))
+def metric_snapshot(gauges: list[DataFrame], counters: dict[str, tuple[DataFrame, list]]) -> DataFrame:
+    """Every gauge and counter as long rows (metric, labels, value).  ``gauges`` are
+    one-row frames with one column per gauge, so gauges of one table share a pass;
+    ``counters`` are frames with label columns and ``value``."""
+    parts = [g.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.lit("").alias("labels"),
+                                                  F.col(c).cast("double").alias("value")) for c in g.columns])))
+             for g in gauges]
     for name, (cdf, labels) in counters.items():
         parts.append(cdf.select(F.lit(name).alias("metric"), labels_text(*[(l, l) for l in labels]).alias("labels"),
                                 F.col("value").cast("double").alias("value")))

@@ -268,26 +268,27 @@ def unsafe_links(links: DataFrame) -> DataFrame:
 # Page rules
 # ---------------------------------------------------------------------------
 
-def plan_values(pages: DataFrame, allowed=P.CHECKOUT_PLANS, select: Column | None = None) -> DataFrame:
+def plan_values(pages: DataFrame, allowed=P.CHECKOUT_PLANS, select: Column | None = None,
+                pattern: str = P.RE_CHECKOUT_PLAN) -> DataFrame:
     """Checkout plan values on pricing/landing pages (path contains 'pricing'
     or ends with '/index.html', not under '/blog/'): at least one, all allowed."""
     p = pages.select("page_id", url_path("url").alias("path"), "html")
     sel = select if select is not None else (
         (F.col("path").contains("pricing") | F.col("path").endswith("/index.html"))
         & ~F.col("path").contains("/blog/"))
-    plans = F.array_distinct(_extract_all(F.col("html"), P.RE_CHECKOUT_PLAN))
+    plans = F.array_distinct(_extract_all(F.col("html"), pattern))
     bad = F.array_except(plans, F.array(*[F.lit(a) for a in allowed]))
     return p.filter(sel).select("page_id", "path", F.size(plans).cast("long").alias("n_plans"),
                                 F.size(bad).cast("long").alias("n_bad"),
                                 ((F.size(plans) > 0) & (F.size(bad) == 0)).alias("ok"))
 
 
-def page_rules(pages: DataFrame) -> DataFrame:
-    """Download pages must carry download links; the not-found page must be
-    noindex.  One row per violation."""
+def page_rules(pages: DataFrame, skip: str = P.DOWNLOAD_PAGE_SKIP) -> DataFrame:
+    """Download pages (but paths that contain ``skip``) must carry download links;
+    the not-found page must be noindex.  One row per violation."""
     p = pages.select("page_id", url_path("url").alias("path"), "html")
     path, h = F.col("path"), F.col("html")
-    dl = p.filter(path.contains("download") & ~path.contains("vpn-download") & ~h.rlike(P.RE_DOWNLOAD_LINK))
+    dl = p.filter(path.contains("download") & ~path.contains(skip) & ~h.rlike(P.RE_DOWNLOAD_LINK))
     nf = p.filter(path.endswith("/404.html") & ~h.rlike(P.RE_NOINDEX))
     return (dl.select("page_id", "path", F.lit("no_download_links").alias("rule"))
             .unionByName(nf.select("page_id", "path", F.lit("not_noindex").alias("rule"))))

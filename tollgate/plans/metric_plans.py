@@ -247,8 +247,8 @@ UNION ALL SELECT 'keys_by_plan', 'plan=' || plan, CAST(count(*) AS DOUBLE) FROM
 def a7(c):
     lic, q, log = c.licenses, c.retry_queue, c.request_log
     g = E.licence_gauges(lic, LICENSE_AS_OF)
-    gauges = {"active_licenses": g.select("active_licenses"), "active_keys": g.select("active_keys"),
-              "stale_claims": g.select("stale_claims"), "retry_depth": E.retry_depth(q)}
+    depth = E.retry_depth(q)
+    gauges = [g.select("active_licenses", "active_keys", "stale_claims"), depth.select(F.col(depth.columns[0]).alias("retry_depth"))]
     keyed = lic.filter(F.col("key_id").isNotNull() & (F.col("key_id") != P.PENDING))
     counters = {"http_requests_total": (M.counter(log, ["route", "status"]), ["route", "status"]),
                 "keys_by_plan": (M.counter(keyed, ["plan"]), ["plan"])}
