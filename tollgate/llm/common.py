@@ -60,6 +60,12 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def by_shard(df: DataFrame, h: Column, shards: int):
+    """`df` grouped in `shards` groups by the hash `h`, one group a task up to 20,000 tasks: the
+    groups' work, not their bytes, is what AQE should not put together again."""
+    return df.withColumn("shard", F.pmod(h, F.lit(shards))).repartition(min(shards, 20_000), "shard").groupBy("shard")
+
+
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` evaluated once a row, also where nested lambdas use it."""
     return F.get(F.transform(F.array(value), body), 0)

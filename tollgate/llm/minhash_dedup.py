@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tollgate.llm import bloom, bytesnp
-from tollgate.llm.common import staged, text_of
+from tollgate.llm.common import by_shard, staged, text_of
 
 SLOTS, ROWS = 128, 4
 LEAST = 80  # per cent of the union
@@ -239,7 +239,7 @@ def _rows(docs: DataFrame, k: int, least: int, slots: int, rows: int) -> DataFra
     probes = now.where(asks).select("family", "id", "root", F.lit(True).alias("asks"), F.explode(to("rows")).alias("r"), F.pmod("h", "probes").alias("p"))
     met = index.unionByName(probes).join(sets, "id")
     shards = max(1, -(-now.count() // FAMILY))
-    more = met.groupBy(F.pmod(F.xxhash64("family", "r", "p"), F.lit(shards)).alias("shard")).applyInArrow(
+    more = by_shard(met, F.xxhash64("family", "r", "p"), shards).applyInArrow(
         lambda t: _family_links(least)(t), "a long, b long")
     more = staged(more.distinct())
     if not more.isEmpty():

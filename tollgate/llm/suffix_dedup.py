@@ -11,9 +11,9 @@ pieces of one anchor.
    pieces in one batch meet before the shuffle.  An anchor left with one piece is done.
 3. Pieces of anchors with several different surroundings form the collections.  Each shard
    builds its collection's Burrows-Wheeler transform, common prefixes and suffix order
-   column-wise: every round inserts one symbol per piece.  The anchor, which pieces share,
-   counts as one symbol, so suffixes with a common prefix of 37 symbols are equal strings
-   of 100 bytes; all but the earliest are covered.
+   column-wise: every round inserts one symbol per piece.  An anchor counts as one symbol,
+   so suffixes with a common prefix of 37 symbols and the same anchor are equal strings of
+   100 bytes; all but the earliest are covered.
 4. Each document's covered spans are merged and its other bytes kept.
 
 The arrays of a collection are rewritten once per round, in order; over `SPILL` bytes they
@@ -27,7 +27,6 @@ not read.
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
 
 import numpy as np
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tollgate.llm import bloom, bytesnp
-from tollgate.llm.common import staged, text_of
+from tollgate.llm.common import by_shard, staged, text_of
 
 LENGTH, ANCHOR = 100, 64
 PIECES = 8192  # pieces of a shard, about
@@ -257,9 +256,9 @@ def collection(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
         going = sizes[live] >= done
         live, place = live[going], place[going]
         by = np.argsort(bwt, kind="stable")  # places of the symbols, in order
-        rank = np.empty(len(bwt), np.int64)
-        rank[by] = np.arange(len(bwt))
-        mine = rank[place]
+        rank = np.empty(len(bwt), np.int32)
+        rank[by] = np.arange(len(bwt), dtype=np.int32)
+        mine = rank[place].astype(np.int64)
         new = n + mine
         # common prefixes with the neighbours in the new order: equal symbols before and after
         before, after = by[np.maximum(mine - 1, 0)], by[np.minimum(mine + 1, len(by) - 1)]
@@ -303,15 +302,15 @@ def collection(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return string, length, lcp
 
 
-def repeated(text: np.ndarray, at: np.ndarray, places: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(string, offset) of the strings of `length` symbols that also start earlier; `places`
-    order the collection's strings, the first key first; offsets break ties."""
+def repeated(text: np.ndarray, at: np.ndarray, group: np.ndarray, places: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(string, offset) of the strings of `length` symbols that also start earlier in their
+    group; `places` order the collection's strings, the first key first; offsets break ties."""
     string, size, lcp = collection(text, at)
     run = np.cumsum(lcp < length)  # suffixes of one run share `length` symbols
     string, size, run = (a[size >= length] for a in (string, size, run))
     offset = np.diff(at)[string] - size
     keys = [p[string] for p in places[:-1]] + [places[-1][string] + offset]
-    order, first = _first_of_equals([run], keys)  # one place may be in several pieces
+    order, first = _first_of_equals([run, group[string]], keys)  # one place may be in several pieces
     late = order[~first]
     return string[late], offset[late]
 
@@ -324,14 +323,14 @@ def _shard(length: int, anchor: int):
         sides = pa.concat_arrays(sides.chunks) if isinstance(sides, pa.ChunkedArray) else sides
         data, offsets = bytesnp.flat(sides.take(pa.array(order)))
         h, doc, tie, start, back = h[order], doc[order], tie[order], start[order].astype(np.int64), back[order]
-        # the pieces' symbols: the bytes, and one number above 255 for the anchor
+        # the pieces' symbols: the bytes, and 256 for the anchor
         offsets = offsets - offsets[0]
         anchors = offsets[:-1] + np.arange(len(back)) + back
         text = np.empty(offsets[-1] + len(back), np.int64)
         other = np.ones(len(text), bool)
         other[anchors] = False
-        text[other], text[anchors] = data[:offsets[-1]], 256 + np.unique(h, return_inverse=True)[1]
-        string, offset = repeated(text, offsets + np.arange(len(offsets)), [doc, tie, start], length - anchor + 1)
+        text[other], text[anchors] = data[:offsets[-1]], 256
+        string, offset = repeated(text, offsets + np.arange(len(offsets)), h, [doc, tie, start], length - anchor + 1)
         d, t, s = doc[string], tie[string], start[string] + offset
         order = np.lexsort([s, t, d])
         d, t, s = d[order], t[order], s[order]
@@ -361,7 +360,7 @@ def spans(keyed: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataF
     rows = staged(rows)
     inner = rows.where("p is null").select("doc", "tie", "start", "size")
     shards = max(1, -(-rows.count() // (16 * PIECES)))
-    met = rows.where("p is not null").groupBy(F.pmod("h", F.lit(shards)).alias("shard")).applyInArrow(
+    met = by_shard(rows.where("p is not null"), F.col("h"), shards).applyInArrow(
         lambda t: _sort_out()(t), "needed boolean, doc long, tie long, start int, size int, place long")
     met = staged(met)
     needed = met.where("needed").select("place")
@@ -369,7 +368,7 @@ def spans(keyed: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataF
     wanted = _collected(needed, "place", n)
     pieces = texts.mapInArrow(_whole_pieces(bits, wanted, length, anchor), "h long, doc long, tie long, start int, back int, sides binary")
     shards = max(1, -(-n // PIECES))
-    late = pieces.groupBy(F.pmod("h", F.lit(shards)).alias("shard")).applyInArrow(
+    late = by_shard(pieces, F.col("h"), shards).applyInArrow(
         lambda t: _shard(length, anchor)(t), "doc long, tie long, start int, size int")
     return staged(late.unionByName(inner).unionByName(met.where("not needed").select("doc", "tie", "start", "size")))
 
