@@ -147,9 +147,10 @@ def keep(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, deviations
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", "text")
     work = _prepared(rows, "text")
     tables = fit(work.drop("row"), trusted, n, buckets)
-    least = least_score(staged(work.select("doc_id", scores(*tables)["other"].alias("other"))), trusted, n, deviations)
-    passed = base(work).where(~F.col("base_failed")).where(scores(*tables)["score"] >= F.lit(least))
-    return passed.select("row.*")
+    # judged once and written with their rows: filters over the figures would compute them again
+    out = staged(base(work).select("row", "doc_id", "base_failed", scores(*tables).alias("s")).select("row", "doc_id", "base_failed", "s.*"))
+    least = least_score(out, trusted, n, deviations)
+    return out.where(~F.col("base_failed") & (F.col("score") >= F.lit(least))).select("row.*")
 
 
 def trusted_documents(labels: DataFrame) -> DataFrame:
