@@ -31,6 +31,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -373,34 +374,41 @@ def spans(keyed: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataF
     return staged(late.unionByName(inner).unionByName(met.where("not needed").select("doc", "tie", "start", "size")))
 
 
-def _merge(starts, sizes) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, n in sorted(zip(starts, sizes)):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], a + n)
-        else:
-            out.append([a, a + n])
-    return [(a, b) for a, b in out]
+def _runs(spans: pa.ListArray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the maximal covered runs of a batch's rows, in order."""
+    sizes = pc.fill_null(pc.list_value_length(spans), 0).to_numpy()
+    packed = spans.flatten().to_numpy()
+    base = np.repeat(np.arange(n, dtype=np.int64) << 33, sizes)  # rows follow each other without touching
+    start = base + (packed >> 32)
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], (start + (packed & 0xFFFFFFFF))[order]
+    top = np.maximum.accumulate(end)
+    lead = np.flatnonzero(np.concatenate([[True], start[1:] > top[:-1]])) if len(start) else np.zeros(0, np.int64)
+    row = start[lead] >> 33
+    end = top[np.append(lead[1:], len(top)) - 1] if len(lead) else top
+    return row, start[lead] - (row << 33), end - (row << 33)
 
 
 def _cut():
     def run(batches):
         for batch in batches:
+            n = batch.num_rows
             data, offsets = bytesnp.flat(batch.column("text"))
-            cols = ([], [], [], [], [])
-            for k, s in enumerate(batch.column("spans").to_pylist()):
-                raw = data[offsets[k]:offsets[k + 1]].tobytes()
-                runs = _merge([x["start"] for x in s or ()], [x["size"] for x in s or ()])
-                left, at = [], 0
-                for a, b in runs:
-                    left.append(raw[at:a])
-                    at = b
-                left.append(raw[at:])
-                for c, v in zip(cols, (len(raw), sum(b - a for a, b in runs), len(runs), b"".join(left),
-                                       [{"start": a, "end": b} for a, b in runs])):
-                    c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id")] + [pa.array(c, t) for c, t in zip(cols, kinds)],
+            data, offsets = data[offsets[0]:offsets[-1]], offsets - offsets[0]
+            row, start, end = _runs(batch.column("spans"), n)
+            n_bytes = np.diff(offsets)
+            n_removed = np.bincount(row, end - start, minlength=n).astype(np.int64)
+            n_spans = np.bincount(row, minlength=n)
+            step = np.zeros(len(data) + 1, np.int8)
+            np.add.at(step, offsets[row] + start, 1)
+            np.add.at(step, offsets[row] + end, -1)
+            left = np.ascontiguousarray(data[np.cumsum(step[:-1], dtype=np.int8) == 0])
+            at = np.concatenate([[0], np.cumsum(n_bytes - n_removed)]).astype(np.int32)
+            kept = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at), pa.py_buffer(left)])
+            removed = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(n_spans)]).astype(np.int32)),
+                pa.StructArray.from_arrays([pa.array(start), pa.array(end)], names=["start", "end"]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes), pa.array(n_removed), pa.array(n_spans), kept, removed],
                                              names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "removed"])
     return run
 
@@ -409,13 +417,14 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFr
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (bytes), removed (spans)."""
     keyed, _ = _keys(docs)
     cover = spans(keyed, length, anchor)
-    per = cover.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "size")).alias("spans"))  # of one document
+    packed = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("size").cast("long"))
+    per = cover.groupBy("doc", "tie").agg(F.collect_list(packed).alias("spans"))  # of one document
     blocks = bloom.geometry(docs.count())
     key = F.xxhash64("doc", "tie")
     probed = bloom.probe(keyed, key, bloom.build(cover.select("doc", "tie").distinct(), key, blocks), blocks)
     # texts without spans are not shuffled
     hit = probed.where("maybe").join(per, ["doc", "tie"], "left").select("doc_id", "text", "spans")
-    free = probed.where(~F.col("maybe")).select("doc_id", "text", F.lit(None).cast("array<struct<start int, size int>>").alias("spans"))
+    free = probed.where(~F.col("maybe")).select("doc_id", "text", F.lit(None).cast("array<long>").alias("spans"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<start long, end long>>"
     return free.mapInArrow(_cut(), out).unionByName(hit.mapInArrow(_cut(), out))
 
