@@ -60,6 +60,12 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in Arrow batches of at most 2,000 rows instead of 10,000: a
+    batch is held by the JVM and, in a few copies, by the worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def by_shard(df: DataFrame, h: Column, shards: int):
     """`df` grouped in `shards` groups by the hash `h`, one group a task up to 20,000 tasks: the
     groups' work, not their bytes, is what AQE should not put together again."""

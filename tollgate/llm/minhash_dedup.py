@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tollgate.llm import bloom, bytesnp
-from tollgate.llm.common import by_shard, staged, text_of
+from tollgate.llm.common import by_shard, small_batches, staged, text_of
 
 SLOTS, ROWS = 128, 4
 LEAST = 80  # per cent of the union
@@ -188,6 +188,7 @@ def components(links: DataFrame) -> DataFrame:
 def _rows(docs: DataFrame, k: int, least: int, slots: int, rows: int) -> DataFrame:
     """One row per document: doc_id, tie (hash of the text), n_shingles, and `first`, the
     (doc_id, tie) of its component that stays; null for empty sets."""
+    small_batches(docs.sparkSession)
     texts = docs.select("doc_id", text_of().alias("text"))
     prints = staged(texts.withColumn("tie", F.xxhash64("text")).mapInArrow(
         _fingerprints(k, slots, rows), "doc_id long, tie long, n long, key binary, sig binary, bands array<long>"))

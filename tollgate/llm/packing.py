@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tollgate.llm import bytesnp
-from tollgate.llm.common import staged, text_of
+from tollgate.llm.common import small_batches, staged, text_of
 
 WINDOW, END = 2048, 1
 SHARD = 1024
@@ -177,6 +177,7 @@ def pack(docs: DataFrame, ranks: str | None = None, window: int = WINDOW, end: i
     """One row per piece: doc_id, start, length, doc_tokens, ids (binary), sequence, offset.
 
     `ids` are little-endian numbers of 16 bits (32 for vocabularies over 65,536)."""
+    small_batches(docs.sparkSession)
     path = ranks or default_ranks()
     vocab = _encoder(path).n_vocab
     kind = np.uint16 if vocab <= 1 << 16 else np.uint32
