@@ -4,8 +4,8 @@ Texts are tokenized, each document ends with one end id, and is cut into full wi
 are sequences of their own, and a tail.  Tails are dealt by hash over shards of about
 `SHARD` pieces.  A shard holds a BM25 inverted index of its tails (terms are token ids; the
 document frequencies come from all pieces of the corpus).  The next unused tail is the
-seed of a window; its `TERMS` most telling terms score the unused neighbours, which fill the
-window best first.  The last one is cut where the window ends and what is left of it seeds
+seed of a window; all its terms score the unused neighbours, which fill the window best
+first.  The last one is cut where the window ends and what is left of it seeds
 the next window, so only a shard's last sequence is shorter than a window.
 
 Defined results: null and empty texts are the end id alone; repeated rows are packed each;
@@ -27,7 +27,6 @@ from tollgate.llm.common import small_batches, staged, text_of
 
 WINDOW, END = 2048, 1
 SHARD = 1024
-TERMS = 24
 K1, B = 1.2, 0.75
 
 _PIECE = "doc_id long, start long, length long, doc_tokens long, ids binary"
@@ -132,12 +131,9 @@ def fill(lengths: np.ndarray, piece: np.ndarray, term: np.ndarray, tf: np.ndarra
         room -= take(seed, room)
         if room:
             own = slice(rows[seed], rows[seed + 1])
-            terms = term[own]
-            if len(terms) > TERMS:
-                terms = terms[np.argpartition(-weight[own], TERMS)[:TERMS]]
-            spans = [np.arange(posts[t], posts[t + 1]) for t in terms]
-            hits = np.concatenate(spans) if spans else np.zeros(0, np.int64)
-            scores = np.bincount(post_piece[hits], post_weight[hits], minlength=n)
+            spans = [slice(posts[t], posts[t + 1]) for t in term[own]]
+            scores = np.bincount(np.concatenate([post_piece[s] for s in spans]),
+                                 np.concatenate([post_weight[s] for s in spans]), minlength=n) if spans else np.zeros(n)
             scores[~unused] = -1.0
             while room and scores.size:
                 best = int(scores.argmax())
