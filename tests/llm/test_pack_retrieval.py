@@ -1,6 +1,7 @@
 """Packing's retrieval against brute-force BM25."""
 import numpy as np
 
+from tests.llm import fixtures as X
 from tollgate.llm import packing
 
 
@@ -23,3 +24,29 @@ def test_all_terms_of_a_seed_score():
             assert np.isclose(score[p], max(score.values()))
             unused.discard(p)
     assert not unused
+
+
+def test_neighbours_meet_across_the_whole_table(spark):
+    """8 topics of 64 documents each, in shards of 64: nearly all best BM25 neighbours share the seed's
+    shard, where a deal by hash lets an eighth of them meet."""
+    rng = np.random.default_rng(3)
+    topics = [[f"{X.prose(1000 * t + k, 1)}{t}" for k in range(40)] for t in range(8)]
+    rows = [(i, " ".join(rng.choice(topics[i % 8], 60))) for i in range(512)]
+    pieces = packing.pack(X.simple(spark, rows), shard=64).collect()
+    windows = {}
+    for p in pieces:
+        windows.setdefault(p.sequence, []).append(p.doc_id % 8)
+    same = [w[0] == t for w in windows.values() for t in w[1:]]
+    assert sum(p.length for p in pieces) == sum(p.doc_tokens for p in pieces if p.start == 0)
+    assert np.mean(same) > 0.8
+
+
+def test_equal_texts_are_dealt_on(spark):
+    """One text on most rows: no shard takes them all."""
+    rows = [(i, "the same words on every row" if i % 4 else X.prose(i, 30)) for i in range(800)]
+    pieces = packing.pack(X.simple(spark, rows), shard=20).collect()
+    shards = {}
+    for p in pieces:
+        shards[p.sequence >> 25] = shards.get(p.sequence >> 25, 0) + 1
+    assert max(shards.values()) < 200
+    assert {p.doc_id for p in pieces} == set(range(800))

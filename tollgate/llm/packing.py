@@ -1,8 +1,10 @@
 """Packing documents into fixed windows by lexical retrieval.
 
 Texts are tokenized, each document ends with one end id, and is cut into full windows, which
-are sequences of their own, and a tail.  Tails are dealt by hash over shards of about
-`SHARD` pieces.  A shard holds a BM25 inverted index of its tails (terms are token ids; the
+are sequences of their own, and a tail.  Tails are dealt over shards of `SHARD` to twice
+`SHARD` pieces by their content: a tree of balanced two-means splits, trained on a sample of
+sketches of the tails' BM25 weights, leads each tail to its leaf.  A leaf that holds more
+than four times `SHARD`, for instance of equal texts, is dealt on by hash.  A shard holds a BM25 inverted index of its tails (terms are token ids; the
 document frequencies come from all pieces of the corpus).  The next unused tail is the
 seed of a window; all its terms score the unused neighbours, which fill the window best
 first.  The last one is cut where the window ends and what is left of it seeds
@@ -27,6 +29,7 @@ from tollgate.llm.common import small_batches, staged, text_of
 
 WINDOW, END = 2048, 1
 SHARD = 1024
+DIMS, SAMPLE, LEAVES = 128, 64, 4096  # of a sketch; sampled tails a leaf; leaves of the tree at most
 K1, B = 1.2, 0.75
 
 _PIECE = "doc_id long, start long, length long, doc_tokens long, ids binary"
@@ -96,12 +99,57 @@ def _frequencies(kind, vocab: int):
     return run
 
 
-def fill(lengths: np.ndarray, piece: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray, window: int):
+def _weights(lengths: np.ndarray, piece: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
+    """BM25 weights of the pieces' terms."""
+    return idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[piece] / max(1.0, mean)))
+
+
+def sketches(ids: np.ndarray, at: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
+    """The pieces' BM25 weights, added with signs in `DIMS` buckets of terms, as unit vectors."""
+    n, (piece, term, tf) = len(at) - 1, _terms(ids, at)
+    h = bytesnp.mix(np.arange(len(idf), dtype=np.uint64) + np.uint64(1))
+    slot, sign = (h % np.uint64(DIMS)).astype(np.int64), 1.0 - 2.0 * (h >> np.uint64(40) & np.uint64(1)).astype(float)
+    x = np.bincount(piece * DIMS + slot[term], _weights(np.diff(at), piece, term, tf, idf, mean) * sign[term], minlength=n * DIMS)
+    x = x.reshape(n, DIMS).astype(np.float32)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+def tree(x: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Splits of the sketches in halves around two means each: directions and bounds by node
+    (the children of k are 2k + 1 and 2k + 2), and the number of sketches by leaf."""
+    directions, bounds = np.zeros(((1 << depth) - 1, x.shape[1]), np.float32), np.zeros((1 << depth) - 1, np.float32)
+    members = [np.arange(len(x))]
+    for k in range(len(bounds)):
+        own = x[members[k]]
+        if len(own):
+            d = own[0] - own[-1]
+            for _ in range(8):
+                p = own @ d
+                top = p > np.median(p)
+                if not top.any():
+                    break
+                d = own[top].mean(axis=0) - own[~top].mean(axis=0)
+            directions[k] = d
+            bounds[k] = np.median(own @ d)
+        top = own @ directions[k] > bounds[k]
+        members += [members[k][~top], members[k][top]]
+        members[k] = None
+    return directions, bounds, np.array([len(m) for m in members[len(bounds):]])
+
+
+def leaf_of(x: np.ndarray, directions: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    node = np.zeros(len(x), np.int64)
+    for _ in range(len(bounds).bit_length()):
+        node = 2 * node + 1 + (np.einsum("ij,ij->i", x, directions[node]) > bounds[node])
+    return node - len(bounds)
+
+
+def fill(lengths: np.ndarray, piece: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray, window: int, mean: float | None = None):
     """The windows of one shard: lists of (piece, start in it, length).
 
-    `piece`, `term`, `tf`: the terms of each piece, sorted by piece."""
+    `piece`, `term`, `tf`: the terms of each piece, sorted by piece; `mean`: of all tails' lengths."""
     n = len(lengths)
-    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[piece] / max(1.0, lengths.mean() if n else 1.0)))
+    weight = _weights(lengths, piece, term, tf, idf, (lengths.mean() if n else 1.0) if mean is None else mean)
     order = np.argsort(term, kind="stable")  # the inverted index: postings by term
     post_piece, post_weight, sorted_term = piece[order], weight[order], term[order]
     vocab = len(idf)
@@ -146,7 +194,46 @@ def fill(lengths: np.ndarray, piece: np.ndarray, term: np.ndarray, tf: np.ndarra
         out.append(row)
 
 
-def _shards(kind, idf_of, window: int):
+def _sketched(kind, idf_of, mean: float):
+    """The sketches of a sample, as bytes."""
+    def run(batches):
+        for batch in batches:
+            x = sketches(*_ids(batch.column("ids"), kind), idf_of(), mean)
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array([v.tobytes() for v in x], pa.binary())], names=["rid", "x"])
+    return run
+
+
+def _dealt(kind, idf_of, mean: float, splits_of, first: np.ndarray):
+    """Adds the shard; leaf k has the shards first[k] to first[k + 1] - 1."""
+    def run(batches):
+        for batch in batches:
+            leaf = leaf_of(sketches(*_ids(batch.column("ids"), kind), idf_of(), mean), *splits_of())
+            salt = bytesnp.mix(batch.column("rid").to_numpy().astype(np.uint64) + np.uint64(1))
+            shard = first[leaf] + (salt % np.diff(first)[leaf].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard)], names=[*batch.schema.names, "shard"])
+    return run
+
+
+def deal(tails: DataFrame, n: int, shard: int, kind, idf, mean: float) -> DataFrame:
+    """The tails with their shards: a tree's leaves, large ones in several parts."""
+    spark = tails.sparkSession
+    depth = max(0, min(n // shard, LEAVES).bit_length() - 1)
+    every = max(1, n // (SAMPLE << depth))
+    sample = tails.where(F.pmod(F.xxhash64(F.lit(1), "rid"), F.lit(every)) == 0).select("rid", "ids")
+    if depth:
+        rows = sample.mapInArrow(_sketched(kind, lambda: idf.value, mean), "rid long, x binary").collect()  # at most about twice SAMPLE * LEAVES
+        x = np.array([np.frombuffer(r["x"], np.float32) for r in sorted(rows)], np.float32).reshape(-1, DIMS)
+    else:
+        x = np.zeros((1, DIMS), np.float32)
+    directions, bounds, sizes = tree(x, depth)
+    first = np.append(0, np.cumsum(np.maximum(1, -(-sizes * n // (max(1, len(x)) * 4 * shard))))) if depth else np.array([0, 1])
+    if first[-1] == 1:
+        return tails.withColumn("shard", F.lit(0).cast("long"))
+    splits = spark.sparkContext.broadcast((directions, bounds))
+    return tails.mapInArrow(_dealt(kind, lambda: idf.value, mean, lambda: splits.value, first), _PIECE + ", rid long, shard long")
+
+
+def _shards(kind, idf_of, window: int, mean: float):
     def run(table: pa.Table) -> pa.Table:
         idf = idf_of()
         table = table.sort_by("rid").combine_chunks()
@@ -155,7 +242,7 @@ def _shards(kind, idf_of, window: int):
         doc, start, total = (table.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens"))
         shard = table.column("shard")[0].as_py()
         cols = ([], [], [], [], [], [], [])
-        for k, row in enumerate(fill(lengths, *_terms(ids, at), idf, window)):
+        for k, row in enumerate(fill(lengths, *_terms(ids, at), idf, window, mean)):
             offset = 0
             for p, frm, size in row:
                 part = ids[at[p] + frm:at[p] + frm + size]
@@ -189,9 +276,10 @@ def pack(docs: DataFrame, ranks: str | None = None, window: int = WINDOW, end: i
             df[t] = n
     idf = docs.sparkSession.sparkContext.broadcast(np.log1p((total - df + 0.5) / (df + 0.5)))
     tails = pieces.where(F.col("length") < window)
-    shards = max(1, -(-tails.count() // shard))
-    tails = tails.withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(shards)))
-    packed = tails.groupBy("shard").applyInArrow(_shards(kind, lambda: idf.value, window), _PACKED)
+    n, tokens = tails.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    mean = tokens / max(1, n)
+    tails = deal(tails, n, shard, kind, idf, mean)
+    packed = tails.groupBy("shard").applyInArrow(_shards(kind, lambda: idf.value, window, mean), _PACKED)
     whole = pieces.where(F.col("length") == window).select(
         "doc_id", "start", "length", "doc_tokens", "ids", (F.col("rid") * 2 + 1).alias("sequence"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(whole)
