@@ -14,6 +14,10 @@ pieces of one anchor.
    column-wise: every round inserts one symbol per piece.  An anchor counts as one symbol,
    so suffixes with a common prefix of 37 symbols and the same anchor are equal strings of
    100 bytes; all but the earliest are covered.
+   An anchor that occurs more than `HOT` times is not sorted in one task: its equal pieces are
+   found by grouped minima.  If more than `HOT` different pieces are left, each of their
+   strings is a key of its own, the anchor with a hash of the bytes beside it, and all but
+   the earliest of a key are covered; fewer go to the anchor's shard.
 4. Each document's covered spans are merged and its other bytes kept.
 
 The arrays of a collection are rewritten once per round, in order; over `SPILL` bytes they
@@ -36,10 +40,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tollgate.llm import bloom, bytesnp
-from tollgate.llm.common import by_shard, staged, text_of
+from tollgate.llm.common import by_shard, small, staged, text_of
 
 LENGTH, ANCHOR = 100, 64
 PIECES = 8192  # pieces of a shard, about
+HOT = 8192  # occurrences, and different pieces, of an anchor that one task takes
 SPILL = 64 << 20
 
 _DOC = "doc long, tie long"
@@ -217,6 +222,48 @@ def _whole_pieces(bits, wanted, length: int, anchor: int):
     return run
 
 
+def _places():
+    """The place hashes of pieces (doc, tie, start)."""
+    def run(batches):
+        for batch in batches:
+            doc, tie, start = (batch.column(c).to_numpy() for c in ("doc", "tie", "start"))
+            yield pa.RecordBatch.from_arrays([pa.array(_place_hash(doc, tie, start).view(np.int64))], names=["place"])
+    return run
+
+
+def _strings(length: int, anchor: int):
+    """All strings of `length` bytes around the pieces' anchors: anchor, hash of the bytes
+    beside it and of their sides, place."""
+    width = length - anchor
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = bytesnp.flat(batch.column("sides"))
+            data, offsets = data[offsets[0]:offsets[-1]], offsets - offsets[0]
+            powers, inverse = bytesnp.powers(len(data) + 1)
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(bytesnp._tables()[0][data] * powers[:len(data)], out=sums[1:])
+            n = np.diff(offsets) - width + 1  # strings of each piece
+            row = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            first = offsets[row] + at
+            k = bytesnp.mix((sums[first + width] - sums[first]) * inverse[first])
+            left = batch.column("back").to_numpy()[row] - at  # bytes before the anchor
+            k = bytesnp.mix(k ^ (left + 1).astype(np.uint64) * np.uint64(bytesnp._BASE))
+            h, doc, tie, start = (batch.column(c).to_numpy()[row] for c in ("h", "doc", "tie", "start"))
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(k.view(np.int64)), pa.array(doc), pa.array(tie), pa.array((start + at).astype(np.int32))],
+                                             names=["h", "k", "doc", "tie", "start"])
+    return run
+
+
+def _not_first(rows: DataFrame, keys: list[str], more: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The first row of each key by doc, tie and start, and the others: no key's rows meet in
+    one task, as minima are combined map-side and the others joined out by key and place."""
+    place = ["doc", "tie", "start"]
+    first = rows.groupBy(*keys).agg(F.min(F.struct(*place, *more)).alias("first")).select(*keys, "first.*")
+    return first, rows.join(first.select(*keys, *place), [*keys, *place], "left_anti")
+
+
 def _array(n: int, kind) -> np.ndarray:
     """A new array; a large one lies in a file of the task's folder that has no name any more."""
     size = n * np.dtype(kind).itemsize
@@ -351,27 +398,54 @@ def _keys(docs: DataFrame) -> tuple[DataFrame, bool]:
     return docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("doc"), tie.alias("tie"), text_of().alias("text")), twice
 
 
-def spans(keyed: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+def spans(keyed: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
     """Covered spans (doc, tie, start, size), not merged; `keyed` has doc, tie and text."""
+    span = ["doc", "tie", "start", "size"]
     texts = keyed.select("doc", "tie", "text")
     counted = texts.select("text").mapInArrow(_anchors(length, anchor), "h long")
-    often = staged(counted.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    bits = _collected(often, "h", often.count())
+    often = staged(counted.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    busy = often.where(F.col("n") > hot).select("h")
+    n_often, n_busy = often.agg(F.count("*"), F.count_if(F.col("n") > hot)).first()
+    bits = _collected(often.select("h"), "h", n_often)
     rows = texts.mapInArrow(_hashed_pieces(bits, length, anchor), "h long, p long, doc long, tie long, start int, size int")
     rows = staged(rows)
-    inner = rows.where("p is null").select("doc", "tie", "start", "size")
+    out = rows.where("p is null").select(span)
+    own = rows.where("p is not null")
+    if n_busy:
+        busy = small(busy, n_busy, 24)
+        first, copies = _not_first(own.join(busy, "h", "left_semi").distinct(), ["h", "p"], ["size"])
+        out = out.unionByName(copies.select(span))
+        own = own.join(busy, "h", "left_anti")
+        first = staged(first)
+        per = staged(first.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))  # at most `n_busy` rows
+        n_mixed, n_crowd = per.agg(F.count("*"), F.count_if(F.col("n") > hot)).first()
+        first = first.join(small(per.select("h"), n_mixed, 24), "h", "left_semi")
+        crowd = small(per.where(F.col("n") > hot).select("h"), n_crowd, 24)
     shards = max(1, -(-rows.count() // (16 * PIECES)))
-    met = by_shard(rows.where("p is not null"), F.col("h"), shards).applyInArrow(
+    met = by_shard(own, F.col("h"), shards).applyInArrow(
         lambda t: _sort_out()(t), "needed boolean, doc long, tie long, start int, size int, place long")
     met = staged(met)
     needed = met.where("needed").select("place")
+    if n_busy and n_mixed:
+        needed = staged(needed.unionByName(first.mapInArrow(_places(), "place long")))
     n = needed.count()
     wanted = _collected(needed, "place", n)
     pieces = texts.mapInArrow(_whole_pieces(bits, wanted, length, anchor), "h long, doc long, tie long, start int, back int, sides binary")
+    if n_busy:
+        pieces = staged(pieces)
+        # of a frequent anchor only the first of equal pieces, whatever the filter lets through
+        often = pieces.join(busy, "h", "left_semi").join(first.select("h", *span[:3]), ["h", *span[:3]], "left_semi")
+        pieces = pieces.join(busy, "h", "left_anti")
+        if n_mixed > n_crowd:
+            pieces = pieces.unionByName(often.join(crowd, "h", "left_anti"))
+        if n_crowd:
+            strings = often.join(crowd, "h", "left_semi").mapInArrow(_strings(length, anchor), "h long, k long, doc long, tie long, start int")
+            _, late = _not_first(strings.distinct(), ["h", "k"], [])
+            out = out.unionByName(late.select("doc", "tie", "start", F.lit(length).alias("size")))
     shards = max(1, -(-n // PIECES))
     late = by_shard(pieces, F.col("h"), shards).applyInArrow(
         lambda t: _shard(length, anchor)(t), "doc long, tie long, start int, size int")
-    return staged(late.unionByName(inner).unionByName(met.where("not needed").select("doc", "tie", "start", "size")))
+    return staged(late.unionByName(out).unionByName(met.where("not needed").select(span)))
 
 
 def _runs(spans: pa.ListArray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -413,10 +487,10 @@ def _cut():
     return run
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (bytes), removed (spans)."""
     keyed, _ = _keys(docs)
-    cover = spans(keyed, length, anchor)
+    cover = spans(keyed, length, anchor, hot)
     packed = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("size").cast("long"))
     per = cover.groupBy("doc", "tie").agg(F.collect_list(packed).alias("spans"))  # of one document
     blocks = bloom.geometry(docs.count())
