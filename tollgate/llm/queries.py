@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tollgate.llm import chat_format, exact_dedup, minhash_dedup, mixing, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup, url_filter
+from tollgate.llm import (chat_format, exact_dedup, fill_middle, importance, minhash_dedup, mixing, packing, pq_dedup, quality_classifier,
+                          quality_rules, secret_scan, suffix_dedup, url_filter)
 from tollgate.llm.common import table
 
 #: The rules of the url query.
@@ -53,7 +54,20 @@ def op10(spark, sf_dir):
     return minhash_dedup.groups(table(spark, sf_dir, "documents"), k=2)
 
 
-QUERIES = {"op10_minhash_dedup": op10, "op1_exact_dedup": op1, "op2_chat_format": op2, "op3_quality_classifier": op3, "op4_packing": op4, "op5_mixing": op5, "op6_quality_rules": op6, "op7_suffix_dedup": op7, "op8_secret_scan": op8, "op9_url_filter": op9}
+def op11(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12(spark, sf_dir):
+    return pq_dedup.groups(table(spark, sf_dir, "embeddings"))
+
+
+def op13(spark, sf_dir):
+    return fill_middle.report(fill_middle.transform(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op10_minhash_dedup": op10, "op1_exact_dedup": op1, "op2_chat_format": op2, "op3_quality_classifier": op3, "op4_packing": op4, "op5_mixing": op5, "op6_quality_rules": op6, "op7_suffix_dedup": op7, "op8_secret_scan": op8, "op9_url_filter": op9,
+           "op11_importance_resampling": op11, "op12_embedding_dedup": op12, "op13_fill_middle": op13}
 
 ORACLE = {
     "op1_exact_dedup": """
@@ -74,4 +88,16 @@ ORACLE = {
                  FROM parts JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
                  GROUP BY n)
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (n)""",
+    "op13_fill_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+        h AS (SELECT doc_id, t, length(t) AS n, ('0x' || substr(x, 1, 8))::BIGINT AS h1, ('0x' || substr(x, 9, 8))::BIGINT AS h2,
+                ('0x' || substr(x, 17, 8))::BIGINT AS h3, ('0x' || substr(x, 25, 8))::BIGINT AS h4 FROM d),
+        c AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                     WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t
+                      WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+                      ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256,
+               sha256(t) AS restored_sha256 FROM c""",
 }
