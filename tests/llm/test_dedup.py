@@ -4,11 +4,12 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import fixtures as X
-from tollgate.llm import bloom, exact_dedup, minhash_dedup, suffix_dedup
+from tollgate.llm import bloom, bytesnp, exact_dedup, minhash_dedup, suffix_dedup
 
 
 def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
@@ -241,3 +242,57 @@ def test_suffix_dedup_of_the_smallest_table(spark):
 def test_minhash_of_the_smallest_table(spark):
     pairs = X.corpus()
     assert Counter(tuple(r) for r in minhash_dedup.groups(X.simple(spark, pairs), k=2).collect()) == plain_groups(pairs, 2)
+
+
+def test_long_texts_hash_like_short_ones(monkeypatch):
+    text = (X.prose(1, 900) + " " * 200 + "w" * 700 + "\n" + X.prose(2, 30) + "é" * 64).encode()
+    data = np.frombuffer(b"xy " + text + b" z", np.uint8)
+    want, counts = bytesnp.word_hashes(data, np.array([3, 3 + len(text)]))
+    for size in (64, 100, 333):
+        monkeypatch.setattr(bytesnp, "SLICE", size)
+        assert bytesnp.long_word_hashes(data, 3, 3 + len(text)).tolist() == want.tolist()
+    for k in (1, 2, 5):
+        one = bytesnp.shingles(want, counts, k)
+        two = bytesnp.shingles(np.concatenate([want, want[:9]]), np.array([len(want), 9]), k)
+        assert sorted(one[1].tolist()) == sorted(two[1][two[0] == 0].tolist())
+
+
+def test_signatures_do_not_depend_on_runs(monkeypatch):
+    r = np.random.default_rng(3)
+    sizes = [1, 5, 700, 0, 130, 4000, 2]
+    owner, element = np.repeat(np.arange(len(sizes)), sizes), r.integers(0, 1 << 63, sum(sizes)).astype(np.uint64)
+    want = minhash_dedup.signatures(owner, element, len(sizes))
+    for run in (1, 7, 128, 1000):
+        monkeypatch.setattr(minhash_dedup, "RUN", run)
+        assert (minhash_dedup.signatures(owner, element, len(sizes)) == want).all()
+    for i, lo, hi in ((2, 6, 706), (4, 706, 836)):  # plain version: each element's whole permutation
+        best = {}
+        for x in element[lo:hi].tolist():
+            deal = list(range(128))
+            for j, v in enumerate(bytesnp.mix(np.array([x ^ ((j + 1) * 0xD1342543DE82EF95 & (1 << 64) - 1) for j in range(128)], np.uint64)).tolist()):
+                k = j + (((v & 0xFFFFFFFF) * (128 - j)) >> 32)
+                slot, deal[k] = deal[k], deal[j]
+                best[slot] = min(best.get(slot, 1 << 64), (v >> 32) | j << 32)
+        assert [best[slot] for slot in range(128)] == want[i].tolist()
+
+
+def test_text_of_50_mb_in_bounded_memory():
+    """Set and signature of one text: memory grows with its set, not by a row of slots an element."""
+    import tracemalloc
+
+    r = np.random.default_rng(1)
+    text = np.concatenate([r.integers(97, 123, (6_250_000, 7), np.uint8), np.full((6_250_000, 1), 32, np.uint8)], axis=1).ravel()
+    column = pa.array([text.tobytes().decode()])
+    tracemalloc.start()
+    (made,) = minhash_dedup._fingerprints(2, 128, 4)([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), column], names=["doc_id", "tie", "text"])])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made.column("n").to_pylist()[0] > 6_200_000 and peak < 500 << 20
+
+
+def test_long_near_copies(spark):
+    """Texts of several MB, over more runs than one; a copy with some words changed is linked."""
+    text = X.prose(7, 300_000)
+    rows = [(1, text), (2, text[:-30_000] + "tail " * 300), (3, "alpha beta gamma delta epsilon zeta")]
+    got = {x.doc_id: (x.component_id, x.n_shingles) for x in minhash_dedup.groups(X.simple(spark, rows), k=2).collect()}
+    assert got[2][0] == 1 and got[1][0] == 1 and got[3] == (3, 5)

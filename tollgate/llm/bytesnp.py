@@ -97,9 +97,44 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, marks
     return h, counts
 
 
+def long_word_hashes(data: np.ndarray, lo: int, hi: int, lower: bool = True) -> np.ndarray:
+    """`word_hashes` of one text data[lo:hi] of any length, in runs of `SLICE` bytes cut at spaces."""
+    as_is, low, kinds = _tables()
+    found = []
+    while lo < hi:
+        end = min(lo + SLICE, hi)
+        if end < hi:
+            gaps = np.flatnonzero(kinds[data[lo:end]] == 0)
+            if not len(gaps):  # one word longer than a run: its sum is taken by parts
+                p, _ = powers(SLICE)
+                total, at, step = 0, lo, pow(_BASE, SLICE, 1 << 64)
+                scale = 1
+                while at < hi:
+                    part = data[at:min(at + SLICE, hi)]
+                    gap = np.flatnonzero(kinds[part] == 0)
+                    part = part[:gap[0]] if len(gap) else part
+                    value = int(((low if lower else as_is)[part] * p[:len(part)]).sum(dtype=np.uint64))
+                    total, scale, at = (total + value * scale) % (1 << 64), scale * step % (1 << 64), at + len(part)
+                    if len(gap):
+                        break
+                found.append(mix(np.array([total], np.uint64)))
+                lo = at
+                continue
+            end = lo + int(gaps[-1]) + 1
+        found.append(word_hashes(data, np.array([lo, end]), lower)[0])
+        lo = end
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
 def shingles(h: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct k-word shingles of each text as (owner, hash), sorted by both, and their number;
     a text with fewer words, but some, has its whole sequence as one."""
+    if len(counts) == 1 and len(h) >= k:  # one text, maybe a very long one
+        acc = h[:len(h) - k + 1].copy()
+        for j in range(1, k):
+            acc = mix(acc * np.uint64(_BASE) + h[j:len(acc) + j])
+        acc = np.unique(acc)
+        return np.zeros(len(acc), np.int64), acc, np.array([len(acc)])
     owner = np.repeat(np.arange(len(counts)), counts)
     end = np.cumsum(counts)
     left = np.repeat(end, counts) - np.arange(len(h))  # words from here to the text's end

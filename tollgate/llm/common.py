@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tollgate.session import checkpoint_dir
+
 #: White space between words, as a regex class body (space and \t \n \v \f \r).
 SPACE = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -36,13 +37,9 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under `spark.checkpoint.dir`, which driver and executors share.
-
-    Only where the setting is absent (single-machine tests) a local folder stands in for it.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tollgate-llm-")
+    """A new folder under `spark.checkpoint.dir`, which driver and executors share; an error
+    where that is unset."""
+    root = checkpoint_dir(spark)
     return f"{root.rstrip('/')}/tollgate-{uuid.uuid4().hex}"
 
 

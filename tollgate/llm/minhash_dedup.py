@@ -21,7 +21,8 @@ and stops once no later rank can win (a few rounds for sets larger than the sign
    pairs but links leave a task.
 
 Defined results: null and empty texts have an empty set, stand alone and are kept; a text
-with fewer than `k` words is one shingle; equal sets are linked; null doc_ids take part and
+with fewer than `k` words is one shingle; a text of any length is read in runs of about
+`bytesnp.SLICE` bytes, and its set is held whole; equal sets are linked; null doc_ids take part and
 never name a component that has a number; repeated rows are rows of their component; an
 empty table gives an empty result.
 """
@@ -39,27 +40,40 @@ from tollgate.llm.common import by_shard, small_batches, staged, text_of
 SLOTS, ROWS = 128, 4
 LEAST = 80  # per cent of the union
 AGREE = 0.6
+RUN = 1 << 15  # elements whose permutations are held at once
 FAMILY = 1024
 
 
 def signatures(owner: np.ndarray, element: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
-    """SuperMinHash: n x slots values, rank in the high and a random number in the low 32 bits."""
-    best = np.full(n * slots, np.iinfo(np.uint64).max, np.uint64)
+    """SuperMinHash: n x slots values, rank in the high and a random number in the low 32 bits.
+
+    Elements (sorted by owner) are taken in runs of `RUN`, so the permutations of a set of any size
+    fit; minima combine, and a later run stops as soon as its sets' slots are all won."""
+    best = np.full((n, slots), np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(element), RUN):
+        own = owner[lo:lo + RUN]
+        first, last = int(own[0]), int(own[-1]) + 1
+        _deal(own - first, element[lo:lo + RUN], best[first:last])
+    return best
+
+
+def _deal(owner: np.ndarray, element: np.ndarray, best: np.ndarray) -> None:
+    """Lowers `best` (a row per owner) by the ranks of one run of elements."""
+    slots, flat = best.shape[1], best.reshape(-1)
     deal = np.empty((len(element), slots), np.uint8)
     deal[:] = np.arange(slots, dtype=np.uint8)
     live, own = np.arange(len(element)), owner
     for j in range(slots):
+        keep = ((best.max(axis=1) >> np.uint64(32)) >= j)[own]
+        if not keep.all():
+            live, own = live[keep], own[keep]
+        if not len(live):
+            break
         x = bytesnp.mix(element[live] ^ np.uint64((j + 1) * 0xD1342543DE82EF95 & (1 << 64) - 1))
         k = j + (((x & np.uint64(0xFFFFFFFF)) * np.uint64(slots - j)) >> np.uint64(32)).astype(np.int64)
         slot = deal[live, k]
         deal[live, k] = deal[live, j]  # the permutation's next swap
-        np.minimum.at(best, own * slots + slot, (x >> np.uint64(32)) | np.uint64(j << 32))
-        open_ = (best.reshape(n, slots).max(axis=1) >> np.uint64(32)) > j
-        keep = open_[own]
-        if not keep.any():
-            break
-        live, own = live[keep], own[keep]
-    return best.reshape(n, slots)
+        np.minimum.at(flat, own * slots + slot, (x >> np.uint64(32)) | np.uint64(j << 32))
 
 
 def _bands(sig: np.ndarray, rows: int) -> np.ndarray:
@@ -91,7 +105,11 @@ def _binary(rows: np.ndarray, none: np.ndarray | None = None) -> pa.Array:
 def _sets(column: pa.Array, k: int):
     data, offsets = bytesnp.flat(column)
     for i, j in bytesnp.slices(offsets):
-        h, counts = bytesnp.word_hashes(data, offsets[i:j + 1])
+        if j - i == 1 and offsets[j] - offsets[i] > bytesnp.SLICE:
+            h = bytesnp.long_word_hashes(data, int(offsets[i]), int(offsets[j]))
+            counts = np.array([len(h)])
+        else:
+            h, counts = bytesnp.word_hashes(data, offsets[i:j + 1])
         yield i, j, *bytesnp.shingles(h, counts, k)
 
 
@@ -247,7 +265,8 @@ def _rows(docs: DataFrame, k: int, least: int, slots: int, rows: int) -> DataFra
         roots = components(links.unionByName(more))
 
     named = nodes.select("id", "key", "first").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    named = named.drop("first").join(named.groupBy("root").agg(F.min("first").alias("first")), "root")
+    firsts = staged(named.groupBy("root").agg(F.min("first").alias("first")))  # read again, so that both sides are exchanged
+    named = named.drop("first").join(firsts, "root")
     # joined on an expression, so both sides are exchanged and AQE can split a set on many rows
     out = prints.select("doc_id", "tie", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.hex("key")).alias("k"))
     met = out.where("k is not null").join(named.select(F.hex("key").alias("k"), "first"), "k").drop("k")
