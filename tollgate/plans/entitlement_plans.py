@@ -275,10 +275,13 @@ _PLATFORM_SQL = ("CASE WHEN contains(user_agent, 'Electron') THEN 'desktop' "
                  "WHEN contains(user_agent, 'Android') THEN 'android' ELSE 'unknown' END")
 
 
-@register("g2_upsert_devices", views=("device_seen",), oracle=f"""
+DEVICES_SQL = f"""
 SELECT device_id, license_id, first({_PLATFORM_SQL} ORDER BY ts, event_id) AS platform,
  min(ts) AS first_seen, max(ts) AS last_seen, last(ip ORDER BY ts, event_id) AS last_ip
-FROM device_seen GROUP BY device_id, license_id""")
+FROM device_seen GROUP BY device_id, license_id"""
+
+
+@register("g2_upsert_devices", views=("device_seen",), oracle=DEVICES_SQL)
 def g2(c):
     seen = c.device_seen
     cutoff = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
@@ -446,7 +449,7 @@ _OPS_PLAN_SQL = OPS_SQL.replace("WHEN kind = 'checkout_completed' THEN 'K'",
                                 f"WHEN kind = 'checkout_completed' THEN CASE WHEN plan IN {_VALID_PLANS} THEN 'K' ELSE '-' END")
 
 
-@register("g1_licence_records", views=("billing_events_ext",), oracle=f"""
+LICENCE_RECORDS_SQL = f"""
 WITH st AS (SELECT subscription_id, status FROM (
    SELECT subscription_id, list_reduce(list_prepend('none', list(op ORDER BY ts, event_id)), lambda s, e: {STEP_SQL}) AS status
    FROM (SELECT *, {_OPS_PLAN_SQL} AS op FROM billing_events_ext) t GROUP BY subscription_id) u WHERE status <> 'none'),
@@ -470,6 +473,9 @@ pa AS (SELECT subscription_id,
 pl AS (SELECT subscription_id, CASE WHEN u IS NOT NULL AND (u[1], u[2]) > (k0[1], k0[2]) THEN u[3] ELSE k0[3] END AS plan
   FROM pa WHERE k0 IS NOT NULL)
 SELECT st.subscription_id, st.status, ex.created_at, ex.expires_at, pl.plan FROM st
-LEFT JOIN ex USING (subscription_id) LEFT JOIN pl USING (subscription_id)""")
+LEFT JOIN ex USING (subscription_id) LEFT JOIN pl USING (subscription_id)"""
+
+
+@register("g1_licence_records", views=("billing_events_ext",), oracle=LICENCE_RECORDS_SQL)
 def g1r(c):
     return E.licence_records(c.billing_events_ext)

@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the operators.
+"""Structured Streaming forms of the operators.
 
 Event time is the ``ts`` column (timestamp_ntz in UTC); it is cast to TIMESTAMP
 for watermarks (wall clock unchanged in the UTC session).  Checkpoints and
@@ -7,9 +7,6 @@ state go under the shared ``spark.checkpoint.dir`` (see ``session.checkpoint_dir
 
 from __future__ import annotations
 
-import json
-import os
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +15,9 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from tollgate.functions import patterns as P
 from tollgate.operators import entitlements as E
 from tollgate.operators import metrics as M
+from tollgate.streaming.devices import (append_device_deltas, device_deltas, merge_device_deltas,  # noqa: F401
+                                        read_devices, stream_devices)
+from tollgate.streaming.licences import NONE, OUTPUT, TRANSITIONS, LicenceProcessor, step  # noqa: F401
 
 
 def event_time(stream: DataFrame, ts: str = "ts") -> DataFrame:
@@ -46,94 +46,33 @@ def dedup_events_batch(events: DataFrame, key: str = "event_id") -> DataFrame:
 # ---------------------------------------------------------------------------
 # H2: licence state fold, streaming
 # ---------------------------------------------------------------------------
-# The licence state machine, state -> next state
-# per operation: K checkout, R renew, X cancel at period end, P suspend, D delete.
-TRANSITIONS = {
-    "K": {"none": "active"},
-    "R": {"suspended": "active"},
-    "X": {"active": "cancelled"},
-    "P": {"active": "suspended", "cancelled": "suspended"},
-    "D": {"active": "expired", "cancelled": "expired", "suspended": "expired", "expired": "expired"},
-}
-
-
-def step(state: str, op: str | None) -> str:
-    """Next licence state after one operation (unchanged for no-ops)."""
-    return TRANSITIONS.get(op, {}).get(state, state) if op else state
-
-
-def _add_year(us: int) -> int:
-    """Calendar year added to epoch microseconds (Feb 29 -> Feb 28)."""
-    t = pd.Timestamp(us, unit="us") + pd.DateOffset(years=1)
-    return int(t.value // 1000)
-
-
-def _apply(rec, ev, plans):
-    """One event on a licence record [status, expiry_us, plan]."""
-    status, expiry, plan = rec
-    _, _, op, kind, pe, ev_plan = ev
-    if op == "K" and status == "none":
-        return ["active", _add_year(ev[0]), ev_plan]
-    if status != "none":
-        if op == "R" and kind == "payment_succeeded":
-            expiry = pe if pe is not None else (_add_year(expiry) if expiry is not None else None)
-        if kind == "subscription_updated" and ev_plan in plans:
-            plan = ev_plan
-    return [step(status, op), expiry, plan]
-
-
-def _fold_group_fn(plans):
-    def fold(key, pdfs, state):
-        """Buffer a key's events until the watermark passes them, then apply them
-        in (ts, event_id) order.  State: the licence record + buffered events."""
-        if state.exists:
-            rec, buf = json.loads(state.get[0]), json.loads(state.get[1])
-        else:
-            rec, buf = ["none", None, None], []
-        if not state.hasTimedOut:
-            for pdf in pdfs:
-                pe = pdf["period_end"] if "period_end" in pdf else [None] * len(pdf)
-                pl = pdf["plan"] if "plan" in pdf else [None] * len(pdf)
-                for ts, eid, op, kind, p_end, p in zip(pdf["ts"], pdf["event_id"], pdf["op"], pdf["kind"], pe, pl):
-                    buf.append([int(pd.Timestamp(ts).value // 1000), int(eid), op, kind,
-                                None if p_end is None or pd.isna(p_end) else int(pd.Timestamp(p_end).value // 1000),
-                                None if p is None or (isinstance(p, float) and pd.isna(p)) else p])
-        wm_us = state.getCurrentWatermarkMs() * 1000
-        buf.sort(key=lambda r: (r[0], r[1]))
-        ready = [r for r in buf if r[0] <= wm_us]
-        buf = [r for r in buf if r[0] > wm_us]
-        before = list(rec)
-        for ev in ready:
-            rec = _apply(rec, ev, plans)
-        state.update((json.dumps(rec), json.dumps(buf)))
-        if buf:
-            state.setTimeoutTimestamp(min(r[0] for r in buf) // 1000 + 1)  # the earliest waits no longer than stated
-        if ready and rec != before:
-            yield pd.DataFrame({"subscription_id": [key[0]], "status": [rec[0]],
-                                "expires_at": [None if rec[1] is None else pd.Timestamp(rec[1], unit="us")],
-                                "plan": [rec[2]], "applied": [len(ready)],
-                                "as_of_ms": [state.getCurrentWatermarkMs()]})
-    return fold
-
-
 def stream_states(stream: DataFrame, lateness: str = "1 hour", key: str = "subscription_id",
-                  allowed_plans=None) -> DataFrame:
+                  allowed_plans=None, tick: str | None = None, closed_retention: str = "400 days") -> DataFrame:
     """H2: the licence record (status, expiry, plan) per subscription as events
     stream in: the same rules as G1, G5 and G6.
 
-    Late events are buffered, not applied out of order: an event is applied once
-    the watermark (max event time seen minus ``lateness``) passes it, so results
-    trail event time by ``lateness``.  Emits a row when a key's record changes."""
+    Late events are buffered, not applied out of order: an event is applied once the
+    watermark (max event time seen minus ``lateness``) passes the end of its ``tick`` (as long
+    as the lateness by default), so results trail event time by both.  Emits a row when a
+    key's record changes; of a key's rows the one with the largest ``n_applied`` is the last.
+    A licence closed for ``closed_retention`` of event time leaves the state."""
     ops = E.billing_ops(event_time(stream), allowed_plans)
-    cols = [key, "ts", "event_id", "op", "kind"] + [c for c in ("period_end", "plan") if c in ops.columns]
-    ops = ops.select(*cols)
-    if "period_end" in ops.columns:
-        ops = ops.withColumn("period_end", F.col("period_end").cast("timestamp"))
-    plans = tuple(allowed_plans or P.CHECKOUT_PLANS)
-    return (ops.withWatermark("ts", lateness).groupBy(key).applyInPandasWithState(
-        _fold_group_fn(plans),
-        f"{key} long, status string, expires_at timestamp_ntz, plan string, applied long, as_of_ms long",
-        "record string, buffer string", "Update", GroupStateTimeout.EventTimeTimeout))
+    have = ops.columns
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    none = lambda t: F.lit(None).cast(t)
+    ops = ops.filter(F.col(key).isNotNull()).select(
+        key, "ts", micros("ts").alias("ts_us"), F.col("event_id").cast("long").alias("event_id"), "op", "kind",
+        F.coalesce(micros("period_end") if "period_end" in have else none("long"), F.lit(NONE)).alias("period_end_us"),
+        (F.col("plan") if "plan" in have else none("string")).alias("plan"))
+    made = ops.withWatermark("ts", lateness).groupBy(key).transformWithStateInPandas(
+        LicenceProcessor(key, allowed_plans or P.CHECKOUT_PLANS, _millis(tick or lateness), _millis(closed_retention)),
+        f"{key} long, {OUTPUT}", "Update", "EventTime")
+    return made.select(key, "status", F.timestamp_micros("expires_us").cast("timestamp_ntz").alias("expires_at"), "plan",
+                       "applied", "n_applied", "as_of_ms")
+
+
+def _millis(interval: str) -> int:
+    return int(M._interval_seconds(interval) * 1000)
 
 
 # ---------------------------------------------------------------------------
@@ -208,57 +147,6 @@ def claim_timeouts_batch(events: DataFrame, ttl_minutes: int = P.CLAIM_TTL_MINUT
         "license_id", F.col("ts").alias("claimed_at"), F.lit("reset").alias("action"))
 
 
-# ---------------------------------------------------------------------------
-# H7: device upsert per micro-batch
-# ---------------------------------------------------------------------------
-# The upsert is an associative merge (earliest first sighting with its
-# platform, latest last sighting with its ip), so each micro-batch appends only
-# its own partial aggregate ("delta"); the table is the merge of all deltas,
-# computed on read or by a compaction job.  A batch costs O(batch), not O(table).
-
-def device_deltas(seen: DataFrame, order=("ts", "event_id")) -> DataFrame:
-    """Partial aggregate of sightings per (device, licence), mergeable later."""
-    from tollgate.functions.columns import classify_platform, order_key
-    k = order_key(*order)
-    return seen.groupBy("device_id", "license_id").agg(
-        F.min(k).alias("first_k"), F.min("ts").alias("first_seen"),
-        F.min_by(classify_platform("user_agent"), k).alias("platform"),
-        F.max(k).alias("last_k"), F.max("ts").alias("last_seen"), F.max_by("ip", k).alias("last_ip"))
-
-
-def merge_device_deltas(deltas: DataFrame) -> DataFrame:
-    """The device table from any set of deltas (same result as upsert_devices
-    over all their sightings)."""
-    return deltas.groupBy("device_id", "license_id").agg(
-        F.min_by("platform", "first_k").alias("platform"), F.min("first_seen").alias("first_seen"),
-        F.max("last_seen").alias("last_seen"), F.max_by("last_ip", "last_k").alias("last_ip"))
-
-
-def delta_path(root: str, batch_id: int) -> str:
-    """Folder of one micro-batch's device delta."""
-    return os.path.join(root, f"batch={batch_id:010d}")
-
-
-def append_device_deltas(root: str):
-    """foreachBatch function: write the batch's delta to its own folder.
-    Re-running a batch after a failure overwrites that folder: idempotent."""
-    def run(batch: DataFrame, batch_id: int):
-        device_deltas(batch).write.mode("overwrite").parquet(delta_path(root, batch_id))
-    return run
-
-
-def read_devices(spark, root: str) -> DataFrame:
-    """Current device table: merge of every delta under ``root``."""
-    return merge_device_deltas(spark.read.option("basePath", root).parquet(os.path.join(root, "batch=*")))
-
-
-def stream_devices(stream: DataFrame, root: str, checkpoint: str, trigger: dict | None = None):
-    """H7: start the device-upsert stream (returns the StreamingQuery)."""
-    w = stream.writeStream.foreachBatch(append_device_deltas(root)).option("checkpointLocation", checkpoint)
-    w = w.trigger(**(trigger or {"availableNow": True}))
-    return w.start()
-
-
 # ---------------------------------------------------------------------------
 # H4, H5, H9: windowed counts with a watermark
 # ---------------------------------------------------------------------------
