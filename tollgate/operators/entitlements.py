@@ -731,13 +731,16 @@ def devices_ranked(devices: DataFrame) -> DataFrame:
 
 
 def transfer_gaps(transfers: DataFrame, key="license_id", order=("ts", "event_id"),
-                  cooldown_hours=P.TRANSFER_COOLDOWN_HOURS) -> DataFrame:
+                  cooldown_hours=P.TRANSFER_COOLDOWN_HOURS, rows_per_piece: int | None = None) -> DataFrame:
     """Time since the previous transfer of the same licence, flagged when it
     is under the cooldown (the first transfer has no gap).  The previous time
     comes from :func:`lag_by_key`, so one very busy licence is still spread over
-    many tasks."""
-    from tollgate.operators.ranking import lag_by_key
-    t = lag_by_key(transfers, [key], list(order), order[0], "_prev_ts")
+    many tasks: in pieces of an hour, or of about ``rows_per_piece`` transfers."""
+    from tollgate.operators.ranking import lag_by_key, pieces_by_count
+    cut, piece = transfers, None
+    if rows_per_piece:
+        cut, piece = pieces_by_count(transfers, [key], list(order), rows_per_piece), F.col("_part")
+    t = lag_by_key(cut, [key], list(order), order[0], "_prev_ts", piece)
     gap = seconds_between(F.col(order[0]), F.col("_prev_ts"))
     return t.select(*transfers.columns, gap.alias("gap_seconds"),
                     F.coalesce(gap < F.lit(cooldown_hours * 3600.0), F.lit(False)).alias("too_soon"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tollgate.functions import patterns as P
 from tollgate.functions.columns import col
-from tollgate.operators.ranking import lag_by_key, running_by_key
+from tollgate.operators.ranking import lag_by_key, pieces_by_count, running_by_key
 
 
 # ---------------------------------------------------------------------------
@@ -98,17 +98,20 @@ def histogram_quantile(hist: DataFrame, labels, qs=(0.5, 0.95, 0.99)) -> DataFra
 # ---------------------------------------------------------------------------
 
 def failure_runs(calls: DataFrame, threshold: int = P.FAILURE_RUN_THRESHOLD, key="client_id",
-                 order=("ts", "request_id"), failed: Column | None = None) -> DataFrame:
+                 order=("ts", "request_id"), failed: Column | None = None, rows_per_piece: int | None = None) -> DataFrame:
     """E5: runs of at least ``threshold`` consecutive failed calls per key.
 
     The island id of a failure is the number of successful calls of its key
     before it, so consecutive failures share it.  That running count is
     computed by :func:`running_by_key` (range-partitioned), because the key here
-    is a service: very few keys, one of which may carry most calls."""
+    is a service: very few keys, one of which may carry most calls.  Pieces are
+    hours, or with ``rows_per_piece`` runs of about so many calls (for bursts)."""
     failed = failed if failed is not None else (F.col("status") >= 500)
-    c = calls.select(key, *order, failed.alias("_fail"))
+    c, piece = calls.select(key, *order, failed.alias("_fail")), None
+    if rows_per_piece:
+        c, piece = pieces_by_count(c, [key], list(order), rows_per_piece), F.col("_part")
     c = running_by_key(c, [key], list(order),
-                       {"_island": ("sum", F.when(F.col("_fail"), 0).otherwise(1))})
+                       {"_island": ("sum", F.when(F.col("_fail"), 0).otherwise(1))}, piece)
     runs = (c.filter("_fail").groupBy(key, "_island")
             .agg(F.min(order[0]).alias("run_start"), F.max(order[0]).alias("run_end"),
                  F.count(F.lit(1)).alias("run_length")))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tollgate.functions.patterns import DEVICE_ID_RE, FIXTURE_KEY_RE
 from tollgate.operators import entitlements as E
+from tollgate.operators import folds as FOLDS
+from tollgate.operators.ranking import pieces_by_count
 from tollgate.plans.registry import register
 from tollgate.sources.views import LICENSE_AS_OF
 
@@ -270,6 +272,43 @@ def g1h(c):
     return E.state_history(c.billing_events).select("subscription_id", "event_id", "status")
 
 
+# ---- G1 for any transition table -------------------------------------------------------
+_SLOT_OP_SQL = """CASE kind WHEN 'checkout_completed' THEN 'claim' WHEN 'payment_succeeded' THEN 'create'
+ WHEN 'subscription_updated' THEN 'reset' ELSE 'revoke' END"""
+_SLOT_STEP_SQL = """CASE WHEN e = 'claim' AND s = 'empty' THEN 'pending' WHEN e = 'create' AND s = 'pending' THEN 'held'
+  WHEN e = 'reset' AND s = 'pending' THEN 'empty' WHEN e = 'revoke' THEN 'empty' ELSE s END"""
+
+
+def _reduce_sql(initial: str, op: str, step: str, prefix: bool) -> str:
+    """Final state, or state after every event, by list_reduce over the ordered operations."""
+    over = "OVER (PARTITION BY subscription_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    ops = f"list(op) {over}" if prefix else "list(op ORDER BY ts, event_id)"
+    return f"""SELECT subscription_id, {'event_id, ' if prefix else ''}list_reduce(list_prepend('{initial}', {ops}), lambda s, e: {step}) AS status
+ FROM (SELECT *, {op} AS op FROM billing_events) t {'' if prefix else 'GROUP BY subscription_id'}"""
+
+
+@register("g1_table_licence", views=("billing_events",), oracle=_reduce_sql("none", OPS_SQL, STEP_SQL, False))
+def g1_table_licence(c):
+    return FOLDS.fold(E.billing_ops(c.billing_events), FOLDS.LICENCE, "subscription_id", F.col("op"))
+
+
+@register("g1_table_licence_history", views=("billing_events",), oracle=_reduce_sql("none", OPS_SQL, STEP_SQL, True))
+def g1_table_licence_history(c):
+    """Pieces of about 20,000 events each."""
+    ev = pieces_by_count(E.billing_ops(c.billing_events).select("subscription_id", "ts", "event_id", "op"), ["subscription_id"], ["ts", "event_id"], 20_000)
+    return FOLDS.history(ev, FOLDS.LICENCE, "subscription_id", F.col("op"), piece=F.col("_part")).drop("ts")
+
+
+@register("g1_table_slot", views=("billing_events",), oracle=_reduce_sql("empty", _SLOT_OP_SQL, _SLOT_STEP_SQL, False))
+def g1_table_slot(c):
+    return FOLDS.fold(c.billing_events, FOLDS.KEY_SLOT, "subscription_id", FOLDS.slot_op(F.col("kind")))
+
+
+@register("g1_table_slot_history", views=("billing_events",), oracle=_reduce_sql("empty", _SLOT_OP_SQL, _SLOT_STEP_SQL, True))
+def g1_table_slot_history(c):
+    return FOLDS.history(c.billing_events, FOLDS.KEY_SLOT, "subscription_id", FOLDS.slot_op(F.col("kind"))).drop("ts")
+
+
 # ---- G2, G3 ---------------------------------------------------------------------------
 _PLATFORM_SQL = ("CASE WHEN contains(user_agent, 'Electron') THEN 'desktop' "
                  "WHEN contains(user_agent, 'Android') THEN 'android' ELSE 'unknown' END")
@@ -436,14 +475,22 @@ def e2(c):
         "device_id", "license_id", "last_seen", "recency_rank")
 
 
-@register("e6_transfer_gaps", views=("device_seen",), oracle="""
+TRANSFER_GAPS_SQL = """
 SELECT license_id, event_id, ts, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY license_id ORDER BY ts, event_id)) AS gap_seconds,
  coalesce(epoch(ts) - epoch(lag(ts) OVER (PARTITION BY license_id ORDER BY ts, event_id)) < 259200.0, false) AS too_soon
-FROM device_seen""")
+FROM device_seen"""
+
+
+@register("e6_transfer_gaps", views=("device_seen",), oracle=TRANSFER_GAPS_SQL)
 def e6(c):
     return E.transfer_gaps(c.device_seen.select("license_id", "event_id", "ts"))
 
 
+@register("e6_transfer_gaps_by_count", views=("device_seen",), oracle=TRANSFER_GAPS_SQL)
+def e6_by_count(c):
+    return E.transfer_gaps(c.device_seen.select("license_id", "event_id", "ts"), rows_per_piece=20_000)
+
+
 _VALID_PLANS = "('vpn', 'security_vpn')"
 _OPS_PLAN_SQL = OPS_SQL.replace("WHEN kind = 'checkout_completed' THEN 'K'",
                                 f"WHEN kind = 'checkout_completed' THEN CASE WHEN plan IN {_VALID_PLANS} THEN 'K' ELSE '-' END")

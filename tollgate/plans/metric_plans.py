@@ -155,15 +155,23 @@ def d20(c):
 
 # ---- runs, rates, windows -------------------------------------------------------------
 
-@register("e5_failure_runs", views=("request_log",), oracle="""
+FAILURE_RUNS_SQL = """
 SELECT client_id, min(ts) AS run_start, max(ts) AS run_end, count(*) AS run_length FROM (
  SELECT *, sum(CASE WHEN status >= 500 THEN 0 ELSE 1 END) OVER (PARTITION BY client_id ORDER BY ts, request_id
    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM request_log) t
-WHERE status >= 500 GROUP BY client_id, island HAVING count(*) >= 3""")
+WHERE status >= 500 GROUP BY client_id, island HAVING count(*) >= 3"""
+
+
+@register("e5_failure_runs", views=("request_log",), oracle=FAILURE_RUNS_SQL)
 def e5(c):
     return M.failure_runs(c.request_log, 3)
 
 
+@register("e5_failure_runs_by_count", views=("request_log",), oracle=FAILURE_RUNS_SQL)
+def e5_by_count(c):
+    return M.failure_runs(c.request_log, 3, rows_per_piece=20_000)
+
+
 @register("e7_counter_rate", views=("request_log",), oracle="""
 WITH b AS (SELECT route, time_bucket(INTERVAL '15 seconds', ts) AS bucket, count(*) AS n FROM request_log GROUP BY 1, 2),
 s AS (SELECT route, bucket + INTERVAL '15 seconds' AS ts, CAST(sum(n) OVER (PARTITION BY route, time_bucket(INTERVAL '1 day', bucket)
