@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tollgate.functions import patterns as P
 from tollgate.functions.columns import literal_rows, ts_lit
-from tollgate.operators.ranking import rank_by_id
+from tollgate.operators.ranking import last_before, rank_by_id
 
 
 def active_nodes(nodes: DataFrame) -> DataFrame:
@@ -126,36 +126,53 @@ def health_rollup(probes: DataFrame, by=("region",), disk_limit=90.0) -> DataFra
 # Batch assignment equal to repeated least-loaded choice
 # ---------------------------------------------------------------------------
 
-def capacity_slots(nodes: DataFrame, licenses: DataFrame) -> DataFrame:
-    """Free seats of eligible nodes as (node_id, level, slot_rank): node with load
-    L and capacity M offers levels L..M-1; slots are ranked by (level, node id),
-    which is the order repeated least-loaded choices would take them in."""
-    load = node_load(licenses)
-    elig = (nodes.filter((F.col("status") == "active") & (F.col("max_keys") > 0))
-            .join(load, F.col("id") == F.col("node_id"), "left")
-            .select(F.col("id").alias("node_id"), "max_keys",
-                    F.coalesce(F.col("active_keys"), F.lit(0)).cast("long").alias("load"))
+def free_nodes(nodes: DataFrame, licenses: DataFrame) -> DataFrame:
+    """(node_id, load, max_keys) of the active nodes with free seats."""
+    return (nodes.filter((F.col("status") == "active") & (F.col("max_keys") > 0))
+            .join(node_load(licenses), F.col("id") == F.col("node_id"), "left")
+            .select(F.col("id").alias("node_id"), F.coalesce(F.col("active_keys"), F.lit(0)).cast("long").alias("load"),
+                    F.col("max_keys").cast("long").alias("max_keys"))
             .filter(F.col("load") < F.col("max_keys")))
-    slots = elig.select("node_id", F.explode(F.sequence(F.col("load"), F.col("max_keys") - 1))
-                        .alias("level"))
-    # prefix count per level: one row per capacity level (bounded by max_keys)
-    per_level = slots.groupBy("level").agg(F.count(F.lit(1)).alias("_c"))
-    starts = per_level.select("level", F.coalesce(F.sum("_c").over(
-        Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    within = F.row_number().over(Window.partitionBy("level").orderBy("node_id"))
-    return (slots.withColumn("_w", within).join(starts, "level")
-            .select("node_id", "level", (F.col("_start") + F.col("_w")).alias("slot_rank")))
+
+
+def capacity_bands(free: DataFrame) -> DataFrame:
+    """Bands of levels in which the same nodes are open: (first level, open nodes, seats in the
+    bands before).  A node offers the levels load..max_keys-1; seats are taken in (level, node
+    id) order, which is what repeated least-loaded choices do.  At most two bands a node."""
+    edges = free.select("load", "max_keys").select(F.explode(F.array(
+        F.struct(F.col("load").alias("band"), F.lit(1).alias("d")), F.struct(F.col("max_keys").alias("band"), F.lit(-1).alias("d")))).alias("e"))
+    edges = edges.groupBy("e.band").agg(F.sum("e.d").alias("d"))  # one row per distinct load or capacity of a node
+    up_to = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, 0)
+    bands = edges.select("band", F.sum("d").over(up_to).alias("open"), F.lead("band").over(Window.orderBy("band")).alias("_next"))
+    seats = F.coalesce(F.col("open") * (F.col("_next") - F.col("band")), F.lit(0))
+    before = F.coalesce(F.sum(seats).over(Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return bands.select("band", "open", before.alias("before"))
 
 
 def assign_nodes(pending: DataFrame, nodes: DataFrame, licenses: DataFrame,
                  order: str = "id") -> DataFrame:
     """Give each pending licence (in ``order``, a unique integer) the next least-loaded node,
     exactly as one least-loaded query per licence would; licences beyond the free
-    capacity get NULL."""
-    ranked = rank_by_id(pending, order, name="slot_rank")
-    slots = capacity_slots(nodes, licenses)
-    return ranked.join(slots, "slot_rank", "left").select(
-        F.col("id").alias("license_id"), "slot_rank", "node_id", F.col("level").alias("node_load"))
+    capacity get NULL.
+
+    Water-filling: the r-th seat lies in the last band that begins before it (an as-of merge of ranks
+    and bands); inside the band the open nodes take turns, so level and node follow by
+    division.  Seats are never listed: the work is that of the licences, and of the nodes open
+    in each band, however much capacity is free."""
+    ranked = rank_by_id(pending, order, name="slot_rank").select(F.col(order).alias("license_id"), "slot_rank")
+    free = free_nodes(nodes, licenses)
+    bands = capacity_bands(free)
+    placed = last_before(ranked.withColumn("_seat", F.col("slot_rank") - 1), bands.withColumn("_seat", F.col("before")), [], "_seat",
+                         ["before", "band", "open"], F.shiftright("_seat", 20))
+    is_open = F.col("open") > 0
+    placed = placed.withColumn("_seat", F.col("_seat") - F.col("before")).select(
+        "license_id", "slot_rank", F.when(is_open, F.col("band")).alias("_band"),
+        F.when(is_open, F.expr("_seat div open")).alias("_level"), F.when(is_open, F.expr("_seat % open")).alias("_k"))
+    turn = F.row_number().over(Window.partitionBy("band").orderBy("node_id")) - 1
+    members = (free.join(bands.filter("open > 0").select("band"), (F.col("load") <= F.col("band")) & (F.col("band") < F.col("max_keys")))
+               .select(F.col("band").alias("_band"), turn.cast("long").alias("_k"), "node_id"))
+    return placed.join(members, ["_band", "_k"], "left").select(
+        "license_id", "slot_rank", "node_id", (F.col("_band") + F.col("_level")).alias("node_load"))
 
 
 def node_key_count(licenses: DataFrame) -> DataFrame:

@@ -208,6 +208,15 @@ def price_as_of(facts: DataFrame, prices: DataFrame, ts_col="ts", plan_col="plan
     return facts.join(d, cond, "left").drop("_plan", "valid_from", "valid_to")
 
 
+def price_as_of_history(facts: DataFrame, changes: DataFrame, ts_col="ts", key=("plan",), price_col="price",
+                        rows_per_piece: int | None = None) -> DataFrame:
+    """B8 for a price history of any length: ``changes`` (key, ts, price), a price holds from its time
+    on; facts before the first change get NULL.  A merge of facts and changes
+    (:func:`ranking.last_before`) in pieces of a month, or of about ``rows_per_piece`` rows."""
+    from tollgate.operators.ranking import last_before, time_piece
+    return last_before(facts, changes, list(key), ts_col, [price_col], time_piece(ts_col, 30 * 86400), rows_per_piece)
+
+
 # ---------------------------------------------------------------------------
 # filters
 # ---------------------------------------------------------------------------
@@ -406,23 +415,53 @@ def billing_outcomes(events: DataFrame, allowed_plans, key: str = "subscription_
     """What the billing handler makes of each event (one row per event id): ``result`` for the
     event counter (NULL where it counts nothing) and the audit ``action`` (NULL for none).
 
-    An event without its object fails.  A checkout creates a licence if it is valid and the
-    first one of its subscription; events without a subscription are not counted; first
-    invoices and partial refunds are skipped; a plan change needs an existing licence."""
+    An event without its object fails.  A valid checkout creates a licence (``created``) if it is the
+    first of its subscription; one without a subscription creates one unless the customer
+    has a licence, that is an earlier valid checkout (C7; a checkout that names neither
+    always does).  Other events without a subscription are not counted; first invoices and
+    partial refunds are skipped; a plan change needs an existing licence."""
     ev = billing_ops(events, allowed_plans).dropDuplicates(["event_id"]).withColumn("_k", _event_order(events))
-    first = ev.filter((F.col("op") == "K") & F.col(key).isNotNull()).groupBy(F.col(key).alias("_s")).agg(F.min("_k").alias("_first"))
-    ev = ev.join(first, F.col(key) == F.col("_s"), "left")
-    kind, known, broken = F.col("kind"), F.col(key).isNotNull(), F.coalesce(F.col("broken"), F.lit(False))
-    created = (kind == "checkout_completed") & (F.col("_k") == F.col("_first"))
+    if "customer_id" not in ev.columns:
+        ev = ev.withColumn("customer_id", F.lit(None).cast("string"))
+    broken = F.coalesce(F.col("broken"), F.lit(False)) if "broken" in ev.columns else F.lit(False)
+    checkouts = ev.filter((F.col("op") == "K") & ~broken)
+    first = checkouts.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_s")).agg(F.min("_k").alias("_first"))
+    by_customer = (checkouts.filter(F.col("customer_id").isNotNull()).groupBy(F.col("customer_id").alias("_c"))
+                   .agg(F.min("_k").alias("_first_c")))
+    # only a checkout without a subscription looks its customer up
+    asks = F.when(F.col(key).isNull() & (F.col("op") == "K"), F.col("customer_id"))
+    ev = ev.join(first, F.col(key) == F.col("_s"), "left").join(by_customer, asks == F.col("_c"), "left")
+    kind, known = F.col("kind"), F.col(key).isNotNull()
+    valid = F.coalesce((F.col("op") == "K") & ~broken, F.lit(False))
+    created = valid & F.when(known, F.col("_k") == F.col("_first")).otherwise(F.col("_first_c").isNull() | (F.col("_k") == F.col("_first_c")))
     partial = F.col("amount_refunded") < F.col("amount")
     later = F.col("_first").isNotNull() & (F.col("_k") > F.col("_first"))
+    first_invoice = (F.col("billing_reason") == "subscription_create") if "billing_reason" in ev.columns else F.lit(False)
     result = (F.when(broken, "error").when(kind == "checkout_completed", F.when(created, "success"))
-              .when((kind == "payment_succeeded") & (F.col("billing_reason") == "subscription_create"), "skipped")
+              .when((kind == "payment_succeeded") & first_invoice, "skipped")
               .when((kind == "charge_refunded") & partial, "skipped").when(known, "success"))
     action = F.when(~broken, F.when(created, "license_created").when((kind == "payment_failed") & known, "license_suspended")
                     .when((kind == "charge_refunded") & ~partial & known, "license_refunded")
                     .when((kind == "subscription_updated") & F.col("plan").isin(*allowed_plans) & later, "plan_changed"))
-    return ev.select("event_id", "ts", "kind", F.col(key), result.alias("result"), action.alias("action"))
+    return ev.select("event_id", "ts", "kind", F.col(key), "customer_id", created.alias("created"), result.alias("result"), action.alias("action"))
+
+
+def billing_licences(events: DataFrame, outcomes: DataFrame, allowed_plans, subscriptions: DataFrame | None = None,
+                     key: str = "subscription_id") -> DataFrame:
+    """(entity, subscription_id, status) of every licence the events make: the fold per subscription,
+    plus those of checkouts without one, which no later event reaches (``entity`` names the
+    customer, or the event).  A subscription that was neither active nor trialing when its
+    checkout was handled gives an expired licence (C6)."""
+    ev = events.filter(~F.coalesce(F.col("broken"), F.lit(False))) if "broken" in events.columns else events
+    states = fold_states(ev, key, allowed_plans).select(F.concat(F.lit("subscription:"), F.col(key)).alias("entity"), key, F.col("status"))
+    if subscriptions is not None:
+        made = states.select(F.col("entity").alias("id"), F.col(key).cast("string").alias("subscription_id"))
+        late = late_inactive(made, subscriptions).select(F.col("license_id").alias("entity"), "new_status")
+        states = states.join(late, "entity", "left").withColumn("status", F.coalesce("new_status", "status")).drop("new_status")
+    alone = outcomes.filter(F.col("created") & F.col(key).isNull()).select(
+        F.coalesce(F.concat(F.lit("customer:"), F.col("customer_id")), F.concat(F.lit("event:"), F.col("event_id"))).alias("entity"), key,
+        F.lit(P.STATUS_ACTIVE).alias("status"))
+    return states.unionByName(alone)
 
 
 def _state_expr(k0, d, p, x, r_after_p, x_after_r):

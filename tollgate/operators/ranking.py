@@ -142,6 +142,27 @@ def lag_by_key(df: DataFrame, key: list[str], order: list[str], value: str, name
         .drop("_piece", "_lag", "_rn", "_prev_piece")
 
 
+def last_before(facts: DataFrame, changes: DataFrame, key: list[str], at: str, carry: list[str],
+                piece=None, rows_per_piece: int | None = None) -> DataFrame:
+    """As-of merge: each fact with the ``carry`` columns of its key's last change at or before its
+    ``at`` (NULLs where there is none).  Of changes at one time the largest values count.
+
+    Facts and changes are merged in order and the last change is carried forward in pieces
+    (:func:`running_by_key`), so neither side is broadcast, no fact meets more than one change, and a
+    key with most of the rows is spread over its pieces: ``piece`` of ``at``, or about
+    ``rows_per_piece`` rows each."""
+    names = facts.columns
+    change = F.struct(F.col(at).alias("_at"), *[F.col(c) for c in carry])
+    rows = facts.select(*key, at, F.lit(1).alias("_kind"), F.struct(*names).alias("_row"), F.lit(None).alias("_change"))
+    new = changes.filter(F.col(at).isNotNull()).select(*key, at, F.lit(0).alias("_kind"), F.lit(None).alias("_row"), change.alias("_change"))
+    both = rows.withColumn("_change", F.col("_change").cast(new.schema["_change"].dataType)).unionByName(
+        new.withColumn("_row", F.col("_row").cast(rows.schema["_row"].dataType)))
+    if rows_per_piece:
+        both, piece = pieces_by_count(both, key, [at, "_kind"], rows_per_piece), F.col("_part")
+    both = running_by_key(both, key, [at, "_kind"], {"_last": ("max", F.col("_change"))}, piece)
+    return both.filter("_kind = 1").select("_row.*", *[F.col(f"_last.{c}").alias(c) for c in carry])
+
+
 def rank_by_id(df: DataFrame, id_col: str, name: str = "rank", bits: int = 20) -> DataFrame:
     """1-based position by a unique integer column, from deterministic pieces.
 

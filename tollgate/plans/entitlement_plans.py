@@ -137,6 +137,29 @@ def b8(c):
     return E.price_as_of(c.price_facts, E.price_dimension(c.spark, PRICES))
 
 
+_PRICE_HISTORY_SQL = """
+WITH changes AS (SELECT l_suppkey % 10 AS product, l_shipdate AS ts, max(l_extendedprice) AS price FROM lineitem GROUP BY 1, 2)
+SELECT o_orderkey, o_custkey % 10 AS product, o_orderdate AS ts, price FROM orders o ASOF LEFT JOIN changes c
+ ON o.o_custkey % 10 = c.product AND o.o_orderdate >= c.ts"""
+
+
+def _price_history(c, **kw):
+    changes = c.lineitem.select((F.col("l_suppkey") % 10).alias("product"), F.col("l_shipdate").alias("ts"), F.col("l_extendedprice").alias("price"))
+    facts = c.orders.select("o_orderkey", (F.col("o_custkey") % 10).alias("product"), F.col("o_orderdate").alias("ts"))
+    return E.price_as_of_history(facts, changes, key=["product"], **kw)
+
+
+@register("b8_price_history", oracle=_PRICE_HISTORY_SQL)
+def b8_history(c):
+    """Four times as many price changes as facts, few products."""
+    return _price_history(c)
+
+
+@register("b8_price_history_by_count", oracle=_PRICE_HISTORY_SQL)
+def b8_history_by_count(c):
+    return _price_history(c, rows_per_piece=50_000)
+
+
 @register("b9_expired_with_keys", views=("licenses",), oracle=f"""
 SELECT id, key_id, node_id FROM licenses WHERE expires_at < {AS_OF_SQL} AND key_id IS NOT NULL
  AND key_id <> 'pending' AND status IN ('expired', 'cancelled', 'suspended')""")

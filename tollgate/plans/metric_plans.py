@@ -12,6 +12,7 @@ from tollgate.operators import entitlements as E
 from tollgate.operators import metrics as M
 from tollgate.plans.entitlement_plans import AS_OF_SQL, BAD_DEV, BAD_KEY, STALE_SQL
 from tollgate.plans.registry import register
+from tollgate.plans.source_plans import OUTCOMES_SQL, raw_events
 from tollgate.sources.views import LICENSE_AS_OF
 
 
@@ -79,24 +80,11 @@ def d12(c):
     return M.counter(lic.filter(F.col("key_id").isNotNull() & (F.col("key_id") != P.PENDING)), ["plan"])
 
 
-def billing_results(ev):
-    """Per distinct event id, the counter result: skipped for partial refunds
-    and first invoices, success otherwise."""
-    skipped = ((F.col("kind") == "charge_refunded") & (F.col("amount_refunded") < F.col("amount")))
-    if "billing_reason" in ev.columns:
-        skipped = skipped | ((F.col("kind") == "payment_succeeded")
-                             & (F.col("billing_reason") == "subscription_create"))
-    # a redelivered event carries the same kind and amounts: distinct on what
-    # the counter needs (grouping keys only, so a hash aggregate)
-    return ev.select("event_id", "kind", F.when(skipped, "skipped").otherwise("success").alias("result")).distinct()
-
-
-@register("d13_billing_counter", views=("billing_events",), oracle="""
-SELECT kind, result, count(*) AS value FROM (SELECT DISTINCT event_id, kind,
-  CASE WHEN kind = 'charge_refunded' AND amount_refunded < amount THEN 'skipped' ELSE 'success' END AS result
-  FROM billing_events) t GROUP BY kind, result""")
+@register("d13_billing_counter", views=("billing_raw", "billing_invoices"), oracle=f"""WITH {OUTCOMES_SQL}
+SELECT kind, result, count(*) AS value FROM o WHERE result IS NOT NULL GROUP BY kind, result""")
 def d13(c):
-    return M.counter(billing_results(c.billing_events), ["kind", "result"])
+    done = E.billing_outcomes(raw_events(c), P.CHECKOUT_PLANS)
+    return M.counter(done.filter("result IS NOT NULL"), ["kind", "result"])
 
 
 @register("d14_checkout_counter", views=("checkouts",), oracle="""

@@ -10,9 +10,9 @@ from tollgate.operators import entitlements as E
 from tollgate.plans.audit_plans import URL_PATH_SQL
 from tollgate.plans.entitlement_plans import STEP_SQL, _TRANSFER_SQL as TRANSFER_SQL
 from tollgate.plans.registry import register
-from tollgate.session import checkpoint_dir
 from tollgate.sources import readers as R
 from tollgate.sources.tables import TABLES, table_counts
+from tollgate.streaming.replay import run_folder
 
 
 @register("a1_table_counts", oracle="\nUNION ALL ".join(
@@ -50,92 +50,114 @@ def a5(c):
                          "amount_refunded", "cancel_at_period_end", "sub_status")
 
 
-_ACTIONS_SQL = """CASE WHEN kind = 'checkout_completed' AND (ts, event_id) = first_k THEN 'license_created'
-  WHEN kind = 'payment_failed' THEN 'license_suspended'
-  WHEN kind = 'charge_refunded' AND amount_refunded >= amount THEN 'license_refunded'
-  WHEN kind = 'subscription_updated' AND plan IN ('vpn', 'security_vpn') AND first_k IS NOT NULL
-   AND (ts, event_id) > first_k THEN 'plan_changed' END"""
-
-
-def audit_decisions(ev):
-    """Audit actions the billing handler writes, one per event that writes one."""
-    k = order_key("ts", "event_id")
-    first = (ev.filter((F.col("kind") == "checkout_completed") & F.col("plan").isin(*P.CHECKOUT_PLANS)).groupBy("subscription_id")
-             .agg(F.min(k).alias("first_k")))
-    j = ev.join(first, "subscription_id", "left")
-    kind = F.col("kind")
-    action = (F.when((kind == "checkout_completed") & (k == F.col("first_k")), "license_created")
-              .when(kind == "payment_failed", "license_suspended")
-              .when((kind == "charge_refunded") & (F.col("amount_refunded") >= F.col("amount")), "license_refunded")
-              .when((kind == "subscription_updated") & F.col("plan").isin(*P.CHECKOUT_PLANS)
-                    & F.col("first_k").isNotNull() & (k > F.col("first_k")), "plan_changed"))
-    return j.select(action.alias("action"), F.lit("subscription").alias("entity_type"),
-                    F.col("subscription_id").alias("entity_id"), F.col("kind").alias("details"), "ts") \
-        .filter(F.col("action").isNotNull())
-
-
-@register("a6_audit_actions", views=("billing_events_ext",), oracle=f"""
-WITH f AS (SELECT subscription_id, min((ts, event_id)) AS first_k FROM billing_events_ext
-  WHERE kind = 'checkout_completed' AND plan IN ('vpn', 'security_vpn') GROUP BY subscription_id),
-a AS (SELECT {_ACTIONS_SQL} AS action, CAST(ts AS DATE) AS date FROM billing_events_ext LEFT JOIN f USING (subscription_id))
-SELECT action, date, count(*) AS n FROM a WHERE action IS NOT NULL GROUP BY action, date""")
-def a6(c):
-    rows = R.audit_rows(audit_decisions(c.billing_events_ext))
-    return rows.groupBy("action", "date").agg(F.count(F.lit(1)).alias("n"))
-
-
 _RAW_OK = "NOT broken AND kind = 'checkout_completed' AND email IS NOT NULL AND plan IN ('vpn', 'security_vpn')"
-
-
-@register("a5_billing_pipeline", views=("billing_raw", "billing_invoices"), oracle=f"""
-WITH ev AS (SELECT r.* EXCLUDE (subscription_id, kind), r.kind,
+#: The billing rule: what the handler makes of each raw event (result, action), as CTEs up to `o`.
+OUTCOMES_SQL = f"""
+ev AS (SELECT r.* EXCLUDE (subscription_id, kind), r.kind,
    CASE WHEN broken THEN NULL WHEN r.kind = 'charge_refunded' THEN i.subscription_id ELSE r.subscription_id END AS sid
   FROM billing_raw r LEFT JOIN billing_invoices i USING (invoice_id)),
 f AS (SELECT sid, min((ts, event_id)) AS first_k FROM ev WHERE {_RAW_OK} AND sid IS NOT NULL GROUP BY sid),
-j AS (SELECT ev.*, first_k, coalesce(kind = 'checkout_completed' AND (ts, event_id) = first_k, false) AS created,
-   amount_refunded < amount AS partial FROM ev LEFT JOIN f USING (sid)),
-o AS (SELECT kind, ts, CASE WHEN broken THEN 'error' WHEN kind = 'checkout_completed' THEN CASE WHEN created THEN 'success' END
+fc AS (SELECT customer_id AS cid, min((ts, event_id)) AS first_c FROM ev WHERE {_RAW_OK} AND customer_id IS NOT NULL GROUP BY customer_id),
+j AS (SELECT ev.*, first_k, {_RAW_OK} AND CASE WHEN sid IS NOT NULL THEN (ts, event_id) = first_k
+     ELSE customer_id IS NULL OR (ts, event_id) = first_c END AS created,
+   amount_refunded < amount AS partial FROM ev LEFT JOIN f USING (sid) LEFT JOIN fc ON customer_id = cid),
+o AS (SELECT event_id, sid, customer_id, created, kind, ts, CASE WHEN broken THEN 'error' WHEN kind = 'checkout_completed' THEN CASE WHEN created THEN 'success' END
    WHEN kind = 'payment_succeeded' AND billing_reason = 'subscription_create' THEN 'skipped'
    WHEN kind = 'charge_refunded' AND partial THEN 'skipped' WHEN sid IS NOT NULL THEN 'success' END AS result,
   CASE WHEN broken THEN NULL WHEN created THEN 'license_created' WHEN kind = 'payment_failed' AND sid IS NOT NULL THEN 'license_suspended'
    WHEN kind = 'charge_refunded' AND NOT partial AND sid IS NOT NULL THEN 'license_refunded'
    WHEN kind = 'subscription_updated' AND plan IN ('vpn', 'security_vpn') AND first_k IS NOT NULL AND (ts, event_id) > first_k THEN 'plan_changed' END AS action
-  FROM j),
+  FROM j)"""
+
+
+def raw_events(c):
+    """The raw billing events as the handler sees them: an envelope without its object names
+    nothing, a refund belongs to its invoice's subscription."""
+    raw = c.billing_raw
+    lost = ("subscription_id", "invoice_id", "customer_id", "email", "plan")
+    return E.resolve_refund_events(raw.withColumns({n: F.when(~F.col("broken"), F.col(n)) for n in lost}), c.billing_invoices)
+
+
+def billing_audit(c):
+    """Audit decisions of the billing events."""
+    done = E.billing_outcomes(raw_events(c), P.CHECKOUT_PLANS).filter("action IS NOT NULL")
+    return done.select("action", F.lit("subscription").alias("entity_type"), F.col("subscription_id").cast("string").alias("entity_id"),
+                       F.col("kind").alias("details"), "ts")
+
+
+_AUDIT_SQL = f"""WITH {OUTCOMES_SQL}
+SELECT action, CAST(ts AS DATE) AS date, count(*) AS n FROM o WHERE action IS NOT NULL GROUP BY 1, 2"""
+
+
+@register("a6_audit_actions", views=("billing_raw", "billing_invoices"), oracle=_AUDIT_SQL)
+def a6(c):
+    rows = R.audit_rows(billing_audit(c))
+    return rows.groupBy("action", "date").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("a6_audit_sink", views=("billing_raw", "billing_invoices"), oracle=_AUDIT_SQL)
+def a6_sink(c):
+    """Appended in batches of a week by two runs, the batches of one written twice, then read back."""
+    rows, path = R.audit_rows(billing_audit(c)), run_folder(c.spark, "audit")
+    week = F.date_diff("date", F.lit("2024-01-01").cast("date")) / 7
+    for run, lo, hi in (("first", -1e9, 2.0), ("first", -1e9, 2.0), ("second", 2.0, 3.0), ("second", 3.0, 1e9), ("second", 2.0, 3.0)):
+        R.append_audit(rows.filter((week >= lo) & (week < hi)), path, run, int(max(lo, 0)))
+    return R.read_audit(c.spark, path).groupBy("action", "date").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("a5_billing_pipeline", views=("billing_raw", "billing_invoices", "billing_subscriptions"), oracle=f"""
+WITH {OUTCOMES_SQL},
 ops AS (SELECT sid, ts, event_id, CASE WHEN broken THEN '-' WHEN {_RAW_OK} THEN 'K'
    WHEN kind = 'payment_succeeded' AND billing_reason <> 'subscription_create' THEN 'R' WHEN kind = 'payment_failed' THEN 'P'
    WHEN kind = 'subscription_deleted' THEN 'D' WHEN kind = 'charge_refunded' AND NOT partial THEN 'P'
    WHEN kind = 'subscription_updated' THEN CASE WHEN cancel_at_period_end THEN 'X' WHEN sub_status = 'active' THEN 'R'
      WHEN sub_status IN ('past_due', 'unpaid') THEN 'P' ELSE '-' END ELSE '-' END AS op FROM j WHERE sid IS NOT NULL),
-st AS (SELECT list_reduce(list_prepend('none', list(op ORDER BY ts, event_id)), lambda s, e: {STEP_SQL}) AS status FROM ops GROUP BY sid)
-SELECT 'licences' AS part, status AS name, '' AS label, count(*) AS n FROM st WHERE status <> 'none' GROUP BY status
+st AS (SELECT sid, list_reduce(list_prepend('none', list(op ORDER BY ts, event_id)), lambda s, e: {STEP_SQL}) AS status FROM ops GROUP BY sid),
+lic AS (SELECT CASE WHEN b.status IN ('active', 'trialing') THEN st.status ELSE 'expired' END AS status
+   FROM st JOIN billing_subscriptions b ON b.subscription_id = CAST(sid AS VARCHAR) WHERE st.status <> 'none'
+  UNION ALL SELECT 'active' FROM o WHERE created AND sid IS NULL)
+SELECT 'licences' AS part, status AS name, '' AS label, count(*) AS n FROM lic GROUP BY status
 UNION ALL SELECT 'audit', action, CAST(CAST(ts AS DATE) AS VARCHAR), count(*) FROM o WHERE action IS NOT NULL GROUP BY action, CAST(ts AS DATE)
 UNION ALL SELECT 'events', kind, result, count(*) FROM o WHERE result IS NOT NULL GROUP BY kind, result""")
 def a5p(c):
     """Envelopes to licence states, audit rows and event counters."""
     ev = R.parse_billing_events(R.render_billing_events(c.billing_raw))
     ev = ev.withColumns({"event_id": F.col("event_id").cast("long"), "subscription_id": F.col("subscription_id").cast("long")})
-    # parsed once: three results read the events, and the lineage of the rendered JSON ends here
-    checkpoint_dir(c.spark)
-    ev = E.resolve_refund_events(ev.checkpoint(), c.billing_invoices)
+    parsed = run_folder(c.spark, "billing")  # parsed once; the lineage of the rendered JSON ends here
+    ev.write.parquet(parsed)
+    ev = E.resolve_refund_events(c.spark.read.schema(ev.schema).parquet(parsed), c.billing_invoices)
     done = E.billing_outcomes(ev, P.CHECKOUT_PLANS)
     count = F.count(F.lit(1)).alias("n")
-    states = E.fold_states(ev.filter("not broken"), allowed_plans=P.CHECKOUT_PLANS).groupBy(F.col("status").alias("name")).agg(count)
-    audit = done.filter("action is not null").groupBy(F.col("action").alias("name"), F.to_date("ts").cast("string").alias("label")).agg(count)
-    events = done.filter("result is not null").groupBy(F.col("kind").alias("name"), F.col("result").alias("label")).agg(count)
-    return (states.select(F.lit("licences").alias("part"), "name", F.lit("").alias("label"), "n")
-            .unionByName(audit.select(F.lit("audit").alias("part"), "name", "label", "n"))
-            .unionByName(events.select(F.lit("events").alias("part"), "name", "label", "n")))
+    licences = E.billing_licences(ev, done, P.CHECKOUT_PLANS, c.billing_subscriptions).groupBy(F.col("status").alias("name")).agg(count)
+    # actions and counters from one pass over the outcomes
+    both = done.select(F.explode(F.array(
+        F.struct(F.lit("audit").alias("part"), F.col("action").alias("name"), F.to_date("ts").cast("string").alias("label")),
+        F.struct(F.lit("events").alias("part"), F.when(F.col("result").isNotNull(), F.col("kind")).alias("name"), F.col("result").alias("label")))).alias("r"))
+    counts = both.select("r.*").filter("name IS NOT NULL").groupBy("part", "name", "label").agg(count)
+    return licences.select(F.lit("licences").alias("part"), "name", F.lit("").alias("label"), "n").unionByName(counts)
 
 
-@register("a8_align_schema", views=("licenses",), oracle="""
+ALIGNED_SQL = """
 SELECT id, status, CAST(NULL AS BIGINT) AS node_id, CAST(NULL AS TIMESTAMP) AS last_check FROM licenses
-UNION ALL SELECT id, status, node_id, last_check FROM licenses""")
+UNION ALL SELECT id, status, node_id, last_check FROM licenses"""
+
+
+@register("a8_align_schema", views=("licenses",), oracle=ALIGNED_SQL)
 def a8(c):
     lic = c.licenses.select("id", "status", "node_id", "last_check")
     old = lic.select("id", "status")  # a file written before the columns were added
     return R.align_schema(old, lic.schema).unionByName(lic)
 
 
+@register("a8_two_versions", views=("licenses",), oracle=ALIGNED_SQL)
+def a8_two_versions(c):
+    """Parquet files of an older and the current version, in one folder, read together."""
+    lic, path = c.licenses.select("id", "status", "node_id", "last_check"), run_folder(c.spark, "versions")
+    lic.select("id", "status").write.parquet(f"{path}/v1")
+    lic.withColumn("note", F.lit("dropped later")).write.parquet(f"{path}/v2")
+    return R.read_versions(c.spark, path, lic.schema)
+
+
 def _transfer_audit(c):
     d = E.transfer_decision(c.transfer_requests, c.transfer_licenses, as_of="ts")
     first = (d.filter(F.col("decision") == "allowed").groupBy("license_id")
@@ -162,11 +184,10 @@ def _retry_audit(c):
                     F.lit("2024-01-15 00:00:00").cast("timestamp_ntz").alias("ts"))
 
 
-@register("a6_audit_all", views=("billing_events_ext", "transfer_requests", "transfer_licenses", "licenses",
+@register("a6_audit_all", views=("billing_raw", "billing_invoices", "transfer_requests", "transfer_licenses", "licenses",
                                  "retry_queue"), oracle=f"""
-WITH f AS (SELECT subscription_id, min((ts, event_id)) AS first_k FROM billing_events_ext
-  WHERE kind = 'checkout_completed' AND plan IN ('vpn', 'security_vpn') GROUP BY subscription_id),
-bill AS (SELECT {_ACTIONS_SQL} AS action, ts FROM billing_events_ext LEFT JOIN f USING (subscription_id)),
+WITH {OUTCOMES_SQL},
+bill AS (SELECT action, ts FROM o),
 d AS ({TRANSFER_SQL}),
 tr AS (SELECT 'device_transfer' AS action, min(ts) AS ts FROM d WHERE decision = 'allowed' GROUP BY license_id),
 cl AS (SELECT 'expired_key_cleanup' AS action, TIMESTAMP '2000-01-01 00:00:00' AS ts FROM licenses
@@ -179,7 +200,7 @@ a AS (SELECT action, ts FROM bill WHERE action IS NOT NULL UNION ALL SELECT acti
   UNION ALL SELECT action, ts FROM cl UNION ALL SELECT action, ts FROM rt)
 SELECT action, CAST(ts AS DATE) AS date, count(*) AS n FROM a GROUP BY 1, 2""")
 def a6all(c):
-    parts = [audit_decisions(c.billing_events_ext).withColumn("entity_id", F.col("entity_id").cast("string")),
+    parts = [billing_audit(c),
              _transfer_audit(c), _cleanup_audit(c), _retry_audit(c)]
     rows = None
     for p in parts:

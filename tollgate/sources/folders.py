@@ -10,18 +10,15 @@ def _at(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def complete(spark: SparkSession, root: str, pattern: str, inner: str = "") -> list[str]:
-    """Names under ``root`` that match, in order, whose write (in the folder ``inner``) was committed."""
+def complete(spark: SparkSession, root: str, pattern: str, inner: str = "", parents: int = 0) -> list[str]:
+    """Names under ``root`` that match, in order, whose write (in the folder ``inner``) was committed;
+    with ``parents`` as much of the path before the name."""
     mark = f"{root}/{pattern}/{inner + '/' if inner else ''}_SUCCESS"
     path, fs = _at(spark, mark)
-    found = fs.globStatus(path) or []
-    up = 2 if inner else 1
     names = []
-    for status in found:
-        p = status.getPath()
-        for _ in range(up):
-            p = p.getParent()
-        names.append(p.getName())
+    for status in fs.globStatus(path) or []:
+        parts = status.getPath().toString().split("/")[:-2 if inner else -1]
+        names.append("/".join(parts[-1 - parents:]))
     return sorted(names)
 
 

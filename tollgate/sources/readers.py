@@ -203,10 +203,30 @@ def audit_rows(decisions: DataFrame, action: str = "action", entity_type: str =
                             F.to_date(F.col(ts)).alias("date"))
 
 
-def append_audit(rows: DataFrame, path: str) -> None:
-    """Append to the audit table, partitioned by date (readers prune by date)."""
+def append_audit(rows: DataFrame, path: str, run: str | None = None, batch: int = 0) -> None:
+    """Append to the audit table, partitioned by date (readers prune by date).
+
+    With ``run`` (a job's or stream's id) and ``batch`` the append is idempotent: the rows go to
+    the folder of that run and batch, and a batch that is written again replaces it.  Read such a
+    table with :func:`read_audit`."""
     # one writer per date (AQE splits a large one), so an append leaves few files
-    rows.hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(path)
+    rows = rows.hint("rebalance", "date")
+    if run is None:
+        rows.write.mode("append").partitionBy("date").parquet(path)
+    else:
+        rows.write.mode("overwrite").partitionBy("date").parquet(f"{path}/run={run}/batch={batch:010d}")
+
+
+def stream_audit(path: str, run: str):
+    """foreachBatch function: each micro-batch of audit rows becomes the run's batch of that number."""
+    return lambda rows, batch: append_audit(rows, path, run, batch)
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """Audit rows of the committed batches of all runs, with ``run`` and ``batch``."""
+    from tollgate.sources.folders import complete
+    runs = sorted({r for r in complete(spark, path, "run=*/batch=*", parents=1)})
+    return spark.read.option("basePath", path).parquet(*[f"{path}/{r}" for r in runs])
 
 
 # ---------------------------------------------------------------------------
@@ -219,3 +239,10 @@ def align_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     have = set(df.columns)
     return df.select(*[(F.col(f.name).cast(f.dataType) if f.name in have
                         else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
+
+
+def read_versions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A8 over files: the Parquet files under ``path``, written by versions that lack newer columns or
+    have more, under the current schema.  Spark merges the footers' schemas; a column that no
+    file has is NULL as well, and one that the schema does not name is left out."""
+    return align_schema(spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(path), schema)

@@ -128,16 +128,20 @@ SELECT cast(client_id % 2 AS string) AS instance, 'r' || cast(request_id AS stri
 FROM {request_log}""",
     "billing_raw": """
 SELECT event_id, date_trunc('second', ts) AS ts, kind,
- CASE WHEN kind = 'charge_refunded' OR (kind IN ('payment_succeeded', 'payment_failed') AND event_id % 13 = 0) THEN NULL ELSE subscription_id END AS subscription_id,
+ CASE WHEN kind = 'charge_refunded' OR (kind IN ('payment_succeeded', 'payment_failed') AND event_id % 13 = 0) OR (kind = 'checkout_completed' AND event_id % 5 = 0) THEN NULL ELSE subscription_id END AS subscription_id,
  CASE WHEN kind = 'charge_refunded' AND event_id % 10 <> 0 THEN cast(event_id AS string) END AS invoice_id,
  CASE WHEN event_id % 17 = 0 THEN NULL ELSE 'user' || cast(subscription_id AS string) || '@example.com' END AS email,
  CASE WHEN event_id % 6 = 0 THEN 'subscription_create' ELSE 'subscription_cycle' END AS billing_reason,
- 'cus_' || cast(subscription_id AS string) AS customer_id, plan, amount, amount_refunded, cancel_at_period_end, sub_status,
+ CASE WHEN event_id % 40 = 0 THEN NULL ELSE 'cus_' || cast(subscription_id * 3 + event_id % 3 AS string) END AS customer_id, plan, amount, amount_refunded, cancel_at_period_end, sub_status,
  event_id % 31 = 0 AS broken, date_trunc('second', period_end) AS period_end
 FROM {billing_events_ext}""",
     "billing_invoices": """
 SELECT cast(event_id AS string) AS invoice_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE subscription_id END AS subscription_id
 FROM {billing_events_ext} WHERE kind = 'charge_refunded'""",
+    "billing_subscriptions": """
+SELECT DISTINCT cast(subscription_id AS string) AS subscription_id,
+ CASE WHEN subscription_id % 9 = 0 THEN 'canceled' WHEN subscription_id % 9 = 1 THEN 'trialing' ELSE 'active' END AS status
+FROM {billing_events}""",
     "price_facts": """
 SELECT o_orderkey, o_orderdate AS ts,
  CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH') THEN 'security_vpn' WHEN o_orderpriority = '5-LOW' THEN 'trial' ELSE 'vpn' END AS plan
@@ -194,7 +198,7 @@ VIEW_DEPS: dict[str, tuple[str, ...]] = {
     "transfer_licenses": ("licenses",), "refunds": ("lineitem",), "invoices": ("orders",),
     "subscriptions": ("orders",), "checkouts": ("sessions",), "price_facts": ("orders",),
     "access_log_rows": ("request_log",), "billing_raw": ("billing_events_ext",),
-    "billing_invoices": ("billing_events_ext",),
+    "billing_invoices": ("billing_events_ext",), "billing_subscriptions": ("billing_events",),
 }
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
