@@ -103,3 +103,13 @@ def test_last_change_before_each_fact(spark):
     for kw in ({"piece": F.floor(F.col("at") / 64)}, {"rows_per_piece": 400}):
         got = last_before(f, c, ["k"], "at", ["price"], **kw)
         assert got.columns == ["i", "k", "at", "price"] and {x.i: x.price for x in got.where("k is not null").collect()} == {i: p for i, p in want.items() if facts[i][1] is not None}
+
+
+def test_faq_structured_data_is_read_as_json(spark):
+    from tollgate.operators import siteaudit as K
+    q = lambda name, text="t": '{"@type": ["Question"], "name": "' + name + '", "acceptedAnswer": [{"@type": "Answer", "text": "' + text + '"}]}'
+    blocks = ['{"@type": "FAQPage", "mainEntity": ' + q("A\\u00e9 \\\"x\\\"", "l1\\nl2") + "}",
+              '[{"@type": ["WebPage", "FAQPage"], "mainEntity": [' + q("B") + ', {"@type": "Thing", "name": "no"}]}, {"@type": "Article", "mainEntity": ' + q("no") + "}]",
+              '{"@graph": [{"@graph": [{"@type": "FAQPage", "mainEntity": [' + q(" C ") + "]}]}]}", "{broken", "7", ""]
+    df = spark.createDataFrame([(blocks,)], "b array<string>").select(K.faq_structured(F.col("b")).alias("q"))
+    assert [(x.name, x.text) for x in df.first().q] == [('Aé "x"', "l1\nl2"), ("B", "t"), ("C", "t")]

@@ -394,6 +394,46 @@ def faq_answer_mismatch(pages: DataFrame) -> DataFrame:
         F.size(F.array_except("s", "v")).cast("long").alias("only_structured"))
 
 
+def _list_at(v: Column, path: str) -> Column:
+    """What lies at a path, as an array: its items, or the one object that it is."""
+    one = F.try_variant_get(v, path, "variant")
+    return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.when(one.isNotNull(), F.array(one)), F.array().cast("array<variant>"))
+
+
+def _flat(values: Column, inner) -> Column:
+    return F.flatten(F.transform(values, inner))
+
+
+def faq_structured(jsonld: Column) -> Column:
+    """The questions of a page's JSON-LD blocks as structs (name, text), read as JSON: ``Question``
+    objects in the ``mainEntity`` (a list or one object) of the ``FAQPage`` objects at the top, in a
+    top-level list, and in ``@graph`` lists two deep.  Strings are decoded."""
+    tops = _flat(jsonld, lambda b: _list_at(F.try_parse_json(b), "$"))
+    once = _flat(tops, lambda v: F.concat(F.array(v), _list_at(v, "$['@graph']")))
+    nodes = _flat(once, lambda v: F.concat(F.array(v), F.when(F.try_variant_get(v, "$['@type']", "string").isNull(), _list_at(v, "$['@graph']"))
+                                           .otherwise(F.array().cast("array<variant>"))))
+    pages = F.filter(nodes, lambda v: F.array_contains(_variant_types(v), "FAQPage"))
+    asked = F.filter(_flat(pages, lambda v: _list_at(v, "$.mainEntity")), lambda v: F.array_contains(_variant_types(v), "Question"))
+    return F.array_distinct(F.transform(asked, lambda v: F.struct(
+        trim_ws(F.try_variant_get(v, "$.name", "string")).alias("name"),
+        trim_ws(F.coalesce(F.try_variant_get(v, "$.acceptedAnswer.text", "string"), F.try_variant_get(v, "$.acceptedAnswer[0].text", "string"))).alias("text"))))
+
+
+def faq_mismatch_strict(pages: DataFrame) -> DataFrame:
+    """K21 read as JSON (:func:`faq_structured`): questions and answers shown on a page against those
+    of its structured data, both ways.  :func:`faq_mismatch` is the lenient form by pattern."""
+    def shown(pattern):
+        return F.array_distinct(F.transform(_extract_all(F.col("html"), pattern), lambda s: trim_ws(s)))
+    blocks = F.transform(_extract_all(F.col("html"), P.RE_JSONLD), lambda b: trim_ws(b))
+    p = pages.select("page_id", url_path("url").alias("path"), shown(FAQ_VISIBLE).alias("v"), shown(FAQ_ANSWER_VISIBLE).alias("va"),
+                     faq_structured(blocks).alias("q"))
+    p = p.withColumns({"s": F.array_distinct(F.col("q.name")), "sa": F.array_distinct(F.filter(F.col("q.text"), lambda x: x.isNotNull()))})
+    n = lambda a, b: F.size(F.array_except(a, b)).cast("long")
+    return p.filter((F.size("v") > 0) | (F.size("s") > 0)).select(
+        "page_id", "path", n("v", "s").alias("only_visible"), n("s", "v").alias("only_structured"),
+        n("va", "sa").alias("answers_only_visible"), n("sa", "va").alias("answers_only_structured"))
+
+
 def heading_density(pages: DataFrame, words_per_h2: int = 300) -> DataFrame:
     """K20 (headings): visible words per H2, and whether a page has at least one H2 for
     every ``words_per_h2`` words."""

@@ -276,6 +276,30 @@ def k21(c):
     return K.faq_mismatch(c.pages)
 
 
+def _faq_paths(tail: str) -> str:
+    """Strings at the places where a FAQ may lie in a JSON-LD block, as one list."""
+    places = [f"{top}.mainEntity{items}" for top in ("$", "$[*]", '$."@graph"[*]', '$."@graph"[*]."@graph"[*]') for items in ("", "[*]")]
+    lists = [f"""list_transform(coalesce(try_cast(json_extract(b, '{p}.{tail}') AS JSON[]), []), lambda x: x ->> '$')""" if "*" in p
+             else f"""[x for x in [json_extract_string(b, '{p}.{tail}')] if x IS NOT NULL]""" for p in places]
+    return "list_distinct(flatten([" + ", ".join(lists) + "]))"
+
+
+@register("k21_faq_mismatch_json", views=("faq_pages",), oracle=f"""
+WITH x AS (SELECT page_id, {URL_PATH_SQL} AS path,
+  list_distinct(list_transform(regexp_extract_all(html, {sq(K.FAQ_VISIBLE)}, 1), lambda x: {trim_sql('x')})) AS v,
+  list_distinct(list_transform(regexp_extract_all(html, {sq(K.FAQ_ANSWER_VISIBLE)}, 1), lambda x: {trim_sql('x')})) AS va,
+  regexp_extract(html, '<script type="application/ld.json">(.*)</script>', 1) AS raw FROM faq_pages),
+j AS (SELECT *, CASE WHEN json_valid(raw) THEN raw ELSE '{{}}' END AS b FROM x),
+s AS (SELECT *, {_faq_paths('name')} AS s, {_faq_paths('acceptedAnswer.text')} AS sa FROM j)
+SELECT page_id, path, len(list_filter(v, lambda x: NOT list_contains(s, x))) AS only_visible,
+ len(list_filter(s, lambda x: NOT list_contains(v, x))) AS only_structured,
+ len(list_filter(va, lambda x: NOT list_contains(sa, x))) AS answers_only_visible,
+ len(list_filter(sa, lambda x: NOT list_contains(va, x))) AS answers_only_structured
+FROM s WHERE len(v) > 0 OR len(s) > 0""")
+def k21_json(c):
+    return K.faq_mismatch_strict(c.faq_pages)
+
+
 @register("k22_corpus_consistency", oracle=f"""
 WITH x AS (SELECT 'asset_version' AS kind, unnest(regexp_extract_all(html, {sq(P.RE_ASSET_VERSION)}, 1)) AS v FROM pages
  UNION ALL SELECT 'promo_end', unnest(regexp_extract_all(html, {sq('data-promo-end="([0-9]{4}-[0-9]{2}-[0-9]{2})"')}, 1)) FROM pages),

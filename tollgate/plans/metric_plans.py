@@ -254,6 +254,9 @@ def a7(c):
 # Own grouping of the test routes onto three limiters, with daily quotas of our
 # own (the test traffic is about two requests per client per day).
 LIMIT_GROUPS = (("checkout", "/purchase", 1), ("license", "/signup", 1), ("api", "/", 2))
+#: The service's limits per minute, for the routes of the view.
+_PER_MINUTE = {name: limit for name, limit, _ in P.RATE_LIMITS}
+SERVICE_LIMITS = tuple((name, prefix, _PER_MINUTE[name]) for name, prefix, _ in LIMIT_GROUPS)
 
 
 @register("h3_limiter_groups", views=("request_log",), oracle="""
@@ -267,6 +270,16 @@ def h3g(c):
     return M.rate_limit_audit(c.request_log, LIMIT_GROUPS, "1 day")
 
 
+@register("h3_service_limits", views=("request_burst",), oracle="""
+SELECT limiter, client_id, time_bucket(INTERVAL '60 seconds', ts) AS window_start, count(*) AS requests, max(lim) AS "limit"
+FROM (SELECT client_id, ts, CASE WHEN starts_with(route, '/purchase') THEN 'checkout' WHEN starts_with(route, '/signup') THEN 'license' ELSE 'api' END AS limiter,
+  CAST(CASE WHEN starts_with(route, '/purchase') THEN 5 WHEN starts_with(route, '/signup') THEN 10 ELSE 30 END AS BIGINT) AS lim FROM request_burst) t
+GROUP BY 1, 2, 3 HAVING count(*) > max(lim)""")
+def h3_limits(c):
+    """The service's own limits: 30, 10 and 5 requests per 60 seconds."""
+    return M.rate_limit_audit(c.request_burst, SERVICE_LIMITS, "60 seconds")
+
+
 @register("d10_log_line_counter", views=("access_log_rows",), oracle="""
 SELECT method, coalesce(regexp_replace(path, '\\?.*$', ''), 'unmatched') AS route, status, count(*) AS value
 FROM access_log_rows GROUP BY 1, 2, 3""")

@@ -51,6 +51,9 @@ FROM {events}""",
 SELECT event_id AS request_id, ts, user_id AS client_id, '/' || event_type AS route,
  CASE WHEN event_type = 'error' THEN 500 WHEN event_id % 11 = 0 THEN 404 ELSE 200 END AS status,
  value / 100.0 AS duration_s
+FROM {events}""",
+    "request_burst": """
+SELECT event_id AS request_id, TIMESTAMP '2024-01-01 00:00:00' + to_milliseconds(event_id * 10) AS ts, user_id AS client_id, '/' || event_type AS route
 FROM {events}""",
     "device_seen": """
 SELECT 'dev-' || cast(event_id % 7 AS string) AS device_id, user_id AS license_id, ts, event_id,
@@ -82,6 +85,7 @@ SELECT page_id, '/p/' || cast(page_id AS string) || CASE WHEN page_id % 3 = 0 TH
 FROM {pages}""",
     "site_links": """
 SELECT page_id, CASE WHEN slot = 5 THEN 'mailto:a@example.com' WHEN slot = 4 THEN 'https://other.example.com/x'
+      WHEN (slot = 3 AND page_id % 7 = 0) OR (slot = 2 AND page_id % 14 = 0) THEN '/gone/' || cast(page_id AS string) || '.html'
       ELSE '/p/' || cast((page_id % n_pages * (page_id % n_pages % 1000003) + slot * 13) % n_pages AS string) ||
            CASE WHEN slot = 0 THEN '' WHEN slot = 1 THEN '#top' ELSE '?utm=1' END END AS href
 FROM (SELECT page_id, (SELECT count(*) FROM {pages}) AS n_pages, unnest(range(0, 6)) AS slot FROM {pages}) t""",
@@ -148,6 +152,18 @@ SELECT o_orderkey, o_orderdate AS ts,
 FROM {orders}""",
 })
 
+# Structured data of four shapes, with JSON escapes, beside the questions that a page shows.
+VIEW_SQL["faq_pages"] = """
+SELECT page_id, url, '<html><h2 class="faq-question">Is it "fast" & caf\u00e9-proof?</h2><p class="faq-answer">Yes: a/b, tab.</p>' ||
+ CASE WHEN page_id % 3 = 0 THEN '<h3 class="faq-question">Only shown ' || id || '</h3>' ELSE '' END || '<script type="application/ld+json">' ||
+ CASE page_id % 5 WHEN 0 THEN q WHEN 1 THEN '{{"@context": "x", "@graph": [{{"@type": "Thing", "name": "no"}}, ' || q || ']}}'
+  WHEN 2 THEN '[' || q || ', {{"@type": "Article", "name": "no"}}]' WHEN 3 THEN '{{"@graph": [{{"@graph": [' || q || ']}}]}}'
+  ELSE '{{"@type": "FAQPage", "mainEntity": [' END || '</script></html>' AS html
+FROM (SELECT page_id, url, cast(page_id AS string) AS id, '{{"@type": "FAQPage", "mainEntity": ' || CASE WHEN page_id % 2 = 0 THEN '' ELSE '[' END ||
+  '{{"@type": "Question", "name": "Is it \\"fast\\" \\u0026 caf\\u00e9-proof?", "acceptedAnswer": {{"@type": "Answer", "text": "Yes: a\\/b, tab."}}}}' ||
+  CASE WHEN page_id % 2 = 0 THEN '' ELSE ', {{"@type": "Question", "name": "Only marked ' || cast(page_id AS string) || '", "acceptedAnswer": {{"@type": "Answer", "text": "x"}}}}]' END || '}}' AS q
+ FROM {pages}) t"""
+
 # A site whose pages differ in every audited feature: head tags, structured data,
 # language links, FAQ blocks, buttons and assets, around the article of each page.
 _H = "https://www.example.com"
@@ -187,13 +203,16 @@ FROM (SELECT page_id, html, lang, id, b, m, k, CASE m WHEN 0 THEN '/p' || b || '
 SPARK_VIEW_SQL: dict[str, str] = {
     "site_links": VIEW_SQL["site_links"].replace("unnest(range(0, 6))", "explode(sequence(0, 5))"),
 }
-SPARK_VIEW_DEPS: dict[str, tuple[str, ...]] = {"site_links": ("pages",)}
+SPARK_VIEW_SQL["request_burst"] = VIEW_SQL["request_burst"].replace(
+    "TIMESTAMP '2024-01-01 00:00:00' + to_milliseconds(event_id * 10)", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(event_id AS decimal(18, 6)) / 100)")
+SPARK_VIEW_SQL["faq_pages"] = VIEW_SQL["faq_pages"].replace("\\", "\\\\")  # Spark reads escapes in literals
+SPARK_VIEW_DEPS: dict[str, tuple[str, ...]] = {"site_links": ("pages",), "faq_pages": ("pages",), "request_burst": ("events",)}
 
 VIEW_DEPS: dict[str, tuple[str, ...]] = {
     "licenses": ("orders",), "nodes": ("supplier",), "node_keys": ("lineitem",),
-    "billing_events": ("events",), "request_log": ("events",), "device_seen": ("events",),
+    "billing_events": ("events",), "request_log": ("events",), "request_burst": ("events",), "device_seen": ("events",),
     "device_requests": ("lineitem", "orders"), "sessions": ("orders",),
-    "retry_queue": ("events",), "claim_events": ("events",), "site_paths": ("pages",), "site_pages": ("pages",), "site_links": ("pages",),
+    "retry_queue": ("events",), "claim_events": ("events",), "site_paths": ("pages",), "site_pages": ("pages",), "faq_pages": ("pages",), "site_links": ("pages",),
     "billing_events_ext": ("billing_events",), "transfer_requests": ("device_requests",),
     "transfer_licenses": ("licenses",), "refunds": ("lineitem",), "invoices": ("orders",),
     "subscriptions": ("orders",), "checkouts": ("sessions",), "price_facts": ("orders",),
