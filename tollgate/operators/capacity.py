@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tollgate.functions import patterns as P
 from tollgate.functions.columns import literal_rows, ts_lit
-from tollgate.operators.ranking import last_before, rank_by_id
+from tollgate.operators.ranking import rank_by_id
 
 
 def active_nodes(nodes: DataFrame) -> DataFrame:
@@ -149,30 +149,43 @@ def capacity_bands(free: DataFrame) -> DataFrame:
     return bands.select("band", "open", before.alias("before"))
 
 
+def capacity_slots(free: DataFrame) -> DataFrame:
+    """Free seats as (node_id, level, slot_rank): slots are ranked by (level, node id),
+    which is the order repeated least-loaded choices would take them in."""
+    slots = free.select("node_id", F.explode(F.sequence(F.col("load"), F.col("max_keys") - 1)).alias("level"))
+    # prefix count per level: one row per capacity level
+    per_level = slots.groupBy("level").agg(F.count(F.lit(1)).alias("_c"))
+    starts = per_level.select("level", F.coalesce(F.sum("_c").over(
+        Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("level").orderBy("node_id"))
+    return (slots.withColumn("_w", within).join(starts, "level")
+            .select("node_id", "level", (F.col("_start") + F.col("_w")).alias("slot_rank")))
+
+
+def water_level(bands: DataFrame, seats: DataFrame) -> DataFrame:
+    """One row, ``level``: the first level that stays empty when the one number in ``seats`` is taken
+    (NULL where nothing is).  Inside a band the level rises by one for each open node."""
+    n = seats.scalar()
+    reached = bands.filter((F.col("open") > 0) & (F.col("before") < n))
+    rise = F.ceil((n - F.col("before")) / F.col("open"))
+    return reached.agg((F.max("band") + F.max_by(rise, "band")).cast("long").alias("level"))
+
+
 def assign_nodes(pending: DataFrame, nodes: DataFrame, licenses: DataFrame,
                  order: str = "id") -> DataFrame:
     """Give each pending licence (in ``order``, a unique integer) the next least-loaded node,
     exactly as one least-loaded query per licence would; licences beyond the free
     capacity get NULL.
 
-    Water-filling: the r-th seat lies in the last band that begins before it (an as-of merge of ranks
-    and bands); inside the band the open nodes take turns, so level and node follow by
-    division.  Seats are never listed: the work is that of the licences, and of the nodes open
-    in each band, however much capacity is free."""
-    ranked = rank_by_id(pending, order, name="slot_rank").select(F.col(order).alias("license_id"), "slot_rank")
+    Water-filling: the bands of levels, at most two a node, tell up to which level the pending licences
+    fill the nodes.  Only seats below it are listed: one a licence, and less than one more a node,
+    however much capacity is free."""
+    ranked = rank_by_id(pending, order, name="slot_rank")
     free = free_nodes(nodes, licenses)
-    bands = capacity_bands(free)
-    placed = last_before(ranked.withColumn("_seat", F.col("slot_rank") - 1), bands.withColumn("_seat", F.col("before")), [], "_seat",
-                         ["before", "band", "open"], F.shiftright("_seat", 20))
-    is_open = F.col("open") > 0
-    placed = placed.withColumn("_seat", F.col("_seat") - F.col("before")).select(
-        "license_id", "slot_rank", F.when(is_open, F.col("band")).alias("_band"),
-        F.when(is_open, F.expr("_seat div open")).alias("_level"), F.when(is_open, F.expr("_seat % open")).alias("_k"))
-    turn = F.row_number().over(Window.partitionBy("band").orderBy("node_id")) - 1
-    members = (free.join(bands.filter("open > 0").select("band"), (F.col("load") <= F.col("band")) & (F.col("band") < F.col("max_keys")))
-               .select(F.col("band").alias("_band"), turn.cast("long").alias("_k"), "node_id"))
-    return placed.join(members, ["_band", "_k"], "left").select(
-        "license_id", "slot_rank", "node_id", (F.col("_band") + F.col("_level")).alias("node_load"))
+    level = water_level(capacity_bands(free), pending.agg(F.count(F.lit(1)).alias("n"))).scalar()
+    slots = capacity_slots(free.withColumn("max_keys", F.least("max_keys", level)).filter(F.col("load") < F.col("max_keys")))
+    return ranked.join(slots, "slot_rank", "left").select(
+        F.col("id").alias("license_id"), "slot_rank", "node_id", F.col("level").alias("node_load"))
 
 
 def node_key_count(licenses: DataFrame) -> DataFrame:

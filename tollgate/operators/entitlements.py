@@ -446,11 +446,11 @@ def billing_outcomes(events: DataFrame, allowed_plans, key: str = "subscription_
     return ev.select("event_id", "ts", "kind", F.col(key), "customer_id", created.alias("created"), result.alias("result"), action.alias("action"))
 
 
-def billing_licences(events: DataFrame, outcomes: DataFrame, allowed_plans, subscriptions: DataFrame | None = None,
+def billing_licences(events: DataFrame, outcomes: DataFrame | None, allowed_plans, subscriptions: DataFrame | None = None,
                      key: str = "subscription_id") -> DataFrame:
     """(entity, subscription_id, status) of every licence the events make: the fold per subscription,
-    plus those of checkouts without one, which no later event reaches (``entity`` names the
-    customer, or the event).  A subscription that was neither active nor trialing when its
+    plus (given the ``outcomes``) those of checkouts without one, which no later event reaches
+    (``entity`` names the customer, or the event).  A subscription that was neither active nor trialing when its
     checkout was handled gives an expired licence (C6)."""
     ev = events.filter(~F.coalesce(F.col("broken"), F.lit(False))) if "broken" in events.columns else events
     states = fold_states(ev, key, allowed_plans).select(F.concat(F.lit("subscription:"), F.col(key)).alias("entity"), key, F.col("status"))
@@ -458,6 +458,8 @@ def billing_licences(events: DataFrame, outcomes: DataFrame, allowed_plans, subs
         made = states.select(F.col("entity").alias("id"), F.col(key).cast("string").alias("subscription_id"))
         late = late_inactive(made, subscriptions).select(F.col("license_id").alias("entity"), "new_status")
         states = states.join(late, "entity", "left").withColumn("status", F.coalesce("new_status", "status")).drop("new_status")
+    if outcomes is None:
+        return states
     alone = outcomes.filter(F.col("created") & F.col(key).isNull()).select(
         F.coalesce(F.concat(F.lit("customer:"), F.col("customer_id")), F.concat(F.lit("event:"), F.col("event_id"))).alias("entity"), key,
         F.lit(P.STATUS_ACTIVE).alias("status"))

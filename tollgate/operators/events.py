@@ -2,7 +2,7 @@
 
 Per-user "first time" figures are min/min_by aggregates (partial aggregation
 map-side); each funnel step is one more join of that step's events with the
-previous step's per-user table, never a collection of a user's events.
+per-user rows of the steps before, never a collection of a user's events.
 """
 
 from __future__ import annotations
@@ -34,17 +34,20 @@ def _first_after(step_events: DataFrame, prev: DataFrame | None, user="user_id")
 def funnel(events: DataFrame, steps=("click", "purchase"), user="user_id") -> DataFrame:
     """L2: ordered funnel.  A user reaches step k at the first step-k event at
     or after reaching step k-1.  One row per step with users, conversion from
-    the previous and the first step, and the value of the reaching events."""
-    rows, prev, first_users = [], None, None
-    for i, s in enumerate(steps, 1):
-        reached = _first_after(events.filter(F.col("event_type") == s), prev, user)
-        summary = reached.agg(F.count(F.lit(1)).alias("users"), F.sum("v").alias("value"))
-        rows.append(summary.select(F.lit(i).alias("step_no"), F.lit(s).alias("step"), "users", "value"))
-        prev = reached
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    the previous and the first step, and the value of the reaching events.
+
+    One row per user is carried through the steps (a NULL time where a step was not
+    reached), so each step's events are read once, and all steps are summed up in one
+    aggregate."""
+    chain = _first_after(events.filter(F.col("event_type") == steps[0]), None, user).select(user, F.col("t").alias("t1"), F.col("v").alias("v1"))
+    for i, s in enumerate(steps[1:], 2):
+        e = events.filter(F.col("event_type") == s).select(F.col(user).alias("_u"), "ts", "value", order_key("ts", "event_id").alias("_k"))
+        met = chain.join(e, (F.col(user) == F.col("_u")) & (F.col("ts") >= F.col(f"t{i - 1}")), "left")
+        chain = met.groupBy(*chain.columns).agg(F.min_by("ts", "_k").alias(f"t{i}"), F.min_by("value", "_k").alias(f"v{i}"))
+    sums = chain.agg(*[F.count(f"t{i}").alias(f"n{i}") for i in range(1, len(steps) + 1)],
+                     *[F.sum(f"v{i}").alias(f"s{i}") for i in range(1, len(steps) + 1)])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(i).alias("step_no"), F.lit(s).alias("step"), F.col(f"n{i}").alias("users"), F.col(f"s{i}").alias("value"))
+                                          for i, s in enumerate(steps, 1)])))
 
 
 def funnel_rates(funnel_df: DataFrame) -> DataFrame:

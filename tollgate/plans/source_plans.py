@@ -123,18 +123,21 @@ def a5p(c):
     """Envelopes to licence states, audit rows and event counters."""
     ev = R.parse_billing_events(R.render_billing_events(c.billing_raw))
     ev = ev.withColumns({"event_id": F.col("event_id").cast("long"), "subscription_id": F.col("subscription_id").cast("long")})
+    ev = E.resolve_refund_events(ev, c.billing_invoices)
     parsed = run_folder(c.spark, "billing")  # parsed once; the lineage of the rendered JSON ends here
     ev.write.parquet(parsed)
-    ev = E.resolve_refund_events(c.spark.read.schema(ev.schema).parquet(parsed), c.billing_invoices)
-    done = E.billing_outcomes(ev, P.CHECKOUT_PLANS)
+    ev = c.spark.read.schema(ev.schema).parquet(parsed)
     count = F.count(F.lit(1)).alias("n")
-    licences = E.billing_licences(ev, done, P.CHECKOUT_PLANS, c.billing_subscriptions).groupBy(F.col("status").alias("name")).agg(count)
-    # actions and counters from one pass over the outcomes
-    both = done.select(F.explode(F.array(
-        F.struct(F.lit("audit").alias("part"), F.col("action").alias("name"), F.to_date("ts").cast("string").alias("label")),
-        F.struct(F.lit("events").alias("part"), F.when(F.col("result").isNotNull(), F.col("kind")).alias("name"), F.col("result").alias("label")))).alias("r"))
-    counts = both.select("r.*").filter("name IS NOT NULL").groupBy("part", "name", "label").agg(count)
-    return licences.select(F.lit("licences").alias("part"), "name", F.lit("").alias("label"), "n").unionByName(counts)
+    licences = E.billing_licences(ev, None, P.CHECKOUT_PLANS, c.billing_subscriptions).groupBy("status").agg(count)
+    # actions, counters and licences without a subscription from one pass over the outcomes
+    alone = F.when(F.col("created") & F.col("subscription_id").isNull(), P.STATUS_ACTIVE)
+    row = lambda part, name, label: F.struct(F.lit(part).alias("part"), name.alias("name"), label.alias("label"))
+    done = E.billing_outcomes(ev, P.CHECKOUT_PLANS).select(F.explode(F.array(
+        row("audit", F.col("action"), F.to_date("ts").cast("string")), row("licences", alone, F.lit("")),
+        row("events", F.when(F.col("result").isNotNull(), F.col("kind")), F.col("result")))).alias("r")).select("r.*")
+    counts = done.filter("name IS NOT NULL").groupBy("part", "name", "label").agg(count)
+    both = counts.unionByName(licences.select(F.lit("licences").alias("part"), F.col("status").alias("name"), F.lit("").alias("label"), "n"))
+    return both.groupBy("part", "name", "label").agg(F.sum("n").alias("n"))
 
 
 ALIGNED_SQL = """

@@ -60,7 +60,7 @@ COVERAGE = {
     "E1": ("entitlements.latest_per", ["e1_latest_per_customer"], ""),
     "E2": ("entitlements.devices_ranked", ["e2_devices_ranked"], ""),
     "E3": ("capacity.least_loaded(n)", ["e3_top_nodes"], ""),
-    "E4": ("capacity.assign_nodes, capacity_bands, ranking.rank_by_id, last_before", ["e4_assign_nodes"], "greedy-loop test, property test"),
+    "E4": ("capacity.assign_nodes, capacity_bands, water_level, ranking.rank_by_id", ["e4_assign_nodes"], "greedy-loop test, property test"),
     "E5": ("metrics.failure_runs (ranking.running_by_key)", ["e5_failure_runs"], ""),
     "E6": ("entitlements.transfer_gaps (ranking.lag_by_key)", ["e6_transfer_gaps"], ""),
     "E7": ("metrics.counter_samples, counter_rate", ["e7_counter_rate"], "reset fixture"),
