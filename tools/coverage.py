@@ -11,9 +11,9 @@ COVERAGE = {
     "A3": ("sources.readers.flatten_json, flatten_locales", ["a3_flatten_json"], "nested locale test"),
     "A4": ("sources.readers.parse_access_log, render_access_log", ["a4_access_log"], ""),
     "A5": ("sources.readers.parse_billing_events, render_billing_events", ["a5_billing_envelopes"], ""),
-    "A6": ("sources.readers.audit_rows, append_audit", ["a6_audit_actions", "a6_audit_all"], "date-partitioned sink test"),
+    "A6": ("entitlements.billing_outcomes, sources.readers.audit_rows, append_audit, read_audit", ["a6_audit_actions", "a6_audit_all", "a6_audit_sink"], "idempotent sink test"),
     "A7": ("operators.metrics.metric_snapshot", ["a7_metric_snapshot"], ""),
-    "A8": ("sources.readers.align_schema", ["a8_align_schema"], ""),
+    "A8": ("sources.readers.align_schema, read_versions", ["a8_align_schema", "a8_two_versions"], ""),
     "B1": ("entitlements.format_violations", ["b1_format_violations"], ""),
     "B2": ("entitlements.mask_pii (+ columns.mask_key/mask_email/redact_email/mask_url_secret)", ["b2_mask_pii"], ""),
     "B3": ("columns.classify_platform", ["b3_platform"], ""),
@@ -21,7 +21,7 @@ COVERAGE = {
     "B5": ("entitlements.vpn_access_outcome", ["b5_vpn_access"], ""),
     "B6": ("entitlements.key_delete_outcome", ["b6_key_delete"], ""),
     "B7": ("entitlements.transfer_decision", ["b7_transfer"], "72 h boundary fixture"),
-    "B8": ("entitlements.price_dimension, price_as_of", ["b8_price_as_of"], ""),
+    "B8": ("entitlements.price_dimension, price_as_of, price_as_of_history (ranking.last_before)", ["b8_price_as_of", "b8_price_history", "b8_price_history_by_count"], ""),
     "B9": ("entitlements.expired_with_keys", ["b9_expired_with_keys"], ""),
     "B10": ("entitlements.stale_claims", ["b10_stale_claims"], ""),
     "B11": ("entitlements.reset_stale", ["b11_reset_stale"], ""),
@@ -48,7 +48,7 @@ COVERAGE = {
     "D10": ("metrics.counter", ["d10_request_counter", "d10_log_line_counter"], "log lines -> parse -> counter"),
     "D11": ("metrics.counter over validation_outcome", ["d11_validation_counter"], ""),
     "D12": ("metrics.counter", ["d12_provisioned_by_plan"], ""),
-    "D13": ("metrics.counter over billing results", ["d13_billing_counter"], ""),
+    "D13": ("metrics.counter over entitlements.billing_outcomes", ["d13_billing_counter"], ""),
     "D14": ("metrics.counter", ["d14_checkout_counter"], ""),
     "D15": ("metrics.counter", ["d15_upstream_counter"], ""),
     "D16": ("metrics.counter", ["d16_email_counter"], ""),
@@ -61,14 +61,15 @@ COVERAGE = {
     "E2": ("entitlements.devices_ranked", ["e2_devices_ranked"], ""),
     "E3": ("capacity.least_loaded(n)", ["e3_top_nodes"], ""),
     "E4": ("capacity.assign_nodes, capacity_bands, water_level, ranking.rank_by_id", ["e4_assign_nodes"], "greedy-loop test, property test"),
-    "E5": ("metrics.failure_runs (ranking.running_by_key)", ["e5_failure_runs"], ""),
-    "E6": ("entitlements.transfer_gaps (ranking.lag_by_key)", ["e6_transfer_gaps"], ""),
+    "E5": ("metrics.failure_runs (ranking.running_by_key)", ["e5_failure_runs", "e5_failure_runs_by_count"], ""),
+    "E6": ("entitlements.transfer_gaps (ranking.lag_by_key)", ["e6_transfer_gaps", "e6_transfer_gaps_by_count"], ""),
     "E7": ("metrics.counter_samples, counter_rate", ["e7_counter_rate"], "reset fixture"),
     "F1": ("capacity.endpoint_set", ["f1_endpoint_set"], ""),
     "F2": ("capacity.known_keys", ["f2_known_keys"], ""),
     "F3": ("siteaudit.audit_pages.distinct_links, page_links", ["k8_links"], ""),
     "G1": ("entitlements.fold_states, state_history, licence_records",
-           ["g1_fold_states", "g1_state_history", "g1_licence_records"], "state-grid, random and property tests"),
+           ["g1_fold_states", "g1_state_history", "g1_licence_records", "g1_table_licence", "g1_table_licence_history",
+            "g1_table_slot", "g1_table_slot_history"], "state-grid, random and property tests"),
     "G2": ("entitlements.upsert_devices", ["g2_upsert_devices"], ""),
     "G3": ("entitlements.first_claim", ["g3_first_claim"], ""),
     "G4": ("entitlements.apply_transfers", ["g4_apply_transfers"], ""),
@@ -78,15 +79,15 @@ COVERAGE = {
     "G8": ("entitlements.keys_to_provision", ["g8_keys_to_provision"], ""),
     "G9": ("entitlements.clear_keys", ["g9_clear_keys"], ""),
     "G10": ("entitlements.retry_step", ["g10_retry_step"], ""),
-    "H1": ("streaming.dedup_events, dedup_events_batch", ["h1_dedup_events"], "stream = batch test"),
-    "H2": ("streaming.stream_states", [], "stream = G1 tests (in order and late across batches); no SQL form"),
-    "H3": ("metrics.rate_violations, rate_limit_audit", ["h3_rate_violations", "h3_limiter_groups"], ""),
+    "H1": ("streaming.dedup_events, dedup_events_batch", ["h1_dedup_events", "h1_stream_dedup"], "stream = batch test"),
+    "H2": ("streaming.stream_states (licences.LicenceProcessor)", ["h2_stream_states"], "random splits, hot key, eviction"),
+    "H3": ("metrics.rate_violations, rate_limit_audit", ["h3_rate_violations", "h3_limiter_groups", "h3_service_limits"], ""),
     "H4": ("metrics.windowed_counts, streaming.counter_stream", ["h4_counter_windows"], ""),
     "H5": ("metrics.windowed_counts(slide), streaming.rate_stream", ["h5_sliding_rate", "h5_sliding_rate_scrape"], ""),
     "H6": ("streaming.claim_timeouts, claim_timeouts_batch", ["h6_claim_timeouts"], "stream = batch under random splits"),
-    "H7": ("streaming.stream_devices, upsert_devices_batch", ["h7_device_deltas", "g2_upsert_devices"], "stream = G2 test"),
+    "H7": ("streaming.devices: stream_devices, compact, vacuum, read_devices", ["h7_device_deltas", "h7_stream_devices"], "stream = G2 test, compaction test"),
     "H8": ("metrics.alerts, ratio_alerts", ["h8_alerts", "h8_ratio_alerts"], ""),
-    "H9": ("streaming.log_windows", ["h4_counter_windows"], "late-row test"),
+    "H9": ("streaming.log_windows, late.account_windows", ["h9_stream_windows"], "late-row tests"),
     "K1": ("siteaudit.audit_pages.has_doctype", ["k1_k2_structure"], ""),
     "K2": ("siteaudit.audit_pages.has_lang/has_charset/has_viewport", ["k1_k2_structure"], ""),
     "K3": ("siteaudit.audit_pages.title/description", ["k3_title_description"], ""),
@@ -108,7 +109,7 @@ COVERAGE = {
     "K19": ("siteaudit.required_links, section_links, cross_section_links",
             ["k19_required_links", "k19_section_links", "k19_cross_section_links"], ""),
     "K20": ("siteaudit.content_ranges, heading_density", ["k20_content_ranges", "k20_heading_density"], ""),
-    "K21": ("siteaudit.faq_mismatch, faq_answer_mismatch", ["k21_faq_mismatch", "k21_faq_answers"], ""),
+    "K21": ("siteaudit.faq_mismatch, faq_answer_mismatch, faq_mismatch_strict", ["k21_faq_mismatch", "k21_faq_answers", "k21_faq_mismatch_json"], ""),
     "K22": ("siteaudit.corpus_consistency", ["k22_corpus_consistency"], ""),
     "K23": ("siteaudit.unsafe_links", ["k23_unsafe_links"], ""),
     "K24": ("siteaudit.url_coverage", ["k24_url_coverage"], ""),
