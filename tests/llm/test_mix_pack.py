@@ -86,6 +86,51 @@ def test_mix_with_overlapping_sources_and_edges(spark):
     assert {r.taken for r in mixing.report(blank).collect()} == {0}
 
 
+def test_mix_of_very_many_sources(spark):
+    """More sources than the flow may have patterns: one a domain, and a hot one."""
+    n = 110_000
+    docs = spark.range(n + 3000).selectExpr(
+        "id as doc_id", "repeat('w ', cast(1 + id % 5 as int)) as text", f"case when id < {n} then concat('d', id) else 'hot' end as source")
+    sizes = {f"d{i}": 1 + i % 5 for i in range(n)} | {"hot": sum(1 + i % 5 for i in range(n, n + 3000))}
+    goal = mixing.targets(sizes)  # equal to the plain version on the small sizes above
+    got = mixing.report(docs)
+    rows = got.select("doc_id", "source", "size", "source_size", "target", "taken").collect()
+    assert len(rows) == n + 3000
+    assert all(r.source_size == sizes[r.source] and r.target == float(goal[r.source]) and r.taken <= 3 * r["size"] for r in rows)
+    taken = defaultdict(int)
+    for r in rows:
+        taken[r.source] += r.taken
+    # whole documents: a source of one document misses its target by less than that document
+    assert all(0 <= goal[s] - taken[s] < (sizes[s] if s != "hot" else 5) + 1 for s in sizes)
+
+
+def test_patterns_apart_from_the_flow_give_what_the_flow_gives(spark):
+    """Sources nobody shares are not sent to the flow; overlaps over the bound are an error."""
+    lists = [["a"], ["a", "b"], ["b"], ["c"], [None], ["d", None], None, ["e"], []]
+    rows = [(i, "w " * (1 + i * 7 % 9), lists[i % len(lists)]) for i in range(180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lists array<string>")
+    narrow = mixing._narrow(docs, F.col("lists"), 0).withColumn("pattern", F.to_json("sources"))
+    pats = {r.pattern: r for r in narrow.groupBy("pattern").agg(F.any_value("sources").alias("sources"), F.sum("size").alias("size")).collect()}
+    sizes = defaultdict(int)
+    for r in pats.values():
+        for s in r.sources:
+            sizes[s] += r["size"]
+    frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    total = sum(sizes.values())
+    per = mixing.goals(frame)
+    goal = {r.source: (r.target, r.demand) for r in per.collect()}
+    plain = mixing.targets(dict(sizes), total=total)
+    assert goal == {s: (float(t), int(t)) for s, t in plain.items()}
+    whole = mixing.flow({p: r["size"] for p, r in pats.items()}, {p: r.sources for p, r in pats.items()}, {s: int(t) for s, t in plain.items()})
+    table = narrow.groupBy("pattern").agg(F.any_value("sources").alias("sources"), F.sum("size").alias("size"))
+    got = {r.pattern: r.give for r in mixing.gives(table, per, 3, 5).collect()}
+    assert got.keys() == whole.keys() and sum(got.values()) == sum(whole.values())
+    assert all(got[p] == whole[p] for p in ('["c"]', '["e"]', "[]"))
+    with pytest.raises(ValueError):
+        mixing.gives(table, per, 3, 4)
+    assert mixing.mix(docs, F.col("lists")).columns == docs.columns
+
+
 def tokens(text):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -8,9 +8,11 @@ give F words out of S gives every document floor(F / S) times, and once more the
 that come first in a seeded order until the rest is used, then the largest ones that still
 fit into what is left (`FILLS` rounds).
 
-Only the patterns go to the driver: one row per distinct set of sources, at most
-`max_patterns`.  Which document is taken how often depends on its own hash and on one small
-row of its pattern, so documents are chosen where they lie, without a shuffle.
+Sources, patterns and cuts are tables, of any number of rows.  Where no document shares its
+source with another one, what a pattern gives follows from the source's target alone; only
+patterns that do overlap meet the flow, which the driver solves on one row per pattern (over
+`max_patterns` such rows it raises an error, and no mix is made).  Which document is taken how
+often depends on its own hash and on one small row of its pattern.
 
 Defined results: null text has size 0; a null source is a source of its own; targets of all
 sources share the words of all documents by weight, stop at `most` times the source's words,
@@ -26,7 +28,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tollgate.llm.common import staged, text_of, words
+from tollgate.llm.common import small, staged, text_of, words
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -99,92 +101,140 @@ def flow(capacity: dict, members: dict, demand: dict, most: int = MOST) -> dict:
     return {p: sum(sent[p, s] for s in members[p]) for p in capacity}
 
 
-def plan(rows: DataFrame, weights=WEIGHTS, most: int = MOST, max_patterns: int = 100_000):
-    """`rows`: sources array, size, u.  Returns (targets, source sizes, one row per pattern:
-    pattern, copies of every document, last u of those taken once more, more such u)."""
-    spark = rows.sparkSession
+def goals(per: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
+    """`targets` for any number of sources: adds target (exact to a double) and demand, its whole
+    words, to `per` (source, source_size, one row each).
+
+    Sources are numbered by a range partitioning of their names.  A source is full when the
+    open sources' share per weight exceeds `most` times its size; every round's new share comes
+    from three sums over the sources, and only those go to the driver.  Weights are whole numbers."""
+    name = F.col("source").asc_nulls_last()
+    per = staged(per.repartitionByRange(name).sortWithinPartitions(name).withColumn("at", F.monotonically_increasing_id()))
+    parts = per.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n"))
+    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    parts = parts.select("part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    place = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    weight = F.get(F.array(*[F.lit(x).cast("long") for x in weights]), (place % len(weights)).cast("int"))
+    per = per.withColumn("part", F.shiftright("at", 33)).join(parts, "part").withColumn("weight", weight).drop("part", "before", "at")
+    whole = lambda x: F.lit(x).cast("decimal(38,0)") if isinstance(x, int) else F.col(x).cast("decimal(19,0)")
+    full, count = F.lit(False), 0
+    left = None
+    while True:
+        r = per.agg(F.sum("source_size").alias("size"), F.sum(F.when(full, F.col("source_size"))).alias("gone"),
+                    F.sum(F.when(~full, F.col("weight"))).alias("shares"), F.count(F.when(full, 1)).alias("n")).first()
+        total = r["size"] or 0
+        if left is not None and r["n"] == count or not r["shares"]:
+            break
+        left, shares, count = total - most * (r["gone"] or 0), r["shares"], r["n"]
+        full = whole("weight") * whole(left) > whole("source_size") * whole(most * shares)
+    if left is None:  # no sources
+        left, shares = 0, 1
+    share = whole("weight") * whole(left)
+    return per.select(
+        "source", "source_size",
+        F.when(full, (F.col("source_size") * most).cast("double")).otherwise(share.cast("double") / F.lit(float(shares))).alias("target"),
+        F.when(full, F.col("source_size") * most).otherwise(F.floor(share / whole(shares)).cast("long")).alias("demand"))
+
+
+def gives(pats: DataFrame, per: DataFrame, most: int, max_patterns: int) -> DataFrame:
+    """Adds `give`, the words a pattern sends.  A pattern alone with its source sends the
+    source's demand; only patterns of sources that some document shares with another source
+    need the flow, which is solved on the driver."""
+    alone = per.select(F.to_json(F.array("source")).alias("pattern"), "demand")
+    shared = pats.where(F.size("sources") > 1)
+    if shared.isEmpty():
+        return pats.join(alone, "pattern", "left").select("pattern", "size", F.coalesce("demand", F.lit(0)).alias("give"))
+    shared = staged(shared.select(F.explode("sources").alias("source")).distinct().select(F.to_json(F.array("source")).alias("name"), "source"))
+    n = shared.count()
+    names = small(shared.select("name"), n, 200)
+    # a pattern with one shared source has no other kind: its first source tells
+    marked = pats.withColumn("name", F.to_json(F.slice("sources", 1, 1)))
+    rows = marked.join(names, "name", "left_semi").select("pattern", "sources", "size").limit(max_patterns + 1).collect()
+    if len(rows) > max_patterns:
+        raise ValueError(f"over {max_patterns} sets of sources that overlap")
+    need = {r["source"]: r["demand"] for r in small(shared.withColumnRenamed("name", "pattern"), n, 200)
+            .join(alone, "pattern").collect()}  # sources of at most `max_patterns` sets
+    sent = flow({r["pattern"]: r["size"] for r in rows}, {r["pattern"]: r["sources"] for r in rows}, need, most)
+    sent = pats.sparkSession.createDataFrame(list(sent.items()), "pattern string, sent long")
+    free = alone.join(names.withColumnRenamed("name", "pattern"), "pattern", "left_anti")
+    return (pats.join(small(sent, len(rows), 200), "pattern", "left").join(free, "pattern", "left")
+            .select("pattern", "size", F.coalesce("sent", "demand", F.lit(0)).alias("give")))
+
+
+def plan(rows: DataFrame, weights=WEIGHTS, most: int = MOST, max_patterns: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """`rows`: sources array, size, u.  Returns the sources (source, source_size, target) and the
+    cuts, one row per pattern: whole (copies of every document), last (u of the last one taken
+    once more), more (such u besides)."""
     rows = rows.withColumn("pattern", F.to_json("sources"))
-    pats = rows.groupBy("pattern").agg(F.any_value("sources").alias("sources"), F.sum("size").alias("size")).limit(max_patterns + 1).collect()
-    if len(pats) > max_patterns:
-        raise ValueError(f"over {max_patterns} distinct sets of sources")
-    sizes = defaultdict(int)
-    for p in pats:
-        for s in p["sources"]:
-            sizes[s] += p["size"]
-    goal = targets(sizes, weights, most, sum(p["size"] for p in pats))
-    capacity = {p["pattern"]: p["size"] for p in pats}
-    gives = flow(capacity, {p["pattern"]: p["sources"] for p in pats}, {s: int(t) for s, t in goal.items()}, most)
-    passes = {p: divmod(f, capacity[p]) if capacity[p] else (0, 0) for p, f in gives.items()}
-
-    def table(columns: str, data: list):
-        return F.broadcast(spark.createDataFrame(data, columns))  # at most `max_patterns` rows
+    pats = staged(rows.groupBy("pattern").agg(F.any_value("sources").alias("sources"), F.sum("size").alias("size")))
+    per = pats.select(F.explode("sources").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = goals(per, weights, most)
+    size, give = F.col("size"), F.col("give")
+    pats = staged(gives(pats, per, most, max_patterns).select(
+        "pattern", F.when(size > 0, F.expr("give div size")).otherwise(0).alias("whole"),
+        F.when(size > 0, give % size).otherwise(0).alias("rest")))
+    n = pats.count()
+    sent = lambda df: small(df, n, 200)
 
     # the seeded order is cut in the 65,536 ranges of u: sums by range first, rows of one range after
-    rest = table("pattern string, rest long", [(p, r) for p, (_, r) in passes.items()])
     ranges = rows.groupBy("pattern", F.shiftright("u", 47).alias("part")).agg(F.sum("size").alias("size"))
     w = Window.partitionBy("pattern").orderBy("part")
-    ranges = (ranges.withColumn("upto", F.sum("size").over(w)).join(rest, "pattern")
-              .where("upto > rest").groupBy("pattern").agg(F.min("part").alias("part"), F.min_by(F.col("rest") - F.col("upto") + F.col("size"), "part").alias("rest")))
-    ranges = [tuple(r) for r in ranges.collect()]
-    edge = rows.join(table("pattern string, part long, rest long", ranges), "pattern").where(F.shiftright("u", 47) == F.col("part"))
+    ranges = (ranges.withColumn("upto", F.sum("size").over(w)).join(sent(pats), "pattern").where("upto > rest").groupBy("pattern")
+              .agg(F.min("part").alias("part"), F.min_by(F.col("rest") - F.col("upto") + F.col("size"), "part").alias("rest")))
+    edge = rows.join(sent(ranges), "pattern").where(F.shiftright("u", 47) == F.col("part"))
     w = Window.partitionBy("pattern").orderBy("u").rangeBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("upto", F.sum("size").over(w)).where("upto <= rest").groupBy("pattern").agg(F.max("u").alias("last"))
-    last = {p: (part << 47) - 1 for p, part, _ in ranges} | {r["pattern"]: r["last"] for r in edge.collect()}
-    more = defaultdict(list)
-    last = {p: last.get(p, (1 << 63) - 1) for p in capacity}
-    cut = lambda: table("pattern string, last long, more array<long>", [(p, u, more[p]) for p, u in last.items()])
-    taken = rows.join(cut(), "pattern").where("u <= last").groupBy("pattern").agg(F.sum("size").alias("size"))
-    gap = {p: r for p, (_, r) in passes.items()}
-    for r in taken.collect():
-        gap[r["pattern"]] -= r["size"]
+    edge = edge.withColumn("upto", F.sum("size").over(w)).where("upto <= rest").groupBy("pattern").agg(F.max("u").alias("edge"))
+    last = F.when(F.col("rest") == 0, F.lit(-1)).otherwise(
+        F.coalesce("edge", F.shiftleft("part", 47) - 1, F.lit((1 << 63) - 1)))
+    cuts = staged(pats.join(ranges.select("pattern", "part"), "pattern", "left").join(edge, "pattern", "left")
+                  .select("pattern", "whole", "rest", last.alias("last")))
+    taken = rows.join(sent(cuts), "pattern").where("u <= last").groupBy("pattern").agg(F.sum("size").alias("taken"))
+    cuts = staged(cuts.join(taken, "pattern", "left").select(
+        "pattern", "whole", "last", F.array().cast("array<long>").alias("more"),
+        (F.col("rest") - F.coalesce("taken", F.lit(0))).alias("gap")))
     for _ in range(FILLS):
-        gaps = [(p, g) for p, g in gap.items() if g > 0]
-        if not gaps:
-            break
-        free = rows.join(cut(), "pattern").where("u > last").where(~F.array_contains("more", F.col("u")))
-        fit = free.join(table("pattern string, gap long", gaps), "pattern").where("size > 0 and size <= gap")
-        got = fit.groupBy("pattern").agg(F.max(F.struct("size", "u")).alias("b")).collect()
-        for r in got:
-            gap[r["pattern"]] -= r["b"]["size"]
-            more[r["pattern"]].append(r["b"]["u"])
-        if not got:
+        if cuts.where("gap > 0").isEmpty():
             break
-    cuts = table("pattern string, whole long, last long, more array<long>",
-                 [(p, passes[p][0], last[p] if passes[p][1] else -1, more[p]) for p in capacity])
-    return goal, sizes, cuts
+        free = rows.join(sent(cuts.where("gap > 0")), "pattern").where("u > last and size > 0 and size <= gap").where(~F.array_contains("more", F.col("u")))
+        got = free.groupBy("pattern").agg(F.max(F.struct("size", "u")).alias("b"))
+        cuts = staged(cuts.join(got, "pattern", "left").select(
+            "pattern", "whole", "last", F.when(F.col("b").isNull(), F.col("more")).otherwise(F.array_append("more", F.col("b.u"))).alias("more"),
+            (F.col("gap") - F.coalesce("b.size", F.lit(0))).alias("gap")))
+    return per.drop("demand"), sent(cuts.drop("gap"))
 
 
 def copies(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Adds `copies`; needs sources and u.  Map-side: the cuts are one row per pattern."""
+    """Adds `copies`; needs sources and u.  Map-side while the cuts, one row per pattern, are small."""
     once = (F.col("u") <= F.col("last")) | F.array_contains("more", F.col("u"))
     return (rows.withColumn("pattern", F.to_json("sources")).join(cuts, "pattern")
             .withColumn("copies", F.col("whole") + once.cast("long")).drop("pattern", "whole", "last", "more"))
 
 
+def _sources(sources: Column | None = None) -> Column:
+    """A document's distinct sources in order; a null list counts as one null source."""
+    one = F.array("source") if sources is None else F.coalesce(sources, F.array(F.lit(None).cast("string")))
+    return F.array_sort(F.array_distinct(one))
+
+
 def _narrow(docs: DataFrame, sources: Column | None, seed: int) -> DataFrame:
-    one = sources if sources is not None else F.array("source")
-    return docs.select("doc_id", F.array_sort(F.array_distinct(one)).alias("sources"),
+    return docs.select("doc_id", _sources(sources).alias("sources"),
                        F.size(words(text_of())).cast("long").alias("size"), _order(F.col("doc_id"), text_of(), seed).alias("u"))
 
 
 def report(docs: DataFrame, seed: int = 0) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, copies (one source each)."""
     rows = staged(_narrow(docs, None, seed))
-    goal, sizes, cuts = plan(rows)
-    per = docs.sparkSession.createDataFrame([(s, sizes[s], float(goal[s])) for s in sizes], "source string, source_size long, target double")
-    out = copies(rows, cuts).withColumn("source", F.get("sources", 0))
-    per = F.broadcast(per.withColumnRenamed("source", "s"))  # fewer rows than patterns
-    return (out.join(per, F.col("source").eqNullSafe(F.col("s")))
-            .select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"))
+    per, cuts = plan(rows)
+    per = staged(cuts.join(per.withColumn("pattern", F.to_json(F.array("source"))).drop("source"), "pattern"))
+    out = copies(rows, small(per, per.count(), 250)).withColumn("source", F.get("sources", 0))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mix(docs: DataFrame, sources: Column | None = None, seed: int = 0) -> DataFrame:
     """The mix itself: each document's row as often as it is taken, with its own columns."""
     names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", "text",
-                       (sources if sources is not None else F.array("source")).alias("sources"))
-    _, _, cuts = plan(staged(_narrow(rows, F.col("sources"), seed)))
-    rows = rows.select("row", F.array_sort(F.array_distinct("sources")).alias("sources"),
-                       _order(F.col("doc_id"), text_of(), seed).alias("u"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", "text", _sources(sources).alias("sources"))
+    _, cuts = plan(staged(_narrow(rows, F.col("sources"), seed)))
+    rows = rows.select("row", "sources", _order(F.col("doc_id"), text_of(), seed).alias("u"))
     rows = copies(rows, cuts).where("copies > 0")
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
