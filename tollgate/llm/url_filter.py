@@ -14,6 +14,8 @@ an empty list gives every page the default; an empty table gives an empty result
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,12 +46,15 @@ def judge(pages: DataFrame, listed: DataFrame, page_id: str = "page_id", url: st
     blocks = bloom.geometry(rules.count())
     filt = bloom.build(rules, F.xxhash64("r_host", "r_path"), blocks)
 
+    # one constant array, however many shapes: the plan does not grow with the list
+    known = F.from_json(F.lit(json.dumps([{"k": k, "n": n} for k, n in shapes])), "array<struct<k:int,n:int>>")
     n_labels = F.size(F.split("host", r"\."))
-    keys = [F.when((n_labels >= k) & (F.length("path") >= n),
-                   F.struct(F.substring_index("host", ".", -k).alias("r_host"),
-                            F.substring("path", 1, n).alias("r_path"))) for k, n in shapes]
+    fitting = F.filter(known, lambda s: (s["k"] <= n_labels) & (s["n"] <= F.length("path")))
+    keys = F.transform(fitting, lambda s: F.struct(
+        F.call_function("substring_index", F.col("host"), F.lit("."), -s["k"]).alias("r_host"),
+        F.substring(F.col("path"), F.lit(1), s["n"]).alias("r_path")))
     urls = pages.where("host <> ''").groupBy("host", "path").agg(F.lit(1).alias("one"))
-    tried = urls.select("host", "path", F.explode(F.filter(F.array(*keys), lambda x: x.isNotNull())).alias("k"))
+    tried = urls.select("host", "path", F.explode(keys).alias("k"))
     tried = tried.select("host", "path", "k.*")
     maybe = bloom.probe(tried, F.xxhash64("r_host", "r_path"), filt, blocks).where("maybe")
     rank = F.struct(F.length(F.concat("r_host", "r_path")), F.length("r_host"), "r_host", "r_path")
