@@ -242,3 +242,27 @@ def test_chats_are_repaired_legally_at_least_cost(spark, block):
             if r[0] == c and r[3]:
                 assert r[3] in shown
     assert chat_format.format_chats(turns.where("conv_id = 99")).count() == 0
+
+
+def test_url_filter_with_thousands_of_shapes(spark):
+    """A list of 2,400 shapes (labels and path lengths): the plan stays one array, the results exact."""
+    rules = [(".".join(["x"] * k + ["net"]), "/" + "p" * n, "block" if (k + n) % 2 else "allow") for k in range(1, 5) for n in range(600)]
+    urls = [(i, f"http://{'x.' * (i % 6)}net/{'p' * (i * 37 % 700)}?q") for i in range(60)] + [(60, None), (61, "net/pp")]
+    listed = spark.createDataFrame(rules, "host string, path string, verdict string")
+    table = {(h, p): v for h, p, v in rules}
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), listed, default="none").collect()}
+    for i, url in urls:
+        host, _, path = (url or "").partition("://")[2].partition("?")[0].partition("/")
+        labels, path = host.split("."), "/" + path
+        fits = [(".".join(labels[k:]), path[:n]) for k in range(len(labels)) for n in range(1, len(path) + 1) if (".".join(labels[k:]), path[:n]) in table]
+        best = max(fits, key=lambda f: (len(f[0] + f[1]), len(f[0])), default=None)
+        assert got[i] == ((best[0] + best[1], table[best]) if best else (None, "none")), url
+
+
+def test_repeated_windows_of_a_very_long_text(spark):
+    """400,000 different words with one repeated window: no false repeats."""
+    names = [f"w{i}" for i in range(400_000)] + ["w5", "w6", "w7"]
+    docs = X.simple(spark, [(1, " ".join(names)), (2, " ".join(names[:-3])), (3, "a b c a b c a"), (4, "a a a a"), (5, "a b c"), (6, None)])
+    work = quality_rules._prepared(docs.select("doc_id", "text"), "text")
+    got = {r.doc_id: r.n_repeat_words for r in quality_rules.base(work).select("doc_id", "n_repeat_words").collect()}
+    assert got == {1: 6, 2: 0, 3: 7, 4: 4, 5: 0, 6: 0}

@@ -32,31 +32,25 @@ SYMBOLS = "#*$%&|<>"
 def _repeated_window_words(h: Column) -> Column:
     """Words in 3-word windows that occur at least twice, from the words' hashes.
 
-    Each window is one long: its hash, with the low bits replaced by its position.  Sorted as
-    longs, equal windows are neighbours; their positions, sorted again, give the words covered.
+    Windows are sorted with their positions, by the whole hash: equal ones are neighbours;
+    their positions, sorted again, give the words covered.
     """
     long = lambda x: F.lit(x).cast("long")
 
-    def found(h: Column, bits: Column) -> Column:
-        low = F.call_function("shiftleft", long(1), bits) - 1
-        head = lambda x: F.call_function("shiftright", x, bits)
-        packed = F.sort_array(F.transform(
-            F.slice(h, 1, F.size(h) - 2),
-            lambda a, i: F.xxhash64(a, F.get(h, i + 1), F.get(h, i + 2)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
-        twice = let(packed, lambda p: F.filter(
-            p, lambda x, i: F.coalesce(head(x) == head(F.get(p, i - 1)), F.lit(False))
-            | F.coalesce(head(x) == head(F.get(p, i + 1)), F.lit(False))))
-        at = F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(low)))
+    def found(windows: Column) -> Column:
+        placed = F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("at"))))
+        same = lambda p, x, i: F.coalesce(x["h"] == F.get(p, i)["h"], F.lit(False))
+        twice = let(placed, lambda p: F.filter(p, lambda x, i: same(p, x, i - 1) | same(p, x, i + 1)))
+        at = F.sort_array(F.transform(twice, lambda x: x["at"]))
         return F.aggregate(
             at, F.struct(long(-3).alias("last"), long(0).alias("sum")),
             lambda s, x: F.struct(x.alias("last"), (s["sum"] + F.least(long(3), x - s["last"])).alias("sum")))["sum"]
 
-    bits = F.length(F.bin(F.size(h).cast("long")))
     windows = F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h) - 1), lambda a, b: F.xxhash64(a, b))
     windows = let(windows, lambda v: F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(h, 3, F.size(h) - 2), lambda a, b: F.xxhash64(a, b)))
     # most documents end here: all windows differ
-    none = let(windows, lambda v: F.size(F.array_distinct(v)) == F.size(v))
-    return F.when(F.size(h) < 4, long(0)).when(none, long(0)).otherwise(let(h, lambda x: let(bits, lambda b: found(x, b))))
+    return F.when(F.size(h) < 4, long(0)).otherwise(
+        let(windows, lambda v: F.when(F.size(F.array_distinct(v)) == F.size(v), long(0)).otherwise(found(v))))
 
 
 def _prepared(docs: DataFrame, text: str) -> DataFrame:
