@@ -28,9 +28,10 @@ from tollgate.llm import bytesnp
 from tollgate.llm.common import small_batches, staged, text_of
 
 WINDOW, END = 2048, 1
-SHARD = 1024
+SHARD = 2048
 DIMS, SAMPLE, LEAVES = 128, 64, 4096  # of a sketch; sampled tails a leaf; leaves of the tree at most
 K1, B = 1.2, 0.75
+COMMON, DENSE = 32, 64 << 20  # a term in one piece of so many is a row of the index's matrix; bytes of that at most
 
 _PIECE = "doc_id long, start long, length long, doc_tokens long, ids binary"
 _PACKED = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence long, offset long"
@@ -144,16 +145,63 @@ def leaf_of(x: np.ndarray, directions: np.ndarray, bounds: np.ndarray) -> np.nda
     return node - len(bounds)
 
 
+class _Index:
+    """A shard's inverted index of its unused pieces.
+
+    The terms that at least one piece in `COMMON` holds are rows of a matrix of weights, at most
+    `DENSE` bytes of the most frequent ones; the others are postings by term."""
+
+    def __init__(self, n: int, piece: np.ndarray, term: np.ndarray, weight: np.ndarray, vocab: int):
+        df = np.bincount(term, minlength=vocab)
+        often = np.argsort(-df, kind="stable")[:DENSE // (4 * max(1, n))]
+        often = often[df[often] * COMMON >= max(1, n)]
+        self.row = np.full(vocab, -1)
+        self.row[often] = np.arange(len(often))
+        self.matrix = np.zeros((len(often), n), np.float32)
+        common = self.row[term] >= 0
+        self.matrix[self.row[term[common]], piece[common]] = weight[common]
+        rare = np.flatnonzero(~common)
+        rare = rare[np.argsort(term[rare], kind="stable")]
+        self.term, self.piece, self.weight = term[rare], piece[rare], weight[rare]
+        self.pieces, self.vocab = np.arange(n), vocab
+        self._posts()
+
+    def _posts(self):
+        self.posts = np.searchsorted(self.term, np.arange(self.vocab + 1))
+
+    def shrink(self, unused: np.ndarray) -> None:
+        """Drops the used pieces once they are a quarter of the indexed ones."""
+        keep = unused[self.pieces]
+        left = int(keep.sum())
+        if 4 * left > 3 * len(keep):
+            return
+        self.matrix = np.compress(keep, self.matrix, axis=1)  # rows stay contiguous
+        stay = keep[self.piece]
+        self.term, self.weight = self.term[stay], self.weight[stay]
+        self.piece = (np.cumsum(keep) - 1)[self.piece[stay]]
+        self.pieces = self.pieces[keep]
+        self._posts()
+
+    def scores(self, terms: np.ndarray) -> np.ndarray:
+        """BM25 of the indexed pieces for distinct terms."""
+        row, out = self.row[terms], np.zeros(len(self.pieces), np.float32)
+        common = row[row >= 0]
+        for k in range(0, len(common), 16):  # a few rows at once, which stay in the cache
+            out += self.matrix[common[k:k + 16]].sum(axis=0)
+        spans = [slice(self.posts[t], self.posts[t + 1]) for t in terms[row < 0] if self.posts[t] < self.posts[t + 1]]
+        if spans:
+            out += np.bincount(np.concatenate([self.piece[s] for s in spans]),
+                               np.concatenate([self.weight[s] for s in spans]), minlength=len(out)).astype(np.float32)
+        return out
+
+
 def fill(lengths: np.ndarray, piece: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray, window: int, mean: float | None = None):
     """The windows of one shard: lists of (piece, start in it, length).
 
     `piece`, `term`, `tf`: the terms of each piece, sorted by piece; `mean`: of all tails' lengths."""
     n = len(lengths)
     weight = _weights(lengths, piece, term, tf, idf, (lengths.mean() if n else 1.0) if mean is None else mean)
-    order = np.argsort(term, kind="stable")  # the inverted index: postings by term
-    post_piece, post_weight, sorted_term = piece[order], weight[order], term[order]
-    vocab = len(idf)
-    posts = np.searchsorted(sorted_term, np.arange(vocab + 1))
+    index = _Index(n, piece, term, weight, len(idf))
     rows = np.searchsorted(piece, np.arange(n + 1))
     unused, used_from = np.ones(n, bool), np.zeros(n, np.int64)
     at, cut, out = 0, None, []
@@ -178,16 +226,15 @@ def fill(lengths: np.ndarray, piece: np.ndarray, term: np.ndarray, tf: np.ndarra
 
         room -= take(seed, room)
         if room:
-            own = slice(rows[seed], rows[seed + 1])
-            spans = [slice(posts[t], posts[t + 1]) for t in term[own]]
-            scores = np.bincount(np.concatenate([post_piece[s] for s in spans]),
-                                 np.concatenate([post_weight[s] for s in spans]), minlength=n) if spans else np.zeros(n)
-            scores[~unused] = -1.0
+            index.shrink(unused)
+            scores = index.scores(term[rows[seed]:rows[seed + 1]])
+            scores[~unused[index.pieces]] = -1.0
             while room and scores.size:
-                best = int(scores.argmax())
-                if scores[best] < 0:
+                at_best = int(scores.argmax())
+                if scores[at_best] < 0:
                     break
-                scores[best] = -1.0
+                scores[at_best] = -1.0
+                best = int(index.pieces[at_best])
                 room -= take(best, room)
                 if used_from[best] < lengths[best]:
                     cut = best
