@@ -72,16 +72,20 @@ def time_between(events: DataFrame, a: str, b: str, target_seconds: float, user=
     Long-form summary rows (metric, value): users with A, users reaching B,
     share of those within the target, and the exact median (distributed
     ranking, no single-task percentile buffer)."""
-    ta = _first_after(events.filter(F.col("event_type") == a), None, user)
-    tb = _first_after(events.filter(F.col("event_type") == b), ta, user)
-    d = ta.join(tb.select(user, F.col("t").alias("tb")), user, "left").select(
-        user, seconds_between("tb", "t").alias("seconds"))
-    s = d.agg(F.count(F.lit(1)).cast("double").alias("users_a"),
-              F.count("seconds").cast("double").alias("users_b"),
-              F.try_divide(F.count_if(F.col("seconds") <= target_seconds), F.count("seconds"))
-              .alias("share_within"))
+    ta = events.filter(F.col("event_type") == a).groupBy(user).agg(F.min("ts").alias("t"))
+    eb = events.filter(F.col("event_type") == b).select(F.col(user).alias("_u"), F.col("ts").alias("_ts"))
+    tb = (ta.join(eb, (F.col(user) == F.col("_u")) & (F.col("_ts") >= F.col("t")), "left")
+          .groupBy(user, "t").agg(F.min("_ts").alias("tb")))
+    # counted once per distinct gap (-1: no B), which both the summary and the median start from
+    gap = F.coalesce(seconds_between("tb", "t").cast("double"), F.lit(-1.0))
+    d = tb.groupBy(gap.alias("seconds")).agg(F.count(F.lit(1)).alias("n"))
+    met = F.when(F.col("seconds") >= 0, F.col("n")).otherwise(0)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("double")
+    s = d.agg(total(F.col("n")).alias("users_a"), total(met).alias("users_b"),
+              total(F.when(F.col("seconds") <= target_seconds, met)).alias("_within"))
+    s = s.withColumn("share_within", F.try_divide("_within", "users_b"))
     s = s.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
                                     for m in ("users_a", "users_b", "share_within")])))
-    med = exact_percentile(d, "seconds", 0.5).select(F.lit("median_seconds").alias("metric"),
-                                                      F.col("seconds").alias("value"))
+    med = exact_percentile(d.select("seconds", met.alias("n")), "seconds", 0.5, count="n").select(
+        F.lit("median_seconds").alias("metric"), F.col("seconds").alias("value"))
     return s.unionByName(med)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_percentile(df: DataFrame, value: str, q: float, piece_bits: int = 8) -> DataFrame:
+def exact_percentile(df: DataFrame, value: str, q: float, piece_bits: int = 8, count: str | None = None) -> DataFrame:
     """One-row frame with the exact ``q`` percentile of ``value`` (linear
     interpolation between closest ranks, as SQL percentile_cont).  NULLs are
     ignored; an empty input gives NULL.
@@ -28,9 +28,16 @@ def exact_percentile(df: DataFrame, value: str, q: float, piece_bits: int = 8) -
     hot value to one row per task); distinct values are then cut into
     deterministic pieces by their rounded magnitude, cumulative counts run per
     piece, and the counts of earlier pieces (one row per piece) are added.  No
-    task ever holds more than one piece of distinct values."""
-    v = df.select(F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    counts = v.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    task ever holds more than one piece of distinct values.
+
+    With ``count``, ``df`` has one row per distinct value, none of them NULL, and ``count``
+    says how often it occurs; a value that occurs 0 times is passed over.  No filter is then
+    put on ``df``, so that the caller's other uses of it can share its exchange."""
+    if count is None:
+        v = df.select(F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+        counts = v.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        counts = df.select(F.col(value).cast("double").alias("_v"), F.col(count).alias("_n"))
     # order-preserving piece id: sign, then log2 of the magnitude in steps of
     # 2^-piece_bits (a piece spans a factor 2^(2^-piece_bits) of values); the
     # offset keeps every non-zero magnitude of a double on its sign's side of 0
@@ -38,7 +45,7 @@ def exact_percentile(df: DataFrame, value: str, q: float, piece_bits: int = 8) -
     offset = float(steps * 1100)          # > steps * 1074 (smallest double's exponent)
     piece = F.when(F.col("_v") == 0, F.lit(0.0)).otherwise(
         F.signum("_v") * (F.floor(F.log2(F.abs("_v")) * steps) + F.lit(offset)))
-    counts = counts.withColumn("_p", piece)
+    counts = counts.withColumn("_p", F.coalesce(piece, F.lit(0.0)))
     w = Window.partitionBy("_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     local = counts.withColumn("_cum", F.sum("_n").over(w))
     per = counts.groupBy("_p").agg(F.sum("_n").alias("_pn"))
