@@ -50,3 +50,37 @@ def test_equal_texts_are_dealt_on(spark):
         shards[p.sequence >> 25] = shards.get(p.sequence >> 25, 0) + 1
     assert max(shards.values()) < 200
     assert {p.doc_id for p in pieces} == set(range(800))
+
+
+def test_index_equals_plain_scores(monkeypatch):
+    """Frequent terms in the matrix, all or none of them, and pieces dropped once used: the scores and the
+    windows are those of a plain sum over shared terms."""
+    rng = np.random.default_rng(8)
+    docs = [np.unique(rng.zipf(1.4, 60) % 500) for _ in range(200)]
+    at = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    piece, term, tf = packing._terms(np.concatenate(docs).astype(np.uint16), at)
+    weight, idf = rng.random(len(term)), rng.random(500)
+    dense = np.zeros((200, 500))
+    dense[piece, term] = weight
+    windows = []
+    for common, size in ((32, 64 << 20), (1, 64 << 20), (1000, 64 << 20), (32, 8 * 800), (32, 0)):
+        monkeypatch.setattr(packing, "COMMON", common)
+        monkeypatch.setattr(packing, "DENSE", size)
+        index, unused = packing._Index(200, piece, term, weight, 500), np.ones(200, bool)
+        assert index.matrix.nbytes <= size
+        for k in range(0, 200, 10):
+            unused[rng.choice(200, 10)] = False
+            index.shrink(unused)
+            assert set(np.flatnonzero(unused)) <= set(index.pieces)
+            assert 4 * unused.sum() > 3 * len(index.pieces) or not unused.any()
+            assert np.allclose(index.scores(docs[k]), dense[index.pieces][:, docs[k]].sum(axis=1), rtol=1e-4)
+        windows.append(packing.fill(np.diff(at), piece, term, tf, idf, 100))
+    assert all(sorted(p for w in x for p, start, _ in w if start == 0) == list(range(200)) for x in windows)
+
+
+def test_index_of_empty_shard_and_of_pieces_without_shared_terms():
+    none = np.zeros(0, np.int64)
+    assert packing.fill(none, none, none, none, np.ones(5), 10) == []
+    ids, at = np.arange(4, dtype=np.uint16), np.arange(5)
+    rows = packing.fill(np.diff(at), *packing._terms(ids, at), np.ones(5), 2)
+    assert [[p for p, _, _ in r] for r in rows] == [[0, 1], [2, 3]]
