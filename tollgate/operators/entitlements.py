@@ -424,26 +424,30 @@ def billing_outcomes(events: DataFrame, allowed_plans, key: str = "subscription_
     if "customer_id" not in ev.columns:
         ev = ev.withColumn("customer_id", F.lit(None).cast("string"))
     broken = F.coalesce(F.col("broken"), F.lit(False)) if "broken" in ev.columns else F.lit(False)
-    checkouts = ev.filter((F.col("op") == "K") & ~broken)
-    first = checkouts.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_s")).agg(F.min("_k").alias("_first"))
-    by_customer = (checkouts.filter(F.col("customer_id").isNotNull()).groupBy(F.col("customer_id").alias("_c"))
-                   .agg(F.min("_k").alias("_first_c")))
-    # only a checkout without a subscription looks its customer up
-    asks = F.when(F.col(key).isNull() & (F.col("op") == "K"), F.col("customer_id"))
-    ev = ev.join(first, F.col(key) == F.col("_s"), "left").join(by_customer, asks == F.col("_c"), "left")
     kind, known = F.col("kind"), F.col(key).isNotNull()
     valid = F.coalesce((F.col("op") == "K") & ~broken, F.lit(False))
-    created = valid & F.when(known, F.col("_k") == F.col("_first")).otherwise(F.col("_first_c").isNull() | (F.col("_k") == F.col("_first_c")))
+    changes = F.coalesce((kind == "subscription_updated") & F.col("plan").isin(*allowed_plans) & ~broken, F.lit(False))
+    of_key, of_customer = F.concat(F.lit("s:"), F.col(key).cast("string")), F.concat(F.lit("c:"), F.col("customer_id").cast("string"))
+    first = (ev.filter(valid).select("_k", F.explode(F.array(of_key, of_customer)).alias("_s")).filter("_s IS NOT NULL")
+             .groupBy("_s").agg(F.min("_k").alias("_first")))
+    # a checkout looks up its subscription or, without one, its customer; a plan change its subscription; the
+    # other events, most of them, find nothing under keys of their own, which deal them evenly
+    asks = F.when(known & (valid | changes), of_key).when(valid & F.col("customer_id").isNotNull(), of_customer)
     partial = F.col("amount_refunded") < F.col("amount")
-    later = F.col("_first").isNotNull() & (F.col("_k") > F.col("_first"))
     first_invoice = (F.col("billing_reason") == "subscription_create") if "billing_reason" in ev.columns else F.lit(False)
-    result = (F.when(broken, "error").when(kind == "checkout_completed", F.when(created, "success"))
+    result = (F.when(broken, "error").when(kind == "checkout_completed", F.lit(None))
               .when((kind == "payment_succeeded") & first_invoice, "skipped")
               .when((kind == "charge_refunded") & partial, "skipped").when(known, "success"))
-    action = F.when(~broken, F.when(created, "license_created").when((kind == "payment_failed") & known, "license_suspended")
-                    .when((kind == "charge_refunded") & ~partial & known, "license_refunded")
-                    .when((kind == "subscription_updated") & F.col("plan").isin(*allowed_plans) & later, "plan_changed"))
-    return ev.select("event_id", "ts", "kind", F.col(key), "customer_id", created.alias("created"), result.alias("result"), action.alias("action"))
+    action = F.when(~broken, F.when((kind == "payment_failed") & known, "license_suspended")
+                    .when((kind == "charge_refunded") & ~partial & known, "license_refunded"))
+    ev = ev.select("event_id", "ts", "kind", key, "customer_id", "_k", valid.alias("_valid"), changes.alias("_changes"), result.alias("_result"),
+                   action.alias("_action"), F.coalesce(asks, F.concat(F.lit("e:"), F.col("event_id").cast("string"))).alias("_asks"))
+    ev = ev.join(first, F.col("_asks") == F.col("_s"), "left")
+    created = F.col("_valid") & F.when(known, F.col("_k") == F.col("_first")).otherwise(F.col("_first").isNull() | (F.col("_k") == F.col("_first")))
+    later = F.col("_changes") & F.col("_first").isNotNull() & (F.col("_k") > F.col("_first"))
+    return ev.select("event_id", "ts", "kind", F.col(key), "customer_id", created.alias("created"),
+                     F.when(created, "success").otherwise(F.col("_result")).alias("result"),
+                     F.when(created, "license_created").when(later, "plan_changed").otherwise(F.col("_action")).alias("action"))
 
 
 def billing_licences(events: DataFrame, outcomes: DataFrame | None, allowed_plans, subscriptions: DataFrame | None = None,
