@@ -17,7 +17,7 @@ from tollgate.operators import entitlements as E
 from tollgate.operators import metrics as M
 from tollgate.streaming.devices import (append_device_deltas, device_deltas, merge_device_deltas,  # noqa: F401
                                         read_devices, stream_devices)
-from tollgate.streaming.licences import NONE, OUTPUT, TRANSITIONS, LicenceProcessor, step  # noqa: F401
+from tollgate.streaming.licences import NONE, OUTPUT, TRANSITIONS, LicenceProcessor, LicenceRowProcessor, step  # noqa: F401
 
 
 def event_time(stream: DataFrame, ts: str = "ts") -> DataFrame:
@@ -60,12 +60,13 @@ def stream_states(stream: DataFrame, lateness: str = "1 hour", key: str = "subsc
     have = ops.columns
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     none = lambda t: F.lit(None).cast(t)
-    ops = ops.filter(F.col(key).isNotNull()).select(
-        key, "ts", micros("ts").alias("ts_us"), F.col("event_id").cast("long").alias("event_id"), "op", "kind",
+    event = F.struct(
+        micros("ts").alias("ts_us"), F.col("event_id").cast("long").alias("event_id"), "op", "kind",
         F.coalesce(micros("period_end") if "period_end" in have else none("long"), F.lit(NONE)).alias("period_end_us"),
         (F.col("plan") if "plan" in have else none("string")).alias("plan"))
-    made = ops.withWatermark("ts", lateness).groupBy(key).transformWithStateInPandas(
-        LicenceProcessor(key, allowed_plans or P.CHECKOUT_PLANS, _millis(tick or lateness), _millis(closed_retention)),
+    ops = ops.filter(F.col(key).isNotNull()).select(key, "ts", micros("ts").alias("ts_us"), F.to_json(event).alias("event"))
+    made = ops.withWatermark("ts", lateness).groupBy(key).transformWithState(
+        LicenceRowProcessor(key, allowed_plans or P.CHECKOUT_PLANS, _millis(tick or lateness), _millis(closed_retention)),
         f"{key} long, {OUTPUT}", "Update", "EventTime")
     return made.select(key, "status", F.timestamp_micros("expires_us").cast("timestamp_ntz").alias("expires_at"), "plan",
                        "applied", "n_applied", "as_of_ms")

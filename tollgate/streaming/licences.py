@@ -1,7 +1,7 @@
 """H2: the licence fold as a stateful processor (state API v2).
 
-State of a subscription: its record (a value), the events that wait for the watermark (a list, only
-ever appended to between two timers), and the next timer.  An event waits until the end of its
+State of a subscription: its record (a value), the events that wait for the watermark (a list of packs of
+up to `PACK` events, only ever appended to between two timers), and the next timer.  An event waits until the end of its
 tick has passed the watermark; then one timer reads the list once, applies what is due in
 (ts, event_id) order and writes back the rest.  Ticks are as long as the lateness, so an event is read
 at most a few times however many micro-batches bring it, and a key with many events costs time in
@@ -11,10 +11,13 @@ it was closed, by the same timer.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tollgate.functions import patterns as P
@@ -33,6 +36,8 @@ OUTPUT = "status string, expires_us long, plan string, applied long, n_applied l
 RECORD = "status string, expires_us long, plan string, n_applied long, closed_us long"
 EVENT = "ts_us long, event_id long, op string, kind string, period_end_us long, plan string"  # no period end: NONE
 EVENT_COLS = [c.split()[0] for c in EVENT.split(", ")]
+WAITING = "events string"  # a pack: a JSON array of events, each an object of its fields that are not NULL
+PACK = 1000  # events
 NONE = -(1 << 63)
 NEW = ("none", None, None, 0, None)
 
@@ -69,8 +74,17 @@ def apply_event(record: tuple, event: tuple, plans) -> tuple:
     return after, expiry, plan, n + 1, closed
 
 
+def as_json(event: Iterable) -> str:
+    """As Spark's ``to_json`` of a struct of ``EVENT``."""
+    return json.dumps({c: v for c, v in zip(EVENT_COLS, event) if v is not None}, separators=(",", ":"))
+
+
+def packed(events: Iterable[str]) -> tuple[str]:
+    return ("[" + ",".join(events) + "]",)
+
+
 class LicenceProcessor(StatefulProcessor):
-    """Input: rows of ``EVENT`` and an event-time column ``ts``; output: ``OUTPUT`` after the key."""
+    """Input: frames of ``EVENT`` and an event-time column ``ts``; output: ``OUTPUT`` after the key."""
 
     def __init__(self, key: str, plans, tick_ms: int, closed_ms: int):
         self.key, self.plans, self.tick_ms, self.closed_ms = key, tuple(plans), max(1, tick_ms), closed_ms
@@ -78,12 +92,11 @@ class LicenceProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.record = handle.getValueState("record", RECORD)
-        self.waiting = handle.getListState("waiting", EVENT)
+        self.waiting = handle.getListState("waiting", WAITING)
         self.timer = handle.getValueState("timer", "at_ms long")
 
-    def _wake(self, at_ms: int) -> None:
-        """One timer a key, at the earliest time asked for."""
-        now = self.timer.get() if self.timer.exists() else None
+    def _wake(self, at_ms: int, now: tuple | None) -> None:
+        """One timer a key, at the earliest time asked for; ``now`` is the one it has."""
         if now is not None and now[0] <= at_ms:
             return
         if now is not None:
@@ -94,46 +107,67 @@ class LicenceProcessor(StatefulProcessor):
     def _tick_end(self, ts_us: int) -> int:
         return (ts_us // 1000 // self.tick_ms + 1) * self.tick_ms
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def _events(self, frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, str]]:
+        """Time and JSON text of the events."""
+        for pdf in frames:
+            columns = [pdf[c].tolist() for c in EVENT_COLS]
+            for row in zip(*columns):
+                yield row[0], as_json(None if isinstance(v, float) and v != v else v for v in row)
+
+    def _made(self, values: dict):
+        return pd.DataFrame({c: pd.Series([v], dtype=object) for c, v in values.items()})
+
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
         earliest = None
-        for pdf in rows:
-            if len(pdf):
-                columns = [pdf[c].tolist() for c in EVENT_COLS]
-                self.waiting.appendList([tuple(None if isinstance(v, float) and v != v else v for v in row) for row in zip(*columns)])
-                low = int(pdf["ts_us"].min())
-                earliest = low if earliest is None else min(earliest, low)
+        events = iter(self._events(rows))
+        while some := list(islice(events, PACK)):
+            self.waiting.appendList([packed(text for _, text in some)])
+            low = min(ts for ts, _ in some)
+            earliest = low if earliest is None else min(earliest, low)
         if earliest is not None:
-            self._wake(self._tick_end(earliest))
+            self._wake(self._tick_end(earliest), self.timer.get())
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.timer.exists() and self.timer.get()[0] == expiredTimerInfo.getExpiryTimeInMs():
-            self.timer.clear()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         now = timerValues.getCurrentWatermarkInMs()
-        events = sorted(self.waiting.get(), key=lambda e: (e[0], e[1])) if self.waiting.exists() else []
+        events = sorted((tuple(map(e.get, EVENT_COLS)) for pack in self.waiting.get() or () for e in json.loads(pack[0])), key=lambda e: (e[0], e[1]))
         due = [e for e in events if e[0] <= now * 1000]
         rest = events[len(due):]
-        before = record = tuple(self.record.get()) if self.record.exists() else NEW
+        before = record = tuple(self.record.get() or NEW)
         for e in due:
             record = apply_event(record, e, self.plans)
         if due:
             if rest:
-                self.waiting.put(rest)
+                self.waiting.put([packed(map(as_json, rest[i:i + PACK])) for i in range(0, len(rest), PACK)])
             else:
                 self.waiting.clear()
         closing = record[4] // 1000 + self.closed_ms if record[0] == P.STATUS_EXPIRED else None
+        wake = self._tick_end(rest[0][0]) if rest else None
         if not rest and (record[0] == "none" or closing is not None and closing <= now):
             self.record.clear()  # nothing is held, or it was closed long ago
         else:
             if due:
                 self.record.update(record)
-            if rest:
-                self._wake(self._tick_end(rest[0][0]))
-            elif closing is not None:
-                self._wake(closing + 1)
+            if not rest and closing is not None:
+                wake = closing + 1
+        if wake is None:  # the key's one timer has just gone off
+            self.timer.clear()
+        else:
+            self._wake(wake, None)
         if due and record[:3] != before[:3]:
-            yield pd.DataFrame({self.key: [key[0]], "status": [record[0]], "expires_us": pd.array([record[1]], "Int64"), "plan": [record[2]],
-                                "applied": [len(due)], "n_applied": [record[3]], "as_of_ms": [now]})
+            yield self._made({self.key: key[0], "status": record[0], "expires_us": record[1], "plan": record[2],
+                              "applied": len(due), "n_applied": record[3], "as_of_ms": now})
 
     def close(self) -> None:
         pass
+
+
+class LicenceRowProcessor(LicenceProcessor):
+    """The same over Rows of ``ts_us`` and the event as JSON: a key's few events a micro-batch cost
+    less than a data frame for each key."""
+
+    def _events(self, rows: Iterator[Row]) -> Iterator[tuple[int, str]]:
+        return ((row["ts_us"], row["event"]) for row in rows)
+
+    def _made(self, values: dict) -> Row:
+        return Row(**values)
