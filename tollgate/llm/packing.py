@@ -29,6 +29,7 @@ from tollgate.llm.common import small_batches, staged, text_of
 
 WINDOW, END = 2048, 1
 SHARD = 2048
+NO_TOKEN = "\x00no token\x00"  # in a text: ordinary text
 DIMS, SAMPLE, LEAVES = 128, 64, 4096  # of a sketch; sampled tails a leaf; leaves of the tree at most
 K1, B = 1.2, 0.75
 COMMON, DENSE = 32, 64 << 20  # a term in one piece of so many is a row of the index's matrix; bytes of that at most
@@ -48,7 +49,8 @@ def _encoder(path: str):
     import tiktoken
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    # no text asks for a special token; without any, tiktoken's search for them stops at every character
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={NO_TOKEN: min(ranks.values())})
 
 
 def _cut(path: str, window: int, end: int):
